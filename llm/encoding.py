@@ -44,12 +44,12 @@ def encoder(path: str) -> "TextEncoder":
 class Words(dict):
     """ids of words as bytes; a word that is missing is encoded, and kept while there is room."""
 
-    def __init__(self, owner: "TextEncoder", lead: str):
-        self.owner, self.lead = owner, lead
+    def __init__(self, owner: "TextEncoder", lead: str, room: int):
+        self.owner, self.lead, self.room = owner, lead, room
 
     def __missing__(self, w: str) -> bytes:
         ids = self.owner.word(w, self.lead)
-        if len(self) < self.owner.max_words:
+        if len(self) < self.room:
             self[w] = ids
         return ids
 
@@ -57,15 +57,14 @@ class Words(dict):
 class TextEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes, equal to encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, path: str, max_words: int = 1_200_000):
+    def __init__(self, path: str, max_words: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.max_words = max_words
-        self.spaced, self.bare = Words(self, " "), Words(self, "")  # bare: at the start of a text or line
+        self.spaced, self.bare = Words(self, " ", max_words), Words(self, "", max_words // 6)  # bare: at the start of a text or line
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

@@ -9,10 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, sstable, token_counts
+from llm import bpe, line_dedup, lm_scoring, near_dedup, packing, quality_rules, sstable, token_counts, topk, toxicity
 from llm.common import shared_dir, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "op2")
     sstable.write_tables(table(spark, sf_dir, "documents"), folder)
@@ -25,17 +30,73 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_tables(spark, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.topk(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            crc = pa.array([zlib.crc32(x.as_buffer()) for x in b.column("ids")], pa.int64())
+            yield pa.RecordBatch.from_arrays([crc if n == "ids_crc32" else b.column(n) for n in names], names)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.mapInArrow(digest, ", ".join(f"{n} long" for n in names))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratios = quality_rules.fit_ratios(docs, table(spark, sf_dir, "labels"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ngram_score", "kept"]
+    return quality_rules.judge(docs.select("doc_id", "text"), ratios).select(names)
+
+
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(token_counts.length_counts(table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document that loses lines: their places, the components and their number."""
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents")).withColumn("n_removed", F.size("removed").cast("long"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sstable": op2_sstable, "op7_length_histogram": op7_length_histogram, "op10_bpe": op10_bpe}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_sstable, op3_topk, op4_near_dedup, op5_packing, op6_quality_rules, op7_length_histogram, op8_toxicity, op9_line_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": TOPK_SQL}
+
+
+#: The same search, pair by pair.
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

@@ -3,7 +3,8 @@
 A file is a run of blocks, then a sparse index with one entry a block, a Bloom filter over all keys,
 and a footer of fixed size.  Keys rise through the file.  Within a block an entry stores how many
 bytes its key shares with the one before, so keys are prefix-compressed; the first entry of a block
-has its whole key.  Values are little-endian unsigned 32-bit ids.
+has its whole key.  A value is a byte with the width of its ids, 2 or 4, and then the ids as little-endian
+unsigned integers of that width: 2 where all of them fit.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
@@ -45,6 +47,17 @@ def key_value(key: bytes) -> int | str | None:
     return key[1:].decode() if key[0] == 2 else int.from_bytes(key[1:], "big") - (1 << 63)
 
 
+def packed(ids: bytes) -> bytes:
+    """32-bit ids as a stored value."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\x02" + wide.astype("<u2").tobytes() if wide.max(initial=0) <= 0xFFFF else b"\x04" + ids
+
+
+def unpacked(value: bytes) -> bytes:
+    """32-bit ids of a stored value."""
+    return value[1:] if value[0] == 4 else np.frombuffer(value, "<u2", offset=1).astype("<u4").tobytes()
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
@@ -61,7 +74,9 @@ class Writer:
         self.index, self.hashes = bytearray(), []
         self.at = self.ids = self.block_ids = self.blocks = 0
 
-    def add(self, key: bytes, value: bytes) -> None:
+    def add(self, key: bytes, ids: bytes) -> None:
+        """ids: little-endian, 32 bits each."""
+        value = packed(ids)
         if not self.block:
             self.first, self.before, self.block_ids = key, b"", self.ids
         shared = 0
@@ -72,7 +87,7 @@ class Writer:
         self.block += ENTRY.pack(shared, len(key) - shared, len(value)) + key[shared:] + value
         self.entries += 1
         self.before = key
-        self.ids += len(value) // 4
+        self.ids += len(ids) // 4
         self.hashes.append(xxhash.xxh3_128_intdigest(key))
         if len(self.block) >= self.block_bytes:
             self._flush()
@@ -128,7 +143,7 @@ class Reader:
         return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bits(xxhash.xxh3_128_intdigest(key), self.probes, len(self.bloom) * 8))
 
     def block(self, k: int) -> Iterator[tuple[bytes, int, bytes]]:
-        """(key, ids of this file before it, value) of the entries of block k."""
+        """(key, number of ids in this file before it, its ids) of the entries of block k."""
         offset, size, entries, ids, crc = self.blocks[k]
         raw = self.file.read_at(size, offset)
         if zlib.crc32(raw) != crc:
@@ -138,16 +153,17 @@ class Reader:
             shared, more, n = ENTRY.unpack_from(raw, at)
             at += ENTRY.size
             key = key[:shared] + raw[at : at + more]
-            yield key, ids, raw[at + more : at + more + n]
+            value = unpacked(raw[at + more : at + more + n])
+            yield key, ids, value
             at += more + n
-            ids += n // 4
+            ids += len(value) // 4
 
     def scan(self) -> Iterator[tuple[bytes, int, bytes]]:
         for k in range(len(self.blocks)):
             yield from self.block(k)
 
     def get(self, key: bytes) -> list[bytes]:
-        """All values of a key: Bloom filter, then binary search in the sparse index, then one block or more."""
+        """ids of all entries of a key: Bloom filter, then binary search in the sparse index, then one block or more."""
         found: list[bytes] = []
         if self.may_hold(key):
             k = max(0, bisect_right(self.firsts, key) - 1)
