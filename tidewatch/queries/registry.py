@@ -1,11 +1,19 @@
-"""All queries of the library with the SQL that gives the same rows."""
+"""All queries of the library with the SQL that gives the same rows, where there is one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.queries import discovery, scans, telemetry, valuation
 
-def oracle_sql():
-    return {}
+ALL = valuation.QUERIES | discovery.QUERIES | scans.QUERIES | telemetry.QUERIES
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: text for name, (_, text) in ALL.items() if text}
