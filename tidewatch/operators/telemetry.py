@@ -152,7 +152,8 @@ def sustained(df: DataFrame, value: Column, above: Column, window: int, least_sp
     """
     w = _range(keys or [], window)
     rows = df.where(value.isNotNull()).withColumn("__low", F.min((value > above).cast("int")).over(w))
-    span = seconds("ts") - F.min(seconds("ts")).over(w)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = (at - F.min(at).over(w)) / 1e6
     return rows.withColumn("span", span).withColumn("sustained", (F.col("__low") == 1) & (span >= least_span)).drop("__low")
 
 
@@ -243,13 +244,13 @@ def load_states(series: DataFrame, key: list[str]) -> DataFrame:
     return folded.select(*key, F.explode("out").alias("x")).select(*key, F.timestamp_seconds("x.t").alias("ts"), "x.state")
 
 
-def scrape_metrics(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(metric, labels, value) of lines of scraped metrics; comments and bad lines are left out."""
+def scrape_metrics(lines: DataFrame, column: str = "value", keys: list[str] | None = None) -> DataFrame:
+    """(keys, metric, labels, value) of lines of scraped metrics; comments and bad lines are left out."""
     pattern = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?\s+(\S+)"
     c = F.col(column)
     body = F.regexp_extract(c, pattern, 2)
     labels = F.when(body != "", F.str_to_map(F.regexp_replace(body, '"', ""), F.lit(","), F.lit("=")))
-    out = lines.where(~c.startswith("#")).select(F.regexp_extract(c, pattern, 1).alias("metric"), labels.alias("labels"), F.regexp_extract(c, pattern, 3).try_cast("double").alias("number"))
+    out = lines.where(~c.startswith("#")).select(*(keys or []), F.regexp_extract(c, pattern, 1).alias("metric"), labels.alias("labels"), F.regexp_extract(c, pattern, 3).try_cast("double").alias("number"))
     return out.where("metric <> '' and number is not null").withColumnRenamed("number", "value")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.queries import discovery, scans, telemetry, valuation
+from tidewatch.queries import discovery, scans, shredding, telemetry, valuation
 
-ALL = valuation.QUERIES | discovery.QUERIES | scans.QUERIES | telemetry.QUERIES
+ALL = valuation.QUERIES | discovery.QUERIES | scans.QUERIES | telemetry.QUERIES | shredding.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

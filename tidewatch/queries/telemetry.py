@@ -144,12 +144,12 @@ SELECT id, chain, n, n >= 2 AND span >= 3600000000 AS outage FROM w""")
 def sustained_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CPU above 30 for an hour, in each day."""
     out = T.sustained(_resources(spark, sf_dir), F.col("cpu_percent"), F.lit(30.0), 3600, 1800, ["day"])
-    return out.select("id", F.round("span", 3).alias("span"), "sustained")
+    return out.select("id", F.round(F.col("span") * 1e6).cast("bigint").alias("span_us"), "sustained")
 
 
 SUSTAINED = """, w AS (SELECT id, ts, cpu_percent, date_trunc('day', ts) AS day, epoch_us(ts) AS t, min(CASE WHEN cpu_percent > 30 THEN 1 ELSE 0 END) OVER x AS low, (epoch_us(ts) - min(epoch_us(ts)) OVER x) / 1e6 AS span FROM fx_resources WHERE cpu_percent IS NOT NULL
   WINDOW x AS (PARTITION BY date_trunc('day', ts) ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))"""
-SUSTAINED_LOAD = sql("fx_resources", body=SUSTAINED + " SELECT id, round(span, 3) AS span, low = 1 AND span >= 1800 AS sustained FROM w")
+SUSTAINED_LOAD = sql("fx_resources", body=SUSTAINED + " SELECT id, CAST(round(span * 1e6) AS BIGINT) AS span_us, low = 1 AND span >= 1800 AS sustained FROM w")
 
 
 def load_average(spark: SparkSession, sf_dir: str) -> DataFrame:
