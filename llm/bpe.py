@@ -17,10 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from llm.common import slices
-from llm.encoding import BYTES, UNSAFE, default_tokenizer
+from llm.encoding import BYTES, default_tokenizer
 
 #: How a byte-level pre-tokenizer cuts a text.  Fixed value.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space beside white space.
+UNSAFE = regex.compile(r"\s\s")
 _CODECS: dict[str, "MergeCodec"] = {}
 
 

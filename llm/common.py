@@ -38,6 +38,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    # shuffle files of a finished job go when the driver collects its garbage: now, not when the heap is full
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -33,7 +33,7 @@ def encode(docs: DataFrame, id_column: str, text_column: str, end_id: int, token
         for batch in batches:
             for part in slices(batch, "text"):
                 place, wide, out = [], [], []
-                for raw in own.encode(part.column("text").to_pylist()):
+                for raw in own.encode(part.column("text")):
                     ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
                     pair = ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
                     place.append(int((pair ^ (pair >> np.uint64(29))).min() >> np.uint64(1)) if len(pair) else 0)

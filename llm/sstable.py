@@ -194,7 +194,7 @@ def write_tables(
         part, uri, key = TaskContext.get().partitionId(), "", b""
         for batch in batches:
             for rows in slices(batch, "text"):
-                for k, ids in zip(rows.column("id").to_pylist(), own.encode(rows.column("text").to_pylist())):
+                for k, ids in zip(rows.column("id").to_pylist(), own.encode(rows.column("text"))):
                     key = key_bytes(k)
                     if writer is None:
                         uri, first = f"{folder}/data/{part:06d}-{uuid.uuid4().hex}.sst", key

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def length_counts(df: DataFrame, text_column: str = "text", tokenizer_path: str
         own, seen = encoder(path), Counter()
         for batch in batches:
             for part in slices(batch, "text"):
-                seen.update([len(x) // 4 for x in own.encode(part.column("text").to_pylist())])
+                seen.update(np.diff(own.encode_column(part.column("text"))[1]).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n_docs"])
 
     counted = df.select(df[text_column].alias("text")).mapInArrow(run, "length long, n_docs long")
