@@ -4,8 +4,8 @@ One weight a word is shared by all grades; ordered thresholds t1 < t2 < ... cut
 P(grade >= k) = sigmoid(w . x - t_k), and the expected severity is the sum of these over k.
 
 Labels say only whether a document is toxic.  Grades come from them in the training sample: 0 for
-clean documents; toxic ones get 1, or 2 if words that mark toxic documents are as frequent in them
-as in the upper half of the toxic ones.
+clean documents; toxic ones get 1, or 2 if they have more different words that mark toxic documents
+than half of the toxic ones have.
 """
 
 from __future__ import annotations
@@ -93,11 +93,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [sorted(features(t)) for t in part.column("text").to_pylist()]
-                n = [len(t.split()) if t else 0 for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(part.column("label").to_pylist(), pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["id", "label", "n", "words"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(part.column("label").to_pylist(), pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["id", "label", "words"])
 
     id_type = docs.schema[id_column].dataType.simpleString()
-    made = rows.select("id", "label", "text").mapInArrow(words, f"id {id_type}, label long, n long, words array<string>")
+    made = rows.select("id", "label", "text").mapInArrow(words, f"id {id_type}, label long, words array<string>")
     sample = made.dropDuplicates(["id"]).toPandas().sort_values("id")
     toxic = sample.label.to_numpy() == 1
     if not toxic.any() or toxic.all():
@@ -113,8 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     place = {w: k for k, w in enumerate(chosen)}
     markers = {w for w in chosen if odds[w] > 4}
     x = [np.array([place[w] for w in ws if w in place], np.int64) for ws in sample.words]
-    marked = np.array([sum(w in markers for w in ws) for ws in sample.words]) / np.maximum(1, sample.n.to_numpy())
-    grades = np.where(toxic, 1 + (marked >= np.median(marked[toxic])), 0)
+    marked = np.array([sum(w in markers for w in ws) for ws in sample.words])
+    grades = np.where(toxic, 1 + (marked > np.median(marked[toxic])), 0)
     weights, thresholds = fit_ordinal(x, grades, len(chosen), 3)
     return OrdinalModel({w: float(weights[k]) for w, k in place.items()}, thresholds)
 
