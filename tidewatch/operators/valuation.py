@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +161,10 @@ def estimate(parts: DataFrame, threshold: float, uncertainty: str = "0.1") -> Da
         F.count("*").alias("total_networks"),
         F.max((F.col("amount").isNull() | F.coalesce("price_missing", F.lit(False))).cast("int")).alias("missing"),
     )
-    lower = F.col("estimated_usd") / (1 + float(uncertainty))
-    upper = F.when(F.col("missing") == 0, F.col("estimated_usd") / (1 - float(uncertainty)))
+    # decimal division, so that bounds are exact at the threshold; doubles where a value is too large for it
+    exact = F.col("estimated_usd").try_cast("decimal(28,8)")
+    over = lambda d: F.coalesce((exact / F.lit(d)).cast("double"), F.col("estimated_usd") / float(d))
+    lower = over(1 + Decimal(uncertainty))
+    upper = F.when(F.col("missing") == 0, over(1 - Decimal(uncertainty)))
     status = F.when(F.col("missing") == 1, "incomplete").when(lower >= threshold, "estimated_above").when(upper >= threshold, "near_threshold").otherwise("estimated_below")
     return out.select("address", "estimated_usd", lower.alias("lower_usd"), upper.alias("upper_usd"), "coverage", "total_networks", status.alias("status"))
