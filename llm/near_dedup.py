@@ -2,12 +2,17 @@
 
 A document's set holds its distinct word shingles.  One hash a shingle picks a bucket by its top
 bits; the bucket keeps the least of the rest as a leading-zero count and a few mantissa bits.
-Documents whose registers agree in a whole band are candidates; the share of equal registers,
-corrected for chance, must allow the wanted similarity, and only then are full sets compared.
+Documents whose registers agree in a whole band are candidates; for the bands an empty register borrows
+the value of another one, in an order fixed for each register, so that short texts don't agree in what
+they lack.  The share of equal registers, corrected for chance, must allow the wanted similarity, and
+only then are full sets compared.
 
 Documents with equal sets are one node from the start, so copies never form pairs.  In a bucket of a
-band every node is first compared with one pivot.  Nodes that are then still in different components
-are compared pair by pair, so that no link among candidates is lost.
+band every node is first compared with one pivot.  Where nodes of a bucket are then still in different
+components, no link may be lost, but pairs are not made into rows either: blocks of the bucket's nodes
+are compared by their registers, and what comes out is which node may belong to which other component.
+Blocks of such nodes are then compared with blocks of the component's nodes on full sets, until a link
+is found.
 """
 
 from __future__ import annotations
@@ -83,6 +88,53 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def borrow_order(tries: int = 48) -> np.ndarray:
+    """For each register the registers that it borrows from, in order of trying."""
+    k = np.arange(BUCKETS, dtype=np.uint64)[:, None] * np.uint64(1 << 20) + np.arange(tries, dtype=np.uint64)[None, :]
+    with np.errstate(over="ignore"):
+        return (mix(k + np.uint64(STEP)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+ORDER = borrow_order()
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Registers without empty ones, unless all are empty."""
+    full = regs != EMPTY
+    if full.all() or not full.any():
+        return regs
+    holes = np.flatnonzero(~full)
+    order = ORDER[holes]
+    first = np.argmax(full[order], axis=1)
+    source = order[np.arange(len(holes)), first]
+    # none of the tries hit: the next full register, in a circle
+    filled = np.flatnonzero(full)
+    following = filled[np.searchsorted(filled, holes) % len(filled)]
+    out = regs.copy()
+    out[holes] = regs[np.where(full[source], source, following)]
+    return out
+
+
+def bands_of(nodes: DataFrame) -> DataFrame:
+    """(node, bucket): a row for each band of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            full = np.stack([densified(r) for r in regs])[:, : BANDS * BAND_ROWS].reshape(len(regs), BANDS, BAND_ROWS)
+            h = np.repeat(salt[None, :], len(regs), axis=0)
+            with np.errstate(over="ignore"):
+                for k in range(BAND_ROWS):
+                    h = mix(h * np.uint64(STEP) + full[:, :, k].astype(np.uint64) + np.uint64(1))
+            at = pa.array(np.repeat(np.arange(len(regs)), BANDS))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), pa.array(h.ravel().view(np.int64))], ["node", "bucket"])
+
+    return nodes.select("node", "regs").mapInArrow(run, "node binary, bucket long")
+
+
 def may_reach(a: np.ndarray, b: np.ndarray, similarity: float, sigmas: float = 5.0) -> np.ndarray:
     """For rows of registers: whether the estimated Jaccard similarity allows the wanted one.
 
@@ -141,6 +193,13 @@ def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on full sets."""
     rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
@@ -153,15 +212,89 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     keep.append(False)
                     continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+                keep.append(linked(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def doubtful(members: DataFrame, nodes: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
+    """(comp, node): nodes that registers allow to link to a node of another component in one of their buckets.
+
+    members: (bucket, node, comp, size), size being that of the component.  Of two components the
+    smaller one's nodes are named.  A bucket is dealt to blocks of about `block` nodes, and each pair
+    of its blocks is one group, so a group never grows with its bucket.
+    """
+    n = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = members.join(n, "bucket").join(nodes.select("node", "regs"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = rows.groupBy("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "node", "comp", "size", "regs")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[bytes, bytes]] = set()
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for i, j, group in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("m")):
+                m = group.values
+                node, comp = (m.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp"))
+                size, part = m.field("size").to_numpy(zero_copy_only=False), m.field("own").to_numpy(zero_copy_only=False)
+                regs = np.frombuffer(b"".join(m.field("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+                _, code = np.unique(comp.astype("S16"), return_inverse=True)
+                # a smaller component comes first; ties by its name
+                rank = np.lexsort((code, size))
+                place = np.empty(len(rank), np.int64)
+                place[rank] = np.arange(len(rank))
+                for x in range(len(node)):
+                    later = (code != code[x]) & ((size > size[x]) | ((size == size[x]) & (code > code[x])))
+                    if i != j:
+                        later &= part != part[x]
+                    y = np.flatnonzero(later)
+                    if len(y):
+                        y = y[may_reach(np.broadcast_to(regs[x], (len(y), BUCKETS)), regs[y], similarity)]
+                        for c in {comp[k] for k in y.tolist()}:
+                            if (c, node[x]) not in seen:
+                                out.append((c, node[x]))
+                                if len(seen) < 1_000_000:
+                                    seen.add((c, node[x]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["comp", "node"])
+
+    return groups.select("i", "j", "m").mapInArrow(run, "comp binary, node binary").distinct()
+
+
+def member_links(doubts: DataFrame, placed: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) of the nodes in doubts (comp, node) to a node of the component, on full sets, one each and block.
+
+    placed: (node, comp) of all nodes.  Both sides come in blocks of about `block` sets.
+    """
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        n = rows.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        full = rows.join(n, "comp").join(sets, "node")
+        return full.groupBy("comp", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("k")).agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("k")
+
+    inside = placed.join(doubts.select("comp").distinct(), "comp", "left_semi").select("comp", "node")
+    pairs = blocks(doubts.select("comp", "node"), "x").join(blocks(inside, "y"), "comp").select("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                own = [(r.as_py(), np.frombuffer(s.as_buffer(), np.uint64)) for r, s in zip(x.values.field("node"), x.values.field("shingles"))]
+                other = [(r.as_py(), np.frombuffer(s.as_buffer(), np.uint64)) for r, s in zip(y.values.field("node"), y.values.field("shingles"))]
+                sizes = np.array([len(s) for _, s in other])
+                for a, s in own:
+                    fit = (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s))).nonzero()[0]
+                    hit = next((other[k][0] for k in fit.tolist() if linked(s, other[k][1], percent)), None)
+                    if hit is not None:
+                        found.append((a, hit))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for a row.
 
@@ -175,10 +308,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     nodes = own.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "nodes")
 
-    width = 2 * BAND_ROWS
-    band = F.expr(f"substring(regs, k * {width} + 1, {width})")
-    bands = nodes.select("node", "regs", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).select("node", "k", band.alias("part"))
-    bands = bands.where(F.col("part") != F.lit(b"\xff" * width)).select("node", F.xxhash64("k", "part").alias("bucket"))
+    bands = bands_of(nodes).repartition("bucket")
     shared = bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot != top").select("bucket", "pivot")
     members = materialize(bands.join(shared, "bucket"), "members")
 
@@ -190,18 +320,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sets = materialize(full_sets(docs, asked.join(reps, "node").select(F.col("rep").alias("id")), id_column, text_column, size), "sets")
     links = materialize(verified(star, sets, percent), "links")
 
-    # then members of a bucket that are still in different components, pair by pair
+    # then members of a bucket that are still in different components
     group = components(links, name="star").select(F.col("id").alias("node"), F.col("component_id").alias("comp"))
-    placed = members.join(group, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
-    open_ = materialize(placed.join(mixed, "bucket"), "open")
-    other = open_.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = open_.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and comp != comp_b").select("a", "b").distinct()
-    rest = materialize(likely(rest.join(star, ["a", "b"], "left_anti"), nodes, percent / 100), "rest")
-    more = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-    lacking = more.join(sets.select("node"), "node", "left_anti")
+    placed = nodes.select("node").join(group, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("comp").agg(F.count("*").alias("size"))
+    placed = materialize(placed.join(sizes, "comp"), "placed")
+    spread = members.select("bucket", "node").join(placed, "node")
+    mixed = spread.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
+    doubts = materialize(doubtful(spread.join(mixed, "bucket"), nodes, percent / 100), "doubts")
+    touched = placed.join(doubts.select("comp").distinct(), "comp", "left_semi").select("node").union(doubts.select("node")).distinct()
+    lacking = touched.join(sets.select("node"), "node", "left_anti")
     sets = sets.union(full_sets(docs, lacking.join(reps, "node").select(F.col("rep").alias("id")), id_column, text_column, size))
-    links = links.union(verified(rest, sets, percent))
+    links = links.union(member_links(doubts, placed, sets, percent))
 
     by_id = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("y")), "b")
     # an id whose rows have different texts ties their nodes together
