@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -54,3 +56,27 @@ def range_commits(receipts: DataFrame, commit: Callable[[DataFrame, int], None])
         commit(batch.join(open_, ["chain", "block_number"], "left_anti"), batch_id)
 
     return run
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; a local temporary one only where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame, name: str, keys: list[str], mode: str) -> DataFrame:
+    """Run a stream over all that is there and return its last rows a key: each batch is a folder of its own."""
+    spark = stream.sparkSession
+    folder = scratch(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/rows/b={batch_id}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    rest = [c for c in rows.columns if c not in (*keys, "batch", "b")]
+    if not rest:
+        return rows.select(*keys).distinct()
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("r"))
+    return last.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
