@@ -11,8 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whitespace that separates words everywhere in this folder: space and U+0009..U+000D.
-WORD_SPACE = " \t\n\x0b\x0c\r"
+#: White space that separates words in this folder: space and U+0009 to U+000D.
 WORD_SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
