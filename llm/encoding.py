@@ -65,7 +65,7 @@ class Words(dict):
 class TextEncoder:
     """ids of texts, equal to encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

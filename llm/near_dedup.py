@@ -40,7 +40,7 @@ class WordHashes(dict):
 
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(w)
-        if len(self) < 1_000_000:
+        if len(self) < 200_000:
             self[w] = h
         return h
 
