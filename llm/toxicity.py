@@ -40,7 +40,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 0.02, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, l2: float = 0.0003, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds by gradient steps (Adam) on the likelihood of the grades; x: feature ids of each row."""
     rows = np.repeat(np.arange(len(x)), [len(r) for r in x])
     cols = np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)
@@ -66,7 +66,7 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, n_features: int, n_grad
         np.add.at(dt, grades[grades > 0] - 1, (weight * slope[i, grades] / p)[grades > 0])
         np.add.at(dt, grades[grades < n_grades - 1], -(weight * slope[i, grades + 1] / p)[grades < n_grades - 1])
         grad = np.empty_like(params)
-        grad[:n_features] = np.bincount(cols, dz[rows], minlength=n_features) + l2 * w / max(1, len(x)) * 10
+        grad[:n_features] = np.bincount(cols, dz[rows], minlength=n_features) + l2 * w
         grad[n_features] = dt.sum()
         grad[n_features + 1 :] = np.cumsum(dt[::-1])[::-1][1:] * gaps
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -74,12 +74,22 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, n_features: int, n_grad
     return params[:n_features], params[n_features] + np.r_[0, np.cumsum(np.exp(np.clip(params[n_features + 1 :], -5, 5)))]
 
 
+def surprise(a: int, n: int, b: int, m: int) -> float:
+    """Likelihood ratio statistic of a of n against b of m, negative if a's share is the smaller one."""
+    table = np.array([[a, n - a], [b, m - b]], float)
+    expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0, keepdims=True) / table.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(table > 0, table * np.log(table / expected), 0.0)
+    return float(2 * terms.sum() * (1 if a * m >= b * n else -1))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = 6000, max_features: int = 1000) -> OrdinalModel:
     """Fit on at most max_rows labelled documents, half of them toxic where there are as many.
 
     The sample is the documents of the smallest hashes of their id, so it does not depend on how rows
     lie; its words, not its texts, come to the driver.  Of the words in five sampled documents or more
-    the max_features with the clearest log odds between toxic and clean documents are features.
+    those are features whose frequencies in toxic and clean documents differ by a likelihood ratio
+    statistic over 15, the max_features clearest ones.
     Without toxic labels no document gets a severity.
     """
     known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("label_id")).agg(F.max(label_column).alias("label"))
@@ -103,14 +113,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return OrdinalModel({}, np.array([20.0, 21.0]))
     seen = [Counter(w for ws in sample.words[toxic == flag] for w in ws) for flag in (False, True)]
     total = [max(1, int((toxic == flag).sum())) for flag in (False, True)]
-    odds = {}
+    gain = {}
     for w in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][w] + 0.5, seen[0][w] + 0.5
-        if a + b >= 6:
-            odds[w] = (np.log(a / (total[1] + 1)) - np.log(b / (total[0] + 1))) / np.sqrt(1 / a + 1 / b)
-    chosen = sorted(odds, key=lambda w: (-abs(odds[w]), w))[:max_features]
+        if seen[0][w] + seen[1][w] >= 5:
+            gain[w] = surprise(seen[1][w], total[1], seen[0][w], total[0])
+    chosen = sorted((w for w in gain if abs(gain[w]) > 15), key=lambda w: (-abs(gain[w]), w))[:max_features]
     place = {w: k for k, w in enumerate(chosen)}
-    markers = {w for w in chosen if odds[w] > 4}
+    # words that mark toxic documents: at least ten times as frequent in them
+    markers = {w for w in chosen if gain[w] > 0 and seen[1][w] / total[1] > 10 * seen[0][w] / total[0]}
     x = [np.array([place[w] for w in ws if w in place], np.int64) for ws in sample.words]
     marked = np.array([sum(w in markers for w in ws) for ws in sample.words])
     grades = np.where(toxic, 1 + (marked > np.median(marked[toxic])), 0)
