@@ -323,3 +323,37 @@ def test_pipeline(spark):
         assert after <= before
         docs, before = out, after
     assert before
+
+
+def crowded_lines(seed: int, words: int, families: int, edits: tuple[int, int]) -> list[str]:
+    """400 lines of one template: families of near twins, each with its own words in the template's places."""
+    r = random.Random(seed)
+    base = [f"{r.choice(WORDS)}{r.randrange(1000)}" for _ in range(words)]
+    out = []
+    for f in range(families):
+        own = list(base)
+        for _ in range(r.randint(*edits)):
+            own[r.randrange(12, words)] = f"fam{f}x{r.randrange(10**6)}"
+        for _ in range(400 // families):
+            line = list(own)
+            if families < 400:
+                line[r.randrange(12, words)] = f"w{r.randrange(10**6)}"
+            out.append(" ".join(line))
+    return out
+
+
+@pytest.mark.parametrize("words, families, edits", [(90, 100, (12, 20)), (60, 400, (3, 8))])
+def test_crowded_band(spark, words, families, edits):
+    """Lines that all share bands, where two pivots alone lose links."""
+    texts = crowded_lines(9, words, families, edits)
+    got = {r.doc_id: r.component for r in line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    comp = brute_components({k: {x[j : j + 5] for j in range(len(x) - 4)} for k, x in enumerate(texts)}, 80)
+    sizes = collections.Counter(comp.values())
+    assert 1 < len(sizes) < 400
+    mine, want = collections.defaultdict(set), collections.defaultdict(set)
+    for k, c in comp.items():
+        if sizes[c] > 1:
+            want[c].add(k)
+    for k, c in got.items():
+        mine[c].add(k)
+    assert {frozenset(x) for x in mine.values()} == {frozenset(x) for x in want.values()}
