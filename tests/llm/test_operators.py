@@ -357,3 +357,21 @@ def test_crowded_band(spark, words, families, edits):
     for k, c in got.items():
         mine[c].add(k)
     assert {frozenset(x) for x in mine.values()} == {frozenset(x) for x in want.values()}
+
+
+def test_pipeline_lines(spark):
+    """A mostly duplicated document keeps the first copy of a line; only documents without a word left go."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    line = lambda: " ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(9))
+    common, once, own = [line() for _ in range(14)], line(), line()
+    texts = {1: common, 2: [*common, once], 3: [once, own], 4: common, 5: [""], 6: [" "], 7: ["a few words"], 8: None}
+    docs = spark.createDataFrame([(k, None if t is None else "\n".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    seen, want = set(), {}
+    for k, t in texts.items():
+        left = None if t is None else [x for x in t if len(x) < 40 or x not in seen]
+        seen.update(t or [])
+        if left == t or any(x.strip() for x in left):
+            want[k] = None if t is None else "\n".join(left)
+    assert {x.doc_id: x.text for x in corpus_pipeline.lines(spark, docs, SF).collect()} == want
