@@ -273,11 +273,11 @@ def test_registers():
 def test_lines(spark, docs, empty):
     got = {(r.doc_id, k) for r in line_dedup.removed_lines(docs).collect() for k in r.removed}
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
-    lines = sorted({(k, i, norm(x)) for k, t, *_ in ROWS if k is not None and t is not None for i, x in enumerate(t.split("\n")) if len(x) >= 40 and len(norm(x)) >= 40})
+    lines = sorted({(k, i, norm(x)) for k, t, *_ in ROWS if k is not None and t is not None for i, x in enumerate(t.split("\n")) if norm(x)})
     first = {}
     for k, i, x in lines:
         first.setdefault(x, (k, i))
-    sets = {at: {x[j : j + 5] for j in range(len(x) - 4)} for x, at in first.items()}
+    sets = {at: {x[j : j + 5] for j in range(max(1, len(x) - 4))} for x, at in first.items()}
     comp = brute_components(sets, 80)
     assert got == {(k, i) for k, i, x in lines if comp[first[x]] != (k, i)}
     out = line_dedup.without_duplicates(docs)
@@ -370,8 +370,50 @@ def test_pipeline_lines(spark):
     docs = spark.createDataFrame([(k, None if t is None else "\n".join(t)) for k, t in texts.items()], "doc_id long, text string")
     seen, want = set(), {}
     for k, t in texts.items():
-        left = None if t is None else [x for x in t if len(x) < 40 or x not in seen]
+        left = None if t is None else [x for x in t if not x.strip() or x not in seen]
         seen.update(t or [])
         if left == t or any(x.strip() for x in left):
             want[k] = None if t is None else "\n".join(left)
     assert {x.doc_id: x.text for x in corpus_pipeline.lines(spark, docs, SF).collect()} == want
+
+
+KINDS = {
+    "prose": lambda r: " ".join(r.choice(WORDS) + r.choice(["", "s", "ed", "ing"]) + str(r.randrange(50)) for _ in range(r.randint(12, 50))),
+    "unspaced": lambda r: "".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(r.randint(40, 120))),
+    "address": lambda r: "https://" + "/".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(r.randint(3, 12))) for _ in range(r.randint(6, 14))),
+    "short": lambda r: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(r.randint(4, 9))),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(KINDS))
+def test_line_recall(spark, kind):
+    """Of pairs of lines at 80 % or more, edited at random places, nearly all end in one component."""
+    r = random.Random(kind)
+    rows, due = [], 0
+    while due < 300:
+        line = KINDS[kind](r)
+        x, grams = line, lambda t: {t[j : j + 5] for j in range(max(1, len(t) - 4))}
+        for _ in range(20):
+            at = r.randrange(len(x))
+            y = x[:at] + r.choice([KINDS[kind](r)[:2], ""]) + x[at + r.randint(0, 2) :]
+            n = len(grams(line) & grams(y))
+            if 100 * n < 80 * len(grams(line) | grams(y)):
+                break
+            x = y
+        if x != line:
+            rows += [(2 * due, line.lower()), (2 * due + 1, x.lower())]
+            due += 1
+    found = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = collections.defaultdict(set)
+    for x in found:
+        by[x.component].add(x.doc_id // 2)
+    assert all(len(x) == 1 for x in by.values())
+    assert len(by) >= 0.97 * due, len(by) / due
+
+
+def test_long_line(spark):
+    """A line of many pieces, twice with a small edit, and one that ends in separators other than newline."""
+    line = " ".join(f"w{k * 7919 % 100_003}" for k in range(40_000))
+    rows = [(1, line), (2, line[:5000] + "x" + line[5001:]), (3, "a b\u2028c d e f g"), (4, "a b\u2028c d e f g"), (5, "\n\n \n")]
+    got = {x.doc_id: x.removed for x in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [0], 4: [0]}
