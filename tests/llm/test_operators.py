@@ -167,31 +167,40 @@ def test_ordinal_gradient_recovers_order():
     assert list(np.argsort(-w)) == list(range(6)) and t[0] < t[1]
 
 
-def test_lm_scoring(spark, docs, empty):
+def test_lm_scoring(spark, docs, empty, monkeypatch):
     trusted = spark.createDataFrame([(31,), (16,), (None,)], "doc_id long")
-    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.score_documents(docs, trusted, vocab_size=20).collect()}
+    clashing = docs.withColumn("target", docs["kept"]).withColumn("n_tokens", docs["id"])
+    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.score_documents(clashing, trusted, class_words=20).collect()}
     own = [(k, lm_scoring.words_of(t)) for k, t, *_ in ROWS]
     n = collections.Counter(w for _, ws in own for w in ws)
-    vocab = {w: k + 2 for k, w in enumerate(sorted(n, key=lambda w: (-n[w], w.encode()))[:20])}
+    vocab = {w: j + 2 for j, w in enumerate(sorted(sorted(n, key=lambda w: (-n[w], lm_scoring.HASHES[w]))[:20], key=lm_scoring.HASHES.__getitem__))}
     size = len(vocab) + 2
-    counts = np.zeros((2, size, size))
-    seqs = [(k, [0] + [vocab.get(w, 1) for w in ws]) for k, ws in own]
-    for k, s in seqs:
+    counts, other = np.zeros((2, size, size)), [collections.Counter(), collections.Counter()]
+    seqs = [(k, [0] + [vocab.get(w, 1) for w in ws], ws) for k, ws in own]
+    for k, s, ws in seqs:
         for a, b in zip(s, s[1:]):
             counts[1, a, b] += 1
             counts[0, a, b] += k in (31, 16)
+        other[1].update(w for w in ws if w not in vocab)
+        if k in (31, 16):
+            other[0].update(w for w in ws if w not in vocab)
     loss = []
     for c in counts:
         uni = (c.sum(axis=0) + 1) / (c.sum(axis=0) + 1).sum()
         loss.append(-np.log((c + 8 * uni) / (c.sum(axis=1, keepdims=True) + 8)))
-    for k, s in seqs:
-        r = got[(k, len(s) - 1)]
-        if len(s) == 1:
+    for k, s, ws in seqs:
+        r = got[(k, len(ws))]
+        if not ws:
             assert r.ce_difference is None
-        else:
-            t, b = (np.mean([m[x, y] for x, y in zip(s, s[1:])]) for m in loss)
-            assert abs(r.target_loss - t) < 1e-4 and abs(r.ce_difference - (t - b)) < 1e-4
+            continue
+        sums = []
+        for m, c in zip(loss, other):
+            inside = [-np.log((c[w] + 1) / (sum(c.values()) + len(other[1]))) for w in ws if w not in vocab]
+            sums.append((sum(m[x, y] for x, y in zip(s, s[1:])) + sum(inside)) / len(ws))
+        assert abs(r.target_loss - sums[0]) < 1e-4 and abs(r.ce_difference - (sums[0] - sums[1])) < 1e-4, k
+    assert len(got) == len({(k, len(ws)) for k, ws in own})
     assert lm_scoring.score_documents(empty, trusted).count() == 0
+    assert lm_scoring.score_documents(docs, trusted.limit(0)).where("target_loss is not null").count() > 0
 
 
 def test_topk(spark):
