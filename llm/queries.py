@@ -41,9 +41,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ratios = quality_rules.fit_ratios(docs, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    ratios = quality_rules.fit_ratios(docs, labels)
+    threshold = quality_rules.fit_threshold(docs, labels, ratios)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ngram_score", "kept"]
-    return quality_rules.judge(docs.select("doc_id", "text"), ratios).select(names)
+    return quality_rules.judge(docs.select("doc_id", "text"), ratios, threshold=threshold).select(names)
 
 
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
