@@ -157,10 +157,10 @@ def test_quality_counts(spark, docs, empty):
     scores = collections.Counter((r.doc_id, round(r.ngram_score, 6)) for r in rows)
     mine = {(k, j): np.mean([want[place[tuple(g)]] for g in gs]) if gs else 0.0 for (k, j), gs in grams.items()}
     assert scores == collections.Counter((k, round(x, 6)) for (k, _), x in mine.items())
-    cut = quality_rules.fit_threshold(docs, spark.createDataFrame([(16, 1), (31, 1), (46, 0), (None, 0)], "doc_id long, quality int"), ratios)
+    cut = quality_rules.fit_threshold(docs, spark.createDataFrame([(16, 1), (31, 1), (52, 0), (None, 0)], "doc_id long, quality int"), ratios)
     passed = {k: x for (k, j), x in mine.items() if not base(ROWS[j][1])[-1]}
     good = np.percentile([passed[k] for k in (16, 31)], 1)
-    assert abs(cut - min(good, (good + passed[46]) / 2)) < 1e-9
+    assert abs(cut - min(good, (good + passed[52]) / 2)) < 1e-9
     assert quality_rules.fit_threshold(docs, labels.where("quality = 1"), ratios) == -0.15
     clash = quality_rules.judge(docs.withColumn("n_words", docs["id"]).withColumn("kept", docs["id"]), ratios)
     assert collections.Counter((r.doc_id, r.n_words) for r in clash.collect()) == collections.Counter((k, base(t)[0]) for k, t, *_ in ROWS) and clash.columns.count("kept") == 1

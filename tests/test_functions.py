@@ -72,14 +72,31 @@ def test_price_history(spark):
 
 
 def test_merge_is_idempotent(spark):
-    old = spark.createDataFrame([("a", "A", None, "seed"), ("b", None, 6, "seed")], "token string, symbol string, decimals int, source string")
-    new = spark.createDataFrame([("b", "B", None, "log"), ("c", "C", 1, "log")], old.schema)
+    old = spark.createDataFrame([("x", "a", "A", None, "seed"), ("x", "b", None, 6, "seed"), ("y", "b", None, 9, "seed")], "chain string, token string, symbol string, decimals int, source string")
+    new = spark.createDataFrame([("x", "b", "B", None, "log"), ("x", "c", "C", 1, "log")], old.schema)
     once = merge.merge_tokens(old, new)
     twice = merge.merge_tokens(once, new)
-    want = {("a", "A", None, "seed"), ("b", "B", 6, "seed"), ("c", "C", 1, "log")}
+    want = {("x", "a", "A", None, "seed"), ("x", "b", "B", 6, "seed"), ("y", "b", None, 9, "seed"), ("x", "c", "C", 1, "log")}
     assert {tuple(r) for r in once.collect()} == want == {tuple(r) for r in twice.collect()}
 
 
+def test_unknown_creation_never_wins(spark):
+    schema = "chain string, address string, created_block long, created_tx string, creator string, canonical int"
+    old = spark.createDataFrame([("c", "a", 5, "t5", "x", 1), ("c", "b", None, None, None, 0)], schema)
+    new = spark.createDataFrame([("c", "a", None, "t0", "y", 1), ("c", "b", 7, "t7", "z", 1)], schema)
+    want = {("a", 5, "t5", "x", 1), ("b", 7, "t7", "z", 1)}
+    for f in (merge.merge_contracts, merge.fill_contracts):
+        assert {(r.address, r.created_block, r.created_tx, r.creator, r.canonical) for r in f(old, new).collect()} == want
+    assert merge.merge_contracts(new, old).where("address = 'a'").first().created_block == 5
+
+
+def test_discoveries_become_canonical_again(spark):
+    schema = "chain string, address string, source string, observed_block long, canonical int"
+    old = spark.createDataFrame([("c", "a", "s", 3, 0), ("c", "b", "s", 9, 1)], schema)
+    new = spark.createDataFrame([("c", "a", "s", 8, 1), ("c", "b", "s", 4, 1)], schema)
+    assert {(r.address, r.observed_block, r.canonical) for r in merge.merge_discoveries(old, new).collect()} == {("a", 8, 1), ("b", 4, 1)}
+
+
 def test_policies_need_reasons(spark):
     rows = [("include", None), ("include_verified", " "), ("include_verified", "seen"), ("other", "x"), (None, None)]
     good, bad = merge.validated_policies(spark.createDataFrame(rows, "policy string, reason string"))

@@ -81,9 +81,12 @@ def token_links(logs: DataFrame, holders: DataFrame, start: int | None = None, e
 
 
 def applicable_tokens(contracts: DataFrame, tokens: DataFrame, links: DataFrame) -> DataFrame:
-    """Tokens to read for a contract: seeds on its chain, or linked ones.  A union, not a disjunctive join."""
+    """Tokens to read for a contract: seeds on its chain, or linked ones.  A union, not a disjunctive join.
+
+    How seeds reach the contracts is left to Spark, which goes by their measured size.
+    """
     seeds = tokens.where("source = 'seed'").select("chain", "token")
-    by_seed = contracts.select("chain", F.col("address").alias("contract")).join(F.broadcast(seeds), "chain")  # seeds: a small dimension
+    by_seed = contracts.select("chain", F.col("address").alias("contract")).join(seeds, "chain")
     by_link = links.select("chain", "contract", "token").join(contracts.select("chain", F.col("address").alias("contract")), ["chain", "contract"], "left_semi")
     return by_seed.unionByName(by_link).distinct()
 
@@ -99,14 +102,23 @@ def missing_work(applicable: DataFrame, observed: DataFrame) -> DataFrame:
     return applicable.join(observed.select("chain", "contract", "token"), ["chain", "contract", "token"], "left_anti")
 
 
-def range_gate(blocks: DataFrame, tx: DataFrame, receipts: DataFrame, start: int, end: int) -> DataFrame:
-    """Per chain: whether every block of [start, end] is there and every deployment has its receipt."""
-    span = end - start + 1
-    inside = F.col("block_number").between(start, end)
-    have = blocks.where(F.col("number").between(start, end)).groupBy("chain").agg(F.countDistinct("number").alias("blocks"))
-    lacking = missing_receipts(tx.where(inside), receipts).groupBy("chain").agg(F.count("*").alias("missing_receipts"))
-    out = have.join(lacking, "chain", "left").withColumn("missing_receipts", F.coalesce("missing_receipts", F.lit(0)))
-    return out.withColumn("missing_blocks", F.lit(span) - F.col("blocks")).withColumn("complete", (F.col("missing_blocks") == 0) & (F.col("missing_receipts") == 0))
+def range_gate(ranges: DataFrame, blocks: DataFrame, tx: DataFrame, receipts: DataFrame, contracts: DataFrame, code: DataFrame) -> DataFrame:
+    """Per wanted range (chain, start, end): whether each block is there, each deployment has its receipt and each called address a known code.
+
+    A range without any block has a row too.  Ranges are taken apart in block numbers, so all joins are on equality.
+    """
+    keys = ["chain", "start", "end"]
+    wanted = ranges.select(*keys, F.explode(F.sequence("start", "end")).alias("number"))
+    have = wanted.join(blocks.select("chain", "number").distinct(), ["chain", "number"]).groupBy(*keys).agg(F.count("*").alias("blocks"))
+    inside = tx.join(wanted.withColumnRenamed("number", "block_number"), ["chain", "block_number"])
+    receipts_lacking = missing_receipts(inside, receipts).groupBy(*keys).agg(F.count("*").alias("missing_receipts"))
+    called = inside.where("to_addr is not null and to_addr not in ('', '0x')").select(*keys, F.col("to_addr").alias("address")).distinct()
+    code_lacking = unknown_targets(called, contracts, code).groupBy(*keys).agg(F.count("*").alias("missing_code"))
+    out = ranges.select(*keys)
+    for part in (have, receipts_lacking, code_lacking):
+        out = out.join(part, keys, "left")
+    out = out.fillna(0, ["blocks", "missing_receipts", "missing_code"]).withColumn("missing_blocks", F.col("end") - F.col("start") + 1 - F.col("blocks"))
+    return out.withColumn("complete", (F.col("missing_blocks") == 0) & (F.col("missing_receipts") == 0) & (F.col("missing_code") == 0))
 
 
 def code_status(code: DataFrame) -> DataFrame:

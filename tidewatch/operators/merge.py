@@ -54,14 +54,29 @@ def earliest(target: DataFrame, delta: DataFrame, keys: list[str], by: list[str]
 
 
 def merge_contracts(target: DataFrame, delta: DataFrame) -> DataFrame:
-    """Contracts keep the earliest creation with its transaction and creator, and are canonical again."""
-    rows = earliest(target.drop("canonical"), delta.drop("canonical"), ["chain", "address"], ["created_block", "created_tx"])
-    return rows.withColumn("canonical", F.lit(1))
+    """Contracts keep the earliest creation with its transaction and creator, and are canonical again.
+
+    A creation whose block is not known comes last: it never takes the place of a known one.
+    """
+    known = lambda df: df.drop("canonical").withColumn("__unknown", F.col("created_block").isNull())
+    rows = earliest(known(target), known(delta), ["chain", "address"], ["__unknown", "created_block", "created_tx"])
+    return rows.drop("__unknown").withColumn("canonical", F.lit(1))
+
+
+def fill_contracts(target: DataFrame, delta: DataFrame) -> DataFrame:
+    """Contracts of a pass over a closed range: the first known creation stays, and all are canonical again."""
+    return merge(target, delta, ["chain", "address"], {c: "coalesce_old" for c in ("created_block", "created_tx", "creator")}).withColumn("canonical", F.lit(1))
+
+
+def merge_discoveries(target: DataFrame, delta: DataFrame) -> DataFrame:
+    """Discoveries (chain, address, source, observed_block, canonical) keep the earliest canonical block; canonical rows replace others."""
+    ranked = target.unionByName(delta.withColumn("canonical", F.lit(1)).select(*target.columns)).withColumn("__rank", 1 - F.col("canonical"))
+    return latest(ranked, ["chain", "address", "source"], ["__rank", "observed_block"], newest=False).drop("__rank")
 
 
 def merge_tokens(target: DataFrame, delta: DataFrame) -> DataFrame:
     """New symbols and decimals win where they are known; the first source stays."""
-    return merge(target, delta, ["token"], {"symbol": "coalesce_new", "decimals": "coalesce_new", "source": "first"})
+    return merge(target, delta, ["chain", "token"], {"symbol": "coalesce_new", "decimals": "coalesce_new", "source": "first"})
 
 
 def merge_links(target: DataFrame, delta: DataFrame) -> DataFrame:

@@ -82,3 +82,41 @@ def endpoint_health(endpoints: DataFrame, as_of: str) -> DataFrame:
     until = F.greatest(F.unix_seconds(F.col("cooldown_until").cast("timestamp")), F.unix_seconds(F.col("circuit_until").cast("timestamp")))
     left = F.greatest(until - now, F.lit(0))
     return endpoints.withColumn("remaining_seconds", F.when(F.col("permanent_error").isNull(), left)).where(F.col("permanent_error").isNotNull() | (left > 0))
+
+
+def fleet_totals(gaps: DataFrame, queues: DataFrame) -> DataFrame:
+    """One row over all chains: open gaps, blocks left in them, alerts, and the sums of the queue classes."""
+    g = gaps.agg(F.coalesce(F.sum("open_gaps"), F.lit(0)).alias("open_gaps"), F.coalesce(F.sum("remaining_blocks"), F.lit(0)).alias("remaining_blocks"), F.coalesce(F.sum("alerts"), F.lit(0)).alias("alerts"))
+    names = ["tasks", "completed", "ready", "retry", "waiting", "high_value", "blocks_left"]
+    q = queues.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+    return g.crossJoin(q)  # one row each
+
+
+def status_report(scans: DataFrame, contracts: DataFrame, gaps: DataFrame, queues: DataFrame) -> DataFrame:
+    """One row: what is found, by status, and what waits."""
+    return monitoring_snapshot(scans, contracts).crossJoin(fleet_totals(gaps, queues))  # one row each
+
+
+def period_report(samples: DataFrame, resources: DataFrame, as_of: str, seconds: int) -> DataFrame:
+    """Per chain: blocks gained, requests and errors in the seconds before as_of, and its last lag, with the machine's load."""
+    until = F.lit(as_of).cast("timestamp")
+    inside = (F.col("ts") > until - F.make_interval(secs=F.lit(seconds))) & (F.col("ts") <= until)
+    s = samples.where(inside).groupBy("chain").agg(
+        (F.max("cursor_block") - F.min("cursor_block")).alias("blocks"), F.sum("rpc_requests").alias("requests"), F.sum("rpc_errors").alias("errors"),
+        F.max_by(F.col("safe_head") - F.col("cursor_block"), F.struct("ts", "id")).alias("lag_blocks"),
+    )
+    machine = resources.where(inside).agg(F.avg("cpu_percent").alias("cpu_percent"), F.max("load1").alias("load1"), F.avg("ram_percent").alias("ram_percent"))
+    return s.crossJoin(machine)  # one row
+
+
+def network_overview(samples: DataFrame, attempts: DataFrame, gaps: DataFrame, queues: DataFrame) -> DataFrame:
+    """network_report with the queue of each chain and the slowest stage of its work by mean time."""
+    stages = attempts.groupBy("chain", "workload").agg(F.avg("ms").alias("mean_ms"))
+    slow = stages.groupBy("chain").agg(F.max_by(F.struct("workload", "mean_ms"), F.struct("mean_ms", "workload")).alias("s")).select("chain", F.col("s.workload").alias("slowest_stage"), F.col("s.mean_ms").alias("slowest_ms"))
+    q = queues.select("chain", "tasks", "completed", "ready", "retry", "waiting")
+    return network_report(samples, attempts, gaps).join(q, "chain", "left").join(slow, "chain", "left")
+
+
+def contracts_per_source(discoveries: DataFrame) -> DataFrame:
+    """Distinct addresses and instances of each source."""
+    return discoveries.groupBy("source").agg(F.countDistinct("address").alias("addresses"), F.count("*").alias("instances"))

@@ -157,3 +157,53 @@ def paged_window(pages: DataFrame, key: list[str]) -> DataFrame:
     """Whether a paged read has a gap: neither the cutoff nor a seen digest was reached; the greatest checkpoint stays."""
     out = pages.groupBy(*key).agg(F.bool_or(F.col("reached_cutoff") | F.col("seen_digest")).alias("__ok"), F.max("checkpoint").alias("checkpoint"))
     return out.select(*key, (~F.col("__ok")).alias("coverage_gap"), "checkpoint")
+
+
+def sync_projects(stored: DataFrame, snapshot: DataFrame, as_of: str) -> DataFrame:
+    """Stored projects (project_key, indexed_tvl, packages, status, valuation, complete, seen_at) after a provider's snapshot.
+
+    Projects in it are replaced, those that it lacks stay but are no longer complete.  An empty
+    snapshot, as of a provider that is out, changes nothing.
+    """
+    new = snapshot.select("project_key", "indexed_tvl", "packages", "status", "valuation", F.lit(True).alias("complete"), F.lit(as_of).cast("timestamp").alias("seen_at"))
+    gone = stored.join(new.select("project_key"), "project_key", "left_anti")
+    any_row = new.agg((F.count("*") > 0).alias("__any"))
+    gone = gone.crossJoin(any_row).withColumn("complete", F.col("complete") & ~F.col("__any")).drop("__any")  # one row
+    return gone.select(*new.columns).unionByName(new)
+
+
+def package_projects(stored: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(package_id, project_key): the mapping of the projects in the snapshot replaces theirs of before; others keep theirs."""
+    new = snapshot.select(F.explode("packages").alias("package_id"), "project_key").distinct()
+    return stored.join(snapshot.select("project_key"), "project_key", "left_anti").select("package_id", "project_key").unionByName(new)
+
+
+def quarantine_projects(stored: DataFrame, policies: DataFrame, anomaly_usd: float) -> DataFrame:
+    """Stored projects whose value is out of bounds become incomplete, unless a policy vouches for them; doing it again changes nothing."""
+    rows = stored.join(policies, "project_key", "left")
+    out = F.coalesce(F.col("indexed_tvl") >= anomaly_usd, F.lit(False)) & ~F.col("policy").eqNullSafe(F.lit("include_verified"))
+    return rows.withColumn("status", F.when(out, "incomplete").otherwise(F.col("status"))).withColumn("valuation", F.when(out, "anomalous_balance").otherwise(F.col("valuation"))).drop("policy")
+
+
+def pool_summary(pools: DataFrame) -> DataFrame:
+    return pools.agg(F.count("*").alias("pools"), F.count_if(F.col("object_exists") == 1).alias("verified"), F.count("project_key").alias("with_project"), F.coalesce(F.sum("liquidity_usd"), F.lit(0.0)).alias("liquidity_usd"))
+
+
+def status_summary(projects: DataFrame, as_of: str, since: str, min_usd: float) -> DataFrame:
+    """Projects by the status they have now, old data counting as incomplete, and how many are new since a time."""
+    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("seen_at")
+    now = S.current_project_status(F.col("status"), F.col("complete"), F.size("packages"), age, F.col("indexed_tvl"), min_usd)
+    rows = projects.withColumn("now", now)
+    return rows.groupBy("now").agg(F.count("*").alias("projects"), F.count_if(F.col("first_seen") >= F.lit(since).cast("timestamp")).alias("new"), F.coalesce(F.sum("indexed_tvl"), F.lit(0.0)).alias("indexed_tvl"))
+
+
+def project_report(projects: DataFrame, pools: DataFrame) -> DataFrame:
+    """Projects with their pools' evidence and their packages as text, the most valuable first."""
+    rows = project_pools(projects, pools).withColumn("packages_text", F.array_join("packages", ", "))
+    return rows.orderBy(F.desc_nulls_last("indexed_tvl"), "project_key")
+
+
+def package_report(mapping: DataFrame, scans: DataFrame) -> DataFrame:
+    """Packages with their project and their latest scan."""
+    last = scans.groupBy("package_id").agg(F.max_by(F.struct("scanned_at", "total_usd", "status"), "scanned_at").alias("s"))
+    return mapping.join(last, "package_id", "left").select("package_id", "project_key", "s.scanned_at", "s.total_usd", "s.status")

@@ -33,13 +33,14 @@ def price_history(observations: DataFrame, prices: DataFrame, ttl_seconds: int =
 
 
 def value_tokens(balances: DataFrame, tokens: DataFrame, prices: DataFrame, policies: DataFrame, anomaly_usd: float) -> DataFrame:
-    """A row a positive or failed balance with amount, price, usd_value, valuation and policy.
+    """A row a positive or failed token balance with amount, price, usd_value, valuation and policy.
 
-    A null raw_amount is a failed read: its value is unknown, never 0.  prices has one price a token,
-    policies one policy a chain and address.
+    A null raw_amount is a failed read: its value is unknown, never 0.  An address of a token means
+    another token on each chain, so tokens and prices have one row a chain and token, and policies one
+    a chain, address and asset.
     """
     rows = balances.where(F.col("raw_amount").isNull() | S.raw_positive(F.col("raw_amount")))
-    rows = rows.join(tokens.select("token", "decimals"), "token", "left").join(prices, "token", "left").join(policies, ["chain", "address"], "left")
+    rows = rows.join(tokens.select("chain", "token", "decimals"), ["chain", "token"], "left").join(prices.select("chain", "token", "price"), ["chain", "token"], "left").join(by_asset(policies), ["chain", "address", "token"], "left")
     usd = S.scale_amount(F.col("raw_amount"), F.col("decimals")) * F.col("price")
     return (
         rows.withColumn("amount", S.scale_amount(F.col("raw_amount"), F.col("decimals")))
@@ -50,11 +51,29 @@ def value_tokens(balances: DataFrame, tokens: DataFrame, prices: DataFrame, poli
     )
 
 
+def by_asset(policies: DataFrame) -> DataFrame:
+    """Policies under the name of the asset that they are for: a token's address, or native."""
+    return policies.select("chain", "address", F.col("asset").alias("token"), "policy")
+
+
+def value_native(balances: DataFrame, prices: DataFrame, policies: DataFrame, anomaly_usd: float, retry: bool = False) -> DataFrame:
+    """Native balances (chain, address, token = native, raw_amount in units of 10**-18), valued like tokens but by their own policy rule."""
+    rows = balances.where(F.col("raw_amount").isNull() | S.raw_positive(F.col("raw_amount")))
+    rows = rows.join(prices.select("chain", "token", "price"), ["chain", "token"], "left").join(by_asset(policies), ["chain", "address", "token"], "left")
+    amount = S.scale_amount(F.col("raw_amount"), F.lit(18))
+    rows = rows.withColumn("amount", amount).withColumn("usd_raw", amount * F.col("price"))
+    return rows.withColumn("valuation", S.native_valuation(F.col("usd_raw"), F.col("policy"), anomaly_usd, retry)).withColumn("usd_value", F.when(S.finite(F.col("usd_raw")), F.col("usd_raw"))).drop("usd_raw")
+
+
 def chain_parts(valued: DataFrame) -> DataFrame:
-    """(address, chain, total_usd, excluded_usd, status) from valued balances."""
+    """(address, chain, native_usd, tokens_usd, total_usd, excluded_usd, status) from valued balances, native ones among them."""
     read = F.col("raw_amount").isNotNull()
     included = F.col("valuation") == "included"
+    counted = lambda c: F.coalesce(F.sum(F.when(read & included & c, F.col("usd_value"))), F.lit(0.0))
+    native = F.col("token") == "native"
     out = valued.groupBy("address", "chain").agg(
+        counted(native).alias("native_usd"),
+        counted(~native).alias("tokens_usd"),
         F.coalesce(F.sum(F.when(read & included, F.col("usd_value"))), F.lit(0.0)).alias("total_usd"),
         F.coalesce(F.sum(F.when(read & ~included, F.col("usd_value"))), F.lit(0.0)).alias("excluded_usd"),
         F.max((~read).cast("int")).alias("failed"),
@@ -64,15 +83,24 @@ def chain_parts(valued: DataFrame) -> DataFrame:
     return out.withColumn("status", S.chain_status(F.col("failed") == 1, F.col("anomaly") == 1, F.col("unpriced") == 1)).drop("failed", "anomaly", "unpriced")
 
 
-def classify_addresses(parts: DataFrame, code: DataFrame, min_usd: float) -> DataFrame:
-    """One row an address: total, excluded, coverage (parts whose code is known), parts, status."""
-    known = parts.join(code.select("chain", "address", "has_code"), ["chain", "address"], "left")
+def history_coverage(tasks: DataFrame) -> DataFrame:
+    """(chain, address, history): how much of an address's token history on a chain was read; without a task all of it counts as read."""
+    return tasks.select("chain", "address", S.coverage_state(F.col("history_completed_at"), F.col("history_limited"), F.col("overdue")).alias("history"))
+
+
+def classify_addresses(parts: DataFrame, code: DataFrame, history: DataFrame, min_usd: float) -> DataFrame:
+    """One row an address: total, excluded, coverage (parts whose code is known), parts, status.
+
+    An address is below only if each part is complete and its token history (chain, address, history)
+    verified: what was never read proves nothing.
+    """
+    known = parts.join(code.select("chain", "address", "has_code"), ["chain", "address"], "left").join(history, ["chain", "address"], "left")
     out = known.groupBy("address").agg(
         F.sum("total_usd").alias("total_usd"),
         F.sum("excluded_usd").alias("excluded_usd"),
         F.count("has_code").alias("coverage"),
         F.count("*").alias("parts"),
-        F.min(F.col("status").isin("complete", "absent").cast("int")).alias("verified"),
+        F.min((F.col("status").isin("complete", "absent") & (F.coalesce("history", F.lit("verified")) == "verified")).cast("int")).alias("verified"),
     )
     return out.withColumn("status", S.address_status(F.col("total_usd"), F.col("parts"), F.col("verified") == 1, min_usd)).drop("verified")
 
@@ -93,7 +121,7 @@ def reclassify(latest: DataFrame, parts: DataFrame, min_usd: float) -> DataFrame
 
 def reprice(state: DataFrame, prices: DataFrame, policies: DataFrame, anomaly_usd: float) -> DataFrame:
     """Stored amounts under new prices; rows without a new price keep their value."""
-    rows = state.join(prices.withColumnRenamed("price", "new_price"), "token", "left").join(policies, ["chain", "address"], "left")
+    rows = state.join(prices.select("chain", "token", F.col("price").alias("new_price")), ["chain", "token"], "left").join(by_asset(policies), ["chain", "address", "token"], "left")
     usd = F.col("amount") * F.col("new_price")
     hit = F.col("new_price").isNotNull() & F.col("amount").isNotNull()
     return (

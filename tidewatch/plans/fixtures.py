@@ -49,25 +49,43 @@ SELECT concat('c', CAST(n.n_regionkey AS STRING)) AS chain, {_addr("S", "s.s_sup
   CASE WHEN s.s_suppkey % 4 = 0 THEN TIMESTAMP '2024-01-30 00:00:00' ELSE TIMESTAMP '2024-01-31 12:00:00' END AS checked_at
 FROM supplier s CROSS JOIN (SELECT DISTINCT n_regionkey FROM nation) n""",
     "fx_tokens": f"""
-SELECT {_addr("P", "p_partkey")} AS token, p_name AS symbol, CASE WHEN p_size % 10 = 0 THEN NULL ELSE 6 END AS decimals,
-  CASE WHEN p_partkey % 20 = 0 THEN 'seed' ELSE 'transfer_log' END AS source
-FROM part""",
+SELECT concat('c', CAST(n.n_regionkey AS STRING)) AS chain, {_addr("P", "p.p_partkey")} AS token, p.p_name AS symbol,
+  CASE WHEN p.p_size % 10 = 0 THEN NULL WHEN n.n_regionkey = 4 THEN 7 ELSE 6 END AS decimals,
+  CASE WHEN p.p_partkey % 20 = 0 THEN 'seed' ELSE 'transfer_log' END AS source
+FROM part p CROSS JOIN (SELECT DISTINCT n_regionkey FROM nation) n""",
     "fx_prices": f"""
-SELECT {_addr("P", "p_partkey")} AS token,
-  CASE WHEN p_size % 7 = 0 THEN 0.0 WHEN p_size = 13 THEN NULL ELSE p_retailprice END AS price,
-  CASE WHEN p_partkey % 9 = 0 THEN TIMESTAMP '2024-01-31 23:50:00' ELSE TIMESTAMP '2024-01-31 23:59:00' END AS ts
-FROM part""",
+SELECT concat('c', CAST(n.n_regionkey AS STRING)) AS chain, {_addr("P", "p.p_partkey")} AS token,
+  CASE WHEN p.p_size % 7 = 0 THEN 0.0 WHEN p.p_size = 13 THEN NULL ELSE p.p_retailprice + n.n_regionkey END AS price,
+  CASE WHEN p.p_partkey % 9 = 0 THEN TIMESTAMP '2024-01-31 23:50:00' ELSE TIMESTAMP '2024-01-31 23:59:00' END AS ts
+FROM part p CROSS JOIN (SELECT DISTINCT n_regionkey FROM nation) n""",
+    "fx_native": f"""
+SELECT concat('c', CAST(n.n_regionkey AS STRING)) AS chain, {_addr("S", "s.s_suppkey")} AS address, 'native' AS token,
+  CASE WHEN (s.s_suppkey + n.n_regionkey) % 17 = 0 THEN NULL WHEN s.s_suppkey % 3 = 0 THEN '0'
+    ELSE concat(CAST(s.s_suppkey * 10 + n.n_regionkey AS STRING), '000000000000000000') END AS raw_amount
+FROM supplier s CROSS JOIN (SELECT DISTINCT n_regionkey FROM nation) n""",
+    "fx_native_prices": """
+SELECT DISTINCT concat('c', CAST(n_regionkey AS STRING)) AS chain, 'native' AS token,
+  CASE WHEN n_regionkey = 3 THEN NULL ELSE 2000.0 + n_regionkey END AS price, TIMESTAMP '2024-01-31 23:59:30' AS ts
+FROM nation""",
+    "fx_history": f"""
+SELECT concat('c', CAST(n.n_regionkey AS STRING)) AS chain, {_addr("S", "s.s_suppkey")} AS address,
+  CASE WHEN s.s_suppkey % 6 = 1 THEN NULL ELSE TIMESTAMP '2024-01-20 00:00:00' END AS history_completed_at,
+  s.s_suppkey % 10 = 3 AND n.n_regionkey = 2 AS history_limited, s.s_suppkey % 14 = 2 AS overdue
+FROM supplier s CROSS JOIN (SELECT DISTINCT n_regionkey FROM nation) n WHERE s.s_suppkey % 2 = 1 OR s.s_suppkey % 14 = 2""",
     "fx_balances": f"""
 SELECT concat('c', CAST(l.l_orderkey % 5 AS STRING)) AS chain, {_addr("S", "l.l_suppkey")} AS address, {_addr("P", "l.l_partkey")} AS token,
   CASE WHEN l.l_suppkey % 4 = 3 AND l.l_partkey % 29 = 0 THEN NULL
     ELSE concat(CAST(CAST(floor((SUM(l.l_quantity) - 1) / CASE WHEN l.l_suppkey % 8 IN (0, 2, 3) THEN 10 ELSE 1 END) AS BIGINT) AS STRING), '000000') END AS raw_amount
-FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_suppkey % 4 IN (2, 3) OR (p.p_size % 10 <> 0 AND p.p_size % 7 <> 0 AND p.p_size <> 13 AND p.p_partkey % 9 <> 0)
+FROM lineitem l
 GROUP BY l.l_orderkey % 5, l.l_suppkey, l.l_partkey""",
     "fx_policies": f"""
 SELECT concat('c', CAST(s_suppkey % 5 AS STRING)) AS chain, {_addr("S", "s_suppkey")} AS address,
-  CASE s_suppkey % 3 WHEN 0 THEN 'exclude_from_total' WHEN 1 THEN 'include_verified' ELSE 'quarantine' END AS policy
-FROM supplier WHERE s_suppkey % 5 = 0""",
+  'native' AS asset, CASE s_suppkey % 3 WHEN 0 THEN 'exclude_from_total' WHEN 1 THEN 'include' ELSE 'quarantine' END AS policy
+FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL
+SELECT DISTINCT concat('c', CAST(l_orderkey % 5 AS STRING)) AS chain, {_addr("S", "l_suppkey")} AS address, {_addr("P", "l_partkey")} AS asset,
+  CASE l_suppkey % 3 WHEN 0 THEN 'exclude_from_total' WHEN 1 THEN 'include_verified' ELSE 'quarantine' END AS policy
+FROM lineitem WHERE l_suppkey % 5 = 0 AND l_partkey % 3 = 0""",
     "fx_scans": """
 SELECT event_id AS id, user_id AS address, CAST(ts AS TIMESTAMP) AS scanned_at, round(value * 10000, 2) AS total_usd,
   CASE event_type WHEN 'error' THEN 'incomplete' ELSE CASE WHEN value >= 50 THEN 'qualifying' ELSE 'below' END END AS status,

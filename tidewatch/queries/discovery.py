@@ -20,15 +20,33 @@ def missing_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.missing_receipts(view(spark, sf_dir, "fx_tx"), view(spark, sf_dir, "fx_receipts")).groupBy("chain").agg(F.count("*").alias("n"), F.min("block_number").alias("first_block"))
 
 
-def range_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = view(spark, sf_dir, "fx_blocks").where("number % 29 <> 0 or chain <> 'c1'")
-    return discovery.range_gate(blocks, view(spark, sf_dir, "fx_tx"), view(spark, sf_dir, "fx_receipts"), 10, 60)
+SPAN = 64
 
 
-RANGE_GATE = sql("fx_blocks", "fx_tx", "fx_receipts", body="""
-, b AS (SELECT chain, count(DISTINCT number) AS blocks FROM fx_blocks WHERE (number % 29 <> 0 OR chain <> 'c1') AND number BETWEEN 10 AND 60 GROUP BY chain),
-m AS (SELECT chain, count(*) AS n FROM fx_tx t WHERE to_addr IS NULL AND block_number BETWEEN 10 AND 60 AND NOT EXISTS (SELECT 1 FROM fx_receipts r WHERE r.tx_hash = t.tx_hash) GROUP BY chain)
-SELECT b.chain, blocks, coalesce(m.n, 0) AS missing_receipts, 51 - blocks AS missing_blocks, 51 - blocks = 0 AND coalesce(m.n, 0) = 0 AS complete FROM b LEFT JOIN m ON m.chain = b.chain""")
+def range_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every range of 64 blocks of each chain, and of a chain that has no blocks yet."""
+    blocks = view(spark, sf_dir, "fx_blocks")
+    ends = blocks.groupBy("chain").agg(F.max("number").alias("top"))
+    ends = ends.unionByName(ends.agg(F.lit("c9").alias("chain"), F.max("top").alias("top")))
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"), F.lit(SPAN).cast("bigint"))).alias("start")
+    ranges = ends.select("chain", start).withColumn("end", F.col("start") + SPAN - 1)
+    code = view(spark, sf_dir, "fx_code").where("has_code is not null")
+    out = discovery.range_gate(ranges, blocks.where("number % 29 <> 0 or chain <> 'c1'"), view(spark, sf_dir, "fx_tx"), view(spark, sf_dir, "fx_receipts"), direct_contracts(spark, sf_dir), code)
+    return out.select("chain", F.col("start").alias("start_block"), F.col("end").alias("end_block"), "blocks", "missing_blocks", "missing_receipts", "missing_code", "complete")
+
+
+RANGE_GATE = sql("fx_blocks", "fx_tx", "fx_receipts", "fx_code", body=f"""
+, e AS (SELECT chain, max(number) AS top FROM fx_blocks GROUP BY chain), e2 AS (SELECT * FROM e UNION ALL SELECT 'c9', max(top) FROM e),
+r AS (SELECT chain, unnest(generate_series(CAST(0 AS BIGINT), top, CAST({SPAN} AS BIGINT))) AS s FROM e2),
+b AS (SELECT chain, {SPAN} * CAST(floor(number / {SPAN}) AS BIGINT) AS s, count(DISTINCT number) AS n FROM fx_blocks WHERE number % 29 <> 0 OR chain <> 'c1' GROUP BY 1, 2),
+t AS (SELECT *, {SPAN} * CAST(floor(block_number / {SPAN}) AS BIGINT) AS s FROM fx_tx),
+m AS (SELECT chain, s, count(*) AS n FROM t WHERE to_addr IS NULL AND NOT EXISTS (SELECT 1 FROM fx_receipts x WHERE x.tx_hash = t.tx_hash) GROUP BY 1, 2),
+k AS (SELECT t.chain, t.s, count(DISTINCT t.to_addr) AS n FROM t WHERE to_addr IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM fx_code c WHERE c.chain = t.chain AND c.address = t.to_addr AND c.has_code IS NOT NULL)
+  AND NOT EXISTS (SELECT 1 FROM fx_tx d JOIN fx_receipts x ON x.tx_hash = d.tx_hash WHERE d.to_addr IS NULL AND d.chain = t.chain AND x.contract_address = t.to_addr) GROUP BY 1, 2),
+g AS (SELECT r.chain, r.s, coalesce(b.n, 0) AS blocks, {SPAN} - coalesce(b.n, 0) AS mb, coalesce(m.n, 0) AS mr, coalesce(k.n, 0) AS mc
+  FROM r LEFT JOIN b ON b.chain = r.chain AND b.s = r.s LEFT JOIN m ON m.chain = r.chain AND m.s = r.s LEFT JOIN k ON k.chain = r.chain AND k.s = r.s)
+SELECT chain, s AS start_block, s + {SPAN} - 1 AS end_block, blocks, mb AS missing_blocks, mr AS missing_receipts, mc AS missing_code, mb = 0 AND mr = 0 AND mc = 0 AS complete FROM g""")
 
 
 def first_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +79,12 @@ def all_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.token_links(view(spark, sf_dir, "fx_logs"), view(spark, sf_dir, "fx_code").where("has_code = 1"), 0, 1000)
+    return discovery.token_links(view(spark, sf_dir, "fx_logs"), view(spark, sf_dir, "fx_code").where("has_code = 1"))
 
 
 LINKS = f"""SELECT l.chain, concat('0x', right(l.topic2, 40)) AS contract, l.address AS token, min(l.block_number) AS first_block, max(l.block_number) AS last_block
 FROM fx_logs l JOIN fx_code c ON c.chain = l.chain AND c.address = concat('0x', right(l.topic2, 40)) AND c.has_code = 1
-WHERE l.topic0 = '{TRANSFER}' AND l.block_number BETWEEN 0 AND 1000 GROUP BY 1, 2, 3"""
+WHERE l.topic0 = '{TRANSFER}' GROUP BY 1, 2, 3"""
 
 
 def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +92,11 @@ def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def applicable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = view(spark, sf_dir, "fx_tokens")
-    seeds = tokens.join(F.broadcast(view(spark, sf_dir, "fx_code").select("chain").distinct())).select("chain", "token", "source")
-    return discovery.applicable_tokens(_contracts(spark, sf_dir), seeds, token_links(spark, sf_dir))
+    return discovery.applicable_tokens(_contracts(spark, sf_dir), view(spark, sf_dir, "fx_tokens"), token_links(spark, sf_dir))
 
 
 APPLICABLE = """c AS (SELECT chain, address AS contract FROM fx_code WHERE has_code = 1),
-a AS (SELECT c.chain, c.contract, t.token FROM c CROSS JOIN fx_tokens t WHERE t.source = 'seed' UNION SELECT links.chain, links.contract, links.token FROM links JOIN c ON c.chain = links.chain AND c.contract = links.contract)"""
+a AS (SELECT c.chain, c.contract, t.token FROM c JOIN fx_tokens t ON t.chain = c.chain WHERE t.source = 'seed' UNION SELECT links.chain, links.contract, links.token FROM links JOIN c ON c.chain = links.chain AND c.contract = links.contract)"""
 
 
 def token_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,14 +137,14 @@ QUALIFY row_number() OVER (PARTITION BY chain, to_addr ORDER BY block_number, tx
 
 
 def merge_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view(spark, sf_dir, "fx_tokens").select("token", "symbol", "decimals", "source")
-    new = t.where("token > '0x8'").select("token", F.lit(None).cast("string").alias("symbol"), F.when(F.col("decimals").isNull(), 18).alias("decimals"), F.lit("provider").alias("source"))
+    t = view(spark, sf_dir, "fx_tokens").select("chain", "token", "symbol", "decimals", "source")
+    new = t.where("token > '0x8' and chain <> 'c2'").select("chain", "token", F.lit(None).cast("string").alias("symbol"), F.when(F.col("decimals").isNull(), 18).alias("decimals"), F.lit("provider").alias("source"))
     return merge.merge_tokens(t.where("token < '0xc'"), new)
 
 
 MERGE_TOKENS = sql("fx_tokens", body="""
-, o AS (SELECT * FROM fx_tokens WHERE token < '0xc'), n AS (SELECT token, CASE WHEN decimals IS NULL THEN 18 END AS decimals FROM fx_tokens WHERE token > '0x8')
-SELECT coalesce(o.token, n.token) AS token, o.symbol, coalesce(n.decimals, o.decimals) AS decimals, CASE WHEN o.token IS NOT NULL THEN o.source ELSE 'provider' END AS source FROM o FULL OUTER JOIN n ON o.token = n.token""")
+, o AS (SELECT * FROM fx_tokens WHERE token < '0xc'), n AS (SELECT chain, token, CASE WHEN decimals IS NULL THEN 18 END AS decimals FROM fx_tokens WHERE token > '0x8' AND chain <> 'c2')
+SELECT coalesce(o.chain, n.chain) AS chain, coalesce(o.token, n.token) AS token, o.symbol, coalesce(n.decimals, o.decimals) AS decimals, CASE WHEN o.token IS NOT NULL THEN o.source ELSE 'provider' END AS source FROM o FULL OUTER JOIN n ON o.chain = n.chain AND o.token = n.token""")
 
 
 def merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:

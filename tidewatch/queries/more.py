@@ -60,15 +60,15 @@ SELECT address, chain, CASE WHEN chain < 'c2' THEN has_code WHEN checked_at >= T
 
 def wake_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain states that new links wake, without capped addresses."""
-    links = discovery.token_links(view(spark, sf_dir, "fx_logs"), view(spark, sf_dir, "fx_code"), 0, 400)
+    links = discovery.token_links(view(spark, sf_dir, "fx_logs"), view(spark, sf_dir, "fx_code"))
     state = view(spark, sf_dir, "fx_code").select("chain", "address", F.lit("2024-03-01 00:00:00").cast("timestamp").alias("next_retry_at"))
     capped = state.where("address < '0x4'").select("address").distinct()
-    out = merge.wake_chains(state, links.where("token < '0x9'"), links.where("first_block > 200"), capped, AS_OF)
+    out = merge.wake_chains(state, links.where("token < '0x9'"), links.where("first_block % 2 = 1"), capped, AS_OF)
     return out.select("chain", "address", (F.col("next_retry_at") == F.lit(AS_OF).cast("timestamp")).alias("woken"))
 
 
-WAKE = sql("fx_logs", "fx_code", body=""", l AS (SELECT l.chain, concat('0x', right(l.topic2, 40)) AS contract, l.address AS token, min(l.block_number) AS f FROM fx_logs l WHERE l.topic0 <> '0x00' AND l.block_number <= 400 GROUP BY 1, 2, 3)
-SELECT chain, address, address >= '0x4' AND EXISTS (SELECT 1 FROM l WHERE l.chain = c.chain AND l.contract = c.address AND l.f > 200 AND l.token >= '0x9') AS woken FROM fx_code c""")
+WAKE = sql("fx_logs", "fx_code", body=""", l AS (SELECT l.chain, concat('0x', right(l.topic2, 40)) AS contract, l.address AS token, min(l.block_number) AS f FROM fx_logs l WHERE l.topic0 <> '0x00' GROUP BY 1, 2, 3)
+SELECT chain, address, address >= '0x4' AND EXISTS (SELECT 1 FROM l WHERE l.chain = c.chain AND l.contract = c.address AND l.f % 2 = 1 AND l.token >= '0x9') AS woken FROM fx_code c""")
 
 
 def pull_forward(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,16 +49,16 @@ WHERE NOT (address % 10 = 0 AND address % 3 <> 0) AND (total_usd >= 400000 OR st
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
     latest = schedule.latest_by_time(scans).select("address", "id", "total_usd")
-    recent = scans.where("coverage > 17")
+    recent = scans  # all of them
     parts = recent.select("address", F.concat(F.lit("c"), F.col("id") % 5).alias("chain"), "status", "total_usd").distinct()
     sources = recent.select("address", F.when(F.col("id") % 2 == 0, "direct_deploy").otherwise("active_call").alias("source"))
     return reports.report_rows(latest, parts, sources).withColumn("parts_usd", F.round("parts_usd", 2))
 
 
 REPORT_ROWS = sql("fx_scans", body=BY_TIME + """,
-p AS (SELECT DISTINCT address, concat('c', CAST(id % 5 AS STRING)) AS chain, status, total_usd FROM fx_scans WHERE coverage > 17),
+p AS (SELECT DISTINCT address, concat('c', CAST(id % 5 AS STRING)) AS chain, status, total_usd FROM fx_scans),
 a AS (SELECT address, string_agg(concat(chain, ':', status), ', ' ORDER BY chain, status) AS networks, round(sum(total_usd), 2) AS parts_usd FROM p GROUP BY address),
-s AS (SELECT address, string_agg(source, ', ' ORDER BY source) AS sources FROM (SELECT DISTINCT address, CASE WHEN id % 2 = 0 THEN 'direct_deploy' ELSE 'active_call' END AS source FROM fx_scans WHERE coverage > 17) GROUP BY address)
+s AS (SELECT address, string_agg(source, ', ' ORDER BY source) AS sources FROM (SELECT DISTINCT address, CASE WHEN id % 2 = 0 THEN 'direct_deploy' ELSE 'active_call' END AS source FROM fx_scans) GROUP BY address)
 SELECT l.address, l.id, l.total_usd, a.networks, a.parts_usd, s.sources FROM l LEFT JOIN a ON a.address = l.address LEFT JOIN s ON s.address = l.address""")
 
 

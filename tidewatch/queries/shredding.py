@@ -84,17 +84,17 @@ def pool_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pools of suppliers' projects: by key, by name, or only by what the pool says."""
     k = F.col("p_partkey")
     pools = _table(spark, sf_dir, "part").select(
-        F.concat(F.lit("0x"), F.hex("p_partkey")).alias("pool_id"), F.when(k % 3 == 0, F.concat(F.lit("P"), (k % 40).cast("string"))).alias("projectId"),
-        F.when(k % 3 == 1, F.concat(F.lit(" Name "), (k % 40).cast("string"))).when(k % 3 == 0, F.lit("Other")).alias("projectName"), "p_retailprice", (k % 2).alias("object_exists"),
+        F.concat(F.lit("0x"), F.hex("p_partkey")).alias("pool_id"), F.when(k % 3 == 0, F.concat(F.lit("P"), (k % 400).cast("string"))).alias("projectId"),
+        F.when(k % 3 == 1, F.concat(F.lit(" Name "), (k % 400).cast("string"))).when(k % 3 == 0, F.lit("Other")).alias("projectName"), "p_retailprice", (k % 2).alias("object_exists"),
     ).withColumnRenamed("p_retailprice", "liquidity_usd")
-    projects = _table(spark, sf_dir, "supplier").where("s_suppkey < 30").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("project_key"), F.concat(F.lit("name "), F.col("s_suppkey").cast("string")).alias("project_name"))
+    projects = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("project_key"), F.concat(F.lit("name "), F.col("s_suppkey").cast("string")).alias("project_name"))
     placed = sui.pool_projects(pools, projects)
     known = sui.project_pools(projects.select("project_key"), placed)
     return known.select("project_key", F.round("verified_pool_tvl", 2).alias("verified_pool_tvl"), "pool_count", "verified_pool_count")
 
 
-POOL_PROJECTS = """WITH p AS (SELECT concat('p', CAST(s_suppkey AS STRING)) AS project_key, s_suppkey FROM supplier WHERE s_suppkey < 30),
-l AS (SELECT p_retailprice AS v, p_partkey % 2 AS e, p_partkey % 40 AS k FROM part WHERE p_partkey % 3 IN (0, 1))
+POOL_PROJECTS = """WITH p AS (SELECT concat('p', CAST(s_suppkey AS STRING)) AS project_key, s_suppkey FROM supplier),
+l AS (SELECT p_retailprice AS v, p_partkey % 2 AS e, p_partkey % 400 AS k FROM part WHERE p_partkey % 3 IN (0, 1))
 SELECT project_key, round(coalesce(sum(CASE WHEN e = 1 THEN v END), 0.0), 2) AS verified_pool_tvl, count(l.k) AS pool_count, count(*) FILTER (WHERE e = 1) AS verified_pool_count FROM p LEFT JOIN l ON l.k = p.s_suppkey GROUP BY project_key"""
 
 

@@ -11,27 +11,51 @@ from tidewatch.plans.fixtures import AS_OF, sql, view
 MIN_USD, ANOMALY_USD = 2_000_000.0, 90_000.0
 
 
-def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = valuation.prices_as_of(view(spark, sf_dir, "fx_prices"), AS_OF)
+KEYS = ("chain", "token")
+
+
+def valued_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = valuation.prices_as_of(view(spark, sf_dir, "fx_prices"), AS_OF, keys=KEYS)
     return valuation.value_tokens(view(spark, sf_dir, "fx_balances"), view(spark, sf_dir, "fx_tokens"), prices, view(spark, sf_dir, "fx_policies"), ANOMALY_USD)
 
 
+def valued_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = valuation.prices_as_of(view(spark, sf_dir, "fx_native_prices"), AS_OF, keys=KEYS)
+    return valuation.value_native(view(spark, sf_dir, "fx_native"), prices, view(spark, sf_dir, "fx_policies"), ANOMALY_USD)
+
+
+def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and native balances together."""
+    return valued_tokens(spark, sf_dir).unionByName(valued_native(spark, sf_dir), allowMissingColumns=True)
+
+
 #: Valued balances and parts of chains, as SQL.
 VALUED = f""",
-price AS (SELECT token, price FROM fx_prices WHERE price > 0 AND ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '2024-01-31 23:58:00'),
+price AS (SELECT chain, token, price FROM fx_prices WHERE price > 0 AND ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '2024-01-31 23:58:00'),
 usd AS (
   SELECT b.chain, b.address, b.token, b.raw_amount, p.policy,
-    CASE WHEN t.decimals BETWEEN 0 AND 36 THEN CAST(b.raw_amount AS DOUBLE) / 1000000.0 END * CAST(price.price AS DOUBLE) AS usd_value
-  FROM fx_balances b LEFT JOIN fx_tokens t ON t.token = b.token LEFT JOIN price ON price.token = b.token
-    LEFT JOIN fx_policies p ON p.chain = b.chain AND p.address = b.address
+    CASE t.decimals WHEN 6 THEN CAST(b.raw_amount AS DOUBLE) / 1000000.0 WHEN 7 THEN CAST(b.raw_amount AS DOUBLE) / 10000000.0 END * CAST(price.price AS DOUBLE) AS usd_value
+  FROM fx_balances b LEFT JOIN fx_tokens t ON t.chain = b.chain AND t.token = b.token LEFT JOIN price ON price.chain = b.chain AND price.token = b.token
+    LEFT JOIN fx_policies p ON p.chain = b.chain AND p.address = b.address AND p.asset = b.token
   WHERE b.raw_amount IS NULL OR CAST(b.raw_amount AS DOUBLE) > 0
 ),
-valued AS (
+valued_tokens AS (
   SELECT *, CASE WHEN policy IN ('exclude_from_total', 'quarantine') THEN policy
     WHEN usd_value >= {ANOMALY_USD} AND coalesce(policy, '') <> 'include_verified' THEN 'anomalous_balance' ELSE 'included' END AS valuation FROM usd
 ),
+native_usd AS (
+  SELECT n.chain, n.address, n.token, n.raw_amount, p.policy, CAST(n.raw_amount AS DOUBLE) / 1000000000000000000.0 * CAST(np.price AS DOUBLE) AS usd_value
+  FROM fx_native n LEFT JOIN fx_native_prices np ON np.chain = n.chain LEFT JOIN fx_policies p ON p.chain = n.chain AND p.address = n.address AND p.asset = 'native'
+  WHERE n.raw_amount IS NULL OR CAST(n.raw_amount AS DOUBLE) > 0
+),
+valued AS (
+  SELECT * FROM valued_tokens UNION ALL
+  SELECT *, CASE WHEN policy IN ('exclude_from_total', 'quarantine') THEN policy
+    WHEN usd_value >= {ANOMALY_USD} AND coalesce(policy, '') NOT IN ('include', 'include_verified') THEN 'anomalous_balance' ELSE 'included' END AS valuation FROM native_usd
+),
 parts AS (
   SELECT address, chain,
+    coalesce(sum(CASE WHEN raw_amount IS NOT NULL AND valuation = 'included' AND token = 'native' THEN usd_value END), 0.0) AS native_usd,
     coalesce(sum(CASE WHEN raw_amount IS NOT NULL AND valuation = 'included' THEN usd_value END), 0.0) AS total_usd,
     coalesce(sum(CASE WHEN raw_amount IS NOT NULL AND valuation <> 'included' THEN usd_value END), 0.0) AS excluded_usd,
     CASE WHEN max(CASE WHEN raw_amount IS NULL THEN 1 ELSE 0 END) = 1 THEN 'partial'
@@ -39,7 +63,7 @@ parts AS (
       WHEN max(CASE WHEN raw_amount IS NOT NULL AND usd_value IS NULL THEN 1 ELSE 0 END) = 1 THEN 'price_missing' ELSE 'complete' END AS status
   FROM valued GROUP BY address, chain
 )"""
-VIEWS = ("fx_balances", "fx_tokens", "fx_prices", "fx_policies", "fx_code")
+VIEWS = ("fx_balances", "fx_tokens", "fx_prices", "fx_policies", "fx_code", "fx_native", "fx_native_prices", "fx_history")
 
 
 def cents(c: str) -> Column:
@@ -47,23 +71,24 @@ def cents(c: str) -> Column:
 
 
 def address_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = valuation.classify_addresses(valuation.chain_parts(valued(spark, sf_dir)), view(spark, sf_dir, "fx_code"), MIN_USD)
+    history = valuation.history_coverage(view(spark, sf_dir, "fx_history"))
+    out = valuation.classify_addresses(valuation.chain_parts(valued(spark, sf_dir)), view(spark, sf_dir, "fx_code"), history, MIN_USD)
     return out.select("address", cents("total_usd"), cents("excluded_usd"), "coverage", "parts", "status")
 
 
 ADDRESS_LIQUIDITY = sql(*VIEWS, body=VALUED + f"""
 SELECT p.address, round(sum(p.total_usd), 2) AS total_usd, round(sum(p.excluded_usd), 2) AS excluded_usd,
   count(c.has_code) AS coverage, count(*) AS parts,
-  CASE WHEN sum(p.total_usd) >= {MIN_USD} THEN 'qualifying' WHEN min(CASE WHEN p.status = 'complete' THEN 1 ELSE 0 END) = 1 THEN 'below' ELSE 'incomplete' END AS status
-FROM parts p LEFT JOIN fx_code c ON c.chain = p.chain AND c.address = p.address GROUP BY p.address""")
+  CASE WHEN sum(p.total_usd) >= {MIN_USD} THEN 'qualifying' WHEN min(CASE WHEN p.status = 'complete' AND (h.address IS NULL OR (NOT h.history_limited AND h.history_completed_at IS NOT NULL AND NOT h.overdue)) THEN 1 ELSE 0 END) = 1 THEN 'below' ELSE 'incomplete' END AS status
+FROM parts p LEFT JOIN fx_code c ON c.chain = p.chain AND c.address = p.address LEFT JOIN fx_history h ON h.chain = p.chain AND h.address = p.address GROUP BY p.address""")
 
 
 def chain_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = valuation.chain_parts(valued(spark, sf_dir))
-    return out.select("address", "chain", cents("total_usd"), cents("excluded_usd"), "status")
+    return out.select("address", "chain", cents("native_usd"), cents("total_usd"), cents("excluded_usd"), "status")
 
 
-CHAIN_PARTS = sql(*VIEWS, body=VALUED + " SELECT address, chain, round(total_usd, 2) AS total_usd, round(excluded_usd, 2) AS excluded_usd, status FROM parts")
+CHAIN_PARTS = sql(*VIEWS, body=VALUED + " SELECT address, chain, round(native_usd, 2) AS native_usd, round(total_usd, 2) AS total_usd, round(excluded_usd, 2) AS excluded_usd, status FROM parts")
 
 
 def chain_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +105,18 @@ FROM grid g LEFT JOIN parts p ON p.address = g.address AND p.chain = g.chain LEF
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values shut out now, merged into a register of those known before, which keep their first time."""
     rows = valued(spark, sf_dir).where("raw_amount is not null").withColumn("detected_at", F.lit(AS_OF).cast("timestamp"))
-    return valuation.anomalies(rows).select("chain", "address", "token", cents("usd_value"))
+    known = view(spark, sf_dir, "fx_balances").where("token < '0x4' and raw_amount is not null").select("chain", "address", "token", F.lit(1.0).alias("usd_value"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("detected_at"))
+    return valuation.anomalies(rows, known).select("chain", "address", "token", cents("usd_value"), F.unix_seconds("detected_at").alias("detected_at"))
 
 
-ANOMALIES = sql(*VIEWS, body=VALUED + " SELECT chain, address, token, round(usd_value, 2) AS usd_value FROM valued WHERE valuation = 'anomalous_balance' AND raw_amount IS NOT NULL")
+ANOMALIES = sql(*VIEWS, body=VALUED + f""",
+a AS (SELECT chain, address, token, usd_value FROM valued WHERE valuation = 'anomalous_balance' AND raw_amount IS NOT NULL),
+k AS (SELECT chain, address, token FROM fx_balances WHERE token < '0x4' AND raw_amount IS NOT NULL)
+SELECT coalesce(a.chain, k.chain) AS chain, coalesce(a.address, k.address) AS address, coalesce(a.token, k.token) AS token, round(coalesce(a.usd_value, 1.0), 2) AS usd_value,
+  CAST(epoch(CASE WHEN k.token IS NOT NULL THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '{AS_OF}' END) AS BIGINT) AS detected_at
+FROM a FULL OUTER JOIN k ON k.chain = a.chain AND k.address = a.address AND k.token = a.token""")
 
 
 def excluded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,14 +136,14 @@ FROM s GROUP BY address, chain""")
 
 def repriced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored amounts under doubled prices of half the tokens; what has no new price keeps its value."""
-    state = valued(spark, sf_dir).where("raw_amount is not null").drop("policy")
-    new = valuation.prices_as_of(view(spark, sf_dir, "fx_prices"), AS_OF).where("token < '0x8'").select("token", (F.col("price") * 2).alias("price"))
+    state = valued_tokens(spark, sf_dir).where("raw_amount is not null").drop("policy")
+    new = valuation.prices_as_of(view(spark, sf_dir, "fx_prices"), AS_OF, keys=KEYS).where("token < '0x8'").select("chain", "token", (F.col("price") * 2).alias("price"))
     out = valuation.reprice(state, new, view(spark, sf_dir, "fx_policies"), ANOMALY_USD)
     return out.groupBy("address", "chain").agg(F.round(F.coalesce(F.sum(F.when(F.col("valuation") == "included", F.col("usd_value"))), F.lit(0.0)), 2).alias("total_usd"), F.count_if(F.col("valuation") == "anomalous_balance").alias("anomalies"))
 
 
 REPRICED = sql(*VIEWS, body=VALUED + f""",
-r AS (SELECT *, CASE WHEN token < '0x8' AND usd_value IS NOT NULL THEN 2 * usd_value ELSE usd_value END AS new_usd FROM valued WHERE raw_amount IS NOT NULL),
+r AS (SELECT *, CASE WHEN token < '0x8' AND usd_value IS NOT NULL THEN 2 * usd_value ELSE usd_value END AS new_usd FROM valued_tokens WHERE raw_amount IS NOT NULL),
 v AS (SELECT *, CASE WHEN policy IN ('exclude_from_total', 'quarantine') THEN policy
   WHEN new_usd >= {ANOMALY_USD} AND coalesce(policy, '') <> 'include_verified' THEN 'anomalous_balance' ELSE 'included' END AS v2 FROM r)
 SELECT address, chain, round(coalesce(sum(CASE WHEN v2 = 'included' THEN new_usd END), 0.0), 2) AS total_usd,
@@ -120,24 +152,24 @@ SELECT address, chain, round(coalesce(sum(CASE WHEN v2 = 'included' THEN new_usd
 
 def token_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old token state with a new read of some chains: c0 read whole, others by token, failures stale."""
-    state = valued(spark, sf_dir).where("raw_amount is not null").select("address", "chain", "token", "raw_amount", "valuation")
+    state = valued_tokens(spark, sf_dir).where("raw_amount is not null").select("address", "chain", "token", "raw_amount", "valuation")
     new = view(spark, sf_dir, "fx_balances").where("token < '0x4'").select("address", "chain", "token", "raw_amount", F.lit("included").alias("valuation"))
     final = new.where("chain = 'c0'").select("address", "chain")
     out = valuation.token_state_merge(state, new, final)
-    return out.groupBy("chain", "valuation").agg(F.count("*").alias("n"))
+    return out.select("address", "chain", "token", "valuation", "raw_amount")
 
 
 TOKEN_STATE_MERGE = sql(*VIEWS, body=VALUED + """,
-o AS (SELECT address, chain, token, valuation FROM valued WHERE raw_amount IS NOT NULL),
+o AS (SELECT address, chain, token, valuation, raw_amount FROM valued_tokens WHERE raw_amount IS NOT NULL),
 n AS (SELECT address, chain, token, raw_amount FROM fx_balances WHERE token < '0x4'),
 f AS (SELECT DISTINCT address, chain FROM n WHERE chain = 'c0'),
 kept AS (
-  SELECT o.chain, CASE WHEN x.token IS NOT NULL THEN 'stale' ELSE o.valuation END AS valuation
+  SELECT o.address, o.chain, o.token, o.raw_amount, CASE WHEN x.token IS NOT NULL THEN 'stale' ELSE o.valuation END AS valuation
   FROM o LEFT JOIN (SELECT DISTINCT address, chain, token FROM n WHERE raw_amount IS NULL) x USING (address, chain, token)
   WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.address = o.address AND f.chain = o.chain)
     AND NOT EXISTS (SELECT 1 FROM n WHERE n.raw_amount IS NOT NULL AND n.address = o.address AND n.chain = o.chain AND n.token = o.token)
-), both_ AS (SELECT chain, valuation FROM kept UNION ALL SELECT chain, 'included' FROM n WHERE raw_amount IS NOT NULL)
-SELECT chain, valuation, count(*) AS n FROM both_ GROUP BY chain, valuation""")
+)
+SELECT address, chain, token, valuation, raw_amount FROM kept UNION ALL SELECT address, chain, token, 'included', raw_amount FROM n WHERE raw_amount IS NOT NULL""")
 
 
 def partial_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
