@@ -81,6 +81,23 @@ def abi_uint256_text(c: Column) -> Column:
     return F.when(c.rlike("^0x[0-9a-fA-F]{64}$"), F.concat(F.lit("0x"), F.when(digits == "", "0").otherwise(digits)))
 
 
+def abi_uint256_decimal(c: Column) -> Column:
+    """Exact decimal text of a valid word, of any size: long arithmetic on limbs of nine digits, eight hex digits at a time."""
+    base, zero = 10**9, F.array(*[F.lit(0).cast("bigint")] * 9)
+    pieces = F.array(*(F.conv(F.substring(c, 3 + 8 * k, 8), 16, 10).cast("bigint") for k in range(8)))
+
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("bigint"))
+
+    def times(limbs: Column, piece: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), piece.alias("carry"))
+        step = lambda s, x: F.struct(F.concat(s["out"], F.array((x * F.lit(1 << 32) + s["carry"]) % base)).alias("out"), div(x * F.lit(1 << 32) + s["carry"], base).alias("carry"))
+        return F.aggregate(limbs, start, step, lambda s: s["out"])
+
+    digits = F.array_join(F.transform(F.reverse(F.aggregate(pieces, zero, times)), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    plain = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    return F.when(c.rlike("^0x[0-9a-fA-F]{64}$"), plain)
+
+
 def abi_string(c: Column) -> Column:
     """Text of a string response: with offset 32 and a length, or zero-padded bytes."""
     valid = c.rlike("^0x([0-9a-fA-F]{2})*$") & (F.length(c) >= 66)
@@ -254,7 +271,7 @@ def sui_retry_delay(quota: Column, failures: Column) -> Column:
 
 def owner_kind(owner: Column) -> Column:
     """Struct (kind, parent) of an owner given as JSON text: shared, object with its parent, or null."""
-    parent = F.coalesce(*(F.get_json_object(owner, f"$.{k}") for k in ("ObjectOwner", "objectOwner", "object_owner")))
+    parent = F.coalesce(*(F.nullif(F.get_json_object(owner, f"$.{k}"), F.lit("")) for k in ("ObjectOwner", "objectOwner", "object_owner")))
     shared = F.get_json_object(owner, "$.Shared").isNotNull()
     kind = F.when(shared, "shared").when(parent.isNotNull(), "object")
     return F.struct(kind.alias("kind"), F.when(kind == "object", sui_id(parent)).alias("parent"))

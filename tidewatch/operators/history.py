@@ -71,5 +71,5 @@ def rewound(tasks: DataFrame, intervals: DataFrame) -> DataFrame:
     cut = intervals.groupBy("chain").agg((F.min("ancestor") + 1).alias("__cut"))
     rows = tasks.join(cut, "chain", "left")
     hit = F.coalesce(F.col("next_block") > F.col("__cut"), F.lit(False))
-    start = F.when(F.col("start_block") > F.col("__cut"), F.col("start_block")).otherwise(F.col("__cut"))
-    return rows.withColumn("next_block", F.when(hit, start).otherwise(F.col("next_block"))).withColumn("completed", F.col("completed") & ~hit).drop("__cut")
+    start = F.greatest("start_block", "__cut")
+    return rows.withColumns({"next_block": F.when(hit, start).otherwise(F.col("next_block")), "completed": F.col("completed") & ~hit}).drop("__cut")

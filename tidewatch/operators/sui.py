@@ -13,9 +13,10 @@ SYSTEM_PACKAGES = ["0x" + "0" * 63 + d for d in "0123"]
 OBJECT_CHANGES = "array<struct<type:string,packageId:string,package:string,objectId:string,objectType:string,owner:string>>"
 
 
-def _path(payload: Column, path: str) -> Column:
-    """A path under result, or at the top where there is no result."""
-    return F.coalesce(F.get_json_object(payload, f"$.result.{path}"), F.get_json_object(payload, f"$.{path}"))
+_COMMANDS = "transaction:struct<data:struct<transaction:struct<transactions:array<map<string,string>>>>>"
+_BODY = f"{_COMMANDS},objectChanges:{OBJECT_CHANGES}"
+#: A raw transaction, with its parts under result or at the top.
+PAYLOAD = f"struct<result:struct<{_BODY}>,{_BODY}>"
 
 
 def _package(c: Column) -> Column:
@@ -25,11 +26,15 @@ def _package(c: Column) -> Column:
 
 def raw_facts(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """raw with calls, published and objects of each raw transaction in JSON; bad parts are left out."""
-    p = F.col(payload)
-    commands = F.from_json(_path(p, "transaction.data.transaction.transactions"), "array<string>")
-    call = lambda c: F.coalesce(F.get_json_object(c, "$.MoveCall.package"), F.get_json_object(c, "$.moveCall.package"))
-    calls = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(commands, F.array()), lambda c: _package(call(c))), lambda x: x.isNotNull())))
-    changes = F.coalesce(F.from_json(_path(p, "objectChanges"), OBJECT_CHANGES), F.expr(f"cast(array() as {OBJECT_CHANGES})"))
+    path = "transaction.data.transaction.transactions"
+    # each payload is parsed once; what follows works on its columns
+    rows = raw.withColumn("__p", F.from_json(payload, PAYLOAD)).select(
+        *raw.columns, F.coalesce(f"__p.result.{path}", f"__p.{path}").alias("__commands"),
+        F.coalesce("__p.result.objectChanges", "__p.objectChanges", F.expr(f"cast(array() as {OBJECT_CHANGES})")).alias("__changes"),
+    )
+    packages = F.transform("__commands", lambda c: _package(F.get_json_object(F.coalesce(F.try_element_at(c, F.lit("MoveCall")), F.try_element_at(c, F.lit("moveCall"))), "$.package")))
+    calls = F.coalesce(F.array_sort(F.array_distinct(F.filter(packages, lambda x: x.isNotNull()))), F.array().cast("array<string>"))
+    changes = F.col("__changes")
     made = F.filter(changes, lambda c: F.lower(c["type"]) == "published")
     published = F.array_sort(F.array_distinct(F.filter(F.transform(made, lambda c: _package(F.coalesce(c["packageId"], c["package"], c["objectId"]))), lambda x: x.isNotNull())))
 
@@ -42,7 +47,7 @@ def raw_facts(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
     others = F.filter(changes, lambda c: (F.lower(F.coalesce(c["type"], F.lit(""))) != "published") & c["objectType"].contains("::"))
     objects = F.filter(F.transform(others, state), lambda o: o["package_id"].isNotNull() & o["object_id"].isNotNull() & o["owner_kind"].isNotNull())
-    return raw.withColumns({"calls": calls, "published": published, "objects": objects})
+    return rows.withColumns({"calls": calls, "published": published, "objects": objects}).drop("__commands", "__changes")
 
 
 def package_metadata(tx: DataFrame) -> DataFrame:
@@ -57,8 +62,9 @@ def lineage(packages: DataFrame) -> DataFrame:
 
 
 def package_list(c: Column) -> Column:
-    """Normalized, sorted, distinct packages of a list of ids; bad ids are left out."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), S.sui_id), lambda x: x.isNotNull())))
+    """Normalized, sorted, distinct packages of a list of ids, or of objects in JSON that hold one; bad ids are left out."""
+    own = lambda x: F.when(F.startswith(F.ltrim(x), F.lit("{")), F.coalesce(*(F.get_json_object(x, f"$.{k}") for k in ("packageAddress", "packageId", "address")))).otherwise(x)
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: S.sui_id(own(x))), lambda x: x.isNotNull())))
 
 
 def result_items(raw: DataFrame, payload: str = "payload") -> DataFrame:
@@ -77,7 +83,7 @@ def result_items(raw: DataFrame, payload: str = "payload") -> DataFrame:
 def project_snapshot(projects: DataFrame, policies: DataFrame, min_usd: float, anomaly_usd: float) -> DataFrame:
     """(project_key, indexed_tvl, packages, status, valuation) of provider rows with alias fields."""
     tvl = F.coalesce("currTvl", "currentTvl", "tvl").try_cast("double")
-    rows = projects.withColumn("project_key", F.lower(F.trim("projectName"))).withColumn("packages", package_list(F.coalesce("packages", "projectPackages"))).join(policies, "project_key", "left")
+    rows = projects.withColumn("project_key", F.lower(F.trim("projectName"))).withColumn("packages", package_list(F.when(F.size("packages") > 0, F.col("packages")).otherwise(F.col("projectPackages")))).join(policies, "project_key", "left")
     judged = S.project_status(tvl, F.col("packages"), F.col("policy"), min_usd, anomaly_usd)
     return rows.select("project_key", F.when(S.finite(tvl), tvl).alias("indexed_tvl"), "packages", judged["status"].alias("status"), judged["valuation"].alias("valuation"))
 
@@ -85,7 +91,8 @@ def project_snapshot(projects: DataFrame, policies: DataFrame, min_usd: float, a
 def pool_projects(pools: DataFrame, projects: DataFrame) -> DataFrame:
     """The project of each pool: by its key, else by name, else the key or name that it gives."""
     key = F.lower(F.trim(F.coalesce("projectId", F.lit(""))))
-    name = F.trim(F.coalesce("projectName", F.lit("")))
+    names = [c for c in ("projectName", "dexName") if c in pools.columns]
+    name = F.trim(F.coalesce(*names, F.lit("")))
     rows = pools.withColumn("__k", key).withColumn("__n", F.lower(name))
     by_key = projects.select(F.col("project_key").alias("__k"), F.col("project_key").alias("k1")).distinct()
     by_name = projects.groupBy(F.lower(F.trim("project_name")).alias("__n")).agg(F.max("project_key").alias("k2"))
@@ -138,7 +145,7 @@ def verify_checkpoints(frames: DataFrame) -> DataFrame:
     page = [*key, "page"]
     w = Window.partitionBy(*page)
     f = frames.withColumn("__last", F.max("frame").over(w)).withColumn("__end", F.col("end_reason").isNotNull())
-    bad = F.col("cursor").isNull() | (F.col("digest").isNotNull() & (F.col("checkpoint").isNull() | (F.col("checkpoint") < F.col("range_start")) | (F.col("checkpoint") >= F.col("range_end")))) | (F.col("__end") & (F.col("frame") != F.col("__last")))
+    bad = (F.coalesce("cursor", F.lit("")) == "") | (F.col("digest").isNotNull() & (F.col("checkpoint").isNull() | (F.col("checkpoint") < F.col("range_start")) | (F.col("checkpoint") >= F.col("range_end")))) | (F.col("__end") & (F.col("frame") != F.col("__last")))
     pages = f.groupBy(*page).agg(
         F.max(bad.cast("int")).alias("bad"),
         F.max(F.when(F.col("__end"), F.col("end_reason"))).alias("reason"),
@@ -146,7 +153,8 @@ def verify_checkpoints(frames: DataFrame) -> DataFrame:
     )
     o = Window.partitionBy(*key).orderBy("page")
     seen = Window.partitionBy(*key, "cursor")
-    pages = pages.withColumn("again", F.count("*").over(seen) > 1).withColumn("last", F.lead("page").over(o).isNull())
+    # a page that only repeats the cursor where the final page ended is no repeat of its own
+    pages = pages.withColumn("again", F.count(F.when(F.col("reason") != 3, 1)).over(seen) > 1).withColumn("last", F.lead("page").over(o).isNull())
     wrong = (F.col("bad") == 1) | F.col("reason").isNull() | ~F.col("reason").isin(1, 2, 3) | (F.col("reason").isin(1, 2) & F.col("again")) | ((F.col("reason") == 3) & ~F.col("last"))
     out = pages.groupBy(*key).agg(F.max(wrong.cast("int")).alias("wrong"), F.max_by("reason", "page").alias("reason"), F.max_by("cursor", "page").alias("cursor"))
     state = F.when(F.col("wrong") == 1, "error").when(F.col("reason") == 3, "verified").otherwise("resume")

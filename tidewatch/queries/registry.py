@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.queries import discovery, more, scans, shredding, streams, telemetry, valuation
+from tidewatch.queries import discovery, more, queues, scans, shredding, streams, telemetry, valuation
 
-ALL = valuation.QUERIES | discovery.QUERIES | scans.QUERIES | telemetry.QUERIES | shredding.QUERIES | more.QUERIES | streams.QUERIES
+ALL = valuation.QUERIES | discovery.QUERIES | scans.QUERIES | telemetry.QUERIES | shredding.QUERIES | more.QUERIES | streams.QUERIES | queues.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

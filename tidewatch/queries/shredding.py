@@ -144,14 +144,14 @@ def decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = F.concat(F.lit("0x"), F.rpad(F.hex(name), 64, "0"))
     dynamic = F.concat(F.lit("0x"), F.lpad(F.lit("20"), 64, "0"), F.lpad(F.hex(F.length(name).cast("bigint")), 64, "0"), F.rpad(F.hex(name), 64, "0"))
     return _table(spark, sf_dir, "orders").select(
-        "o_orderkey", S.abi_uint256(broken).alias("value"), S.abi_uint256_text(broken).alias("word"), S.hex_to_long(F.substring(broken, 1, 10)).alias("head"),
+        "o_orderkey", S.abi_uint256(broken).alias("value"), S.abi_uint256_text(broken).alias("word"), S.abi_uint256_decimal(F.concat(F.lit("0xff"), F.substring(broken, 5, 62))).alias("amount"), S.hex_to_long(F.substring(broken, 1, 10)).alias("head"),
         S.abi_string(F.when(k % 2 == 0, fixed).otherwise(dynamic)).alias("name"), S.has_bytecode(F.when(k % 4 == 0, F.lit("0x0000")).when(k % 4 == 1, F.lit("0x6000")).when(k % 4 == 2, F.lit("0x600")).otherwise(F.lit("0x"))).alias("code"),
         S.topic_address(word).alias("address"), S.sui_id(F.hex("o_orderkey")).alias("sui"), S.coin_type(F.concat(F.lit("0x2::"), name, F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("::C")))).alias("coin"),
     )
 
 
 DECODE = """WITH t AS (SELECT o_orderkey, lower(to_hex(CAST(o_orderkey AS BIGINT))) AS h, o_orderkey % 9 IN (0, 1) AS bad FROM orders)
-SELECT o_orderkey, CASE WHEN NOT bad THEN CAST(o_orderkey AS DOUBLE) END AS value, CASE WHEN NOT bad THEN concat('0x', h) END AS word, CAST(0 AS BIGINT) AS head,
+SELECT o_orderkey, CASE WHEN NOT bad THEN CAST(o_orderkey AS DOUBLE) END AS value, CASE WHEN NOT bad THEN concat('0x', h) END AS word, CASE WHEN NOT bad THEN concat('115339776388732929035197660848497720713218148788040405586178452820', CAST(382218977280 + o_orderkey AS VARCHAR)) END AS amount, CAST(0 AS BIGINT) AS head,
   concat('T', CAST(o_orderkey AS STRING)) AS name, CASE o_orderkey % 4 WHEN 1 THEN 1 WHEN 2 THEN NULL ELSE 0 END AS code, concat('0x', lpad(h, 40, '0')) AS address, concat('0x', lpad(h, 64, '0')) AS sui,
   CASE WHEN o_orderkey % 3 <> 0 THEN concat('0x', lpad('2', 64, '0'), '::T', CAST(o_orderkey AS STRING), '::C') END AS coin FROM t"""
 

@@ -60,12 +60,13 @@ def read_code(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_balances(spark: SparkSession, path: str) -> DataFrame:
-    """A failed call has an error and no value; a malformed word is a failure too."""
+    """A failed call has an error and no value; a malformed word is a failure too.  raw_amount is exact decimal text, as valuation takes it."""
     rows = _read(spark, path, BALANCES)
     value = F.when(F.col("error").isNull(), S.abi_uint256(F.col("raw")))
     text = F.when(F.col("error").isNull(), S.abi_uint256_text(F.col("raw")))
+    amount = F.when(F.col("error").isNull(), S.abi_uint256_decimal(F.col("raw")))
     failure = F.when(F.col("error").isNotNull(), F.col("error")).when(value.isNull(), "malformed")
-    return rows.select("chain", S.evm_address(F.col("address")).alias("address"), F.lower("token").alias("token"), text.alias("raw_hex"), value.alias("raw_value"), failure.alias("error"), "observed_at")
+    return rows.select("chain", S.evm_address(F.col("address")).alias("address"), F.lower("token").alias("token"), text.alias("raw_hex"), amount.alias("raw_amount"), value.alias("raw_value"), failure.alias("error"), "observed_at")
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
