@@ -141,6 +141,8 @@ def test_percentile_and_metrics(spark):
     lines = spark.createDataFrame([("# x",), ("node_load1 2.5",), ('node_cpu_seconds_total{cpu="0",mode="idle"} 10',), ("bad",)], "value string")
     got = {r.metric: (r.labels, r.value) for r in telemetry.scrape_metrics(lines).collect()}
     assert got == {"node_load1": (None, 2.5), "node_cpu_seconds_total": ({"cpu": "0", "mode": "idle"}, 10.0)}
+    odd = spark.createDataFrame([('x{a="1,2",b="c=d",a="3"} 4',)], "value string")
+    assert telemetry.scrape_metrics(odd).first().labels == {"a": "1,2", "b": "c=d"}
 
 
 def test_snapshots(spark, tmp_path):
@@ -168,3 +170,23 @@ def test_streams_equal_batch(spark, tmp_path, form):
     else:
         want = {(r.minute, r.n) for r in telemetry.minute_rollup(df, "ts", ["chain"], "ms").collect()}
         assert {(r.minute, r.n) for r in got.collect()} == want
+
+
+def test_snapshot_after_a_crash(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    path = str(tmp_path / "s")
+    run = sinks.upsert_batches(path, lambda o, n: merge.merge(o, n, ["k"], {}))
+    run(df, 0)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_publish", lambda *a: 1 / 0)  # dies between data and pointer
+        with pytest.raises(ZeroDivisionError):
+            run(spark.createDataFrame([(2, "b")], df.schema), 1)
+    assert {tuple(r) for r in sinks.read_snapshot(spark, path).collect()} == {(1, "a")}
+    run(spark.createDataFrame([(2, "b")], df.schema), 1)
+    assert {tuple(r) for r in sinks.read_snapshot(spark, path).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_amount_words(spark):
+    words = {0: "0", 1: "1", 10**9: "1000000000", 2**256 - 1: str(2**256 - 1), 10**40 + 7: str(10**40 + 7)}
+    df = spark.createDataFrame([(f"0x{k:064x}", v) for k, v in words.items()] + [("0x12", None), (None, None)], "w string, want string")
+    assert all(r.got == r.want for r in df.select("want", S.abi_uint256_decimal(F.col("w")).alias("got")).collect())

@@ -249,7 +249,11 @@ def scrape_metrics(lines: DataFrame, column: str = "value", keys: list[str] | No
     pattern = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?\s+(\S+)"
     c = F.col(column)
     body = F.regexp_extract(c, pattern, 2)
-    labels = F.when(body != "", F.str_to_map(F.regexp_replace(body, '"', ""), F.lit(","), F.lit("=")))
+    # values can hold commas; of a label that comes twice the first value counts
+    pair = F.lit(r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"')
+    names, values = F.regexp_extract_all(body, pair, 1), F.regexp_extract_all(body, pair, 2)
+    once = F.array_distinct(names)
+    labels = F.when(body != "", F.map_from_arrays(once, F.transform(once, lambda k: F.get(values, (F.array_position(names, k) - 1).cast("int")))))
     out = lines.where(~c.startswith("#")).select(*(keys or []), F.regexp_extract(c, pattern, 1).alias("metric"), labels.alias("labels"), F.regexp_extract(c, pattern, 3).try_cast("double").alias("number"))
     return out.where("metric <> '' and number is not null").withColumnRenamed("number", "value")
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import discovery
+from tidewatch.operators import discovery, sinks
 
 
 def dedupe_digests(stream: DataFrame, ts: str = "ts", digest: str = "digest", horizon: str = "30 days") -> DataFrame:
@@ -44,16 +44,25 @@ def confirmed(blocks: DataFrame, heads: DataFrame, confirmations: DataFrame) ->
     return blocks.join(F.broadcast(limit), "chain").where(F.col("block_number") <= F.col("__limit")).drop("__limit")
 
 
-def range_commits(receipts: DataFrame, commit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+def range_commits(path: str, receipts: Callable[[], DataFrame], commit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over transactions: blocks whose deployments all have receipts are committed, others wait.
 
-    A block is passed to commit whole or not at all; what waits comes again with the next batch of the
-    table that the caller keeps.
+    A block is passed to commit whole or not at all.  What waits is kept as a snapshot under path and
+    comes again with the next batch.  commit must do nothing for a batch id that it has seen: after a
+    crash between commit and the snapshot the same rows come again under the same id; a batch whose
+    snapshot is written is over.  receipts is called anew for each batch.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        open_ = discovery.missing_receipts(batch, receipts).select("chain", "block_number").distinct()
-        commit(batch.join(open_, ["chain", "block_number"], "left_anti"), batch_id)
+        spark = batch.sparkSession
+        own = sinks.current(spark, path)
+        if own is not None and int(own["version"]) >= batch_id:
+            return
+        waiting = sinks.read_snapshot(spark, path)
+        rows = batch if waiting is None else waiting.unionByName(batch)
+        open_ = discovery.missing_receipts(rows, receipts()).select("chain", "block_number").distinct()
+        commit(rows.join(open_, ["chain", "block_number"], "left_anti"), batch_id)
+        sinks.write_snapshot(rows.join(open_, ["chain", "block_number"], "left_semi"), path, str(batch_id))
 
     return run
 
