@@ -1,7 +1,9 @@
 """Exact top-k by integer inner product: columnar branch and bound over blocks of vectors.
 
-Vectors are packed into blocks of bounded size, a column a dimension.  Every pair of a query block
-and a candidate block is one row of work.  Within it scores grow dimension block by dimension block;
+Vectors are packed into blocks of bounded size, a column a dimension.  Query blocks form groups that a
+task can hold, and candidate blocks are dealt to lanes; each cell of the grid of groups and lanes gets
+its query blocks once and then its candidate blocks one after the other, so the product of blocks is
+never stored.  For a pair of blocks scores grow dimension block by dimension block;
 after each a candidate whose score plus the most that the remaining dimensions can add (the product
 of the norms of what is left) stays under the query's k-th best is dropped, and the survivors are
 compacted.
@@ -19,46 +21,49 @@ from pyspark.sql import functions as F
 LONG = np.int64(2**63 - 1)
 
 
-def quantize(vector: list[float | None] | None, scale: float) -> list[int] | None:
-    if vector is None or any(x is None or x != x or x in (float("inf"), float("-inf")) for x in vector):
+def quantize(vector: list[float | None] | None, scale: float) -> np.ndarray | None:
+    """floor(scale * x) of each component, exact as doubles; None for a vector that takes no part."""
+    if vector is None or any(x is None for x in vector):
         return None
-    return [int(v) for v in np.floor(np.asarray(vector, np.float64) * scale).tolist() if v not in (float("inf"), float("-inf"))]
+    with np.errstate(over="ignore", invalid="ignore"):
+        own = np.floor(np.asarray(vector, np.float64) * scale)
+    return own if np.isfinite(own).all() else None
 
 
 def narrow(columns: np.ndarray) -> np.ndarray:
     small = columns.size == 0 or (columns.min() >= -(2**15) and columns.max() < 2**15)
-    return np.ascontiguousarray(columns, np.int16 if small else np.int64)
+    return np.ascontiguousarray(columns, np.int16 if small else np.float64)
 
 
 def unpack(raw: pa.Buffer, dims: int, n: int) -> np.ndarray:
-    kind = np.int16 if dims and raw.size == 2 * dims * n else np.int64
-    return np.frombuffer(raw, kind).reshape(dims, n).astype(np.int64)
+    kind = np.int16 if dims and raw.size == 2 * dims * n else np.float64
+    return np.frombuffer(raw, kind).reshape(dims, n).astype(np.float64)
 
 
 def pack_blocks(df: DataFrame, id_column: str, vector_column: str, scale: float, block: int) -> DataFrame:
     """Blocks of at most `block` vectors of one length: (dims, block_id, ids, columns).
 
     columns is the block in vertical layout, dimension after dimension, as integers of 2 bytes where
-    all fit, else of 8.  Rows with a
-    null id, or a vector that is null or has a null or non-finite component, are left out.
+    all fit, else as doubles, which hold them exactly.  Rows with a null id, or a vector that is null
+    or has a component that is null, non-finite or so large that scale times it is, are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_blocks: dict[int, tuple[list[int], list[list[int]]]] = {}
+        open_blocks: dict[int, tuple[list[int], list[np.ndarray]]] = {}
 
         def out(dims: int) -> pa.RecordBatch:
             ids, rows = open_blocks.pop(dims)
-            flat = np.asarray(rows, dtype=np.int64).reshape(len(ids), dims).T
+            flat = np.asarray(rows, dtype=np.float64).reshape(len(ids), dims).T
             return pa.RecordBatch.from_arrays([pa.array([dims], pa.int64()), pa.array([np.asarray(ids, np.int64).tobytes()], pa.binary()), pa.array([narrow(flat).tobytes()], pa.binary())], ["dims", "ids", "columns"])
 
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = quantize(vector, scale)
-                if key is None or own is None or len(own) != len(vector):
+                if key is None or own is None:
                     continue
                 ids, rows = open_blocks.setdefault(len(own), ([], []))
                 ids.append(key)
-                rows.append([max(-(2**62), min(2**62, x)) for x in own])
+                rows.append(own)
                 if len(ids) >= block:
                     yield out(len(own))
         for dims in list(open_blocks):
@@ -78,7 +83,7 @@ def search_blocks(query_ids: np.ndarray, queries: np.ndarray, cand_ids: np.ndarr
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(cand).max(initial=0)) * max(1, dims)
     if most >= 2**53:
         return [_exact(query_ids[j], queries[:, j], cand_ids, cand, k) for j in range(len(query_ids))]
-    qf, cf = queries.astype(np.float64), cand.astype(np.float64)
+    qf, cf = queries, cand
     # suffix norms after each dimension block
     cuts = list(range(step, dims, step))
     c_rest = {d: np.sqrt((cf[d:] ** 2).sum(axis=0)) for d in cuts}
@@ -112,7 +117,7 @@ def _exact(own: int, query: np.ndarray, cand_ids: np.ndarray, cand: np.ndarray,
 
 
 def topk(
-    queries: DataFrame, candidates: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, scale: float = 256.0, query_block: int = 512, candidate_block: int = 4096
+    queries: DataFrame, candidates: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, scale: float = 256.0, query_block: int = 512, candidate_block: int = 4096, group_blocks: int = 32
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of highest score for each query, ties to the smaller id.
 
@@ -120,49 +125,52 @@ def topk(
     Rows that share the query's id are its own and no candidates; any other row counts as often as it
     occurs, and so does a repeated query row.  Rows with a null id or a null or non-finite component
     take no part.  Scores beyond 64 bits are held at their limits.  With fewer than k candidates all
-    are returned; without any, or with empty tables, the query has no rows.
+    are returned; without any, or with empty tables, the query has no rows.  A task holds at most about
+    group_blocks query blocks.  Other columns don't matter.
     """
-    q = pack_blocks(queries, id_column, vector_column, scale, query_block).select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"))
-    q = q.withColumn("q_block", F.monotonically_increasing_id())
+    q = pack_blocks(queries, id_column, vector_column, scale, query_block).withColumn("q_block", F.monotonically_increasing_id())
     c = pack_blocks(candidates, id_column, vector_column, scale, candidate_block)
-    # blocks meet in a grid: every query block goes to each of `lanes` lanes, each candidate block to one
-    lanes = max(8, candidates.sparkSession.sparkContext.defaultParallelism * 2)
-    q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    c = c.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    work = q.join(c, (q["lane"] == c["lane"]) & (q["q_dims"] == c["dims"])).select("q_block", "q_dims", "q_ids", "q_columns", "ids", "columns")
+    groups = max(1, -(-queries.count() // (query_block * group_blocks)))
+    lanes = max(8, candidates.sparkSession.sparkContext.defaultParallelism * 2 // groups)
+    lane = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("group", F.pmod(F.xxhash64("q_block"), F.lit(groups)).cast("int")).withColumn("lane", lane(lanes)).withColumn("part", F.lit(0))
+    c = c.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")).withColumn("group", lane(groups)).withColumn("part", F.lit(1)).withColumn("q_block", F.lit(None).cast("long"))
+    names = ["part", "q_block", "dims", "ids", "columns"]
+    cells = [x.select((F.col("group") * lanes + F.col("lane")).alias("cell"), *names) for x in (q, c)]
+    work = cells[0].unionByName(cells[1]).repartition(groups * lanes, "cell").sortWithinPartitions("cell", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
-        best: list[tuple[np.ndarray, np.ndarray]] = []
-        q_ids = q_cols = np.empty(0)
+        cell = None
+        held: list[tuple[int, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            n = [len(x[0]) for x in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * sum(n), pa.int64()), pa.array(np.repeat(np.arange(len(n)), n)), pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))],
-                    ["q_block", "q_row", "query_id", "vec_id", "score"],
-                )
+            for block, q_ids, _, best in held:
+                n = [len(x[0]) for x in best]
+                if sum(n):
+                    columns = [pa.array([block] * sum(n), pa.int64()), pa.array(np.repeat(np.arange(len(n)), n)), pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["q_block", "q_row", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in ("q_block", "q_dims", "q_ids", "q_columns", "ids", "columns")}
-                if row["q_block"].as_py() != block:
+                row = {name: batch.column(name)[i] for name in ("cell", *names)}
+                if row["cell"].as_py() != cell:
                     yield from out()
-                    block, dims = row["q_block"].as_py(), row["q_dims"].as_py()
-                    q_ids = np.frombuffer(row["q_ids"].as_buffer(), np.int64)
-                    q_cols = unpack(row["q_columns"].as_buffer(), dims, len(q_ids))
-                    best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q_ids)
+                    cell, held = row["cell"].as_py(), []
                 ids = np.frombuffer(row["ids"].as_buffer(), np.int64)
-                cols = unpack(row["columns"].as_buffer(), q_cols.shape[0], len(ids))
-                floors = np.array([x[1][-1] if len(x[1]) >= k else -np.inf for x in best])
-                for j, (a, s) in enumerate(search_blocks(q_ids, q_cols, ids, cols, k, floors)):
-                    a, s = np.r_[best[j][0], a], np.r_[best[j][1], s]
-                    order = np.lexsort((a, -s.astype(np.float64), s == -LONG - 1))[:k] if len(s) and abs(s).max() < 2**53 else np.array(sorted(range(len(s)), key=lambda i: (-int(s[i]), a[i]))[:k], np.int64)
-                    best[j] = (a[order], s[order])
+                cols = unpack(row["columns"].as_buffer(), row["dims"].as_py(), len(ids))
+                if row["part"].as_py() == 0:
+                    held.append((row["q_block"].as_py(), ids, cols, [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)))
+                    continue
+                for _, q_ids, q_cols, best in held:
+                    if len(q_cols) != len(cols):
+                        continue
+                    floors = np.array([x[1][-1] if len(x[1]) >= k else -np.inf for x in best])
+                    for j, (a, s) in enumerate(search_blocks(q_ids, q_cols, ids, cols, k, floors)):
+                        a, s = np.r_[best[j][0], a], np.r_[best[j][1], s]
+                        order = np.lexsort((a, -s))[:k] if len(s) and abs(s).max() < 2**53 else np.array(sorted(range(len(s)), key=lambda i: (-int(s[i]), a[i]))[:k], np.int64)
+                        best[j] = (a[order], s[order])
         yield from out()
 
-    work = work.sortWithinPartitions("q_block")
     partial = work.mapInArrow(run, "q_block long, q_row long, query_id long, vec_id long, score long")
     ranked = partial.groupBy("q_block", "q_row", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("s"), "vec_id", "score"))), 1, k).alias("top"))
     return ranked.select("query_id", F.posexplode("top").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.vec_id", "x.score")
