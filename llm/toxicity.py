@@ -10,16 +10,15 @@ than half of the toxic ones have.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import slices
+from llm.common import materialize, slices
 
 #: Stripped from both ends of a word.  Fixed value.
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_…«»„“”‘’"
@@ -74,23 +73,25 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, n_features: int, n_grad
     return params[:n_features], params[n_features] + np.r_[0, np.cumsum(np.exp(np.clip(params[n_features + 1 :], -5, 5)))]
 
 
-def surprise(a: int, n: int, b: int, m: int) -> float:
-    """Likelihood ratio statistic of a of n against b of m, negative if a's share is the smaller one."""
-    table = np.array([[a, n - a], [b, m - b]], float)
-    expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0, keepdims=True) / table.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        terms = np.where(table > 0, table * np.log(table / expected), 0.0)
-    return float(2 * terms.sum() * (1 if a * m >= b * n else -1))
+def surprise(a: str, n: int, b: str, m: int) -> Column:
+    """Likelihood ratio statistic of column a of n against b of m, negative if a's share is the smaller one."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both, neither = (x + y) / (n + m), (n + m - x - y) / (n + m)
+    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    terms = term(x, n * both) + term(n - x, n * neither) + term(y, m * both) + term(m - y, m * neither)
+    return 2 * terms * F.when(x * m >= y * n, 1).otherwise(-1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = 6000, max_features: int = 1000) -> OrdinalModel:
     """Fit on at most max_rows labelled documents, half of them toxic where there are as many.
 
     The sample is the documents of the smallest hashes of their id, so it does not depend on how rows
-    lie; its words, not its texts, come to the driver.  Of the words in five sampled documents or more
-    those are features whose frequencies in toxic and clean documents differ by a likelihood ratio
-    statistic over 15, the max_features clearest ones.
-    Without toxic labels no document gets a severity.
+    lie; of rows that repeat an id the one with the least list of words counts.  Spark counts the
+    words.  Of those in five sampled documents or more the features are the ones whose frequencies in
+    toxic and clean documents differ by a likelihood ratio statistic over 15, the max_features clearest
+    ones; they and which sampled document has which come to the driver.  Where the labels know toxic
+    documents only or clean ones only, or none, no document gets a severity.  Whole texts count,
+    however long.
     """
     known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("label_id")).agg(F.max(label_column).alias("label"))
     picked = None
@@ -107,22 +108,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     id_type = docs.schema[id_column].dataType.simpleString()
     made = rows.select("id", "label", "text").mapInArrow(words, f"id {id_type}, label long, words array<string>")
-    sample = made.dropDuplicates(["id"]).toPandas().sort_values("id")
-    toxic = sample.label.to_numpy() == 1
-    if not toxic.any() or toxic.all():
+    sample = materialize(made.groupBy("id").agg(F.max("label").alias("label"), F.min("words").alias("words")), "severity")
+    total = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
         return OrdinalModel({}, np.array([20.0, 21.0]))
-    seen = [Counter(w for ws in sample.words[toxic == flag] for w in ws) for flag in (False, True)]
-    total = [max(1, int((toxic == flag).sum())) for flag in (False, True)]
-    gain = {}
-    for w in seen[0].keys() | seen[1].keys():
-        if seen[0][w] + seen[1][w] >= 5:
-            gain[w] = surprise(seen[1][w], total[1], seen[0][w], total[0])
-    chosen = sorted((w for w in gain if abs(gain[w]) > 15), key=lambda w: (-abs(gain[w]), w))[:max_features]
-    place = {w: k for k, w in enumerate(chosen)}
+    counts = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).where("toxic + clean >= 5")
+    counts = counts.withColumn("gain", surprise("toxic", total[1], "clean", total[0])).where("abs(gain) > 15")
+    chosen = counts.orderBy(F.abs("gain").desc(), "word").limit(max_features).collect()
+    place = {r.word: k for k, r in enumerate(chosen)}
     # words that mark toxic documents: at least ten times as frequent in them
-    markers = {w for w in chosen if gain[w] > 0 and seen[1][w] / total[1] > 10 * seen[0][w] / total[0]}
-    x = [np.array([place[w] for w in ws if w in place], np.int64) for ws in sample.words]
-    marked = np.array([sum(w in markers for w in ws) for ws in sample.words])
+    markers = {r.word for r in chosen if r.gain > 0 and r.toxic / total[1] > 10 * r.clean / total[0]}
+    own = sample.select("id", "label", F.array_intersect("words", F.array(*map(F.lit, place)).cast("array<string>")).alias("words")).toPandas().sort_values("id")
+    toxic = own.label.to_numpy() == 1
+    x = [np.array([place[w] for w in ws], np.int64) for ws in own.words]
+    marked = np.array([sum(w in markers for w in ws) for ws in own.words])
     grades = np.where(toxic, 1 + (marked > np.median(marked[toxic])), 0)
     weights, thresholds = fit_ordinal(x, grades, len(chosen), 3)
     return OrdinalModel({w: float(weights[k]) for w, k in place.items()}, thresholds)
@@ -133,7 +132,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_
 
     severity is the most probable grade, 0 to 2; p_toxic is P(grade >= 1); toxic: p_toxic >= cut;
     kept is its opposite.  A null or empty text has no features and is kept.  Null ids and repeated
-    rows are kept; other columns of docs don't matter.
+    rows are kept; an empty table gives no rows; other columns of docs don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema[id_column].dataType.simpleString()
@@ -157,7 +156,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows whose text is found toxic; columns and other rows as they are."""
+    """docs without the rows whose text is found toxic; columns, whatever their names, and other rows as they are."""
     model = fit(docs, labels, id_column, text_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

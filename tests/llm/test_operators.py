@@ -192,6 +192,47 @@ def test_ordinal_gradient_recovers_order():
     assert list(np.argsort(-w)) == list(range(6)) and t[0] < t[1]
 
 
+def test_ordinal_likelihood():
+    """What is fitted is a minimum of the penalized likelihood, written out row by row; scores follow from it."""
+    r = np.random.default_rng(4)
+    x = [np.flatnonzero(r.random(5) < 0.4) for _ in range(300)]
+    z = np.array([np.array([2.0, 1.0, 0.0, -1.0, -2.0])[i].sum() for i in x]) + r.logistic(size=len(x))
+    grades = (z > 0.5).astype(int) + (z > 2)
+    w, t = toxicity.fit_ordinal(x, grades, 5, 3, steps=3000, rate=0.02)
+    share = np.bincount(grades) / len(grades)
+    weight = np.sqrt((1 / share[grades]) / np.mean(1 / share[grades]))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def loss(w, t):
+        total = 0.0
+        for own, g, k in zip(x, grades, weight):
+            up = [1.0, *(sigmoid(w[own].sum() - c) for c in t), 0.0]
+            total -= k * np.log(up[g] - up[g + 1])
+        return total / weight.sum() + 0.0003 / 2 * (w**2).sum()
+
+    best = loss(w, t)
+    for _ in range(40):
+        assert best <= loss(w + r.normal(size=5) * 0.05, t + r.normal(size=2) * 0.05) + 1e-6
+    model = toxicity.OrdinalModel({"a": 2.0, "b": -1.0}, np.array([0.5, 1.5]))
+    up = [sigmoid(1.0 - 0.5), sigmoid(1.0 - 1.5)]
+    assert np.allclose(model.at_least(np.array([1.0]))[0], up)
+
+
+def test_severity_scores(spark, docs):
+    model = toxicity.OrdinalModel({"again": 2.0, "and": -1.0}, np.array([0.5, 1.5]))
+    clash = docs.withColumn("severity", docs["id"]).withColumn("toxic", docs["id"])
+    got = collections.Counter((x.doc_id, x.severity, round(x.expected_severity, 9), x.kept) for x in toxicity.score(clash, model).collect())
+    want = collections.Counter()
+    for k, text, *_ in ROWS:
+        z = sum({"again": 2.0, "and": -1.0}.get(w, 0.0) for w in toxicity.features(text))
+        up = [1 / (1 + np.exp(-(z - c))) for c in (0.5, 1.5)]
+        p = [1 - up[0], up[0] - up[1], up[1]]
+        want[(k, int(np.argmax(p)), round(sum(up), 9), bool(up[0] < 0.5))] += 1
+    assert got == want
+    only = spark.createDataFrame([(16, 1), (31, 1)], "doc_id long, toxic int")
+    assert not toxicity.score(docs, toxicity.fit(docs, only)).where("toxic").count()
+
+
 def test_lm_scoring(spark, docs, empty, monkeypatch):
     trusted = spark.createDataFrame([(31,), (16,), (None,)], "doc_id long")
     clashing = docs.withColumn("target", docs["kept"]).withColumn("n_tokens", docs["id"])
