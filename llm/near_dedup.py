@@ -218,81 +218,89 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def in_pairs_of_blocks(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Groups (i, j, m) of a block of left and a block of right rows of one key; m lists both, those of right with side 1.
+
+    left and right: (keys, nodes' columns, blocks_left, blocks_right).  A group never grows with its key.
+    """
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    x = left.withColumn("i", own("blocks_left")).withColumn("j", other("blocks_right")).withColumn("side", F.lit(0))
+    y = right.withColumn("j", own("blocks_right")).withColumn("i", other("blocks_left")).withColumn("side", F.lit(1))
+    both = x.select(*keys, "i", "j", F.struct("side", *columns).alias("x")).unionByName(y.select(*keys, "i", "j", F.struct("side", *columns).alias("x")))
+    return both.groupBy(*keys, "i", "j").agg(F.collect_list("x").alias("m")).select("m")
+
+
 def doubtful(members: DataFrame, nodes: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
     """(comp, node): nodes that registers allow to link to a node of another component in one of their buckets.
 
     members: (bucket, node, comp, size), size being that of the component.  Of two components the
-    smaller one's nodes are named.  A bucket is dealt to blocks of about `block` nodes, and each pair
-    of its blocks is one group, so a group never grows with its bucket.
+    smaller one's nodes are named.  A bucket's largest component is not compared with itself: the nodes
+    outside it are dealt to blocks of about `block` nodes, each of which meets blocks of all nodes.
     """
-    n = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = members.join(n, "bucket").join(nodes.select("node", "regs"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = rows.groupBy("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "node", "comp", "size", "regs")).alias("m"))
+    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    parts = parts.select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / block).alias("blocks_left"), F.ceil(F.col("all") / block).alias("blocks_right"))
+    rows = members.join(parts, "bucket").join(nodes.select("node", "regs"), "node").withColumn("inside", F.col("comp") == F.col("main"))
+    groups = in_pairs_of_blocks(rows.where("not inside"), rows, ["bucket"], ["inside", "node", "comp", "size", "regs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[bytes, bytes]] = set()
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
-            for i, j, group in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("m")):
+            for group in batch.column("m"):
                 m = group.values
                 node, comp = (m.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp"))
-                size, part = m.field("size").to_numpy(zero_copy_only=False), m.field("own").to_numpy(zero_copy_only=False)
+                size, side, inside = (m.field(c).to_numpy(zero_copy_only=False) for c in ("size", "side", "inside"))
                 regs = np.frombuffer(b"".join(m.field("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
                 _, code = np.unique(comp.astype("S16"), return_inverse=True)
-                # a smaller component comes first; ties by its name
-                rank = np.lexsort((code, size))
-                place = np.empty(len(rank), np.int64)
-                place[rank] = np.arange(len(rank))
-                for x in range(len(node)):
-                    later = (code != code[x]) & ((size > size[x]) | ((size == size[x]) & (code > code[x])))
-                    if i != j:
-                        later &= part != part[x]
-                    y = np.flatnonzero(later)
-                    if len(y):
-                        y = y[may_reach(np.broadcast_to(regs[x], (len(y), BUCKETS)), regs[y], similarity)]
-                        for c in {comp[k] for k in y.tolist()}:
-                            if (c, node[x]) not in seen:
-                                out.append((c, node[x]))
-                                if len(seen) < 1_000_000:
-                                    seen.add((c, node[x]))
+                _, place = np.unique(node.astype("S16"), return_inverse=True)
+                for x in np.flatnonzero(side == 0).tolist():
+                    # of two nodes outside the largest component the one with the smaller key looks at the other
+                    y = np.flatnonzero((side == 1) & (code != code[x]) & (inside | (place > place[x])))
+                    if not len(y):
+                        continue
+                    y = y[may_reach(np.broadcast_to(regs[x], (len(y), BUCKETS)), regs[y], similarity)]
+                    less = (size[x] < size[y]) | ((size[x] == size[y]) & (code[x] < code[y]))
+                    found = {(comp[k], node[x]) for k in y[less].tolist()} | {(comp[x], node[k]) for k in y[~less].tolist()}
+                    for pair in found - seen:
+                        out.append(pair)
+                        if len(seen) < 1_000_000:
+                            seen.add(pair)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["comp", "node"])
 
-    return groups.select("i", "j", "m").mapInArrow(run, "comp binary, node binary").distinct()
+    return groups.mapInArrow(run, "comp binary, node binary").distinct()
 
 
 def member_links(doubts: DataFrame, placed: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Links (a, b) of the nodes in doubts (comp, node) to a node of the component, on full sets, one each and block.
+    """Links (a, b) of the nodes in doubts (comp, node) to a node of the component, on full sets, one each and pair of blocks.
 
-    placed: (node, comp) of all nodes.  Both sides come in blocks of about `block` sets.
+    placed: (node, comp) of all nodes.  Both sides come in blocks of about `block` sets, and each pair
+    of blocks is a group of its own.
     """
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        n = rows.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        full = rows.join(n, "comp").join(sets, "node")
-        return full.groupBy("comp", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("k")).agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("k")
-
     inside = placed.join(doubts.select("comp").distinct(), "comp", "left_semi").select("comp", "node")
-    pairs = blocks(doubts.select("comp", "node"), "x").join(blocks(inside, "y"), "comp").select("x", "y")
+    count = lambda rows, name: rows.groupBy("comp").agg(F.ceil(F.count("*") / block).alias(name))
+    n = count(doubts, "blocks_left").join(count(inside, "blocks_right"), "comp")
+    groups = in_pairs_of_blocks(doubts.join(n, "comp").join(sets, "node"), inside.join(n, "comp").join(sets, "node"), ["comp"], ["node", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                own = [(r.as_py(), np.frombuffer(s.as_buffer(), np.uint64)) for r, s in zip(x.values.field("node"), x.values.field("shingles"))]
-                other = [(r.as_py(), np.frombuffer(s.as_buffer(), np.uint64)) for r, s in zip(y.values.field("node"), y.values.field("shingles"))]
-                sizes = np.array([len(s) for _, s in other])
-                for a, s in own:
-                    fit = (100 * np.minimum(sizes, len(s)) >= percent * np.maximum(sizes, len(s))).nonzero()[0]
-                    hit = next((other[k][0] for k in fit.tolist() if linked(s, other[k][1], percent)), None)
+            for group in batch.column("m"):
+                m = group.values
+                rows = [(k, r.as_py(), np.frombuffer(x.as_buffer(), np.uint64)) for k, r, x in zip(m.field("side").to_pylist(), m.field("node"), m.field("shingles"))]
+                own, other = ([(r, x) for k, r, x in rows if k == side] for side in (0, 1))
+                sizes = np.array([len(x) for _, x in other])
+                for a, x in own:
+                    fit = (100 * np.minimum(sizes, len(x)) >= percent * np.maximum(sizes, len(x))).nonzero()[0]
+                    hit = next((other[k][0] for k in fit.tolist() if linked(x, other[k][1], percent)), None)
                     if hit is not None:
                         found.append((a, hit))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return groups.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -302,7 +310,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     the smallest id reachable, itself included; kept: id = component_id.  Texts without words have an
     empty set, n_shingles 0, and are linked with nothing.  Rows with a null id are no document's
     copies: their component_id is null and they are kept.  Rows that repeat an id are one document;
-    ties don't arise, as the smallest id is unique.  Other columns of docs don't matter.
+    ties don't arise, as the smallest id is unique.  Whole texts count, however long; an empty table
+    gives no rows; other columns of docs don't matter.  Candidates come from bands, of which a pair at
+    similarity 0.8 shares none with probability 3e-6, and registers rule out pairs whose estimate lies
+    five standard errors too low; links are decided on full sets.
     """
     own = materialize(sketch(docs, id_column, text_column, size), "sketch")
     nodes = own.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
