@@ -69,11 +69,17 @@ def finish_replay(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("status", F.when(done, "active").otherwise(F.col("status")))
 
 
-def missing_ranges(present: DataFrame, key: str = "chain", number: str = "number") -> DataFrame:
-    """Maximal runs of missing numbers between the least and the greatest of each key."""
-    w = Window.partitionBy(key).orderBy(number)
-    rows = present.select(key, number).distinct().withColumn("__next", F.lead(number).over(w))
-    return rows.where(F.col("__next") > F.col(number) + 1).select(key, (F.col(number) + 1).alias("start_block"), (F.col("__next") - 1).alias("end_block"))
+def missing_ranges(present: DataFrame, key: str = "chain", number: str = "number", bucket: int = 1 << 16) -> DataFrame:
+    """Maximal runs of missing numbers between the least and the greatest of each key.
+
+    Runs are found within buckets of numbers; between buckets they follow from the ends of each.
+    """
+    rows = present.select(key, number).distinct().withColumn("__b", F.floor(F.col(number) / bucket))
+    inside = rows.select(key, F.col(number).alias("__last"), F.lead(number).over(Window.partitionBy(key, "__b").orderBy(number)).alias("__next"))
+    ends = rows.groupBy(key, "__b").agg(F.min(number).alias("__first"), F.max(number).alias("__last"))
+    between = ends.select(key, "__last", F.lead("__first").over(Window.partitionBy(key).orderBy("__b")).alias("__next"))
+    gaps = inside.unionByName(between).where(F.col("__next") > F.col("__last") + 1)
+    return gaps.select(key, (F.col("__last") + 1).alias("start_block"), (F.col("__next") - 1).alias("end_block"))
 
 
 def gap_summary(gaps: DataFrame) -> DataFrame:

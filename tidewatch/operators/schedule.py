@@ -104,13 +104,26 @@ def network_order(chains: DataFrame) -> DataFrame:
     return chains.withColumn("starved", starved).orderBy(starved.desc(), F.when(starved, F.col("wait_seconds")).desc_nulls_last(), F.col("lag_blocks").desc(), "chain")
 
 
-def failure_streaks(attempts: DataFrame, keys: list[str], failed: Column, order: list[str]) -> DataFrame:
-    """attempts with the number of failures in a row up to each one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    island = F.sum(F.when(failed, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = attempts.withColumn("__island", island)
-    w2 = Window.partitionBy(*keys, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("streak", F.sum(F.when(failed, 1).otherwise(0)).over(w2)).drop("__island")
+def failure_streaks(attempts: DataFrame, keys: list[str], failed: Column, order: list[str], chunk_seconds: int = 3600) -> DataFrame:
+    """attempts with the number of failures in a row up to each one; keys are not null, and order begins with a timestamp or a number.
+
+    Streaks are counted in chunks of it.  What runs into a chunk from those before comes from one row
+    a chunk, and is added to the attempts before its first success.
+    """
+    own = [*keys, "__chunk"]
+    rows = attempts.withColumn("__chunk", F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / chunk_seconds)).withColumn("__f", F.coalesce(failed, F.lit(False)).cast("int"))
+    w = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__island", F.sum(1 - F.col("__f")).over(w))
+    streak = F.sum("__f").over(Window.partitionBy(*own, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("streak", streak)
+    # a chunk's last streak; where all of it failed, that of the chunk before goes on
+    ends = rows.groupBy(*own).agg(F.max("__island").alias("islands"), F.max_by("streak", F.struct(*order)).alias("last"))
+    c = Window.partitionBy(*keys).orderBy("__chunk")
+    ends = ends.withColumn("__run", F.sum((F.col("islands") > 0).cast("int")).over(c.rowsBetween(Window.unboundedPreceding, 0)))
+    r = Window.partitionBy(*keys, "__run").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
+    carry = ends.withColumn("__sum", F.sum("last").over(r)).withColumn("__carry", F.coalesce(F.lag("__sum").over(c), F.lit(0))).select(*own, "__carry")
+    out = rows.join(carry, own).withColumn("streak", F.when(F.col("__island") == 0, F.col("streak") + F.col("__carry")).otherwise(F.col("streak")))
+    return out.drop("__chunk", "__f", "__island", "__carry")
 
 
 def pull_forward(state: DataFrame, totals: DataFrame, as_of: str, min_usd: float = 150_000, within: int = 3 * S.DAY) -> DataFrame:

@@ -41,17 +41,37 @@ def latency(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float = 0.95) -> DataFrame:
-    """The value at index round((n - 1) * q), half to even, of the sorted values: by a window, not by a list."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    return rows.where(F.col("i") == F.bround((F.col("n") - 1) * F.lit(q), 0).cast("int")).select(*keys, F.col(value).alias("nearest"))
+    """The value at index round((n - 1) * q), half to even, of the sorted values.
 
-
-def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float = 0.8) -> DataFrame:
-    """keep * previous + (1 - keep) * value in order; the first value is the seed."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value].cast("double"))
-    folded = F.aggregate(F.slice(F.col("xs"), F.lit(2), F.size("xs")), F.get(F.col("xs"), F.lit(0)), lambda a, x: a * keep + x * (1 - keep))
-    return df.groupBy(*keys).agg(items.alias("xs")).select(*keys, folded.alias("ewma"))
+    Rows become counts by value first.  Counts by a coarse logarithmic scale, some thousand a key, find
+    the step of the scale that holds the index, and only the values of that step are put in order.
+    """
+    v = F.col(value).cast("double")
+    scale = F.when(v.isNull() | F.isnan(v), F.lit(None)).otherwise(F.signum(v) * F.floor(64 * F.log2(F.abs(v) + 1)))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("__b", scale.cast("long"))
+    coarse = counts.groupBy(*keys, "__b").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*keys)
+    upto = F.sum("n").over(own.orderBy(F.col("__b").asc_nulls_last()))  # NaN is the greatest value
+    index = F.bround((F.sum("n").over(own) - 1) * F.lit(q), 0)
+    step = coarse.select(*keys, "__b", (index - (upto - F.col("n"))).alias("__i"), F.col("n").alias("__n")).where("__i >= 0 and __i < __n").drop("__n")
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "__b")]
+    fine = counts.alias("c").join(step.alias("s"), on).select(*(F.col(f"c.{k}").alias(k) for k in keys), F.col(f"c.{value}").alias("nearest"), F.col("c.n").alias("n"), "s.__i")
+    before = F.sum("n").over(own.orderBy("nearest")) - F.col("n")
+    return fine.withColumn("__before", before).where((F.col("__before") <= F.col("__i")) & (F.col("__i") < F.col("__before") + F.col("n"))).select(*keys, "nearest")
+
+
+def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float = 0.8, chunk_seconds: int = 3600) -> DataFrame:
+    """keep * previous + (1 - keep) * value in order; the first value is the seed.
+
+    A key's samples are folded in chunks (order begins with a timestamp or a number) to the factor and the
+    sum by which a chunk changes the average, and these few are folded in turn.
+    """
+    chunk = F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / chunk_seconds)
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v"))))
+    parts = df.groupBy(*keys, chunk.alias("__c")).agg(items.alias("xs"))
+    parts = parts.select(*keys, F.struct("__c", F.get("xs", F.lit(0))["__v"].alias("first"), F.pow(F.lit(keep), F.size("xs")).alias("a"), F.aggregate("xs", F.lit(0.0), lambda s, x: s * keep + x["__v"] * (1 - keep)).alias("s")).alias("p"))
+    folded = F.aggregate("ps", F.get("ps", F.lit(0))["first"], lambda y, p: y * p["a"] + p["s"])
+    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("ps")).select(*keys, folded.alias("ewma"))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -181,18 +201,20 @@ def growth_alert(samples: DataFrame, keys: list[str], value: str, size: str, win
 def rate_budget(attempts: DataFrame, total: int, per_chain: int, window: int = 60) -> DataFrame:
     """Requests of the last minute at each attempt, over all chains and on its own, against their budgets.
 
-    Times are summed to one row a second and chain first; the fleet's frame then runs a day at a time
-    with the minute before it.
+    Times are summed to one row a second and chain first; the frames then run a day at a time with the
+    minute before it.
     """
     sec = F.unix_seconds(F.col("ts").cast("timestamp"))
     counts = attempts.groupBy(sec.alias("s"), "chain").agg(F.count("*").alias("n"))
-    chain_w = Window.partitionBy("chain").orderBy("s").rangeBetween(-(window - 1), 0)
-    own = counts.withColumn("chain_used", F.sum("n").over(chain_w))
-    fleet = counts.groupBy("s").agg(F.sum("n").alias("n"))
     day = F.floor(F.col("s") / S.DAY)
-    spread = fleet.withColumn("own", F.lit(True)).withColumn("day", day).unionByName(fleet.where(F.col("s") % S.DAY >= S.DAY - window).withColumn("own", F.lit(False)).withColumn("day", day + 1))
-    all_w = Window.partitionBy("day").orderBy("s").rangeBetween(-(window - 1), 0)
-    used = spread.withColumn("used", F.sum("n").over(all_w)).where("own").select("s", "used")
+
+    def last_minute(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        spread = rows.withColumn("own", F.lit(True)).withColumn("day", day).unionByName(rows.where(F.col("s") % S.DAY >= S.DAY - window).withColumn("own", F.lit(False)).withColumn("day", day + 1))
+        w = Window.partitionBy(*keys, "day").orderBy("s").rangeBetween(-(window - 1), 0)
+        return spread.withColumn(name, F.sum("n").over(w)).where("own").drop("own", "day")
+
+    own = last_minute(counts, ["chain"], "chain_used")
+    used = last_minute(counts.groupBy("s").agg(F.sum("n").alias("n")), [], "used").select("s", "used")
     return own.join(used, "s").withColumn("over", (F.col("used") > total) | (F.col("chain_used") > per_chain))
 
 

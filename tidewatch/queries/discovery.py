@@ -211,7 +211,7 @@ def reorg_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reorg.missing_ranges(view(spark, sf_dir, "fx_tx").withColumnRenamed("block_number", "number"))
+    return reorg.missing_ranges(view(spark, sf_dir, "fx_tx").withColumnRenamed("block_number", "number"), bucket=128)
 
 
 MISSING = """, p AS (SELECT chain, block_number AS number, lead(block_number) OVER (PARTITION BY chain ORDER BY block_number) AS nxt FROM (SELECT DISTINCT chain, block_number FROM fx_tx)),

@@ -118,7 +118,7 @@ SELECT chain, address, lane, CASE lane WHEN 'recent' THEN 1 WHEN 'high_value' TH
 
 
 def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = schedule.failure_streaks(view(spark, sf_dir, "fx_attempts"), ["endpoint"], F.col("error_class") != "ok", ["id"])
+    out = schedule.failure_streaks(view(spark, sf_dir, "fx_attempts"), ["endpoint"], F.col("error_class") != "ok", ["id"], chunk_seconds=100)
     return out.select("id", "endpoint", "streak")
 
 

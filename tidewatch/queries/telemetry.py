@@ -74,7 +74,7 @@ LATENCY_DISC = sql("fx_attempts", body=" SELECT endpoint, round(quantile_disc(ms
 
 def latency_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed latency of each endpoint and day."""
-    out = T.ewma(_attempts(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["endpoint", "day"], ["id"], "ms")
+    out = T.ewma(_attempts(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["endpoint", "day"], ["id"], "ms", chunk_seconds=100)
     return out.select("endpoint", "day", r("ewma"))
 
 
