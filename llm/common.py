@@ -19,18 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Local folders that stand in for the shared one, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share, as a full address.
 
-    Only where the setting is absent (tests, one machine) a local temporary folder stands in.
+    Only where the setting is absent (tests, one machine) a local temporary folder stands in; the
+    setting itself is left alone.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        own = spark.sparkContext.applicationId
+        if own not in _LOCAL:
+            _LOCAL[own] = "file://" + tempfile.mkdtemp(prefix="llm-")
+        root = _LOCAL[own]
+    return f"{qualified(spark, root).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system: a path without one belongs to Spark's default, not to an executor's own disk."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

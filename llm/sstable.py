@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import slices
+from llm.common import qualified, slices
 from llm.encoding import default_tokenizer, encoder
 
-MAGIC = b"IDSST\x00\x01\n"
-ENTRY = struct.Struct("<HHI")  # shared key bytes, further key bytes, value bytes
-INDEX = struct.Struct("<HQIIQI")  # key bytes, offset, bytes, entries, ids before, crc32
+MAGIC = b"IDSST\x00\x02\n"
+ENTRY = struct.Struct("<III")  # shared key bytes, further key bytes, value bytes
+INDEX = struct.Struct("<IQIIQI")  # key bytes, offset, bytes, entries, ids before, crc32
 FOOTER = struct.Struct("<QQQIIQQ8s")  # index offset, bloom offset, bloom bytes, probes, blocks, keys, ids, magic
 
 
@@ -176,47 +176,58 @@ class Reader:
 
 
 def write_tables(
-    df: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text", end_id: int | None = 2, tokenizer_path: str | None = None, block_bytes: int = 1 << 16
+    df: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text", end_id: int | None = 2, tokenizer_path: str | None = None, block_bytes: int = 1 << 16, file_bytes: int = 1 << 30
 ) -> DataFrame:
     """Encode every text and write it into sorted tables under folder; returns their manifest.
 
     Rows are dealt by ranges of the id, so file follows file in ascending order; a null id comes
     first; equal ids are ordered by their text and all kept.  A null text is empty; end_id follows
-    each document's ids.  Each task attempt writes a file of its own name, and only files of
-    attempts that Spark accepted are in the manifest (folder/manifest, Parquet): file, docs, tokens,
-    first_key, last_key, and start, the ids in all files before it.
+    each document's ids.  Each task attempt writes files of its own names, a new one after about
+    file_bytes, and only files of attempts that Spark accepted are in the manifest (folder/manifest,
+    Parquet): file, docs, tokens, first_key, last_key, and start, the ids in all files before it.  Whole
+    texts count, however long; an empty table gives an empty manifest; other columns don't matter.  A
+    folder without a file system belongs to Spark's default one.
     """
     spark, path = df.sparkSession, tokenizer_path or default_tokenizer()
+    folder = qualified(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, writer, docs, first = encoder(path), None, 0, b""
+        own, writer, docs, first, place = encoder(path), None, 0, b"", 0
         tail = b"" if end_id is None else struct.pack("<I", end_id)
         part, uri, key = TaskContext.get().partitionId(), "", b""
+        names = ["part", "place", "file", "docs", "tokens", "bytes", "first_key", "last_key"]
+
+        def done() -> pa.RecordBatch:
+            size = writer.close()
+            return pa.RecordBatch.from_pydict(dict(zip(names, [[part], [place], [uri], [docs], [writer.ids], [size], [first], [key]])))
+
         for batch in batches:
             for rows in slices(batch, "text"):
                 for k, ids in zip(rows.column("id").to_pylist(), own.encode(rows.column("text"))):
+                    if writer is not None and writer.at >= file_bytes:
+                        yield done()
+                        writer, docs, place = None, 0, place + 1
                     key = key_bytes(k)
                     if writer is None:
-                        uri, first = f"{folder}/data/{part:06d}-{uuid.uuid4().hex}.sst", key
+                        uri, first = f"{folder}/data/{part:06d}-{place:06d}-{uuid.uuid4().hex}.sst", key
                         writer = Writer(uri, block_bytes)
                     writer.add(key, ids + tail)
                     docs += 1
         if writer is not None:
-            size = writer.close()
-            names = ["part", "file", "docs", "tokens", "bytes", "first_key", "last_key"]
-            yield pa.RecordBatch.from_pydict(dict(zip(names, [[part], [uri], [docs], [writer.ids], [size], [first], [key]])))
+            yield done()
 
     rows = df.select(df[id_column].alias("id"), df[text_column].alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    made = rows.mapInArrow(run, "part long, file string, docs long, tokens long, bytes long, first_key binary, last_key binary")
+    made = rows.mapInArrow(run, "part long, place long, file string, docs long, tokens long, bytes long, first_key binary, last_key binary")
     made.write.parquet(f"{folder}/written")
     manifest = spark.read.parquet(f"{folder}/written")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
 def read_tables(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
     """Scan the files back, block by block: (id, start, ids as little-endian bytes)."""
+    folder = qualified(spark, folder)
     manifest = spark.read.parquet(f"{folder}/manifest").select("file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +245,7 @@ def read_tables(spark: SparkSession, folder: str, id_type: str = "long") -> Data
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame, id_type: str = "long") -> DataFrame:
     """Values of the given ids (column id): each goes to the files whose key range holds it, then by binary search."""
+    folder = qualified(spark, folder)
     manifest = spark.read.parquet(f"{folder}/manifest").select("file", "first_key", "last_key")
     to_key = F.udf(lambda k: bytearray(key_bytes(k)), "binary")
     asked = keys.select("id").distinct().withColumn("key", to_key("id"))
