@@ -396,20 +396,95 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
+def linked_sets(sets, percent):
+    """brute_components by counting shared members, for many small sets."""
+    holders = collections.defaultdict(list)
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in sorted(sets):
+        common = collections.Counter(o for g in sets[k] for o in holders[g])
+        for o, n in common.items():
+            if 100 * n >= percent * (len(sets[k]) + len(sets[o]) - n):
+                x, y = find(k), find(o)
+                parent[max(x, y)] = min(x, y)
+        for g in sets[k]:
+            holders[g].append(k)
+    return {k: find(k) for k in sets}
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = {r.doc_id for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        from llm.common import materialize
-
-        out = materialize(stage(spark, docs, SF), name)
-        assert out.columns == docs.columns
-        after = {r.doc_id for r in out.select("doc_id").collect()}
-        assert after <= before
-        docs, before = out, after
-    assert before
+
+def test_pipeline(spark, library):
+    """Each stage on what the one before kept, against brute force, and run() as all of them."""
+    import corpus_pipeline
+    from llm.common import materialize
+
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "toxicity", "line_dedup", "near_dedup", "packing"]
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    # quality: words, repeated windows and the ratio's cut
+    now, before = materialize(stages["quality"](spark, source, SF), "quality"), texts(source)
+    ratios = quality_rules.fit_ratios(source, labels)
+    cut = quality_rules.fit_threshold(source, labels, ratios)
+    scores = {r.doc_id: r.ngram_score for r in quality_rules.with_score(source, ratios).collect()}
+    word, want = re.compile(r"[^\x20\x09-\x0D]+"), {}
+    for k, t in before.items():
+        w = word.findall(t or "")
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        c = collections.Counter(tri)
+        covered = {j for i, x in enumerate(tri) if c[x] > 1 for j in (i, i + 1, i + 2)}
+        if len(w) >= 50 and 100 * len(covered) <= 50 * len(w) and scores[k] >= cut:
+            want[k] = t
+    assert texts(now) == want and now.columns == source.columns and 0 < len(want) < len(before)
+
+    # toxicity: the fitted weights
+    model, before = toxicity.fit(now, labels), want
+    now = materialize(stages["toxicity"](spark, now, SF), "toxicity")
+    want = {k: t for k, t in before.items() if model.at_least(np.array([sum(model.weights.get(w, 0.0) for w in toxicity.features(t))]))[0, 0] < 0.5}
+    assert texts(now) == want and now.columns == source.columns
+
+    # lines: all pairs of lines
+    before, now = want, materialize(stages["line_dedup"](spark, now, SF), "lines")
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
+    first = {}
+    for k in sorted(before):
+        for i, x in enumerate((before[k] or "").split("\n")):
+            if norm(x):
+                first.setdefault(norm(x), (k, i))
+    comp = linked_sets({at: {x[j : j + 5] for j in range(max(1, len(x) - 4))} for x, at in first.items()}, 80)
+    want = {}
+    for k, t in before.items():
+        old = (t or "").split("\n")
+        left = [x for i, x in enumerate(old) if not norm(x) or comp[first[norm(x)]] == (k, i)]
+        if left == old or word.search("\n".join(left)):
+            want[k] = "\n".join(left)
+    assert texts(now) == want and now.columns == source.columns
+    assert all(r.n_chars == len(r.text) for r in now.collect() if r.text != before[r.doc_id])
+
+    # documents: all pairs of documents
+    before, now = want, materialize(stages["near_dedup"](spark, now, SF), "near")
+    comp = brute_components({k: shingles(t, 5) for k, t in before.items()}, 80)
+    want = {k: t for k, t in before.items() if comp[k] == k or not shingles(t, 5)}
+    assert texts(now) == want and now.columns == source.columns
+
+    # packing: every id once, sequences without gaps; and all stages together
+    pieces = [stages["packing"](spark, now, SF).collect(), corpus_pipeline.run(spark, SF).collect()]
+    for rows in pieces:
+        own, groups = collections.defaultdict(list), collections.defaultdict(list)
+        for r in rows:
+            own[r.doc_id].append(r)
+            groups[r.sequence_id].append(r)
+        assert {k: [x for r in sorted(rs, key=lambda r: r.start) for x in np.frombuffer(r.ids, "<u4").tolist()] for k, rs in own.items()} == {k: ids_of(library, t) + [0] for k, t in want.items()}
+        for g in groups.values():
+            g.sort(key=lambda r: r.offset)
+            n = sum(r.length for r in g)
+            assert [r.offset for r in g] == [0, *np.cumsum([r.length for r in g])[:-1]] and n <= 1024 and (n == 1024 or n & (n - 1) == 0)
 
 
 def crowded_lines(seed: int, words: int, families: int, edits: tuple[int, int]) -> list[str]:
