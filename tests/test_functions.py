@@ -190,3 +190,38 @@ def test_amount_words(spark):
     words = {0: "0", 1: "1", 10**9: "1000000000", 2**256 - 1: str(2**256 - 1), 10**40 + 7: str(10**40 + 7)}
     df = spark.createDataFrame([(f"0x{k:064x}", v) for k, v in words.items()] + [("0x12", None), (None, None)], "w string, want string")
     assert all(r.got == r.want for r in df.select("want", S.abi_uint256_decimal(F.col("w")).alias("got")).collect())
+
+
+def test_load_states_under_pressure(spark):
+    """Random series against the rules written as a loop."""
+    import random
+
+    r = random.Random(6)
+    rows, t = [], 1_700_000_000
+    for k in range(600):
+        t += r.choice([20, 40, 70])
+        hot = (k // 40) % 3
+        attempts = r.choice([10, 60, 100, 200]) if r.random() < 0.1 else 200
+        errors = {0: r.randrange(0, 15), 1: r.randrange(45, 60), 2: r.randrange(60, 120)}[hot]
+        rows.append(("d", datetime.datetime.fromtimestamp(t, datetime.timezone.utc), r.choice([100, 100, 100, 6000 if hot else 100, 25000 if k % 97 == 0 else 100]), 10 * r.randrange(100), r.randrange(10), attempts, errors, 1000.0 * r.randrange(1, 7)))
+    df = spark.createDataFrame(rows, "day string, ts timestamp, pending long, oldest_sec long, wait_sec long, rpc_attempts long, rpc_errors long, rpc_p95_ms double")
+    got = [(x.state, x.live, x.backfill) for x in telemetry.load_states(df, ["day"]).orderBy("ts").collect()]
+    want, state, since, pressure = [], "normal", None, False
+    began = {"bad": None, "severe": None, "healthy": None}
+    for _, ts, pending, oldest, wait, n, e, p95 in rows:
+        now, share = ts.timestamp(), e / n
+        holds = {"bad": n >= 50 and (share >= 0.2 or p95 >= 15000), "severe": n >= 50 and share >= 0.35, "healthy": n >= 50 and share < 0.1 and p95 < 8000}
+        began = {m: (began[m] if began[m] is not None else now) if h else None for m, h in holds.items()}
+        lasts = {m: b is not None and now - b >= {"bad": 120, "severe": 60, "healthy": 600}[m] for m, b in began.items()}
+        pressure = True if lasts["bad"] or lasts["severe"] else False if lasts["healthy"] else pressure
+        calm = pending < 5000 and oldest < 3600 if state == "balance_only" else pending < 2000 and oldest < 1800 and wait < 15
+        if pending >= 20000 or oldest >= 21600:
+            state, since = "balance_only", None
+        elif state == "drain" and (pending >= 5000 or oldest >= 3600 or wait >= 30 or pressure) or state == "normal" and (pending >= 5000 or oldest >= 3600 or wait >= 30 or pressure):
+            state, since = "drain", None
+        elif state != "normal":
+            since = (since if since is not None else now) if calm else None
+            if since is not None and now - since >= 600:
+                state, since = {"balance_only": "drain", "drain": "normal"}[state], None
+        want.append((state, {"normal": 6, "drain": 3, "balance_only": 0}[state], 3 if state == "normal" else 0))
+    assert got == want and len({x[0] for x in want}) == 3

@@ -177,6 +177,43 @@ def sustained(df: DataFrame, value: Column, above: Column, window: int, least_sp
     return rows.withColumn("span", span).withColumn("sustained", (F.col("__low") == 1) & (span >= least_span)).drop("__low")
 
 
+def held(df: DataFrame, holds: Column, window: int, least_span: int, keys: list[str], name: str) -> DataFrame:
+    """df with name: whether at each sample a condition held for all of the last `window` seconds, spanning long enough.
+
+    Samples for which the condition is unknown don't count and are not held.
+    """
+    w = _range(keys, window)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = (at - F.min(F.when(holds.isNotNull(), at)).over(w)) / 1e6
+    all_ = F.min(holds.cast("int")).over(w) == 1
+    return df.withColumn(name, F.coalesce(holds.isNotNull() & all_ & (span >= least_span), F.lit(False)))
+
+
+def request_pressure(series: DataFrame, key: list[str]) -> DataFrame:
+    """series (key, ts, rpc_attempts, rpc_errors, rpc_p95_ms) with pressure.
+
+    Pressure begins when requests were bad (a fifth failed, or p95 of 15 s) for 120 seconds or severe
+    (35 % failed) for 60, and ends after 600 healthy seconds (under a tenth failed, p95 under 8 s).
+    Fewer than 50 attempts are neither.  Runs are islands of samples, and the last event decides.
+    """
+    enough, share = F.coalesce(F.col("rpc_attempts") >= 50, F.lit(False)), F.col("rpc_errors") / F.col("rpc_attempts")
+    marks = {
+        "bad": (enough & ((share >= 0.20) | (F.col("rpc_p95_ms") >= 15_000)), 120),
+        "severe": (enough & (share >= 0.35), 60),
+        "healthy": (enough & (share < 0.10) & (F.col("rpc_p95_ms") < 8_000), 600),
+    }
+    w = Window.partitionBy(*key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = series
+    for name, (holds, long) in marks.items():
+        yes = F.coalesce(holds, F.lit(False))
+        # samples that hold after the same break are one run
+        rows = rows.withColumn("__run", F.coalesce(F.max(F.when(~yes, seconds("ts"))).over(w), F.lit(-1.0)))
+        since = F.min(F.when(yes, seconds("ts"))).over(Window.partitionBy(*key, "__run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn(f"__{name}", F.when(yes & (seconds("ts") - since >= long), 1).otherwise(0)).drop("__run")
+    event = F.when((F.col("__bad") == 1) | (F.col("__severe") == 1), True).when(F.col("__healthy") == 1, False)
+    return rows.withColumn("pressure", F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(False))).drop(*(f"__{m}" for m in marks))
+
+
 def outages(samples: DataFrame, keys: list[str], window: int = 120, least_span: int = 100) -> DataFrame:
     """At each sample: two or more without any endpoint within the window, and long enough apart."""
     down = samples.where("active_rpc = 'none'")
@@ -236,18 +273,20 @@ def incidents(df: DataFrame, key: list[str], open_if: Column, close_if: Column,
     return out.where("opened_at is not null").drop("__epoch")
 
 
-def load_states(series: DataFrame, key: list[str]) -> DataFrame:
-    """(key, ts, state) of a load governor: normal, drain or balance_only, as a fold over each key's samples.
+def load_states(series: DataFrame, key: list[str], base_live: int = 6, base_backfill: int = 3, allow_balance_only: bool = True) -> DataFrame:
+    """(key, ts, state, live, backfill) of a load governor: normal, drain or balance_only, as a fold over each key's samples.
 
-    series: (key, ts, pending, oldest_sec, wait_sec).  Heavier states hold at once; lighter ones after
-    600 healthy seconds.  A key is one fleet and a bounded time, such as a day.
+    series: (key, ts, pending, oldest_sec, wait_sec), and for request pressure rpc_attempts, rpc_errors
+    and rpc_p95_ms.  Heavier states hold at once; lighter ones after 600 healthy seconds.  live and
+    backfill are how many slots each may use.  A key is one fleet and a bounded time, such as a day.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "pending", "oldest_sec", "wait_sec")))
-    zero = F.struct(F.lit("normal").alias("state"), F.lit(None).cast("long").alias("since"), F.expr("cast(array() as array<struct<t:bigint,state:string>>)").alias("out"))
+    pressed = request_pressure(series, key) if "rpc_attempts" in series.columns else series.withColumn("pressure", F.lit(False))
+    items = F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "pending", "oldest_sec", "wait_sec", "pressure")))
+    zero = F.struct(F.lit("normal").alias("state"), F.lit(None).cast("long").alias("since"), F.expr("cast(array() as array<struct<t:bigint,state:string,pressure:boolean>>)").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        critical = (x["pending"] >= 20_000) | (x["oldest_sec"] >= 21_600)
-        drain = (x["pending"] >= 5_000) | (x["oldest_sec"] >= 3_600) | (x["wait_sec"] >= 30)
+        critical = ((x["pending"] >= 20_000) | (x["oldest_sec"] >= 21_600)) & F.lit(allow_balance_only)
+        drain = (x["pending"] >= 5_000) | (x["oldest_sec"] >= 3_600) | (x["wait_sec"] >= 30) | x["pressure"]
         better = F.when(a["state"] == "balance_only", (x["pending"] < 5_000) & (x["oldest_sec"] < 3_600)).when(
             a["state"] == "drain", (x["pending"] < 2_000) & (x["oldest_sec"] < 1_800) & (x["wait_sec"] < 15)
         ).otherwise(F.lit(False))
@@ -260,10 +299,14 @@ def load_states(series: DataFrame, key: list[str]) -> DataFrame:
             .when(a["state"] == "drain", F.when(ripe, "normal").otherwise("drain"))
             .otherwise("normal")
         )
-        return F.struct(state.alias("state"), F.when(~ripe, since).alias("since"), F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), state.alias("state")))).alias("out"))
+        return F.struct(state.alias("state"), F.when(~ripe, since).alias("since"), F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), state.alias("state"), x["pressure"].alias("pressure")))).alias("out"))
 
-    folded = series.groupBy(*key).agg(items.alias("xs")).select(*key, F.aggregate("xs", zero, step, lambda a: a["out"]).alias("out"))
-    return folded.select(*key, F.explode("out").alias("x")).select(*key, F.timestamp_seconds("x.t").alias("ts"), "x.state")
+    folded = pressed.groupBy(*key).agg(items.alias("xs")).select(*key, F.aggregate("xs", zero, step, lambda a: a["out"]).alias("out"))
+    drained = F.when(F.lit(allow_balance_only) | F.col("x.pressure"), 0).otherwise(min(base_backfill, 1))
+    slots = lambda normal, drain: F.when(F.col("x.state") == "balance_only", 0).when(F.col("x.state") == "drain", drain).otherwise(normal)
+    return folded.select(*key, F.explode("out").alias("x")).select(
+        *key, F.timestamp_seconds("x.t").alias("ts"), "x.state", slots(base_live, F.lit(min(base_live, 3))).alias("live"), slots(base_backfill, drained).alias("backfill"),
+    )
 
 
 def scrape_metrics(lines: DataFrame, column: str = "value", keys: list[str] | None = None) -> DataFrame:

@@ -165,13 +165,15 @@ SELECT day, count(*) FILTER (WHERE low = 1 AND span >= 900) AS n FROM w GROUP BY
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CPU incidents of each day: open when sustained, closed by a sample under 10."""
+    """CPU incidents of each day: open when the load was high for an hour, closed when it was low for half an hour."""
     rows = T.sustained(_resources(spark, sf_dir), F.col("cpu_percent"), F.lit(30.0), 3600, 1800, ["day"])
-    out = T.incidents(rows, ["day"], F.col("sustained"), F.col("cpu_percent") < 10, ["ts", "id"])
+    rows = T.held(rows, F.col("cpu_percent") < 40, 1800, 900, ["day"], "calm")
+    out = T.incidents(rows, ["day"], F.col("sustained"), F.col("calm"), ["ts", "id"])
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.unix_micros("opened_at").alias("opened_at"), F.unix_micros("closed_at").alias("closed_at"), "repeats")
 
 
-INCIDENTS = sql("fx_resources", body=SUSTAINED + """, f AS (SELECT day, ts, id, t, CASE WHEN cpu_percent < 10 THEN 1 ELSE 0 END AS c, CASE WHEN low = 1 AND span >= 1800 AND NOT cpu_percent < 10 THEN 1 ELSE 0 END AS o FROM w),
+INCIDENTS = sql("fx_resources", body=SUSTAINED + """, k AS (SELECT *, min(CASE WHEN cpu_percent < 40 THEN 1 ELSE 0 END) OVER y = 1 AND (t - min(t) OVER y) / 1e6 >= 900 AS calm FROM w WINDOW y AS (PARTITION BY day ORDER BY t RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)),
+f AS (SELECT day, ts, id, t, CASE WHEN calm THEN 1 ELSE 0 END AS c, CASE WHEN low = 1 AND span >= 1800 AND NOT calm THEN 1 ELSE 0 END AS o FROM k),
 e AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch_ FROM f WHERE c + o > 0)
 SELECT strftime(day, '%Y-%m-%d') AS day, min(CASE WHEN o = 1 THEN t END) AS opened_at, max(CASE WHEN c = 1 THEN t END) AS closed_at, CAST(sum(o) AS BIGINT) AS repeats FROM e GROUP BY day, epoch_ HAVING sum(o) > 0""")
 
@@ -179,8 +181,11 @@ SELECT strftime(day, '%Y-%m-%d') AS day, min(CASE WHEN o = 1 THEN t END) AS open
 def load_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of the load governor in each day, from samples as backlog."""
     s = _samples(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    series = s.select("day", "ts", (F.col("rpc_requests") * 60).alias("pending"), (F.col("rpc_errors") * 100).alias("oldest_sec"), F.col("rpc_errors").alias("wait_sec"))
-    return T.load_states(series, ["day"]).groupBy("day", "state").agg(F.count("*").alias("n"))
+    series = s.select(
+        "day", "ts", (F.col("rpc_requests") * 60).alias("pending"), (F.col("rpc_errors") * 100).alias("oldest_sec"), F.col("rpc_errors").alias("wait_sec"),
+        F.col("rpc_requests").alias("rpc_attempts"), "rpc_errors", (F.col("rpc_requests") * 100).alias("rpc_p95_ms"),
+    )
+    return T.load_states(series, ["day"]).groupBy("day", "state", "live", "backfill").agg(F.count("*").alias("n"))
 
 
 def resource_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
