@@ -218,7 +218,7 @@ ESTIMATE_BAND = sql("fx_code", "fx_balances", body="""
 p AS (SELECT c.address, CASE WHEN c.has_code = 0 THEN 0.0 ELSE CAST(100 * w.n AS DOUBLE) END AS amount FROM fx_code c LEFT JOIN w ON w.address = c.address AND w.chain = c.chain WHERE c.has_code IS NOT NULL),
 g AS (SELECT address, sum(amount) AS v, count(amount) AS coverage, count(*) AS total_networks, max(CASE WHEN amount IS NULL THEN 1 ELSE 0 END) AS missing FROM p GROUP BY address)
 SELECT address, round(v, 2) AS estimated_usd, round(v / (1 + CAST(0.1 AS DOUBLE)), 2) AS lower_usd, round(CASE WHEN missing = 0 THEN v / (1 - CAST(0.1 AS DOUBLE)) END, 2) AS upper_usd, coverage, total_networks,
-  CASE WHEN missing = 1 THEN 'incomplete' WHEN v / 1.1 >= 30000 THEN 'estimated_above' WHEN v / 0.9 >= 30000 THEN 'near_threshold' ELSE 'estimated_below' END AS status FROM g""")
+  CASE WHEN missing = 1 THEN 'incomplete' WHEN v >= 33000 THEN 'estimated_above' WHEN v >= 27000 THEN 'near_threshold' ELSE 'estimated_below' END AS status FROM g""")
 
 QUERIES = {
     "address_liquidity": (address_liquidity, ADDRESS_LIQUIDITY),
