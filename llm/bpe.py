@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from llm.common import slices
 from llm.encoding import BYTES, default_tokenizer
@@ -174,11 +175,14 @@ def encode_digests(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def encode_ids(df: DataFrame, text_column: str = "text", ids_column: str = "ids", tokenizer_path: str | None = None) -> DataFrame:
-    """df with its encoded ids as one more column, an array of int."""
+    """df with its encoded ids as one more column, an array of int; a column of that name is replaced.
+
+    A null or empty text has no ids; rows stay as they are, repeated ones and those of null ids too.
+    """
     path = tokenizer_path or default_tokenizer()
     names = [c for c in df.columns if c != ids_column]
     rows = df.select(*names)
-    schema = rows.schema.add(ids_column, "array<int>")
+    schema = StructType([*rows.schema.fields, StructField(ids_column, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -199,7 +199,8 @@ def pack(
     tokens; what is left at the end of a task's documents becomes sequences whose lengths are powers
     of two, so that nothing is padded.  ids are little-endian unsigned 32-bit integers.  Every row is
     packed, also with a null or repeated id; documents with equal keys are ordered by id, then by
-    their ids' bytes.  Other columns of docs don't matter.
+    their ids' bytes.  Whole texts are packed, however long; an empty table gives no rows; other columns
+    of docs don't matter.
     """
     encoded = materialize(encode(docs, id_column, text_column, end_id, tokenizer_path), "encoded")
     df, n, mean = corpus_statistics(encoded)

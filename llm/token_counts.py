@@ -17,7 +17,9 @@ from llm.encoding import default_tokenizer, encoder
 def length_counts(df: DataFrame, text_column: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """(length, n_docs): how many texts have each number of ids.  Null counts as empty, of length 0.
 
-    Every task counts its own texts first; only a row for each length and task is shuffled.
+    Every task counts its own texts first; only a row for each length and task is shuffled.  Repeated
+    rows count each; whole texts count, however long; an empty table gives no rows; other columns don't
+    matter.
     """
     path = tokenizer_path or default_tokenizer()
 

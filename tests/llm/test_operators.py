@@ -73,6 +73,12 @@ def test_bpe(docs, empty, library):
     assert [codec.decode(i) for i in codec.encode(odd)] == odd
 
 
+def test_encode_ids(docs, empty, library):
+    got = bpe.encode_ids(docs.withColumn("ids", docs["kept"])).collect()
+    assert collections.Counter((r.doc_id, r.id, tuple(r.ids)) for r in got) == collections.Counter((k, j, tuple(ids_of(library, t))) for k, t, _, j in ROWS)
+    assert bpe.encode_ids(empty).count() == 0
+
+
 def test_sstable(spark, docs, empty, library, tmp_path):
     folder = str(tmp_path / "t")
     manifest = sstable.write_tables(docs, folder, block_bytes=256)
