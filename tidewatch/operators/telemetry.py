@@ -215,11 +215,19 @@ def request_pressure(series: DataFrame, key: list[str]) -> DataFrame:
 
 
 def outages(samples: DataFrame, keys: list[str], window: int = 120, least_span: int = 100) -> DataFrame:
-    """At each sample: two or more without any endpoint within the window, and long enough apart."""
-    down = samples.where("active_rpc = 'none'")
-    w = _range(keys, window)
+    """At each sample: two or more without any endpoint within the window, and long enough apart.
+
+    The frame runs a day (or a window, if that is longer) at a time, with the window before it.
+    """
+    down = samples.where("active_rpc = 'none'").withColumn("__own", F.lit(True))
+    long = max(S.DAY, window)
+    down = down.withColumn("__day", F.floor(seconds("ts") / long))
+    lead = down.where(seconds("ts") >= (F.col("__day") + 1) * long - window).withColumn("__own", F.lit(False)).withColumn("__day", F.col("__day") + 1)
+    rows = down.unionByName(lead)
+    w = _range([*keys, "__day"], window)
     span = seconds("ts") - F.min(seconds("ts")).over(w)
-    return down.withColumn("n", F.count("*").over(w)).withColumn("outage", (F.col("n") >= 2) & (span >= least_span))
+    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("outage", (F.col("n") >= 2) & (span >= least_span))
+    return rows.where("__own").drop("__own", "__day")
 
 
 def counter_stall(samples: DataFrame, keys: list[str], counter: str, pending: str, window: int = 600, least_span: int = 540) -> DataFrame:

@@ -49,9 +49,8 @@ WHERE NOT (address % 10 = 0 AND address % 3 <> 0) AND (total_usd >= 400000 OR st
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
     latest = schedule.latest_by_time(scans).select("address", "id", "total_usd")
-    recent = scans  # all of them
-    parts = recent.select("address", F.concat(F.lit("c"), F.col("id") % 5).alias("chain"), "status", "total_usd").distinct()
-    sources = recent.select("address", F.when(F.col("id") % 2 == 0, "direct_deploy").otherwise("active_call").alias("source"))
+    parts = scans.select("address", F.concat(F.lit("c"), F.col("id") % 5).alias("chain"), "status", "total_usd").distinct()
+    sources = scans.select("address", F.when(F.col("id") % 2 == 0, "direct_deploy").otherwise("active_call").alias("source"))
     return reports.report_rows(latest, parts, sources).withColumn("parts_usd", F.round("parts_usd", 2))
 
 
