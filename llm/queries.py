@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, line_dedup, lm_scoring, near_dedup, packing, quality_rules, sstable, token_counts, topk, toxicity
+from llm import alignment, bpe, line_dedup, lm_scoring, metric_trees, near_dedup, packing, quality_rules, slots, sstable, token_counts, topk, toxicity
 from llm.common import shared_dir, table
 
 
@@ -66,12 +66,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes near equal, by a stored map of slots; virtual_slot, first_shard and next_shard show how the map was edited."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = slots.assigned(rows, size=F.col("size"), map_folder=shared_dir(spark, "op11-maps"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "first_shard", "next_shard")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_metric_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = metric_trees.compress(table(spark, sf_dir, "embeddings"))
+    out = metric_trees.with_label_errors(coded)
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(metric_trees.codebook_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_sstable, op3_topk, op4_near_dedup, op5_packing, op6_quality_rules, op7_length_histogram, op8_toxicity, op9_line_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_sstable, op3_topk, op4_near_dedup, op5_packing, op6_quality_rules, op7_length_histogram, op8_toxicity, op9_line_dedup, op10_bpe, op11_virtual_slots, op12_alignment, op13_metric_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOPK_SQL, "op4_near_dedup": NEAR_SQL}
+    return {"op3_topk": TOPK_SQL, "op4_near_dedup": NEAR_SQL, "op13_metric_trees": TREES_SQL}
 
 
 #: The same search, pair by pair.
@@ -105,3 +123,34 @@ e AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, r.doc_id = min(r.c) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+#: Every part against every entry; a round is the same text again.
+_ROUND = """, d{r} AS (
+  SELECT p.vec_id, p.label, p.part, p.q, c.entry, list_sum(list_transform(list_zip(p.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{r} c ON c.part = p.part
+), a{r} AS (
+  SELECT vec_id, any_value(label) AS label, part, any_value(q) AS q, min({{'d': CAST(d AS BIGINT), 'entry': entry}}) AS best FROM d{r} GROUP BY vec_id, part
+)"""
+_MEANS = """, m{r} AS (
+  SELECT part, best.entry AS entry, i, CAST(floor(sum(q[i]) / count(*)) AS BIGINT) AS x FROM a{p}, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(q) GROUP BY ALL
+), c{r} AS (
+  SELECT c.part, c.entry, coalesce(m.q, c.q) AS q FROM c{p} c LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS q FROM m{r} GROUP BY part, entry) m ON m.part = c.part AND m.entry = c.entry
+)"""
+TREES_SQL = (
+    """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT vec_id, label, part, q[1 + part * len(q) // 16 : (part + 1) * len(q) // 16] AS q FROM v, (SELECT unnest(range(16)) AS part)
+), c0 AS (
+  SELECT part, rank - 1 AS entry, q FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS rank FROM p) WHERE rank <= 64
+)"""
+    + _ROUND.format(r=0) + _MEANS.format(r=1, p=0) + _ROUND.format(r=1) + _MEANS.format(r=2, p=1) + _ROUND.format(r=2)
+    + """, f AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id
+), l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f GROUP BY label),
+h AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT f.vec_id, code, error, label_error, codebooks_sha256 FROM f JOIN l ON l.label IS NOT DISTINCT FROM f.label, h
+"""
+)
