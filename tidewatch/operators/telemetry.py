@@ -164,29 +164,68 @@ def _range(keys: list[str], window: int) -> Window:
     return w.orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-window * 1_000_000, 0)
 
 
+def _chunked(rows: DataFrame, window: int) -> DataFrame:
+    """rows in chunks of a day (or a window, if that is longer), each with the window before it: __chunk, and __own for the chunk's own rows.
+
+    Frames of `window` seconds within a chunk then hold the same rows as over the whole series, and no
+    series lies in one task.
+    """
+    long = max(S.DAY, window)
+    own = rows.withColumn("__own", F.lit(True)).withColumn("__chunk", F.floor(seconds("ts") / long))
+    lead = own.where(seconds("ts") >= (F.col("__chunk") + 1) * long - window)
+    return own.unionByName(lead.withColumn("__own", F.lit(False)).withColumn("__chunk", F.col("__chunk") + 1))
+
+
 def sustained(df: DataFrame, value: Column, above: Column, window: int, least_span: int, keys: list[str] | None = None) -> DataFrame:
     """Whether at each sample all of the last `window` seconds lie above a limit and span long enough.
 
-    Samples without a value don't count.  Give keys, also for one series (such as its day), where the
-    table is large: the frame runs within them.
+    Samples without a value don't count.  Frames run over midnight.
     """
-    w = _range(keys or [], window)
-    rows = df.where(value.isNotNull()).withColumn("__low", F.min((value > above).cast("int")).over(w))
+    w = _range([*(keys or []), "__chunk"], window)
+    rows = _chunked(df.where(value.isNotNull()), window).withColumn("__low", F.min((value > above).cast("int")).over(w))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     span = (at - F.min(at).over(w)) / 1e6
-    return rows.withColumn("span", span).withColumn("sustained", (F.col("__low") == 1) & (span >= least_span)).drop("__low")
+    rows = rows.withColumn("span", span).withColumn("sustained", (F.col("__low") == 1) & (span >= least_span))
+    return rows.where("__own").drop("__low", "__own", "__chunk")
 
 
 def held(df: DataFrame, holds: Column, window: int, least_span: int, keys: list[str], name: str) -> DataFrame:
     """df with name: whether at each sample a condition held for all of the last `window` seconds, spanning long enough.
 
-    Samples for which the condition is unknown don't count and are not held.
+    Samples for which the condition is unknown don't count and are not held.  Frames run over midnight.
     """
-    w = _range(keys, window)
+    w = _range([*keys, "__chunk"], window)
+    rows = _chunked(df, window)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     span = (at - F.min(F.when(holds.isNotNull(), at)).over(w)) / 1e6
     all_ = F.min(holds.cast("int")).over(w) == 1
-    return df.withColumn(name, F.coalesce(holds.isNotNull() & all_ & (span >= least_span), F.lit(False)))
+    rows = rows.withColumn(name, F.coalesce(holds.isNotNull() & all_ & (span >= least_span), F.lit(False)))
+    return rows.where("__own").drop("__own", "__chunk")
+
+
+def stall_incidents(samples: DataFrame, keys: list[str], cursor: str = "cursor_block", head: str = "safe_head", age: int = 900, chunk_blocks: int = 1 << 16) -> DataFrame:
+    """(keys, opened_at, closed_at, repeats): stalls of a cursor that never goes back within keys.
+
+    A stall opens at the first sample whose cursor stands where it stood at the last sample at least
+    `age` seconds before, while the head advanced and an endpoint is up.  Only progress of the cursor
+    closes it: neither a lost endpoint nor a head that stands still does.  Samples of one cursor are an
+    island, and the next island's first sample is the progress; islands are chained in chunks of blocks
+    with one row of the first island a chunk, so no series lies in one task.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = [*keys, cursor]
+    rows = samples.where(F.col(cursor).isNotNull()).withColumn("__at", at)
+    w = Window.partitionBy(*own).orderBy("__at").rangeBetween(Window.unboundedPreceding, -age * 1_000_000)
+    base = F.last(F.struct(head)).over(w)
+    up = ~F.coalesce("active_rpc", F.lit("")).isin("", "none")
+    rows = rows.withColumn("__stalled", F.coalesce(up & (F.col(head) > base[head]), F.lit(False)))
+    islands = rows.groupBy(*own).agg(F.min("__at").alias("first"), F.min(F.when(F.col("__stalled"), F.col("__at"))).alias("opened_at"), F.count_if("__stalled").alias("repeats"))
+    islands = islands.withColumn("__chunk", F.floor(F.col(cursor) / chunk_blocks))
+    inside = islands.withColumn("__next", F.lead("first").over(Window.partitionBy(*keys, "__chunk").orderBy(cursor)))
+    ends = islands.groupBy(*keys, "__chunk").agg(F.min_by("first", cursor).alias("__first"))
+    ends = ends.withColumn("__later", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__chunk"))).drop("__first")
+    out = inside.where("opened_at is not null").join(ends, [*keys, "__chunk"])
+    return out.select(*keys, "opened_at", F.coalesce("__next", "__later").alias("closed_at"), "repeats")
 
 
 def request_pressure(series: DataFrame, key: list[str]) -> DataFrame:
@@ -219,15 +258,11 @@ def outages(samples: DataFrame, keys: list[str], window: int = 120, least_span:
 
     The frame runs a day (or a window, if that is longer) at a time, with the window before it.
     """
-    down = samples.where("active_rpc = 'none'").withColumn("__own", F.lit(True))
-    long = max(S.DAY, window)
-    down = down.withColumn("__day", F.floor(seconds("ts") / long))
-    lead = down.where(seconds("ts") >= (F.col("__day") + 1) * long - window).withColumn("__own", F.lit(False)).withColumn("__day", F.col("__day") + 1)
-    rows = down.unionByName(lead)
-    w = _range([*keys, "__day"], window)
+    rows = _chunked(samples.where("active_rpc = 'none'"), window)
+    w = _range([*keys, "__chunk"], window)
     span = seconds("ts") - F.min(seconds("ts")).over(w)
     rows = rows.withColumn("n", F.count("*").over(w)).withColumn("outage", (F.col("n") >= 2) & (span >= least_span))
-    return rows.where("__own").drop("__own", "__day")
+    return rows.where("__own").drop("__own", "__chunk")
 
 
 def counter_stall(samples: DataFrame, keys: list[str], counter: str, pending: str, window: int = 600, least_span: int = 540) -> DataFrame:
@@ -263,16 +298,21 @@ def rate_budget(attempts: DataFrame, total: int, per_chain: int, window: int = 6
     return own.join(used, "s").withColumn("over", (F.col("used") > total) | (F.col("chain_used") > per_chain))
 
 
-def incidents(df: DataFrame, key: list[str], open_if: Column, close_if: Column, order: list[str]) -> DataFrame:
-    """Intervals (opened_at, closed_at, repeats) of an incident that opens and closes by two conditions.
+def incidents(df: DataFrame, key: list[str], open_if: Column, close_if: Column, order: list[str], chunk_seconds: int = S.DAY) -> DataFrame:
+    """Intervals (key, opened_at, closed_at, repeats) of an incident that opens and closes by two conditions; order begins with ts, keys are not null.
 
     The first close after an opening ends it, and only then can it open again: between one close and
-    the next only the first opening counts, so windows express the fold.
+    the next only the first opening counts, so windows express the fold.  Closes are counted in chunks
+    of time, on top of those of the chunks before (one row a chunk): an incident over midnight is one.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
+    own = [*key, "__chunk"]
     rows = df.withColumn("__c", F.coalesce(close_if, F.lit(False)).cast("int")).withColumn("__o", (F.coalesce(open_if, F.lit(False)) & (F.col("__c") == 0)).cast("int")).where("__c + __o > 0")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__epoch", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    rows = rows.withColumn("__chunk", F.floor(seconds("ts") / chunk_seconds))
+    closes = rows.groupBy(*own).agg(F.sum("__c").alias("__n"))
+    c = Window.partitionBy(*key).orderBy("__chunk") if key else Window.partitionBy(F.lit(0)).orderBy("__chunk")
+    closes = closes.withColumn("__past", F.coalesce(F.sum("__n").over(c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    before = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(closes, own).withColumn("__epoch", F.col("__past") + F.coalesce(F.sum("__c").over(before), F.lit(0)))
     out = rows.groupBy(*key, "__epoch").agg(
         F.min(F.when(F.col("__o") == 1, F.col("ts"))).alias("opened_at"),
         F.max(F.when(F.col("__c") == 1, F.col("ts"))).alias("closed_at"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.streaming import jobs
+from tidewatch.plans.fixtures import view
+from tidewatch.queries import telemetry
+from tidewatch.streaming import incidents, jobs
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,51 @@ def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.count("*").alias("windows"), F.sum("errors").alias("errors"), F.max("rate").alias("worst"))
 
 
+def _arriving(rows: DataFrame, folder: str, phases: int, run) -> None:
+    """Land rows in phases of time and call run after each: every seventh row comes a phase late, every fifth comes again in the next.
+
+    After the last phase a row of a far time lets the watermark pass all others.
+    """
+    ends = rows.agg(F.min("ts"), F.max("ts")).first()
+    width = (ends[1] - ends[0]) / phases
+    phase = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(ends[0]))) / (width.total_seconds() * 1e6)), F.lit(phases - 1))
+    rows = rows.withColumn("phase", phase)
+    for k in range(phases + 1):
+        late = F.col("id") % 7 == 0
+        now = rows.where((~late & (F.col("phase") == k)) | (late & (F.col("phase") == k - 1)) | ((F.col("id") % 5 == 0) & (F.col("phase") == k - 1))).drop("phase")
+        if k == phases:
+            now = now.unionByName(rows.limit(1).drop("phase").withColumn("key", F.lit("clock")).withColumn("ts", F.col("ts") + F.expr("interval 10 years")))
+        now.repartition(3).write.mode("append").parquet(folder)
+        run()
+
+
+def _streamed_incidents(spark: SparkSession, sf_dir: str, rows, rule) -> DataFrame:
+    """Incidents of rows that arrive late and repeatedly, by a stream that is stopped and started again between phases."""
+    own = incidents.with_state_store(spark)
+    rows = rows(own, sf_dir)
+    folder = jobs.scratch(own, "incidents")
+    stream = lambda: incidents.incident_stream(own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in"), rule, "25 days")
+    _arriving(rows, f"{folder}/in", 3, lambda: jobs.append_to(stream(), folder))
+    return incidents.newest(spark.read.parquet(f"{folder}/rows")).where("key <> 'clock'")
+
+
+def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CPU incidents of each host, from a stream."""
+    rows = lambda s, d: view(s, d, "fx_resources").select(telemetry.HOSTS.alias("key"), "id", "ts", F.col("cpu_percent").cast("double").alias("value"))
+    return _streamed_incidents(spark, sf_dir, rows, telemetry.RULE).withColumnRenamed("key", "host")
+
+
+def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stalled cursors, from a stream."""
+    up = F.col("active_rpc") != "none"
+    rows = lambda s, d: telemetry.still_samples(s, d).select(F.concat_ws("/", "chain", "role").alias("key"), "id", "ts", F.col("cursor_block").cast("double").alias("value"), F.col("safe_head").cast("double").alias("other"), up.alias("up"))
+    out = _streamed_incidents(spark, sf_dir, rows, incidents.Stall())
+    return out.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("chain"), F.split_part("key", F.lit("/"), F.lit(2)).alias("role"), "opened_at", "closed_at", "repeats")
+
+
 QUERIES = {
+    "stream_incidents": (stream_incidents, telemetry.INCIDENTS),
+    "stream_stalls": (stream_stalls, telemetry.STALL_INCIDENTS),
     "stream_minutes": (stream_minutes, "SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute, event_type, count(*) AS n, round(sum(value), 6) AS total, round(max(value), 6) AS longest FROM events GROUP BY 1, 2"),
     "stream_dedupe": (stream_dedupe, "SELECT DISTINCT concat_ws(':', CAST(user_id AS STRING), event_type) AS digest FROM events"),
     "stream_errors": (stream_errors, """WITH w AS (SELECT user_id, date_trunc('minute', ts) + to_minutes(k.k) AS at_, event_type FROM events CROSS JOIN (SELECT CAST(range AS INT) AS k FROM range(1, 6)) k),

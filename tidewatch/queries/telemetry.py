@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scalars as S
 from tidewatch.operators import telemetry as T
 from tidewatch.plans.fixtures import sql, view
+from tidewatch.streaming.incidents import Threshold
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,40 +143,64 @@ SELECT id, chain, n, n >= 2 AND span >= 3600000000 AS outage FROM w""")
 
 
 def sustained_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CPU above 30 for an hour, in each day."""
-    out = T.sustained(_resources(spark, sf_dir), F.col("cpu_percent"), F.lit(30.0), 3600, 1800, ["day"])
+    """CPU above 30 for an hour, over midnight too."""
+    out = T.sustained(_resources(spark, sf_dir), F.col("cpu_percent"), F.lit(30.0), 3600, 1800)
     return out.select("id", F.round(F.col("span") * 1e6).cast("bigint").alias("span_us"), "sustained")
 
 
-SUSTAINED = """, w AS (SELECT id, ts, cpu_percent, date_trunc('day', ts) AS day, epoch_us(ts) AS t, min(CASE WHEN cpu_percent > 30 THEN 1 ELSE 0 END) OVER x AS low, (epoch_us(ts) - min(epoch_us(ts)) OVER x) / 1e6 AS span FROM fx_resources WHERE cpu_percent IS NOT NULL
-  WINDOW x AS (PARTITION BY date_trunc('day', ts) ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))"""
-SUSTAINED_LOAD = sql("fx_resources", body=SUSTAINED + " SELECT id, CAST(round(span * 1e6) AS BIGINT) AS span_us, low = 1 AND span >= 1800 AS sustained FROM w")
+SUSTAINED_LOAD = sql("fx_resources", body=""", w AS (SELECT id, min(CASE WHEN cpu_percent > 30 THEN 1 ELSE 0 END) OVER x AS low, epoch_us(ts) - min(epoch_us(ts)) OVER x AS span FROM fx_resources WHERE cpu_percent IS NOT NULL
+  WINDOW x AS (ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))
+SELECT id, span AS span_us, low = 1 AND span >= 1800000000 AS sustained FROM w""")
 
 
 def load_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load above 0.3 of the cores for half an hour."""
+    """Samples of each day whose load was above 0.3 of the cores for half an hour."""
     rows = _resources(spark, sf_dir)
-    out = T.sustained(rows, F.col("load1"), F.col("cpu_cores") * 0.3, 1800, 900, ["day"])
+    out = T.sustained(rows, F.col("load1"), F.col("cpu_cores") * 0.3, 1800, 900)
     return out.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count_if("sustained").alias("n"))
 
 
 LOAD_AVERAGE = sql("fx_resources", body=""", w AS (SELECT strftime(ts, '%Y-%m-%d') AS day, min(CASE WHEN load1 > cpu_cores * CAST(0.3 AS DOUBLE) THEN 1 ELSE 0 END) OVER x AS low, (epoch_us(ts) - min(epoch_us(ts)) OVER x) / 1e6 AS span FROM fx_resources WHERE load1 IS NOT NULL
-  WINDOW x AS (PARTITION BY date_trunc('day', ts) ORDER BY epoch_us(ts) RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW))
+  WINDOW x AS (ORDER BY epoch_us(ts) RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW))
 SELECT day, count(*) FILTER (WHERE low = 1 AND span >= 900) AS n FROM w GROUP BY day""")
 
+#: A fleet of three hosts, and what opens and closes their incidents.
+HOSTS = F.concat(F.lit("h"), (F.col("id") % 3).cast("string")).alias("host")
+RULE = Threshold(above=25.0, window=3600, least_span=900, below=45.0, calm_window=1800, calm_span=600)
+
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CPU incidents of each day: open when the load was high for an hour, closed when it was low for half an hour."""
-    rows = T.sustained(_resources(spark, sf_dir), F.col("cpu_percent"), F.lit(30.0), 3600, 1800, ["day"])
-    rows = T.held(rows, F.col("cpu_percent") < 40, 1800, 900, ["day"], "calm")
-    out = T.incidents(rows, ["day"], F.col("sustained"), F.col("calm"), ["ts", "id"])
-    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.unix_micros("opened_at").alias("opened_at"), F.unix_micros("closed_at").alias("closed_at"), "repeats")
+    """CPU incidents of each host: open when the load was high for an hour, closed when it was low for half an hour; they run over midnight."""
+    rows = _resources(spark, sf_dir).select("id", "ts", "cpu_percent", HOSTS)
+    rows = T.sustained(rows, F.col("cpu_percent"), F.lit(RULE.above), RULE.window, RULE.least_span, ["host"])
+    rows = T.held(rows, F.col("cpu_percent") < RULE.below, RULE.calm_window, RULE.calm_span, ["host"], "calm")
+    out = T.incidents(rows, ["host"], F.col("sustained"), F.col("calm"), ["ts", "id"])
+    return out.select("host", F.unix_micros("opened_at").alias("opened_at"), F.unix_micros("closed_at").alias("closed_at"), "repeats")
+
+
+INCIDENTS = sql("fx_resources", body=""", r AS (SELECT concat('h', CAST(id % 3 AS STRING)) AS host, id, cpu_percent, epoch_us(ts) AS t FROM fx_resources WHERE cpu_percent IS NOT NULL),
+k AS (SELECT *, min(CASE WHEN cpu_percent > 25 THEN 1 ELSE 0 END) OVER x = 1 AND t - min(t) OVER x >= 900000000 AS high, min(CASE WHEN cpu_percent < 45 THEN 1 ELSE 0 END) OVER y = 1 AND t - min(t) OVER y >= 600000000 AS calm
+  FROM r WINDOW x AS (PARTITION BY host ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), y AS (PARTITION BY host ORDER BY t RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)),
+f AS (SELECT host, id, t, CASE WHEN calm THEN 1 ELSE 0 END AS c, CASE WHEN high AND NOT calm THEN 1 ELSE 0 END AS o FROM k),
+e AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY host ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch_ FROM f WHERE c + o > 0)
+SELECT host, min(CASE WHEN o = 1 THEN t END) AS opened_at, max(CASE WHEN c = 1 THEN t END) AS closed_at, CAST(sum(o) AS BIGINT) AS repeats FROM e GROUP BY host, epoch_ HAVING sum(o) > 0""")
+
+
+def still_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each chain and role whose cursor moves once in 200 samples, and some of which have no endpoint."""
+    return _samples(spark, sf_dir).withColumn("cursor_block", F.floor(F.col("id") / 200) * 2000)
+
+
+def stall_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stalled cursors of each chain and role until they move."""
+    return T.stall_incidents(still_samples(spark, sf_dir), ["chain", "role"])
 
 
-INCIDENTS = sql("fx_resources", body=SUSTAINED + """, k AS (SELECT *, min(CASE WHEN cpu_percent < 40 THEN 1 ELSE 0 END) OVER y = 1 AND (t - min(t) OVER y) / 1e6 >= 900 AS calm FROM w WINDOW y AS (PARTITION BY day ORDER BY t RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)),
-f AS (SELECT day, ts, id, t, CASE WHEN calm THEN 1 ELSE 0 END AS c, CASE WHEN low = 1 AND span >= 1800 AND NOT calm THEN 1 ELSE 0 END AS o FROM k),
-e AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch_ FROM f WHERE c + o > 0)
-SELECT strftime(day, '%Y-%m-%d') AS day, min(CASE WHEN o = 1 THEN t END) AS opened_at, max(CASE WHEN c = 1 THEN t END) AS closed_at, CAST(sum(o) AS BIGINT) AS repeats FROM e GROUP BY day, epoch_ HAVING sum(o) > 0""")
+STALL_INCIDENTS = sql("fx_samples", body=""", s AS (SELECT chain, role, active_rpc, safe_head, CAST(floor(id / 200) AS BIGINT) * 2000 AS cursor, epoch_us(ts) AS t FROM fx_samples),
+b AS (SELECT *, last_value(safe_head) OVER (PARTITION BY chain, role, cursor ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 900000000 PRECEDING) AS base FROM s),
+i AS (SELECT chain, role, cursor, min(t) AS first, min(CASE WHEN active_rpc <> 'none' AND safe_head > base THEN t END) AS opened_at, count(*) FILTER (WHERE active_rpc <> 'none' AND safe_head > base) AS repeats FROM b GROUP BY ALL),
+n AS (SELECT *, lead(first) OVER (PARTITION BY chain, role ORDER BY cursor) AS closed_at FROM i)
+SELECT chain, role, opened_at, closed_at, repeats FROM n WHERE opened_at IS NOT NULL""")
 
 
 def load_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +286,7 @@ QUERIES = {
     "sustained_load": (sustained_load, SUSTAINED_LOAD),
     "load_average": (load_average, LOAD_AVERAGE),
     "incidents": (incidents, INCIDENTS),
+    "stall_incidents": (stall_incidents, STALL_INCIDENTS),
     "load_states": (load_states, None),
     "resource_stats": (resource_stats, RESOURCE_STATS),
     "period_change": (period_change, PERIOD_CHANGE),

@@ -73,16 +73,24 @@ def scratch(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, name: str, keys: list[str], mode: str) -> DataFrame:
-    """Run a stream over all that is there and return its last rows a key: each batch is a folder of its own."""
-    spark = stream.sparkSession
-    folder = scratch(spark, name)
+def append_to(stream: DataFrame, folder: str, mode: str = "append") -> None:
+    """Run a stream over all that is there, into folder/rows; its state is in folder/state, so that a later run goes on from here.
+
+    Each batch is a folder of its own, written anew when the batch is run again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/rows/b={batch_id}")
 
     q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_available(stream: DataFrame, name: str, keys: list[str], mode: str) -> DataFrame:
+    """Run a stream over all that is there and return its last rows a key."""
+    spark = stream.sparkSession
+    folder = scratch(spark, name)
+    append_to(stream, folder, mode)
     rows = spark.read.parquet(f"{folder}/rows")
     rest = [c for c in rows.columns if c not in (*keys, "batch", "b")]
     if not rest:
