@@ -64,12 +64,3 @@ def merge_coverage(state: DataFrame, coverage: DataFrame, fresh_links: DataFrame
     rows = state.join(new, keys, "left").join(linked, keys, "left")
     due = F.when(F.col("__due"), F.lit(as_of).cast("timestamp")).otherwise(F.col("next_retry_at"))
     return rows.withColumn("coverage", F.coalesce("__new", "coverage")).withColumn("next_retry_at", due).drop("__new", "__due")
-
-
-def rewound(tasks: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Tasks of chains with an orphaned interval (chain, ancestor, end) go back to the block after the ancestor, and are open again."""
-    cut = intervals.groupBy("chain").agg((F.min("ancestor") + 1).alias("__cut"))
-    rows = tasks.join(cut, "chain", "left")
-    hit = F.coalesce(F.col("next_block") > F.col("__cut"), F.lit(False))
-    start = F.greatest("start_block", "__cut")
-    return rows.withColumns({"next_block": F.when(hit, start).otherwise(F.col("next_block")), "completed": F.col("completed") & ~hit}).drop("__cut")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import tables
+
 
 def hash_conflicts(stored: DataFrame, observed: DataFrame) -> DataFrame:
     """Blocks whose stored hash differs from what is seen now."""
@@ -44,18 +46,95 @@ def orphaned(provenance: DataFrame, intervals: DataFrame, block: str = "block_nu
     return p.join(i, ["chain", "__b"]).where((F.col(block) > F.col("ancestor")) & (F.col(block) <= F.col("end_block"))).drop("__b")
 
 
+def dimension(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df to be broadcast if it has at most `most` rows, which is counted first; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def quarantine(contracts: DataFrame, discoveries: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(contracts, discoveries) with canonical flags after a reorganisation.
+    """(contracts, discoveries) after blocks of intervals (chain, ancestor, end) were orphaned.
 
-    Discoveries inside an interval become non-canonical, never deleted; a contract does only when no
-    canonical discovery of it is left.
+    Discoveries inside an interval become non-canonical, never deleted.  A contract does when it has
+    non-canonical discoveries and no canonical one; a creation of it above the ancestor is then unknown
+    again.  Other contracts, also those without any discovery, stay as they are.
     """
     keys = ["chain", "address", "source"]
     hit = orphaned(discoveries, intervals, "observed_block").select(*keys).distinct().withColumn("__hit", F.lit(True))
     d = discoveries.join(hit, keys, "left").withColumn("canonical", F.when(F.col("__hit"), 0).otherwise(F.col("canonical"))).drop("__hit")
     alive = d.groupBy("chain", "address").agg(F.max("canonical").alias("__alive"))
-    c = contracts.join(alive, ["chain", "address"], "left").withColumn("canonical", F.coalesce("__alive", "canonical")).drop("__alive")
-    return c, d
+    cuts = intervals.groupBy("chain").agg(F.min("ancestor").alias("__ancestor"))
+    c = contracts.join(alive, ["chain", "address"], "left").join(dimension(cuts), "chain", "left")
+    dead = F.coalesce((F.col("__alive") == 0) & F.col("__ancestor").isNotNull(), F.lit(False))
+    new = {"canonical": F.when(dead, 0).otherwise(F.col("canonical"))}
+    if "created_block" in contracts.columns:
+        forget = dead & F.coalesce(F.col("created_block") > F.col("__ancestor"), F.lit(False))
+        new |= {x: F.when(~forget, F.col(x)) for x in ("created_block", "created_tx", "creator") if x in contracts.columns}
+    return c.withColumns(new).select(*contracts.columns), d
+
+
+def replay_interval(conflicts: DataFrame, hashes: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(chain, ancestor, end): one interval a chain to take back and read again, from conflicts (chain, ancestor, conflict).
+
+    It ends at the highest stored block; chains that are being replayed already, conflicts without an
+    ancestor and ancestors that aren't below their conflict are left out.
+    """
+    good = conflicts.where("ancestor is not null and ancestor < conflict").groupBy("chain").agg(F.min("ancestor").alias("ancestor"), F.max("conflict").alias("conflict"))
+    busy = gaps.where("reason = 'reorg_replay' and status = 'active'").select("chain").distinct()
+    top = hashes.groupBy("chain").agg(F.max("number").alias("top"))
+    rows = good.join(busy, "chain", "left_anti").join(top, "chain", "left")
+    return rows.select("chain", "ancestor", F.greatest("conflict", "top").alias("end"))
+
+
+def corrected(t: dict[str, DataFrame], conflicts: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """All tables that a reorganisation touches, as they are once its replay has begun.
+
+    t: discoveries, contracts, pending (addresses that wait for a first scan), hashes, code, links,
+    tasks, states, cursors, gaps.  Discoveries and links that began inside the interval are no longer
+    canonical; hashes and code answers above the ancestor go; of contracts whose links were taken back
+    the histories are read again from the ancestor on and the states are of unknown history and due
+    now, others stay; halted cursors and gaps wait for the replay, which is a gap of its own.
+    """
+    cut = dimension(replay_interval(conflicts, t["hashes"], t["gaps"]).select("chain", F.col("ancestor").alias("__a"), F.col("end").alias("__e")))
+    now, out = F.lit(as_of).cast("timestamp"), {}
+    known = F.col("__a").isNotNull()
+    intervals = cut.select("chain", F.col("__a").alias("ancestor"), F.col("__e").alias("end"))
+    out["contracts"], out["discoveries"] = quarantine(t["contracts"], t["discoveries"], intervals)
+    canonical = out["contracts"].where("canonical = 1").select(F.lower("address").alias("address")).distinct()
+    out["pending"] = t["pending"].join(canonical, "address", "left_semi")
+    above = lambda name, block: t[name].join(cut, "chain", "left").where(~known | F.coalesce(F.col(block) <= F.col("__a"), F.lit(True))).select(*t[name].columns)
+    out["hashes"], out["code"] = above("hashes", "number"), above("code", "checked_block")
+    inside = known & (F.col("first_block") > F.col("__a")) & (F.col("first_block") <= F.col("__e"))
+    links = t["links"].join(cut, "chain", "left").withColumn("__hit", F.coalesce(inside, F.lit(False)))
+    out["links"] = links.withColumn("canonical", F.when(F.col("__hit"), 0).otherwise(F.col("canonical"))).select(*t["links"].columns)
+    touched = links.where("__hit").groupBy("chain", F.col("contract").alias("address")).agg((F.min("__a") + 1).alias("__from"))
+    tasks, hit = t["tasks"].join(touched, ["chain", "address"], "left"), F.col("__from").isNotNull()
+    out["tasks"] = tasks.withColumns({
+        "historical_cursor": F.when(hit, F.least(F.coalesce("historical_cursor", "next_block"), "__from")).otherwise(F.col("historical_cursor")),
+        "next_block": F.when(hit, F.least("next_block", "__from")).otherwise(F.col("next_block")),
+        "history_due_at": F.when(hit, now).otherwise(F.col("history_due_at")),
+        "completed_at": F.when(~hit, F.col("completed_at")),
+    }).select(*t["tasks"].columns)
+    states = t["states"].join(touched, ["chain", "address"], "left")
+    due = F.when(F.col("next_retry_at").isNotNull(), F.least("next_retry_at", now))
+    out["states"] = states.withColumns({"coverage": F.when(hit, "history_unknown").otherwise(F.col("coverage")), "next_retry_at": F.when(hit, due).otherwise(F.col("next_retry_at"))}).select(*t["states"].columns)
+    waits = F.when(known & (F.col("status") == "reorg_alert"), "reorg_replay").otherwise(F.col("status"))
+    for name in ("cursors", "gaps"):
+        out[name] = t[name].join(cut, "chain", "left").withColumn("status", waits).select(*t[name].columns)
+    fresh = cut.select("chain", (F.col("__a") + 1).alias("start_block"), F.col("__e").alias("end_block"), (F.col("__a") + 1).alias("next_block"), F.lit("active").alias("status"), F.lit("reorg_replay").alias("reason"))
+    out["gaps"] = out["gaps"].unionByName(fresh.select(*t["gaps"].columns))
+    return out
+
+
+def begin_replay(spark: SparkSession, path: str, conflicts: DataFrame, as_of: str) -> tables.Version:
+    """Correct all tables under path and publish them together: a reader sees none or all of it."""
+    return tables.change(spark, path, lambda t: corrected(t, conflicts, as_of))
+
+
+def finished(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Cursors and gaps of chains whose replays are complete, active again."""
+    r = t["gaps"].where("reason = 'reorg_replay'").groupBy("chain").agg(F.min((F.col("status") == "complete").cast("int")).alias("__done"))
+    back = F.when((F.col("__done") == 1) & (F.col("status") == "reorg_replay"), "active").otherwise(F.col("status"))
+    return {name: t[name].join(dimension(r), "chain", "left").withColumn("status", back).select(*t[name].columns) for name in ("cursors", "gaps")}
 
 
 def replay_ranges(conflicts: DataFrame, tips: DataFrame) -> DataFrame:

@@ -91,6 +91,33 @@ SELECT event_id AS id, user_id AS address, CAST(ts AS TIMESTAMP) AS scanned_at,
   CASE event_type WHEN 'error' THEN 'incomplete' ELSE CASE WHEN value >= 50 THEN 'qualifying' ELSE 'below' END END AS status,
   CAST(event_id % 21 AS INT) AS coverage, 20 AS total_networks
 FROM events""",
+    "fx_r_discoveries": f"""
+SELECT chain, to_addr AS address, 'active_call' AS source, min(block_number) AS observed_block, 1 AS canonical FROM fx_tx WHERE to_addr IS NOT NULL GROUP BY chain, to_addr
+UNION ALL
+SELECT chain, to_addr AS address, 'direct_deploy' AS source, min(block_number) - 40 AS observed_block, CASE WHEN to_addr < '0x2' THEN 0 ELSE 1 END AS canonical FROM fx_tx WHERE to_addr < '0x6' GROUP BY chain, to_addr
+UNION ALL
+SELECT t.chain, r.contract_address AS address, 'direct_deploy' AS source, t.block_number AS observed_block, 1 AS canonical FROM fx_tx t JOIN fx_receipts r ON r.tx_hash = t.tx_hash""",
+    "fx_r_contracts": """
+SELECT chain, address, min(observed_block) AS created_block, concat('tx', CAST(min(observed_block) AS STRING)) AS created_tx, concat('by', substr(address, 3, 4)) AS creator,
+  CASE WHEN address > '0xf8' THEN 0 ELSE 1 END AS canonical FROM fx_r_discoveries GROUP BY chain, address""",
+    "fx_r_links": """
+SELECT chain, concat('0x', substr(topic2, 27, 40)) AS contract, address AS token, min(block_number) AS first_block, max(block_number) AS last_block, 1 AS canonical
+FROM fx_logs GROUP BY chain, concat('0x', substr(topic2, 27, 40)), address""",
+    "fx_r_tasks": """
+SELECT chain, contract AS address, min(first_block) AS start_block, max(first_block) + 200 AS next_block, CASE WHEN contract < '0x8' THEN min(first_block) + 100 END AS historical_cursor,
+  TIMESTAMP '2024-03-01 00:00:00' AS history_due_at, CASE WHEN contract < '0xc' THEN TIMESTAMP '2024-01-15 00:00:00' END AS completed_at FROM fx_r_links WHERE token < '0xa' GROUP BY chain, contract""",
+    "fx_r_states": """
+SELECT chain, address, CASE WHEN address < '0xc' THEN 'verified' ELSE 'historical_pending' END AS coverage,
+  CASE WHEN address < '0x4' THEN NULL WHEN address < '0x8' THEN TIMESTAMP '2024-01-10 00:00:00' ELSE TIMESTAMP '2024-03-01 00:00:00' END AS next_retry_at FROM fx_r_contracts""",
+    "fx_r_code": """
+SELECT chain, address, 1 AS has_code, observed_block + 10 AS checked_block FROM fx_r_discoveries WHERE source = 'active_call'""",
+    "fx_r_cursors": """
+SELECT chain, 'live' AS role, max(number) + 1 AS next_block, CASE WHEN chain = 'c4' THEN 'active' ELSE 'reorg_alert' END AS status FROM fx_blocks GROUP BY chain
+UNION ALL
+SELECT chain, 'backfill' AS role, max(number) - 500 AS next_block, CASE WHEN chain = 'c1' THEN 'complete' ELSE 'reorg_alert' END AS status FROM fx_blocks GROUP BY chain""",
+    "fx_r_gaps": """
+SELECT DISTINCT chain, CAST(5 AS BIGINT) AS start_block, CAST(90 AS BIGINT) AS end_block, CAST(7 AS BIGINT) AS next_block,
+  CASE WHEN chain = 'c3' THEN 'active' ELSE 'reorg_alert' END AS status, CASE WHEN chain = 'c3' THEN 'reorg_replay' ELSE 'tip_reanchor' END AS reason FROM fx_blocks""",
     "fx_samples": """
 SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, event_type AS chain, CASE WHEN user_id % 2 = 0 THEN 'live' ELSE 'backfill' END AS role,
   CASE WHEN user_id % 50 = 0 THEN 'none' ELSE concat('rpc', CAST(user_id % 4 AS STRING)) END AS active_rpc,

@@ -179,13 +179,15 @@ def common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorg.common_ancestor(*_reorg_views(spark, sf_dir))
 
 
-COMMON_ANCESTOR = sql("fx_blocks", body="""
+#: Conflicts with the nearest lower block whose hash still holds, behind fx_blocks.
+ANCESTORS = """
 , s AS (SELECT chain, number, CASE WHEN number % 50 >= 40 THEN md5(block_hash) ELSE block_hash END AS h FROM fx_blocks WHERE number % 211 <> 3),
 c AS (SELECT s.chain, s.number AS conflict FROM s JOIN fx_blocks b ON b.chain = s.chain AND b.number = s.number WHERE s.h <> b.block_hash AND s.number % 50 = 49),
 w AS (SELECT c.chain, c.conflict, k.number, s.h, b.block_hash FROM c JOIN (SELECT CAST(range AS BIGINT) AS number FROM range(0, 100000)) k ON k.number < c.conflict AND k.number >= greatest(c.conflict - 64, 0)
   LEFT JOIN s ON s.chain = c.chain AND s.number = k.number LEFT JOIN fx_blocks b ON b.chain = c.chain AND b.number = k.number),
-g AS (SELECT chain, conflict, max(CASE WHEN h = block_hash THEN number END) AS m, max(CASE WHEN h IS NULL THEN number END) AS hole FROM w GROUP BY chain, conflict)
-SELECT chain, conflict, CASE WHEN m IS NOT NULL AND (hole IS NULL OR hole < m) THEN m END AS ancestor FROM g""")
+g AS (SELECT chain, conflict, max(CASE WHEN h = block_hash THEN number END) AS m, max(CASE WHEN h IS NULL THEN number END) AS hole FROM w GROUP BY chain, conflict),
+an AS (SELECT chain, conflict, CASE WHEN m IS NOT NULL AND (hole IS NULL OR hole < m) THEN m END AS ancestor FROM g)"""
+COMMON_ANCESTOR = sql("fx_blocks", body=ANCESTORS + " SELECT * FROM an")
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +200,8 @@ def orphan_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorg.orphaned(tx, _intervals(spark, sf_dir), bucket=16).groupBy("chain", "ancestor", "end_block").agg(F.count("*").alias("n"), F.min("block_number").alias("first_block"))
 
 
-ORPHANS = COMMON_ANCESTOR.replace("\nSELECT chain, conflict, CASE", ", i AS (SELECT chain, conflict, CASE").replace("WITH fx_blocks", "WITH {tx}, fx_blocks") + """)
-SELECT i.chain, i.ancestor, i.conflict AS end_block, count(*) AS n, min(t.block_number) AS first_block FROM fx_tx t JOIN i ON i.chain = t.chain AND t.block_number > i.ancestor AND t.block_number <= i.conflict GROUP BY 1, 2, 3"""
+ORPHANS = sql("fx_tx", "fx_blocks", body=ANCESTORS + """
+SELECT i.chain, i.ancestor, i.conflict AS end_block, count(*) AS n, min(t.block_number) AS first_block FROM fx_tx t JOIN an i ON i.ancestor IS NOT NULL AND i.chain = t.chain AND t.block_number > i.ancestor AND t.block_number <= i.conflict GROUP BY 1, 2, 3""")
 
 
 def reorg_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +239,6 @@ VERIFIED = sql("fx_tx", body=MISSING + """, e AS (SELECT chain, min(block_number
 SELECT e.chain, e.first, coalesce((SELECT min(start_block) FROM r WHERE r.chain = e.chain), e.last + 1) AS verified_next FROM e""")
 
 _DF = f", d AS ({DIRECT}), f AS ({FIRST})"
-_TX = sql("fx_tx", body="").removeprefix("WITH ")
 QUERIES = {
     "direct_contracts": (direct_contracts, sql("fx_tx", "fx_receipts", body=" " + DIRECT)),
     "missing_receipts": (missing_receipts, sql("fx_tx", "fx_receipts", body=" SELECT chain, count(*) AS n, min(block_number) AS first_block FROM fx_tx t WHERE to_addr IS NULL AND NOT EXISTS (SELECT 1 FROM fx_receipts r WHERE r.tx_hash = t.tx_hash) GROUP BY chain")),
@@ -256,7 +257,7 @@ QUERIES = {
     "merge_links": (merge_links, sql("fx_logs", "fx_code", body=f", links AS ({LINKS}) {MERGE_LINKS_BODY}")),
     "reorg_conflicts": (reorg_conflicts, REORG_CONFLICTS),
     "common_ancestor": (common_ancestor, COMMON_ANCESTOR),
-    "orphan_provenance": (orphan_provenance, ORPHANS.replace("{tx}", _TX)),
+    "orphan_provenance": (orphan_provenance, ORPHANS),
     "reorg_quarantine": (reorg_quarantine, None),
     "missing_blocks": (missing_blocks, sql("fx_tx", body=MISSING + " SELECT * FROM r")),
     "gap_summary": (gap_summary, GAP_SUMMARY),

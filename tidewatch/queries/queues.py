@@ -188,16 +188,6 @@ SELECT c.chain, c.address, CASE WHEN h.address IS NULL THEN 'historical_pending'
 FROM fx_code c LEFT JOIN fx_history h ON h.chain = c.chain AND h.address = c.address""")
 
 
-def rewound_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = history.history_start(discoveries(spark, sf_dir))
-    rows = starts.select("chain", "address", "start_block", (F.col("start_block") + 50).alias("next_block"), F.lit(True).alias("completed"))
-    return history.rewound(rows, found._intervals(spark, sf_dir))
-
-
-REWOUND = found.COMMON_ANCESTOR.replace("\nSELECT chain, conflict, CASE", ", i AS (SELECT chain, conflict, CASE").replace("WITH fx_blocks", "WITH {tx}, fx_blocks") + "), cuts AS (SELECT chain, min(ancestor) + 1 AS cut FROM i WHERE ancestor IS NOT NULL GROUP BY chain)" + FOUND.replace(", f AS", ", ff AS") + """
-SELECT ff.chain, address, b AS start_block, CASE WHEN b + 50 > cut THEN greatest(b, cut) ELSE b + 50 END AS next_block, NOT coalesce(b + 50 > cut, false) AS completed FROM ff LEFT JOIN cuts ON cuts.chain = ff.chain"""
-
-
 def merge_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = discoveries(spark, sf_dir)
     old = rows.where("chain <> 'c4'").withColumn("observed_block", F.col("observed_block") - 3).withColumn("canonical", F.when(F.col("observed_block") % 2 == 0, 0).otherwise(1))
@@ -441,7 +431,6 @@ QUERIES = {
     "merge_history": (merge_history, MERGE_HISTORY),
     "log_coverage": (log_coverage, LOG_COVERAGE),
     "merge_coverage": (merge_coverage, MERGE_COVERAGE),
-    "rewound_history": (rewound_history, REWOUND.replace("{tx}", found._TX)),
     "merge_discoveries": (merge_discoveries, MERGE_DISCOVERIES),
     "partial_totals": (partial_totals, PARTIAL_TOTALS),
     "revalue_native": (revalue_native, REVALUE_NATIVE),
