@@ -545,10 +545,20 @@ def test_pipeline_lines(spark):
     assert {x.doc_id: x.text for x in corpus_pipeline.lines(spark, docs, SF).collect()} == want
 
 
+def token(r: random.Random, n: int) -> str:
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
 KINDS = {
     "prose": lambda r: " ".join(r.choice(WORDS) + r.choice(["", "s", "ed", "ing"]) + str(r.randrange(50)) for _ in range(r.randint(12, 50))),
     "unspaced": lambda r: "".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(r.randint(40, 120))),
     "address": lambda r: "https://" + "/".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(r.randint(3, 12))) for _ in range(r.randint(6, 14))),
+    "ones": lambda r: " ".join(token(r, 1) for _ in range(7)) + " " + token(r, 80),
+    "numbers": lambda r: "28 11 14 03 25 ok " + token(r, 72),
+    "few": lambda r: " ".join(token(r, r.randint(1, 3)) for _ in range(r.randint(6, 8))) + " " + token(r, r.randint(50, 75)),
+    "log": lambda r: f"2024-01-{r.randrange(31):02d} 12:{r.randrange(60):02d}:33 get ok https://" + token(r, r.randint(50, 62)),
+    "tokens": lambda r: token(r, 30) + " " + token(r, 35),
+    "long": lambda r: " ".join(token(r, 1) for _ in range(7)) + " " + token(r, 140),
     "short": lambda r: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(r.randint(4, 9))),
 }
 
@@ -579,6 +589,13 @@ def test_line_recall(spark, kind):
     assert len(by) >= 0.97 * due, len(by) / due
 
 
+def test_lines_with_clashing_names(spark):
+    rows = [(1, "a line of words", 5, "x", 1), (2, "a line of words\nown", 6, "y", 2), (None, "a line of words", 7, "z", 3), (3, None, 8, "n", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, removed string, id int")
+    got = {(r.doc_id, r.text, r["__id"], r.removed, r.id) for r in line_dedup.without_duplicates(docs).collect()}
+    assert got == {(1, "a line of words", 5, "x", 1), (2, "own", 6, "y", 2), (None, "a line of words", 7, "z", 3), (3, None, 8, "n", 4)}
+
+
 def test_long_line(spark):
     """A line of many pieces, twice with a small edit, and one that ends in separators other than newline."""
     line = " ".join(f"w{k * 7919 % 100_003}" for k in range(40_000))
