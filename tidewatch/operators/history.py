@@ -43,24 +43,31 @@ def covered_to(tasks: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def promoted(tasks: DataFrame, heads: DataFrame, window: int) -> DataFrame:
-    """tasks (with next_block, history_limited, recent_from) with coverage.
+    """tasks (with next_block, history_limited, recent_from) with coverage: what their reads prove.
 
-    verified: read from the start to the head, nothing before it unknown.  history_unknown: read, but
-    the start is only where the contract was first seen.  recent_only: the last `window` blocks were
-    read.  historical_pending: not even these.
+    verified: read from the start to the head, nothing before it unknown.  history_unknown: read, or its
+    last `window` blocks read, but the start is only where the contract was first seen.  recent_only: the
+    last `window` blocks of a known history were read.  historical_pending: not even these.
     """
     rows = tasks.join(heads.select("chain", "head"), "chain", "left")
     done = F.coalesce(F.col("next_block") > F.col("head"), F.lit(False))
     recent = F.coalesce(F.col("recent_from") <= F.col("head") - window + 1, F.lit(False))
-    state = F.when(done & ~F.col("history_limited"), "verified").when(done, "history_unknown").when(recent, "recent_only").otherwise("historical_pending")
+    state = F.when(done & ~F.col("history_limited"), "verified").when((done | recent) & F.col("history_limited"), "history_unknown").when(recent, "recent_only").otherwise("historical_pending")
     return rows.withColumn("coverage", state).drop("head")
 
 
 def merge_coverage(state: DataFrame, coverage: DataFrame, fresh_links: DataFrame, as_of: str) -> DataFrame:
-    """Chain states (chain, address, coverage, next_retry_at) with new coverage; chains that a new token link names are due at once."""
+    """Chain states (chain, address, coverage, next_retry_at) with what new reads prove.
+
+    A verified state is never taken back, and a read that proves nothing (historical_pending) changes
+    nothing.  A chain whose read found a new token link is due at once, and not verified by that read:
+    its balances have to be read first.
+    """
     keys = ["chain", "address"]
     new = coverage.select(*keys, F.col("coverage").alias("__new"))
     linked = fresh_links.select("chain", F.col("contract").alias("address")).distinct().withColumn("__due", F.lit(True))
     rows = state.join(new, keys, "left").join(linked, keys, "left")
-    due = F.when(F.col("__due"), F.lit(as_of).cast("timestamp")).otherwise(F.col("next_retry_at"))
-    return rows.withColumn("coverage", F.coalesce("__new", "coverage")).withColumn("next_retry_at", due).drop("__new", "__due")
+    due = F.coalesce("__due", F.lit(False))
+    keep = F.col("__new").isNull() | (F.col("coverage") == "verified") | ((F.col("__new") == "historical_pending") & F.col("coverage").isNotNull()) | (due & (F.col("__new") == "verified"))
+    out = rows.withColumn("coverage", F.when(F.coalesce(keep, F.lit(False)), F.col("coverage")).otherwise(F.col("__new")))
+    return out.withColumn("next_retry_at", F.when(due, F.lit(as_of).cast("timestamp")).otherwise(F.col("next_retry_at"))).drop("__new", "__due")

@@ -69,9 +69,22 @@ def fill_contracts(target: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def merge_discoveries(target: DataFrame, delta: DataFrame) -> DataFrame:
-    """Discoveries (chain, address, source, observed_block, canonical) keep the earliest canonical block; canonical rows replace others."""
-    ranked = target.unionByName(delta.withColumn("canonical", F.lit(1)).select(*target.columns)).withColumn("__rank", 1 - F.col("canonical"))
-    return latest(ranked, ["chain", "address", "source"], ["__rank", "observed_block"], newest=False).drop("__rank")
+    """Discoveries (chain, address, source, observed_block, ..., canonical) with new ones.
+
+    A new observation replaces a stored one only where its block is known and the stored one is not
+    canonical or later; it is then canonical.  An unknown block never takes the place of another row,
+    and a stored canonical row without a block stays.  Of several new rows of a key the earliest known
+    block counts.
+    """
+    keys = ["chain", "address", "source"]
+    rest = [c for c in target.columns if c not in keys]
+    own = delta.withColumn("canonical", F.lit(1).cast(target.schema["canonical"].dataType)).withColumn("__unknown", F.col("observed_block").isNull())
+    new = latest(own, keys, ["__unknown", "observed_block"], newest=False).withColumn("__in", F.lit(True)).alias("n")
+    old = target.withColumn("__in", F.lit(True)).alias("o")
+    both = old.join(new, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full_outer")
+    later = (F.col("o.canonical") == 0) | (F.col("o.observed_block") > F.col("n.observed_block"))
+    take = F.col("o.__in").isNull() | F.coalesce(F.col("n.observed_block").isNotNull() & later, F.lit(False))
+    return both.select(*(F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys), *(F.when(take, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest)).select(*target.columns)
 
 
 def merge_tokens(target: DataFrame, delta: DataFrame) -> DataFrame:
@@ -80,8 +93,23 @@ def merge_tokens(target: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def merge_links(target: DataFrame, delta: DataFrame) -> DataFrame:
-    """The first block stays, the last grows; an unknown last block on either side makes it unknown."""
-    return merge(target, delta, ["chain", "contract", "token"], {"first_block": "coalesce_old", "last_block": "max_strict"})
+    """Links (chain, contract, token, first_block, last_block, canonical) with those of a closed range: canonical again.
+
+    A link that was taken back begins at its new first block, others keep theirs; the last block grows,
+    an unknown one counting as 0.
+    """
+    keys = ["chain", "contract", "token"]
+    old, new = target.withColumn("__in", F.lit(True)).alias("o"), delta.groupBy(*keys).agg(F.min("first_block").alias("first_block"), F.max("last_block").alias("last_block")).withColumn("__in", F.lit(True)).alias("n")
+    both = old.join(new, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full_outer")
+    fresh, hit = F.col("o.__in").isNull(), F.col("n.__in").isNotNull()
+    dead = F.coalesce(F.col("o.canonical") == 0, F.lit(False))
+    last = F.when(F.col("n.last_block").isNull(), F.col("o.last_block")).otherwise(F.greatest(F.coalesce("o.last_block", F.lit(0)), "n.last_block"))
+    return both.select(
+        *(F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys),
+        F.when(fresh | (hit & dead), F.col("n.first_block")).otherwise(F.col("o.first_block")).alias("first_block"),
+        F.when(fresh, F.col("n.last_block")).when(hit, last).otherwise(F.col("o.last_block")).alias("last_block"),
+        F.when(hit, 1).otherwise(F.col("o.canonical")).cast("int").alias("canonical"),
+    )
 
 
 def merge_code(target: DataFrame, delta: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import schedule
+from tidewatch.operators.reorg import dimension
 
 
 def _now(as_of: str):
@@ -23,42 +24,51 @@ def work_kinds_wide(work: DataFrame, as_of: str, kinds: list[str]) -> DataFrame:
     return work.agg(*(c for k in kinds for c in (F.count_if(own(k)).alias(f"{k}_total"), F.count_if(own(k) & (F.col("due_at") <= _now(as_of))).alias(f"{k}_due"))))
 
 
-def log_queue(tasks: DataFrame, hidden: DataFrame, as_of: str, threshold: float = 150_000.0) -> DataFrame:
-    """Per chain what waits in the queue of token histories.
+def _log_due(as_of: str):
+    """(recent, history): whether either clock of a task of token histories is due; a null time never is."""
+    due = lambda c: F.coalesce(F.col(c) <= _now(as_of), F.lit(False))
+    return due("recent_due_at"), due("history_due_at") & F.col("completed_at").isNull()
 
-    tasks: (chain, address, next_block, head, history_completed_at, retry_at, last_error, total_usd);
-    hidden: (chain, address) of contracts that are not canonical, which don't count.
+
+def log_queue(tasks: DataFrame, hidden: DataFrame, as_of: str) -> DataFrame:
+    """Per chain what waits in the queue of token histories, by its two clocks and four lanes.
+
+    tasks: as for schedule.log_lanes(), with next_block, history_limited and last_error; hidden: (chain,
+    address) of contracts that are not canonical, which don't count.  A task in several lanes counts in
+    each; due counts it once.
     """
     rows = tasks.join(hidden.select("chain", "address"), ["chain", "address"], "left_anti")
-    done, failed = F.col("history_completed_at").isNotNull(), F.col("last_error").isNotNull()
-    due = F.coalesce(F.col("retry_at") <= _now(as_of), F.lit(True))
-    left = F.greatest(F.col("head") - F.col("next_block") + 1, F.lit(0))
+    recent, past = _log_due(as_of)
+    tried, calm = F.col("recent_failures") > 0, F.col("history_failures") == 0
     return rows.groupBy("chain").agg(
-        F.count("*").alias("tasks"),
-        F.count_if(done).alias("completed"),
-        F.count_if(~done & ~failed & due).alias("ready"),
-        F.count_if(~done & failed & due).alias("retry"),
-        F.count_if(~done & ~due).alias("waiting"),
-        F.count_if(~done & (F.coalesce("total_usd", F.lit(0.0)) >= threshold)).alias("high_value"),
-        F.coalesce(F.sum(F.when(~done, left)), F.lit(0)).alias("blocks_left"),
-        F.min(F.when(~done, F.col("next_block"))).alias("oldest_block"),
-        F.min(F.when(~done & due, F.col("retry_at"))).alias("oldest_due"),
-        F.max(F.when(failed, F.col("retry_at"))).alias("last_retry"),
+        F.count("*").alias("total"),
+        F.count_if(recent | past).alias("due"),
+        F.count_if(recent & ~tried).alias("recent_due"),
+        F.count_if(past & calm & (F.col("priority") >= 50)).alias("high_value_due"),
+        F.count_if((recent & tried) | (past & ~calm)).alias("retry_due"),
+        F.count_if(past & calm & (F.col("priority") < 50)).alias("history_due"),
+        F.count("last_error").alias("failed"),
+        F.count_if(F.col("completed_at").isNull() | F.col("history_limited")).alias("partial"),
+        F.coalesce(F.unix_seconds(_now(as_of)) - F.unix_seconds(F.min(F.when(recent | past, F.col("updated_at")))), F.lit(0)).alias("oldest_age_sec"),
+        F.min("next_block").alias("next_block"),
     )
 
 
-def due_count(rows: DataFrame, as_of: str, column: str = "due_at") -> DataFrame:
-    return rows.agg(F.count_if(F.coalesce(F.col(column) <= _now(as_of), F.lit(True))).alias("due"))
+def due_count(tasks: DataFrame, hidden: DataFrame, as_of: str) -> DataFrame:
+    """How many tasks of token histories are due by either clock; those of hidden contracts don't count."""
+    recent, past = _log_due(as_of)
+    return tasks.where(recent | past).join(hidden.select("chain", "address"), ["chain", "address"], "left_anti").agg(F.count("*").alias("due"))
 
 
 def error_histogram(rows: DataFrame) -> DataFrame:
     return rows.where("last_error is not null").groupBy("chain", "last_error").agg(F.count("*").alias("n"))
 
 
-def lane_rates(runs: DataFrame, as_of: str, seconds: int = 3600) -> DataFrame:
-    """Blocks and runs of each lane of each chain in the seconds before as_of."""
-    recent = runs.where((F.col("ts") > _now(as_of) - F.make_interval(secs=F.lit(seconds))) & (F.col("ts") <= _now(as_of)))
-    return recent.groupBy("chain", "lane").agg(F.sum("blocks").alias("blocks"), F.count("*").alias("runs"))
+def lane_rates(minutes: DataFrame, as_of: str, seconds: int = 3600) -> DataFrame:
+    """Windows completed, links found and retries that succeeded, of each lane of each chain in the minutes since `seconds` before as_of."""
+    since = F.date_trunc("minute", _now(as_of) - F.make_interval(secs=F.lit(seconds)))
+    recent = minutes.where((F.col("minute") >= since) & (F.col("minute") <= _now(as_of)))
+    return recent.groupBy("chain", "lane").agg(*(F.sum(c).alias(c) for c in ("completed", "links", "retry_success")))
 
 
 def balance_queue(state: DataFrame, as_of: str) -> DataFrame:
@@ -115,16 +125,26 @@ def token_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("address", F.coalesce("usd_value", F.lit(-1.0)).desc(), "token")
 
 
-def seed_tasks(contracts: DataFrame, discoveries: DataFrame, totals: DataFrame, tasks: DataFrame, min_usd: float = 150_000.0) -> DataFrame:
-    """New history tasks (chain, address, start_block) of canonical contracts of valuable addresses.
+def seed_tasks(contracts: DataFrame, discoveries: DataFrame, chains: DataFrame, tasks: DataFrame, min_usd: float = 150_000.0) -> DataFrame:
+    """New tasks (chain, address, first_block, next_block, history_limited, priority) of canonical contracts that are worth min_usd.
 
-    A task starts at the contract's creation, else at its first observation, else at the last block it was read to.
+    contracts: (chain, address, created_block, canonical, last_total_usd); chains: (chain, start_block,
+    last_indexed).  A task begins at the contract's creation, else at its first known observation, else
+    where its chain was read to, but not before the chain's start; contracts that have a task keep it.
     """
     seen = discoveries.groupBy("chain", "address").agg(F.min("observed_block").alias("observed"))
-    rows = contracts.where("canonical = 1").join(totals.where(F.col("total_usd") >= min_usd).select("address"), "address", "left_semi").join(seen, ["chain", "address"], "left")
-    rows = rows.join(tasks.select("chain", "address", "last_block"), ["chain", "address"], "left")
-    start = F.coalesce("created_block", "observed", "last_block")
-    return rows.select("chain", "address", F.greatest(F.lit(0).cast("bigint"), start).alias("start_block")).where("start_block is not null")
+    rows = contracts.where((F.col("canonical") == 1) & (F.col("last_total_usd") >= min_usd)).withColumn("address", F.lower("address"))
+    rows = rows.join(tasks.select("chain", "address"), ["chain", "address"], "left_anti").join(dimension(chains), "chain").join(seen, ["chain", "address"], "left")
+    first = F.coalesce("created_block", "observed", "last_indexed")
+    start = F.when(first.isNotNull() & F.col("start_block").isNotNull(), F.greatest("start_block", first))
+    return rows.select("chain", "address", start.alias("first_block"), start.alias("next_block"), F.col("created_block").isNull().alias("history_limited"), F.lit(50).alias("priority")).where("first_block is not null")
+
+
+def task_priorities(tasks: DataFrame, contracts: DataFrame, min_usd: float = 150_000.0) -> DataFrame:
+    """tasks with priority: 100 until their recent blocks are read, then 50 for valuable addresses and 10 for others."""
+    rich = contracts.groupBy("address").agg(F.max("last_total_usd").alias("__usd"))
+    value = F.when(~F.col("recent_complete"), 100).when(F.coalesce("__usd", F.lit(0.0)) >= min_usd, 50).otherwise(10)
+    return tasks.join(rich, "address", "left").withColumn("priority", value).select(*tasks.columns)
 
 
 def keyed(df: DataFrame, order: list[str], **equal: str) -> DataFrame:

@@ -87,7 +87,7 @@ def endpoint_health(endpoints: DataFrame, as_of: str) -> DataFrame:
 def fleet_totals(gaps: DataFrame, queues: DataFrame) -> DataFrame:
     """One row over all chains: open gaps, blocks left in them, alerts, and the sums of the queue classes."""
     g = gaps.agg(F.coalesce(F.sum("open_gaps"), F.lit(0)).alias("open_gaps"), F.coalesce(F.sum("remaining_blocks"), F.lit(0)).alias("remaining_blocks"), F.coalesce(F.sum("alerts"), F.lit(0)).alias("alerts"))
-    names = ["tasks", "completed", "ready", "retry", "waiting", "high_value", "blocks_left"]
+    names = ["total", "due", "recent_due", "high_value_due", "retry_due", "history_due", "failed", "partial"]
     q = queues.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
     return g.crossJoin(q)  # one row each
 
@@ -98,13 +98,20 @@ def status_report(scans: DataFrame, contracts: DataFrame, gaps: DataFrame, queue
 
 
 def period_report(samples: DataFrame, resources: DataFrame, as_of: str, seconds: int) -> DataFrame:
-    """Per chain: blocks gained, requests and errors in the seconds before as_of, and its last lag, with the machine's load."""
+    """Per chain: blocks gained and scans done, requests and errors in the seconds before as_of, and its last lag, with the machine's load.
+
+    Counters count last minus first by id, and never under 0.  Cursors go on over restarts; scans begin
+    at 0 with each run (run_id), so their growth counts only where the first and the last sample are of
+    one run.
+    """
     until = F.lit(as_of).cast("timestamp")
     inside = (F.col("ts") > until - F.make_interval(secs=F.lit(seconds))) & (F.col("ts") <= until)
     s = samples.where(inside).groupBy("chain").agg(
-        (F.max("cursor_block") - F.min("cursor_block")).alias("blocks"), F.sum("rpc_requests").alias("requests"), F.sum("rpc_errors").alias("errors"),
-        F.max_by(F.col("safe_head") - F.col("cursor_block"), F.struct("ts", "id")).alias("lag_blocks"),
+        F.min_by(F.struct("cursor_block", "scans", "run_id"), "id").alias("a"), F.max_by(F.struct("cursor_block", "scans", "run_id"), "id").alias("b"),
+        F.sum("rpc_requests").alias("requests"), F.sum("rpc_errors").alias("errors"), F.max_by(F.col("safe_head") - F.col("cursor_block"), F.struct("ts", "id")).alias("lag_blocks"),
     )
+    grown = lambda c: F.greatest(F.col(f"b.{c}") - F.col(f"a.{c}"), F.lit(0))
+    s = s.select("chain", grown("cursor_block").alias("blocks"), F.when(F.col("a.run_id") == F.col("b.run_id"), grown("scans")).alias("scans"), "requests", "errors", "lag_blocks")
     machine = resources.where(inside).agg(F.avg("cpu_percent").alias("cpu_percent"), F.max("load1").alias("load1"), F.avg("ram_percent").alias("ram_percent"))
     return s.crossJoin(machine)  # one row
 
@@ -113,7 +120,7 @@ def network_overview(samples: DataFrame, attempts: DataFrame, gaps: DataFrame, q
     """network_report with the queue of each chain and the slowest stage of its work by mean time."""
     stages = attempts.groupBy("chain", "workload").agg(F.avg("ms").alias("mean_ms"))
     slow = stages.groupBy("chain").agg(F.max_by(F.struct("workload", "mean_ms"), F.struct("mean_ms", "workload")).alias("s")).select("chain", F.col("s.workload").alias("slowest_stage"), F.col("s.mean_ms").alias("slowest_ms"))
-    q = queues.select("chain", "tasks", "completed", "ready", "retry", "waiting")
+    q = queues.select("chain", F.col("total").alias("tasks"), "due", "retry_due", "failed", "partial")
     return network_report(samples, attempts, gaps).join(q, "chain", "left").join(slow, "chain", "left")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
+from tidewatch.operators import ranks
 
 NEVER = "9999-12-31 00:00:00"
 
@@ -58,23 +59,50 @@ def due_chains(matrix: DataFrame, as_of: str) -> DataFrame:
     return matrix.where(F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= F.lit(as_of).cast("timestamp")))
 
 
-def rank_log_work(tasks: DataFrame, orphans: DataFrame, as_of: str, prefer_history: bool = False) -> DataFrame:
-    """Tasks that are due with their lane and place in it; the order of lanes depends on whose turn it is."""
+#: Lanes of the work on token histories and their orders, by whose turn it is.
+RECENT_FIRST = ("recent", "high_value", "retry", "historical")
+HISTORY_FIRST = ("historical", "high_value", "recent", "retry")
+
+
+def log_lanes(tasks: DataFrame, hidden: DataFrame, as_of: str, prefer_history: bool = False, allow_history: bool = True) -> DataFrame:
+    """A row a task and lane in which it is due, with lane, lane_rank, work and the columns of its order.
+
+    tasks: (chain, address, priority, recent_due_at, recent_failures, recent_updated_at, history_due_at,
+    history_failures, history_updated_at, completed_at, updated_at).  Each of the two clocks makes a task
+    due on its own, and a null one never; tasks of hidden contracts (not canonical) are left out.
+    Without allow_history the lanes of old blocks rest.  work says which of its clocks a task runs by.
+    """
     now = F.lit(as_of).cast("timestamp")
-    recent_due, history_due = F.col("recent_due_at") <= now, (F.col("history_due_at") <= now) & F.col("completed_at").isNull()
-    lane = (
-        F.when(recent_due & (F.col("recent_failures") == 0), "recent")
-        .when(history_due & (F.col("priority") >= 50) & (F.col("history_failures") == 0), "high_value")
-        .when((recent_due & (F.col("recent_failures") > 0)) | (history_due & (F.col("history_failures") > 0)), "retry")
-        .when(history_due & (F.col("priority") < 50) & (F.col("history_failures") == 0), "historical")
-    )
-    order = ["historical", "high_value", "recent", "retry"] if prefer_history else ["recent", "high_value", "retry", "historical"]
-    rows = tasks.join(orphans.select("chain", "address"), ["chain", "address"], "left_anti").withColumn("lane", lane).where("lane is not null")
-    due = F.when(F.col("lane") == "recent", F.col("recent_due_at")).when(F.col("lane") == "retry", F.col("updated_at")).otherwise(F.col("history_due_at"))
-    weight = F.when(F.col("lane") == "historical", 0).otherwise(F.col("priority"))
-    w = Window.partitionBy("lane").orderBy(weight.desc(), due, "chain", "address")
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("lane"))
-    return rows.withColumn("lane_rank", place.cast("int")).withColumn("place", F.row_number().over(w))
+    recent = F.coalesce(F.col("recent_due_at") <= now, F.lit(False))
+    past = F.coalesce(F.col("history_due_at") <= now, F.lit(False)) & F.col("completed_at").isNull()
+    calm, tried = F.col("history_failures") == 0, F.col("recent_failures") > 0
+    in_lane = {
+        "recent": recent & ~tried, "high_value": past & calm & (F.col("priority") >= 50),
+        "retry": (recent & tried) | (past & ~calm), "historical": past & calm & (F.col("priority") < 50),
+    }
+    order = [x for x in (HISTORY_FIRST if prefer_history else RECENT_FIRST) if allow_history or x not in ("high_value", "historical")]
+    rows = tasks.join(hidden.select("chain", "address"), ["chain", "address"], "left_anti")
+    found = F.filter(F.array(*(F.when(in_lane[x], F.lit(x)) for x in order)), lambda x: x.isNotNull())
+    rows = rows.withColumn("lane", F.explode(found)).withColumn("lane_rank", F.array_position(F.array(*map(F.lit, order)), F.col("lane")).cast("int"))
+    lane = F.col("lane")
+    work = F.when(lane == "recent", "recent").when((lane == "retry") & tried & recent, "recent").otherwise("history")
+    weight = F.when(lane == "historical", 0).otherwise(-F.col("priority"))
+    first = F.when(lane == "recent", F.col("recent_due_at")).when(lane == "retry", F.col("updated_at")).otherwise(F.col("history_due_at"))
+    second = F.when(lane == "recent", F.col("recent_updated_at")).when(lane != "retry", F.col("history_updated_at"))
+    return rows.withColumns({"work": work, "__weight": weight, "__first": first, "__second": second})
+
+
+def rank_log_work(tasks: DataFrame, hidden: DataFrame, as_of: str, prefer_history: bool = False, allow_history: bool = True) -> DataFrame:
+    """log_lanes() with the place of each task in its lane: by priority, when it was due and when it was last looked at; ties by chain and address."""
+    rows = log_lanes(tasks, hidden, as_of, prefer_history, allow_history)
+    order = [F.col(c) for c in ("__weight", "__first", "__second", "chain", "address")]
+    return ranks.places(rows, ["lane"], order).drop("__weight", "__first", "__second")
+
+
+def next_log_task(tasks: DataFrame, hidden: DataFrame, as_of: str, prefer_history: bool = False, allow_history: bool = True) -> DataFrame:
+    """The one task to do next: the first of the first lane that has any; a top of one, not a sort."""
+    rows = log_lanes(tasks, hidden, as_of, prefer_history, allow_history)
+    return rows.orderBy("lane_rank", "__weight", F.col("__first").asc_nulls_first(), F.col("__second").asc_nulls_first(), "chain", "address").limit(1).drop("__weight", "__first", "__second")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

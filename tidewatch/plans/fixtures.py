@@ -118,11 +118,29 @@ SELECT chain, 'backfill' AS role, max(number) - 500 AS next_block, CASE WHEN cha
     "fx_r_gaps": """
 SELECT DISTINCT chain, CAST(5 AS BIGINT) AS start_block, CAST(90 AS BIGINT) AS end_block, CAST(7 AS BIGINT) AS next_block,
   CASE WHEN chain = 'c3' THEN 'active' ELSE 'reorg_alert' END AS status, CASE WHEN chain = 'c3' THEN 'reorg_replay' ELSE 'tip_reanchor' END AS reason FROM fx_blocks""",
+    "fx_log_tasks": f"""
+SELECT concat('c', CAST(c_custkey % 5 AS STRING)) AS chain, {_addr("C", "c_custkey")} AS address, c_custkey * 3 % 700 AS first_block, c_custkey * 3 % 700 + c_custkey % 90 AS next_block,
+  c_custkey % 6 = 0 AS history_limited, c_custkey % 8 <> 0 AS recent_complete, CASE c_custkey % 4 WHEN 0 THEN 100 WHEN 1 THEN 50 ELSE 10 END AS priority,
+  CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE TIMESTAMP '2024-01-20 00:00:00' + INTERVAL '1' HOUR * (c_custkey % 400) END AS recent_due_at, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 3 ELSE 0 END AS recent_failures,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE TIMESTAMP '2024-01-18 00:00:00' + INTERVAL '1' HOUR * (c_custkey % 500) END AS history_due_at, CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 0 END AS history_failures,
+  CASE WHEN c_custkey % 10 < 3 THEN TIMESTAMP '2024-01-15 00:00:00' END AS completed_at, TIMESTAMP '2024-01-10 00:00:00' + INTERVAL '1' HOUR * (c_custkey % 37) AS updated_at,
+  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE TIMESTAMP '2024-01-11 00:00:00' + INTERVAL '1' HOUR * (c_custkey % 29) END AS recent_updated_at,
+  TIMESTAMP '2024-01-12 00:00:00' + INTERVAL '1' HOUR * (c_custkey % 31) AS history_updated_at, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'rate_limit' ELSE 'range' END END AS last_error
+FROM customer WHERE c_custkey % 3 <> 0""",
+    "fx_log_contracts": f"""
+SELECT concat('c', CAST(c_custkey % 5 AS STRING)) AS chain, {_addr("C", "c_custkey")} AS address, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 3 % 700 - 9 END AS created_block,
+  CASE WHEN c_custkey % 13 = 0 THEN 0 ELSE 1 END AS canonical, CAST(c_acctbal * 40 AS DOUBLE) AS last_total_usd
+FROM customer""",
+    "fx_log_chains": """
+SELECT DISTINCT concat('c', CAST(n_regionkey AS STRING)) AS chain, CAST(n_regionkey * 50 AS BIGINT) AS start_block, CASE WHEN n_regionkey < 4 THEN CAST(650 AS BIGINT) END AS last_indexed FROM nation""",
+    "fx_log_minutes": """
+SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, chain, workload AS lane, count(*) AS completed, CAST(sum(floor(ms)) AS BIGINT) AS links, count(CASE WHEN error_class <> 'ok' THEN 1 END) AS retry_success
+FROM fx_attempts GROUP BY 1, 2, 3""",
     "fx_samples": """
 SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, event_type AS chain, CASE WHEN user_id % 2 = 0 THEN 'live' ELSE 'backfill' END AS role,
   CASE WHEN user_id % 50 = 0 THEN 'none' ELSE concat('rpc', CAST(user_id % 4 AS STRING)) END AS active_rpc,
   event_id * 10 AS cursor_block, event_id * 10 + CAST(floor(value) AS BIGINT) AS safe_head,
-  CAST(floor(value) AS BIGINT) + 1 AS rpc_requests, CAST(floor(value / 5) AS BIGINT) AS rpc_errors, props AS errors_json
+  CAST(floor(event_id / 700) AS BIGINT) AS run_id, event_id % 700 AS scans, CAST(floor(value) AS BIGINT) + 1 AS rpc_requests, CAST(floor(value / 5) AS BIGINT) AS rpc_errors, props AS errors_json
 FROM events""",
     "fx_attempts": """
 SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, concat('c', CAST(user_id % 5 AS STRING)) AS chain,

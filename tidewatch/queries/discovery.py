@@ -148,16 +148,18 @@ SELECT coalesce(o.chain, n.chain) AS chain, coalesce(o.token, n.token) AS token,
 
 
 def merge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored links, some without a last block and some taken back, and those of a later range."""
     links = token_links(spark, sf_dir)
-    old = links.where("token < '0xa'").withColumn("last_block", F.when(F.col("first_block") % 7 != 0, F.col("first_block")))
-    return merge.merge_links(old, links.where("token > '0x6'"))
+    first = F.col("first_block")
+    old = links.where("token < '0xa'").withColumn("last_block", F.when(first % 7 != 0, first)).withColumn("canonical", F.when(first % 4 == 1, 0).otherwise(1))
+    return merge.merge_links(old, links.where("token > '0x6'").withColumn("first_block", first + 2))
 
 
 MERGE_LINKS_BODY = """
-SELECT coalesce(o.chain, n.chain) AS chain, coalesce(o.contract, n.contract) AS contract, coalesce(o.token, n.token) AS token, coalesce(o.first_block, n.first_block) AS first_block,
-  CASE WHEN o.token IS NULL THEN n.last_block WHEN n.token IS NULL THEN o.last_block WHEN o.last_block IS NULL THEN NULL ELSE greatest(o.last_block, n.last_block) END AS last_block
-FROM (SELECT chain, contract, token, first_block, CASE WHEN first_block % 7 <> 0 THEN first_block END AS last_block FROM links WHERE token < '0xa') o
-FULL OUTER JOIN (SELECT * FROM links WHERE token > '0x6') n ON o.chain = n.chain AND o.contract = n.contract AND o.token = n.token"""
+SELECT coalesce(o.chain, n.chain) AS chain, coalesce(o.contract, n.contract) AS contract, coalesce(o.token, n.token) AS token, CASE WHEN o.token IS NULL OR (n.token IS NOT NULL AND o.canonical = 0) THEN n.first_block ELSE o.first_block END AS first_block,
+  CASE WHEN o.token IS NULL THEN n.last_block WHEN n.token IS NULL THEN o.last_block ELSE greatest(coalesce(o.last_block, 0), n.last_block) END AS last_block, CAST(CASE WHEN n.token IS NOT NULL THEN 1 ELSE o.canonical END AS INT) AS canonical
+FROM (SELECT chain, contract, token, first_block, CASE WHEN first_block % 7 <> 0 THEN first_block END AS last_block, CASE WHEN first_block % 4 = 1 THEN 0 ELSE 1 END AS canonical FROM links WHERE token < '0xa') o
+FULL OUTER JOIN (SELECT chain, contract, token, first_block + 2 AS first_block, last_block FROM links WHERE token > '0x6') n ON o.chain = n.chain AND o.contract = n.contract AND o.token = n.token"""
 
 
 def reorg_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import discovery, history, merge, queues, reorg, reports, revalue, schedule, sui, valuation
 from tidewatch.plans.fixtures import AS_OF, sql, view
 from tidewatch.queries import discovery as found
+from tidewatch.queries import scans
 from tidewatch.queries import valuation as worth
 
 DAY = "2024-01-30 00:00:00"
@@ -41,65 +42,36 @@ def earliest_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 EARLIEST = sql("fx_attempts", body=" SELECT chain, endpoint AS address, epoch_us(min(ts)) AS due_at FROM fx_attempts GROUP BY 1, 2")
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' contracts on each chain as tasks that read token histories."""
-    h = view(spark, sf_dir, "fx_history").join(view(spark, sf_dir, "fx_native").select("chain", "address", "raw_amount"), ["chain", "address"])
-    n = F.length("raw_amount").cast("bigint")
-    error = F.when(F.col("overdue"), "rate_limit").when(F.col("raw_amount").isNull(), "range")
-    due = F.when(F.col("address") < "0x8", F.lit(DAY).cast("timestamp")).when(F.col("address") < "0xc", F.lit("2024-03-01 00:00:00").cast("timestamp"))
-    return h.select(
-        "chain", "address", (F.coalesce(n, F.lit(0)) * 50).alias("next_block"), F.lit(HEAD).cast("bigint").alias("head"), "history_completed_at", due.alias("retry_at"), error.alias("last_error"),
-        (F.coalesce(n, F.lit(0)) * 10_000.0).alias("total_usd"), "history_limited",
-    )
-
-
-TASKS = f""",
-tasks AS (
-  SELECT h.chain, h.address, coalesce(length(n.raw_amount), 0) * 50 AS next_block, CAST({HEAD} AS BIGINT) AS head, h.history_completed_at, h.history_limited,
-    CASE WHEN h.address < '0x8' THEN TIMESTAMP '{DAY}' WHEN h.address < '0xc' THEN TIMESTAMP '2024-03-01 00:00:00' END AS retry_at,
-    CASE WHEN h.overdue THEN 'rate_limit' WHEN n.raw_amount IS NULL THEN 'range' END AS last_error, coalesce(length(n.raw_amount), 0) * 10000.0 AS total_usd
-  FROM fx_history h JOIN fx_native n ON n.chain = h.chain AND n.address = h.address
-)"""
-TASK_VIEWS = ("fx_history", "fx_native")
-
-
-def hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "fx_code").where("has_code = 0").select("chain", "address")
-
-
 def log_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = queues.log_queue(tasks(spark, sf_dir), hidden(spark, sf_dir), AS_OF)
-    return out.withColumns({c: F.unix_seconds(c) for c in ("oldest_due", "last_retry")})
+    return queues.log_queue(*scans.log_tasks(spark, sf_dir), AS_OF)
 
 
-QUEUE = TASKS + f""",
-lq AS (SELECT chain, count(*) AS tasks, count(history_completed_at) AS completed,
-  count(*) FILTER (WHERE history_completed_at IS NULL AND last_error IS NULL AND coalesce(retry_at <= TIMESTAMP '{AS_OF}', true)) AS ready,
-  count(*) FILTER (WHERE history_completed_at IS NULL AND last_error IS NOT NULL AND coalesce(retry_at <= TIMESTAMP '{AS_OF}', true)) AS retry,
-  count(*) FILTER (WHERE history_completed_at IS NULL AND retry_at > TIMESTAMP '{AS_OF}') AS waiting,
-  count(*) FILTER (WHERE history_completed_at IS NULL AND total_usd >= 150000) AS high_value,
-  CAST(coalesce(sum(CASE WHEN history_completed_at IS NULL THEN greatest(head - next_block + 1, 0) END), 0) AS BIGINT) AS blocks_left,
-  min(CASE WHEN history_completed_at IS NULL THEN next_block END) AS oldest_block,
-  CAST(epoch(min(CASE WHEN history_completed_at IS NULL AND retry_at <= TIMESTAMP '{AS_OF}' THEN retry_at END)) AS BIGINT) AS oldest_due,
-  CAST(epoch(max(CASE WHEN last_error IS NOT NULL THEN retry_at END)) AS BIGINT) AS last_retry
-FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM fx_code c WHERE c.chain = t.chain AND c.address = t.address AND c.has_code = 0) GROUP BY chain)"""
-LOG_QUEUE = sql(*TASK_VIEWS, "fx_code", body=QUEUE + " SELECT * FROM lq")
+LOG_VIEWS = ("fx_log_tasks", "fx_log_contracts")
+QUEUE = f""", lt AS (SELECT *, coalesce(recent_due_at <= TIMESTAMP '{AS_OF}', false) AS rd, coalesce(history_due_at <= TIMESTAMP '{AS_OF}', false) AND completed_at IS NULL AS hd FROM fx_log_tasks k
+  WHERE NOT EXISTS (SELECT 1 FROM fx_log_contracts c WHERE c.chain = k.chain AND c.address = k.address AND c.canonical = 0)),
+lq AS (SELECT chain, count(*) AS total, count(*) FILTER (WHERE rd OR hd) AS due, count(*) FILTER (WHERE rd AND recent_failures = 0) AS recent_due, count(*) FILTER (WHERE hd AND priority >= 50 AND history_failures = 0) AS high_value_due,
+  count(*) FILTER (WHERE (rd AND recent_failures > 0) OR (hd AND history_failures > 0)) AS retry_due, count(*) FILTER (WHERE hd AND priority < 50 AND history_failures = 0) AS history_due, count(last_error) AS failed,
+  count(*) FILTER (WHERE completed_at IS NULL OR history_limited) AS partial, CAST(coalesce(epoch(TIMESTAMP '{AS_OF}') - epoch(min(CASE WHEN rd OR hd THEN updated_at END)), 0) AS BIGINT) AS oldest_age_sec, min(next_block) AS next_block
+FROM lt GROUP BY chain)"""
+LOG_QUEUE = sql(*LOG_VIEWS, body=QUEUE + " SELECT * FROM lq")
 
 
 def due_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queues.due_count(tasks(spark, sf_dir), AS_OF, "retry_at")
+    return queues.due_count(*scans.log_tasks(spark, sf_dir), AS_OF)
+
+
+DUE_TASKS = sql(*LOG_VIEWS, body=QUEUE + " SELECT CAST(sum(due) AS BIGINT) AS due FROM lq")
 
 
 def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queues.error_histogram(tasks(spark, sf_dir))
+    return queues.error_histogram(scans.log_tasks(spark, sf_dir)[0])
 
 
 def lane_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = view(spark, sf_dir, "fx_attempts").select("chain", F.col("workload").alias("lane"), "ts", F.floor("ms").alias("blocks"))
-    return queues.lane_rates(runs, DAY, 86400)
+    return queues.lane_rates(view(spark, sf_dir, "fx_log_minutes"), DAY, 86400)
 
 
-LANE_RATES = sql("fx_attempts", body=f" SELECT chain, workload AS lane, CAST(sum(floor(ms)) AS BIGINT) AS blocks, count(*) AS runs FROM fx_attempts WHERE ts > TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '{DAY}' GROUP BY 1, 2")
+LANE_RATES = sql("fx_log_minutes", body=f" SELECT chain, lane, CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(links) AS BIGINT) AS links, CAST(sum(retry_success) AS BIGINT) AS retry_success FROM fx_log_minutes WHERE minute >= TIMESTAMP '2024-01-29 00:00:00' AND minute <= TIMESTAMP '{DAY}' GROUP BY 1, 2")
 
 
 def balance_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,19 +92,22 @@ NEVER = sql("fx_tx", "fx_balances", "fx_policies", body=" SELECT to_addr AS addr
 
 
 def seed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks of contracts with valuable addresses: half of the contracts have a known creation."""
-    seen = found._calls(spark, sf_dir).groupBy("chain", "address").agg(F.min("created_block").alias("observed_block"))
-    contracts = seen.select("chain", "address", F.when(F.col("observed_block") % 2 == 0, F.col("observed_block") - 7).alias("created_block"), F.lit(1).alias("canonical"))
-    totals = tasks(spark, sf_dir).groupBy("address").agg(F.max("total_usd").alias("total_usd"))
-    old = tasks(spark, sf_dir).select("chain", "address", F.col("next_block").alias("last_block"))
-    return queues.seed_tasks(contracts, seen.where("observed_block % 3 <> 0"), totals, old)
+    """Tasks of valuable contracts that have none; half of the contracts have a known creation, some only calls."""
+    contracts, (old, _) = view(spark, sf_dir, "fx_log_contracts"), scans.log_tasks(spark, sf_dir)
+    seen = contracts.where("address < '0x9'").select("chain", "address", F.when(F.col("address") > "0x2", F.length("address") * 7).cast("bigint").alias("observed_block"))
+    return queues.seed_tasks(contracts, seen, view(spark, sf_dir, "fx_log_chains"), old)
+
+
+SEED = sql(*LOG_VIEWS, "fx_log_chains", body=""", s AS (SELECT c.chain, c.address, c.created_block, greatest(h.start_block, coalesce(c.created_block, CASE WHEN c.address < '0x9' AND c.address > '0x2' THEN 294 END, h.last_indexed)) AS f, h.start_block IS NOT NULL AND coalesce(c.created_block, CASE WHEN c.address < '0x9' AND c.address > '0x2' THEN 294 END, h.last_indexed) IS NOT NULL AS ok
+  FROM fx_log_contracts c JOIN fx_log_chains h ON h.chain = c.chain WHERE c.canonical = 1 AND c.last_total_usd >= 150000 AND NOT EXISTS (SELECT 1 FROM fx_log_tasks t WHERE t.chain = c.chain AND t.address = c.address))
+SELECT chain, address, f AS first_block, f AS next_block, created_block IS NULL AS history_limited, 50 AS priority FROM s WHERE ok""")
+
 
+def task_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queues.task_priorities(scans.log_tasks(spark, sf_dir)[0], view(spark, sf_dir, "fx_log_contracts")).select("chain", "address", "priority")
 
-SEED = sql("fx_tx", *TASK_VIEWS, body=TASKS + """,
-s AS (SELECT chain, to_addr AS address, min(block_number) AS b FROM fx_tx WHERE to_addr IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT s.chain, s.address, coalesce(CASE WHEN b % 2 = 0 THEN b - 7 END, CASE WHEN b % 3 <> 0 THEN b END, t.next_block) AS start FROM s LEFT JOIN tasks t ON t.chain = s.chain AND t.address = s.address
-  WHERE s.address IN (SELECT address FROM tasks GROUP BY address HAVING max(total_usd) >= 150000))
-SELECT chain, address, greatest(start, 0) AS start_block FROM r WHERE start IS NOT NULL""")
+
+PRIORITIES = sql(*LOG_VIEWS, body=" SELECT t.chain, t.address, CASE WHEN NOT recent_complete THEN 100 WHEN coalesce((SELECT max(last_total_usd) FROM fx_log_contracts c WHERE c.address = t.address), 0) >= 150000 THEN 50 ELSE 10 END AS priority FROM fx_log_tasks t")
 
 
 def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,42 +135,58 @@ MERGE_HISTORY = sql("fx_tx", body=FOUND + """ SELECT chain, address, CASE WHEN c
 
 
 def log_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scanned ranges of 100 blocks of each first call's contract, every seventh missing, and the coverage they prove."""
-    starts = history.history_start(discoveries(spark, sf_dir))
-    k = F.explode(F.sequence(F.lit(0), F.lit(14))).alias("k")
-    ranges = starts.select("chain", "address", k).where("k % 7 <> length(address) % 5 + 4 or address < '0x6'").select("chain", "address", (F.col("k") * 100).alias("from_block"), (F.col("k") * 100 + 99).alias("to_block"))
-    read = history.covered_to(starts, ranges).withColumn("recent_from", F.when(F.col("address") < "0xb", 1000))
-    heads = starts.select("chain").distinct().withColumn("head", F.lit(1499))
-    return history.promoted(read, heads, 400).select("chain", "address", "next_block", "coverage")
+    """What the scanned ranges of each chain's blocks prove for the contracts first called there.
+
+    Blocks with transactions to a contract's own kind (by its address) were scanned, in ranges of 8.
+    """
+    starts = history.history_start(discoveries(spark, sf_dir)).withColumn("kind", F.substring("address", 3, 1))
+    tx = view(spark, sf_dir, "fx_tx").select("chain", F.floor(F.col("block_number") / 8).alias("k"), F.substring("tx_hash", 1, 1).alias("kind")).distinct()
+    ranges = starts.join(tx, ["chain", "kind"]).select("chain", "address", (F.col("k") * 8).alias("from_block"), (F.col("k") * 8 + 7).alias("to_block"))
+    heads = view(spark, sf_dir, "fx_tx").groupBy("chain").agg((F.max("block_number") / 4).cast("bigint").alias("head"))
+    read = history.covered_to(starts.drop("kind"), ranges).withColumn("recent_from", F.when(F.col("address") < "0xb", 0))
+    return history.promoted(read, heads, 40).select("chain", "address", "next_block", "coverage")
 
 
 LOG_COVERAGE = sql("fx_tx", body=FOUND + """,
-x AS (SELECT chain, address, b, CASE WHEN address < '0x6' THEN greatest(1500, b) WHEN b < 600 THEN 600 WHEN b < 700 THEN b WHEN b < 1300 THEN 1300 WHEN b < 1400 THEN b ELSE greatest(1500, b) END AS nb FROM f)
-SELECT chain, address, nb AS next_block, CASE WHEN nb > 1499 AND address < '0x9' THEN 'verified' WHEN nb > 1499 THEN 'history_unknown' WHEN address < '0xb' THEN 'recent_only' ELSE 'historical_pending' END AS coverage FROM x""")
+k AS (SELECT DISTINCT chain, CAST(floor(block_number / 8) AS BIGINT) AS k, substr(tx_hash, 1, 1) AS kind FROM fx_tx),
+h AS (SELECT chain, CAST(floor(max(block_number) / 4) AS BIGINT) AS head FROM fx_tx GROUP BY chain),
+r AS (SELECT f.chain, f.address, f.b, k.k FROM f JOIN k ON k.chain = f.chain AND k.kind = substr(f.address, 3, 1) AND k.k * 8 + 7 >= f.b),
+n AS (SELECT *, k - row_number() OVER (PARTITION BY chain, address ORDER BY k) AS g, min(k) OVER (PARTITION BY chain, address) AS k0 FROM r),
+e AS (SELECT chain, address, b, CASE WHEN min(k0) * 8 > b THEN b ELSE max(k) * 8 + 8 END AS nb FROM n WHERE g = k0 - 1 GROUP BY 1, 2, 3),
+x AS (SELECT f.chain, f.address, f.b, coalesce(e.nb, f.b) AS nb, h.head FROM f JOIN h ON h.chain = f.chain LEFT JOIN e ON e.chain = f.chain AND e.address = f.address)
+SELECT chain, address, nb AS next_block, CASE WHEN nb > head AND address < '0x9' THEN 'verified' WHEN address >= '0x9' AND (nb > head OR (address < '0xb' AND 0 <= head - 39)) THEN 'history_unknown' WHEN address < '0xb' AND 0 <= head - 39 THEN 'recent_only' ELSE 'historical_pending' END AS coverage FROM x""")
 
 
 def merge_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = view(spark, sf_dir, "fx_code").select("chain", "address", F.lit("historical_pending").alias("coverage"), F.lit("2024-03-01 00:00:00").cast("timestamp").alias("next_retry_at"))
-    links = found.token_links(spark, sf_dir).where("first_block % 5 = 0")
+    """New coverage over states of which some are verified and some unknown, with new links of some chains."""
+    before = F.when(F.col("address") < "0x5", "verified").when(F.col("address") < "0x7", None).otherwise("historical_pending")
+    state = view(spark, sf_dir, "fx_code").select("chain", "address", before.alias("coverage"), F.lit("2024-03-01 00:00:00").cast("timestamp").alias("next_retry_at"))
+    links = found.token_links(spark, sf_dir).where("first_block % 5 = 0 and token < '0x4'")
     cover = valuation.history_coverage(view(spark, sf_dir, "fx_history")).withColumnRenamed("history", "coverage")
     out = history.merge_coverage(state, cover, links, AS_OF)
     return out.select("chain", "address", "coverage", (F.col("next_retry_at") == F.lit(AS_OF).cast("timestamp")).alias("due"))
 
 
-MERGE_COVERAGE = sql("fx_code", "fx_history", "fx_logs", body=f""", links AS ({found.LINKS})
-SELECT c.chain, c.address, CASE WHEN h.address IS NULL THEN 'historical_pending' WHEN h.history_limited THEN 'history_unknown' WHEN h.history_completed_at IS NULL THEN 'historical_pending' WHEN h.overdue THEN 'recent_only' ELSE 'verified' END AS coverage,
-  EXISTS (SELECT 1 FROM links l WHERE l.chain = c.chain AND l.contract = c.address AND l.first_block % 5 = 0) AS due
-FROM fx_code c LEFT JOIN fx_history h ON h.chain = c.chain AND h.address = c.address""")
+MERGE_COVERAGE = sql("fx_code", "fx_history", "fx_logs", body=f""", links AS ({found.LINKS}),
+s AS (SELECT c.chain, c.address, CASE WHEN c.address < '0x5' THEN 'verified' WHEN c.address >= '0x7' THEN 'historical_pending' END AS old, h.address IS NOT NULL AS task,
+  CASE WHEN h.history_limited THEN 'history_unknown' WHEN h.history_completed_at IS NULL THEN 'historical_pending' WHEN h.overdue THEN 'recent_only' ELSE 'verified' END AS new,
+  EXISTS (SELECT 1 FROM links l WHERE l.chain = c.chain AND l.contract = c.address AND l.first_block % 5 = 0 AND l.token < '0x4') AS due
+FROM fx_code c LEFT JOIN fx_history h ON h.chain = c.chain AND h.address = c.address)
+SELECT chain, address, due, CASE WHEN NOT task OR coalesce(old, '') = 'verified' OR (due AND new = 'verified') OR (new = 'historical_pending' AND old IS NOT NULL) THEN old ELSE new END AS coverage FROM s""")
 
 
 def merge_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored discoveries of which some are not canonical and some have no block, and new ones, some without a block or later."""
     rows = discoveries(spark, sf_dir)
-    old = rows.where("chain <> 'c4'").withColumn("observed_block", F.col("observed_block") - 3).withColumn("canonical", F.when(F.col("observed_block") % 2 == 0, 0).otherwise(1))
-    return merge.merge_discoveries(old, rows.where("chain <> 'c0'"))
+    b = F.col("observed_block")
+    old = rows.where("chain <> 'c4'").select("chain", "address", "source", F.when(b % 5 == 0, None).otherwise(b - 3).alias("observed_block"), F.when(b % 2 == 0, 0).otherwise(1).alias("canonical"))
+    new = rows.where("chain <> 'c0'").withColumn("observed_block", F.when(b % 7 == 0, None).when(b % 3 == 0, b - 6).otherwise(b))
+    return merge.merge_discoveries(old, new.unionByName(new.withColumn("observed_block", F.lit(None).cast("bigint"))))
 
 
-MERGE_DISCOVERIES = sql("fx_tx", body=FOUND + """ SELECT chain, address, CASE WHEN address < '0x9' THEN 'direct_deploy' ELSE 'active_call' END AS source,
-  CASE WHEN chain = 'c0' THEN b - 3 WHEN chain = 'c4' OR (b - 3) % 2 = 0 THEN b ELSE b - 3 END AS observed_block, CAST(CASE WHEN chain = 'c0' AND (b - 3) % 2 = 0 THEN 0 ELSE 1 END AS INT) AS canonical FROM f""")
+MERGE_DISCOVERIES = sql("fx_tx", body=FOUND + """, m AS (SELECT chain, address, b, chain <> 'c4' AS has_old, CASE WHEN b % 5 <> 0 THEN b - 3 END AS ob, CASE WHEN b % 2 = 0 THEN 0 ELSE 1 END AS oc, chain <> 'c0' AS has_new, CASE WHEN b % 7 = 0 THEN NULL WHEN b % 3 = 0 THEN b - 6 ELSE b END AS nb FROM f),
+t AS (SELECT *, NOT has_old OR (has_new AND nb IS NOT NULL AND (oc = 0 OR coalesce(ob > nb, false))) AS take FROM m)
+SELECT chain, address, CASE WHEN address < '0x9' THEN 'direct_deploy' ELSE 'active_call' END AS source, CASE WHEN take THEN nb ELSE ob END AS observed_block, CAST(CASE WHEN take THEN 1 ELSE oc END AS INT) AS canonical FROM t""")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,12 +264,12 @@ FROM fx_balances b LEFT JOIN fx_tokens t ON t.chain = b.chain AND t.token = b.to
 
 def scans_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts with the newest of the scans of the last days, and whether an estimate is older."""
-    scans = view(spark, sf_dir, "fx_scans")
-    own = scans.select("address").distinct().select("address", F.lit("old").alias("last_status"), F.lit(1.0).cast("double").alias("last_total_usd"), F.lit(None).cast("timestamp").alias("last_checked_at"))
-    out = revalue.append_scans(own, scans.where(F.col("scanned_at") >= F.lit("2024-01-28").cast("timestamp")))
-    first = scans.select("address", F.col("id").alias("scan_id"), F.col("scanned_at").alias("estimated_at"))
+    rows = view(spark, sf_dir, "fx_scans")
+    own = rows.select("address").distinct().select("address", F.lit("old").alias("last_status"), F.lit(1.0).cast("double").alias("last_total_usd"), F.lit(None).cast("timestamp").alias("last_checked_at"))
+    out = revalue.append_scans(own, rows.where(F.col("scanned_at") >= F.lit("2024-01-28").cast("timestamp")))
+    first = rows.select("address", F.col("id").alias("scan_id"), F.col("scanned_at").alias("estimated_at"))
     estimates = revalue.merge_estimates(first.where("scan_id % 3 = 0"), first.where("scan_id % 3 = 1"))
-    older = queues.estimates_with_scans(estimates, scans).select("address", "scan_id", "older_scan")
+    older = queues.estimates_with_scans(estimates, rows).select("address", "scan_id", "older_scan")
     return out.join(older, "address", "left").select("address", "last_status", "last_total_usd", "scan_id", "older_scan")
 
 
@@ -288,8 +279,8 @@ SELECT a.address, coalesce(n.status, 'old') AS last_status, coalesce(n.total_usd
 
 
 def latest_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = view(spark, sf_dir, "fx_scans")
-    return queues.latest_nonzero(scans.select("address").distinct().where("address % 4 <> 0"), scans).select("address", "id", "total_usd")
+    rows = view(spark, sf_dir, "fx_scans")
+    return queues.latest_nonzero(rows.select("address").distinct().where("address % 4 <> 0"), rows).select("address", "id", "total_usd")
 
 
 LATEST_NONZERO = sql("fx_scans", body=", l AS (SELECT * FROM fx_scans QUALIFY row_number() OVER (PARTITION BY address ORDER BY id DESC) = 1) SELECT address, id, total_usd FROM l WHERE total_usd > 0 AND address % 4 <> 0")
@@ -333,8 +324,8 @@ def package_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = projects(spark, sf_dir)
     old = stored.select(F.explode("packages").alias("package_id"), "project_key")
     snapshot = stored.where("status = 'incomplete'").withColumn("packages", F.array(F.lit("moved")))
-    scans = view(spark, sf_dir, "fx_scans").select(F.concat(F.lit("k"), (F.col("id") % 60).cast("string")).alias("package_id"), "scanned_at", "total_usd", "status")
-    return sui.package_report(sui.package_projects(old, snapshot), scans).select("package_id", "project_key", "total_usd", "status")
+    last = view(spark, sf_dir, "fx_scans").select(F.concat(F.lit("k"), (F.col("id") % 60).cast("string")).alias("package_id"), "scanned_at", "total_usd", "status")
+    return sui.package_report(sui.package_projects(old, snapshot), last).select("package_id", "project_key", "total_usd", "status")
 
 
 PACKAGE_MAPPING = sql("fx_scans", body=""", m AS (SELECT concat('k', CAST(s_suppkey % 50 AS STRING)) AS package_id, concat('p', CAST(s_suppkey AS STRING)) AS project_key FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0
@@ -370,18 +361,18 @@ _GAP_BASE = found.GAP_SUMMARY[: found.GAP_SUMMARY.rindex("\nSELECT chain, count(
 
 
 def fleet_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.fleet_totals(gaps(spark, sf_dir), queues.log_queue(tasks(spark, sf_dir), hidden(spark, sf_dir), AS_OF))
+    return reports.fleet_totals(gaps(spark, sf_dir), log_queue(spark, sf_dir))
 
 
 FLEET = "CAST((SELECT coalesce(sum({0}), 0) FROM {1}) AS BIGINT) AS {0}"
-_SUMS = ", ".join([*(FLEET.format(c, "gs") for c in ("open_gaps", "remaining_blocks", "alerts")), *(FLEET.format(c, "lq") for c in ("tasks", "completed", "ready", "retry", "waiting", "high_value", "blocks_left"))])
-_REPORT_BASE = sql("fx_tx", *TASK_VIEWS, "fx_code", "fx_scans", body="") + found.MISSING + _GAP_BASE[_GAP_BASE.rindex(", g AS"):] + _GAPS + QUEUE
+_SUMS = ", ".join([*(FLEET.format(c, "gs") for c in ("open_gaps", "remaining_blocks", "alerts")), *(FLEET.format(c, "lq") for c in ("total", "due", "recent_due", "high_value_due", "retry_due", "history_due", "failed", "partial"))])
+_REPORT_BASE = sql("fx_tx", *LOG_VIEWS, "fx_code", "fx_scans", body="") + found.MISSING + _GAP_BASE[_GAP_BASE.rindex(", g AS"):] + _GAPS + QUEUE
 FLEET_TOTALS = _REPORT_BASE + " SELECT " + _SUMS
 
 
 def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = view(spark, sf_dir, "fx_code").where("has_code = 1")
-    return reports.status_report(view(spark, sf_dir, "fx_scans"), code, gaps(spark, sf_dir), queues.log_queue(tasks(spark, sf_dir), hidden(spark, sf_dir), AS_OF))
+    return reports.status_report(view(spark, sf_dir, "fx_scans"), code, gaps(spark, sf_dir), log_queue(spark, sf_dir))
 
 
 STATUS_REPORT = _REPORT_BASE + """, ls AS (SELECT status FROM fx_scans QUALIFY row_number() OVER (PARTITION BY address ORDER BY id DESC) = 1)
@@ -394,20 +385,20 @@ def period_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PERIOD_REPORT = sql("fx_samples", "fx_resources", body=f""", s AS (SELECT * FROM fx_samples WHERE ts > TIMESTAMP '2024-01-25 00:00:00' AND ts <= TIMESTAMP '{DAY}'), r AS (SELECT * FROM fx_resources WHERE ts > TIMESTAMP '2024-01-25 00:00:00' AND ts <= TIMESTAMP '{DAY}')
-SELECT chain, max(cursor_block) - min(cursor_block) AS blocks, CAST(sum(rpc_requests) AS BIGINT) AS requests, CAST(sum(rpc_errors) AS BIGINT) AS errors, arg_max(safe_head - cursor_block, ts) AS lag_blocks,
+SELECT chain, greatest(arg_max(cursor_block, id) - arg_min(cursor_block, id), 0) AS blocks, CASE WHEN arg_max(run_id, id) = arg_min(run_id, id) THEN greatest(arg_max(scans, id) - arg_min(scans, id), 0) END AS scans, CAST(sum(rpc_requests) AS BIGINT) AS requests, CAST(sum(rpc_errors) AS BIGINT) AS errors, arg_max(safe_head - cursor_block, ts) AS lag_blocks,
   (SELECT round(avg(cpu_percent), 4) FROM r) AS cpu_percent, (SELECT round(max(load1), 4) FROM r) AS load1, (SELECT round(avg(ram_percent), 4) FROM r) AS ram_percent FROM s GROUP BY chain""")
 
 
 def network_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = view(spark, sf_dir, "fx_samples").withColumn("chain", F.concat(F.lit("c"), (F.col("id") % 5).cast("string")))
-    out = reports.network_overview(samples, view(spark, sf_dir, "fx_attempts"), gaps(spark, sf_dir), queues.log_queue(tasks(spark, sf_dir), hidden(spark, sf_dir), AS_OF))
-    return out.select("chain", "id", "open_gaps", "tasks", "ready", "retry", "slowest_stage", F.round("slowest_ms", 4).alias("slowest_ms"))
+    out = reports.network_overview(samples, view(spark, sf_dir, "fx_attempts"), gaps(spark, sf_dir), log_queue(spark, sf_dir))
+    return out.select("chain", "id", "open_gaps", "tasks", "due", "retry_due", "slowest_stage", F.round("slowest_ms", 4).alias("slowest_ms"))
 
 
 NETWORK_OVERVIEW = _REPORT_BASE.replace("WITH ", "WITH " + sql("fx_samples", "fx_attempts", body="").removeprefix("WITH ") + ",\n", 1) + """,
 ss AS (SELECT concat('c', CAST(id % 5 AS STRING)) AS chain, id FROM fx_samples WHERE role = 'live' QUALIFY row_number() OVER (PARTITION BY id % 5 ORDER BY ts DESC, id DESC) = 1),
 sl AS (SELECT chain, workload, avg(ms) AS m FROM fx_attempts GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY chain ORDER BY avg(ms) DESC, workload DESC) = 1)
-SELECT ss.chain, ss.id, gs.open_gaps, lq.tasks, lq.ready, lq.retry, sl.workload AS slowest_stage, round(sl.m, 4) AS slowest_ms FROM ss LEFT JOIN gs ON gs.chain = ss.chain LEFT JOIN lq ON lq.chain = ss.chain LEFT JOIN sl ON sl.chain = ss.chain"""
+SELECT ss.chain, ss.id, gs.open_gaps, lq.total AS tasks, lq.due, lq.retry_due, sl.workload AS slowest_stage, round(sl.m, 4) AS slowest_ms FROM ss LEFT JOIN gs ON gs.chain = ss.chain LEFT JOIN lq ON lq.chain = ss.chain LEFT JOIN sl ON sl.chain = ss.chain"""
 
 
 def contracts_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,12 +412,13 @@ QUERIES = {
     "work_kinds_wide": (work_kinds_wide, WORK_WIDE),
     "earliest_due": (earliest_due, EARLIEST),
     "log_queue": (log_queue, LOG_QUEUE),
-    "due_tasks": (due_tasks, sql(*TASK_VIEWS, body=TASKS + f" SELECT count(*) FILTER (WHERE coalesce(retry_at <= TIMESTAMP '{AS_OF}', true)) AS due FROM tasks")),
-    "error_histogram": (error_histogram, sql(*TASK_VIEWS, body=TASKS + " SELECT chain, last_error, count(*) AS n FROM tasks WHERE last_error IS NOT NULL GROUP BY 1, 2")),
+    "due_tasks": (due_tasks, DUE_TASKS),
+    "error_histogram": (error_histogram, sql("fx_log_tasks", body=" SELECT chain, last_error, count(*) AS n FROM fx_log_tasks WHERE last_error IS NOT NULL GROUP BY 1, 2")),
     "lane_rates": (lane_rates, LANE_RATES),
     "balance_queue": (balance_queue, BALANCE_QUEUE),
     "never_scanned": (never_scanned, NEVER),
     "seed_tasks": (seed_tasks, SEED),
+    "task_priorities": (task_priorities, PRIORITIES),
     "history_start": (history_start, HISTORY_START),
     "merge_history": (merge_history, MERGE_HISTORY),
     "log_coverage": (log_coverage, LOG_COVERAGE),

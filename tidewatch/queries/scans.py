@@ -96,24 +96,43 @@ RECHECK_CAPS = sql("fx_scans", body=""", c AS (SELECT address, count(*) AS n FRO
 SELECT address, CASE WHEN n >= 8 THEN 'capped' ELSE 'open' END AS work, n >= 8 AS never FROM c""")
 
 
+def log_tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks of token histories, and the contracts that are not canonical."""
+    return view(spark, sf_dir, "fx_log_tasks"), view(spark, sf_dir, "fx_log_contracts").where("canonical = 0").select("chain", "address")
+
+
 def log_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lanes of log history work over contracts, each with its own order."""
-    code = view(spark, sf_dir, "fx_code").where("has_code = 1").select("chain", "address")
-    k = F.conv(F.substring("address", 3, 4), 16, 10).cast("int")
-    late, now = F.lit("2024-02-02 00:00:00").cast("timestamp"), F.lit("2024-01-15 00:00:00").cast("timestamp")
-    tasks = code.select(
-        "chain", "address", F.when(k % 2 == 0, now).otherwise(late).alias("recent_due_at"), F.when(k % 3 == 0, late).otherwise(now).alias("history_due_at"),
-        F.when(k % 7 == 0, now).alias("completed_at"), (k % 5 % 2).alias("recent_failures"), (k % 11 % 2).alias("history_failures"), (k % 100).alias("priority"), now.alias("updated_at"),
-    )
-    out = schedule.rank_log_work(tasks, code.where("chain = 'c4'"), AS_OF)
-    return out.select("chain", "address", "lane", "lane_rank", "place")
+    """Places in the four lanes of work on token histories, in either order of lanes and with history at rest."""
+    tasks, hidden = log_tasks(spark, sf_dir)
+    out = None
+    for turn, options in (("recent", {}), ("history", {"prefer_history": True}), ("rest", {"allow_history": False})):
+        rows = schedule.rank_log_work(tasks, hidden, AS_OF, **options).select(F.lit(turn).alias("turn"), "chain", "address", "lane", "lane_rank", "work", "place")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+LANES = f""", t AS (SELECT *, coalesce(recent_due_at <= TIMESTAMP '{AS_OF}', false) AS rd, coalesce(history_due_at <= TIMESTAMP '{AS_OF}', false) AND completed_at IS NULL AS hd FROM fx_log_tasks k
+  WHERE NOT EXISTS (SELECT 1 FROM fx_log_contracts c WHERE c.chain = k.chain AND c.address = k.address AND c.canonical = 0)),
+n AS (SELECT chain, address, 'recent' AS lane, 'recent' AS work, -priority AS w, recent_due_at AS a, recent_updated_at AS b FROM t WHERE rd AND recent_failures = 0
+  UNION ALL SELECT chain, address, 'high_value', 'history', -priority, history_due_at, history_updated_at FROM t WHERE hd AND priority >= 50 AND history_failures = 0
+  UNION ALL SELECT chain, address, 'retry', CASE WHEN recent_failures > 0 AND rd THEN 'recent' ELSE 'history' END, -priority, updated_at, NULL FROM t WHERE (rd AND recent_failures > 0) OR (hd AND history_failures > 0)
+  UNION ALL SELECT chain, address, 'historical', 'history', 0, history_due_at, history_updated_at FROM t WHERE hd AND priority < 50 AND history_failures = 0),
+o AS (SELECT * FROM (VALUES ('recent', 'recent', 1), ('recent', 'high_value', 2), ('recent', 'retry', 3), ('recent', 'historical', 4), ('history', 'historical', 1), ('history', 'high_value', 2), ('history', 'recent', 3), ('history', 'retry', 4), ('rest', 'recent', 1), ('rest', 'retry', 2)) v(turn, lane, lane_rank)),
+p AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY w, a NULLS FIRST, b NULLS FIRST, chain, address) AS place FROM n)"""
+LOG_WORK = sql("fx_log_tasks", "fx_log_contracts", body=LANES + " SELECT o.turn, p.chain, p.address, p.lane, o.lane_rank, p.work, p.place FROM p JOIN o ON o.lane = p.lane")
+
+
+def next_log_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next task of each turn."""
+    tasks, hidden = log_tasks(spark, sf_dir)
+    out = None
+    for turn, options in (("recent", {}), ("history", {"prefer_history": True}), ("rest", {"allow_history": False})):
+        rows = schedule.next_log_task(tasks, hidden, AS_OF, **options).select(F.lit(turn).alias("turn"), "chain", "address", "lane", "work")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-LOG_WORK = sql("fx_code", body=""", t AS (SELECT chain, address, CAST(concat('0x', substr(address, 3, 4)) AS INT) AS k FROM fx_code WHERE has_code = 1 AND chain <> 'c4'),
-w AS (SELECT *, k % 2 = 0 AS rd, k % 3 <> 0 AND k % 7 <> 0 AS hd, k % 5 % 2 AS rf, k % 11 % 2 AS hf, k % 100 AS pr FROM t),
-n AS (SELECT *, CASE WHEN rd AND rf = 0 THEN 'recent' WHEN hd AND pr >= 50 AND hf = 0 THEN 'high_value' WHEN (rd AND rf > 0) OR (hd AND hf > 0) THEN 'retry' WHEN hd AND pr < 50 AND hf = 0 THEN 'historical' END AS lane FROM w)
-SELECT chain, address, lane, CASE lane WHEN 'recent' THEN 1 WHEN 'high_value' THEN 2 WHEN 'retry' THEN 3 ELSE 4 END AS lane_rank,
-  CAST(row_number() OVER (PARTITION BY lane ORDER BY CASE WHEN lane = 'historical' THEN 0 ELSE pr END DESC, chain, address) AS INT) AS place FROM n WHERE lane IS NOT NULL""")
+NEXT_LOG_TASK = sql("fx_log_tasks", "fx_log_contracts", body=LANES + " SELECT o.turn, p.chain, p.address, p.lane, p.work FROM p JOIN o ON o.lane = p.lane WHERE place = 1 QUALIFY row_number() OVER (PARTITION BY turn ORDER BY lane_rank) = 1")
 
 
 def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +172,7 @@ QUERIES = {
     "pending_tiers": (pending_tiers, PENDING),
     "recheck_caps": (recheck_caps, RECHECK_CAPS),
     "log_work": (log_work, LOG_WORK),
+    "next_log_task": (next_log_task, NEXT_LOG_TASK),
     "failure_streaks": (failure_streaks, FAILURE_STREAKS),
     "estimate_candidates": (estimate_candidates, ESTIMATE_CANDIDATES),
     "monitoring_snapshot": (monitoring_snapshot, MONITORING),

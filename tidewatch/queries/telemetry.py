@@ -108,7 +108,7 @@ SELECT o.s, o.chain, o.n, o.chain_used, u.used, u.used > 18 OR o.chain_used > 5
 
 
 def latest_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.latest_samples(_samples(spark, sf_dir), ["chain", "role"]).drop("ts", "errors_json")
+    return T.latest_samples(_samples(spark, sf_dir), ["chain", "role"]).drop("ts", "errors_json", "run_id", "scans")
 
 
 LATEST_SAMPLES = sql("fx_samples", body=" SELECT chain, role, id, active_rpc, cursor_block, safe_head, rpc_requests, rpc_errors FROM fx_samples QUALIFY row_number() OVER (PARTITION BY chain, role ORDER BY id DESC) = 1")
