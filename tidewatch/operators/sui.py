@@ -67,17 +67,35 @@ def package_list(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: S.sui_id(own(x))), lambda x: x.isNotNull())))
 
 
+def _given(v: Column, path: str) -> Column:
+    """What a variant has under path; null also where it is JSON's null."""
+    own = F.try_variant_get(v, path, "variant")
+    return F.when(~F.is_variant_null(own), own)
+
+
 def result_items(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """(item) of a provider's answer whose list is the document itself or under content, value, data or items.
+    """raw with item, a VARIANT: a row an object in the list of a provider's answer.
 
-    An answer without a list gives one row with error set.
+    The list is the document itself or what it has under content, value or data, the first that is not
+    null; where that is an object, what this has under content, value or items.  Entries of a list that
+    are no objects are left out; an empty list gives no rows.  An answer without a list, or one that is
+    no JSON, gives one row with error set.  A payload is parsed once, whatever its shape.
     """
-    p = F.col(payload)
-    lists = [F.from_json(F.when(F.startswith(F.ltrim(x), F.lit("[")), x), "array<string>") for x in (p, *(F.get_json_object(p, f"$.{k}") for k in ("content", "value", "data", "items")))]
-    found = F.coalesce(*lists)
-    rows = raw.withColumn("__l", found)
-    item = F.explode_outer("__l")
-    return rows.select(*raw.columns, F.col("__l").isNull().alias("error"), item.alias("item"))
+    rows = raw.withColumn("__v", F.try_parse_json(payload))
+    rows = rows.withColumn("__top", F.coalesce(*(_given(F.col("__v"), f"$.{k}") for k in ("content", "value", "data"))))
+    inner = F.coalesce(*(_given(F.col("__top"), f"$.{k}") for k in ("content", "value", "items")))
+    as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    # the row number keeps the optimizer from writing the search again for each use of the list
+    rows = rows.withColumn("__l", F.coalesce(as_list(F.col("__v")), as_list(F.col("__top")), as_list(inner))).withColumn("__row", F.monotonically_increasing_id())
+    objects = F.filter("__l", lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
+    none = F.array(F.lit(None).cast("variant"))
+    rows = rows.where("__row >= 0").select(*raw.columns, F.col("__l").isNull().alias("error"), F.when(F.col("__l").isNull(), none).otherwise(objects).alias("__l"))
+    return rows.select(*raw.columns, "error", F.explode("__l").alias("item"))
+
+
+def item_field(item: Column, *names: str, kind: str = "string") -> Column:
+    """The first of several fields that an item has, as a type; null where it can't be."""
+    return F.coalesce(*(F.try_variant_get(item, f"$.{n}", kind) for n in names))
 
 
 def project_snapshot(projects: DataFrame, policies: DataFrame, min_usd: float, anomaly_usd: float) -> DataFrame:

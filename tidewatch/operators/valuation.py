@@ -21,15 +21,23 @@ def prices_as_of(prices: DataFrame, as_of: str, ttl_seconds: int = 120, keys: tu
     return last.where(F.unix_seconds(now) - F.unix_seconds("p.ts") <= ttl_seconds).select(*keys, "p.price")
 
 
-def price_history(observations: DataFrame, prices: DataFrame, ttl_seconds: int = 120, keys: tuple[str, ...] = ("token",)) -> DataFrame:
-    """observations (keys, ts) each with the last usable price at its own time: one union and a running last value."""
-    good = prices.where(S.finite(F.col("price").cast("double")) & (F.col("price") > 0))
-    a = observations.withColumn("__obs", F.lit(1)).withColumn("__p", F.lit(None).cast("struct<ts:timestamp,price:double>"))
-    b = good.select(*keys, F.col("ts"), F.lit(0).alias("__obs"), F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("price").cast("double").alias("price")).alias("__p"))
-    w = Window.partitionBy(*keys).orderBy(F.col("ts"), F.col("__obs")).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__p", ignorenulls=True).over(w))
+def price_history(observations: DataFrame, prices: DataFrame, ttl_seconds: int = 120, keys: tuple[str, ...] = ("token",), chunk_seconds: int = 3600) -> DataFrame:
+    """observations (keys, ts) each with the last usable price at its own time, null where that is older than ttl_seconds.
+
+    Keys are not null.  Time is cut into chunks no shorter than the time to live, and each chunk also
+    gets the last price of the chunk before: what is older can't be fresh any more.  So a token with a
+    third of all observations is as many groups as there are chunks.
+    """
+    long = max(chunk_seconds, ttl_seconds)
+    chunk = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / long)
+    good = prices.where(S.finite(F.col("price").cast("double")) & (F.col("price") > 0)).select(*keys, F.col("ts").cast("timestamp").alias("ts"), chunk.alias("__c"), F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("price").cast("double").alias("price")).alias("__p"))
+    last = good.groupBy(*keys, "__c").agg(F.max("__p").alias("__p")).select(*keys, F.col("__p.ts").alias("ts"), (F.col("__c") + 1).alias("__c"), "__p")
+    known = good.unionByName(last).withColumn("__obs", F.lit(0))
+    asked = observations.withColumns({"__c": chunk, "__obs": F.lit(1), "__p": F.lit(None).cast("struct<ts:timestamp,price:double>")})
+    w = Window.partitionBy(*keys, "__c").orderBy(F.col("ts").cast("timestamp"), F.col("__obs")).rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(known, allowMissingColumns=True).withColumn("__last", F.last("__p", ignorenulls=True).over(w))
     fresh = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds("__last.ts") <= ttl_seconds
-    return both.where("__obs = 1").withColumn("price", F.when(fresh, F.col("__last.price"))).drop("__obs", "__p", "__last")
+    return both.where("__obs = 1").withColumn("price", F.when(fresh, F.col("__last.price"))).drop("__obs", "__p", "__last", "__c")
 
 
 def value_tokens(balances: DataFrame, tokens: DataFrame, prices: DataFrame, policies: DataFrame, anomaly_usd: float) -> DataFrame:

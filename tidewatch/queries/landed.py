@@ -199,7 +199,31 @@ COMMITTED = sql("fx_tx", "fx_receipts", body=""", w AS (SELECT DISTINCT chain, b
 b AS (SELECT t.chain, t.block_number, CAST(CASE WHEN t.block_number % 2 = 0 AND w.chain IS NULL THEN 0 ELSE 1 END AS INT) AS batch FROM fx_tx t LEFT JOIN w ON w.chain = t.chain AND w.block_number = t.block_number)
 SELECT chain, batch, count(*) AS n, count(DISTINCT block_number) AS blocks FROM b GROUP BY 1, 2""")
 
+def provider_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects in answers of every shape that a provider gives: a bare list, lists under content, value and data, nested ones, none, an empty one, and broken text."""
+    k = F.col("s_suppkey")
+    one = lambda n: F.concat(F.lit('{"id":'), n.cast("string"), F.lit(',"'), F.when(k % 2 == 0, "tvl").otherwise("currTvl"), F.lit('":'), F.when(k % 5 == 0, F.lit('"n/a"')).otherwise((n * 3).cast("string")), F.lit("}"))
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    shapes = [
+        text("[", one(k), ",7,null]"), text('{"content":[', one(k), "]}"), text('{"value":[', one(k), "]}"), text('{"data":[', one(k), "]}"), text('{"data":{"items":[', one(k), ",", one(k + 100_000), "]}}"),
+        text('{"content":null,"value":{"content":[', one(k), "]}}"), text('{"x":', k.cast("string"), "}"), text('{"broken ', k.cast("string")), F.lit("[]"),
+    ]
+    payload = shapes[-1]
+    for i, x in enumerate(shapes[:-1]):
+        payload = F.when(k % 9 == i, x).otherwise(payload)
+    path = f"{jobs.scratch(spark, 'answers')}/rows"
+    _table(spark, sf_dir, "supplier").select(payload.alias("value")).write.text(path)
+    rows = sui.result_items(landed.read_sui_raw(spark, path))
+    item = F.col("item")
+    return rows.select("error", F.when(F.col("error"), F.col("payload")).alias("answer"), sui.item_field(item, "id", kind="bigint").alias("id"), sui.item_field(item, "currTvl", "tvl", kind="double").alias("tvl"))
+
+
+PROVIDER_ANSWERS = """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 9 AS m FROM supplier), i AS (SELECT k, k AS id FROM s WHERE m < 6 UNION ALL SELECT k, k + 100000 FROM s WHERE m = 4)
+SELECT false AS error, NULL AS answer, CAST(id AS BIGINT) AS id, CASE WHEN k % 5 <> 0 THEN CAST(id * 3 AS DOUBLE) END AS tvl FROM i
+UNION ALL SELECT true, CASE WHEN m = 6 THEN concat('{"x":', CAST(k AS STRING), '}') ELSE concat('{"broken ', CAST(k AS STRING)) END, NULL, NULL FROM s WHERE m IN (6, 7)"""
+
 QUERIES = {
+    "provider_answers": (provider_answers, PROVIDER_ANSWERS),
     "landed_chain": (landed_chain, LANDED_CHAIN),
     "landed_logs": (landed_logs, LANDED_LOGS),
     "landed_portfolio": (landed_portfolio, LANDED_PORTFOLIO),

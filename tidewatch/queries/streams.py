@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.plans.fixtures import view
+from tidewatch.operators import tables
+from tidewatch.plans.fixtures import sql, view
 from tidewatch.queries import telemetry
-from tidewatch.streaming import incidents, jobs
+from tidewatch.streaming import incidents, jobs, live
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,59 @@ def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("chain"), F.split_part("key", F.lit("/"), F.lit(2)).alias("role"), "opened_at", "closed_at", "repeats")
 
 
+def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error share and p95 of each user over sliding five minutes, windows closed by the watermark."""
+    path = jobs.scratch(spark, "latency")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value", F.when(F.col("event_type") == "error", "rate_limit").otherwise("ok").alias("error_class"))
+    clock = rows.limit(1).select((F.col("ts") + F.expr("interval 10 years")).alias("ts"), F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"), "value", "error_class")
+    for part in (rows.where("user_id % 2 = 0"), rows.where("user_id % 2 = 1"), clock):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        jobs.append_to(jobs.trailing_latency(stream, "ts", ["user_id"], "value", "40 days"), path)
+    out = spark.read.parquet(f"{path}/rows").where("user_id is not null")
+    return out.select(F.unix_seconds("at").alias("at"), "user_id", "n", "errors", F.round("rate", 9).alias("rate"), F.round("p95", 6).alias("p95"))
+
+
+STREAM_LATENCY = """WITH w AS (SELECT user_id, date_trunc('minute', ts) + to_minutes(k.k) AS at_, event_type, value FROM events CROSS JOIN (SELECT CAST(range AS INT) AS k FROM range(1, 6)) k),
+g AS (SELECT user_id, at_, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, list_sort(list(value)) AS v FROM w GROUP BY 1, 2),
+x AS (SELECT *, v[CAST(ceil(n * CAST(0.95 AS DECIMAL(9, 6))) AS BIGINT)] AS exact FROM g)
+SELECT CAST(epoch(at_) AS BIGINT) AS at, user_id, n, errors, round(errors / n, 9) AS rate, round(CASE WHEN exact <= 0 THEN 0 ELSE 2 * pow(CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE), ceil(ln(exact) / ln(CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE)))) / (CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE) + 1) END, 6) AS p95 FROM x"""
+
+
+def live_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Called contracts found by a stream of five days, one a batch, stopped and started again after the second, and how often each address was asked for."""
+    path = jobs.scratch(spark, "live")
+    tx = view(spark, sf_dir, "fx_tx").select("chain", "block_number", "tx_hash", "from_addr", "to_addr")
+    width = tx.agg(F.floor(F.max("block_number") / 5) + 1).first()[0]
+    day = F.floor(F.col("block_number") / width)
+    tx = tx.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + day * 86400))
+    code = view(spark, sf_dir, "fx_code").select("chain", "address", "has_code")
+    known = lambda: view(spark, sf_dir, "fx_log_contracts").select("chain", "address").unionByName(code.where("address < '0x3'").select("chain", "address"))
+    run = live.discovery_batches(f"{path}/tables", known, lambda asked: asked.join(code, ["chain", "address"], "left"))
+    for days in ((0, 1), (2, 3, 4)):
+        for k in days:
+            tx.where(day == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    t = tables.opened(spark, f"{path}/tables")
+    found = t["discoveries"].select("chain", "address", "observed_block", "observed_tx")
+    return found.join(t["asked"].select("chain", "address", "times", F.unix_seconds("last_at").alias("last_at")), ["chain", "address"], "full_outer")
+
+
+LIVE_DISCOVERY = sql("fx_tx", "fx_code", "fx_log_contracts", body=""", w AS (SELECT floor(max(block_number) / 5) + 1 AS w FROM fx_tx),
+c AS (SELECT chain, to_addr AS address, CAST(floor(block_number / (SELECT w FROM w)) AS BIGINT) AS day, block_number, tx_hash FROM fx_tx WHERE to_addr IS NOT NULL),
+k AS (SELECT chain, address FROM fx_log_contracts UNION SELECT chain, address FROM fx_code WHERE address < '0x3'),
+a AS (SELECT DISTINCT c.chain, c.address, c.day, k.address IS NOT NULL AS known, x.has_code FROM c LEFT JOIN k ON k.chain = c.chain AND k.address = c.address LEFT JOIN fx_code x ON x.chain = c.chain AND x.address = c.address),
+r AS (SELECT *, day - row_number() OVER (PARTITION BY chain, address ORDER BY day) AS g FROM a),
+p AS (SELECT *, row_number() OVER (PARTITION BY chain, address, g ORDER BY day) AS pos FROM r),
+q AS (SELECT chain, address, count(*) AS times, CAST(1700000000 + max(day) * 86400 AS BIGINT) AS last_at FROM p WHERE NOT known AND (has_code IS NULL OR pos % 2 = 1) GROUP BY 1, 2),
+f AS (SELECT c.chain, c.address, min(c.block_number) AS observed_block, arg_min(c.tx_hash, concat(lpad(CAST(c.block_number AS STRING), 12, '0'), c.tx_hash)) AS observed_tx FROM c JOIN (SELECT DISTINCT chain, address FROM a WHERE known OR has_code = 1) g ON g.chain = c.chain AND g.address = c.address GROUP BY 1, 2)
+SELECT coalesce(f.chain, q.chain) AS chain, coalesce(f.address, q.address) AS address, observed_block, observed_tx, times, last_at FROM f FULL OUTER JOIN q ON q.chain = f.chain AND q.address = f.address""")
+
 QUERIES = {
+    "stream_latency": (stream_latency, STREAM_LATENCY),
+    "live_discovery": (live_discovery, LIVE_DISCOVERY),
     "stream_incidents": (stream_incidents, telemetry.INCIDENTS),
     "stream_stalls": (stream_stalls, telemetry.STALL_INCIDENTS),
     "stream_minutes": (stream_minutes, "SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS minute, event_type, count(*) AS n, round(sum(value), 6) AS total, round(max(value), 6) AS longest FROM events GROUP BY 1, 2"),

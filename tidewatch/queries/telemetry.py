@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
+from tidewatch.operators import hash_tree
 from tidewatch.operators import telemetry as T
 from tidewatch.plans.fixtures import sql, view
 from tidewatch.streaming.incidents import Threshold
@@ -253,8 +254,36 @@ def invariant_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 INVARIANT_DIFF = sql("fx_code", body=" SELECT chain, address, CASE WHEN chain = 'c3' THEN 'lost' ELSE 'changed' END AS change FROM fx_code WHERE chain = 'c3' OR (chain = 'c1' AND coalesce(has_code, -1) <> 0)")
 
 
+def _tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _samples(spark, sf_dir).select("id", "chain", "role", "active_rpc", "cursor_block", "rpc_requests")
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.fingerprint(view(spark, sf_dir, "fx_samples"))
+    """Root of the hash tree of all samples, two digits deep."""
+    return hash_tree.root(_tree_rows(spark, sf_dir), ["id"], 2)
+
+
+def _text(columns: str) -> str:
+    return "concat_ws('|', " + ", ".join(f"coalesce(concat(CAST(length(CAST({c} AS STRING)) AS STRING), ':', CAST({c} AS STRING)), '-')" for c in columns.split()) + ")"
+
+
+FINGERPRINT = sql("fx_samples", body=f""", h AS (SELECT substr(sha256({_text("id")}), 1, 2) AS node, sha256({_text("id chain role active_rpc cursor_block rpc_requests")}) AS r FROM fx_samples),
+l AS (SELECT node, count(*) AS rows, sum(CAST(concat('0x', substr(r, 1, 15)) AS HUGEINT)) AS a, sum(CAST(concat('0x', substr(r, 17, 15)) AS HUGEINT)) AS b FROM h GROUP BY node),
+d2 AS (SELECT node, rows, sha256(concat_ws('|', node, CAST(rows AS STRING), CAST(CAST(a AS HUGEINT) AS STRING), CAST(CAST(b AS HUGEINT) AS STRING))) AS digest FROM l),
+d1 AS (SELECT substr(node, 1, 1) AS up, sum(rows) AS rows, sha256(concat_ws('|', substr(node, 1, 1), string_agg(digest, '|' ORDER BY node))) AS digest FROM d2 GROUP BY substr(node, 1, 1))
+SELECT CAST(sum(rows) AS BIGINT) AS rows, sha256(concat_ws('|', '', string_agg(digest, '|' ORDER BY up))) AS digest FROM d1""")
+
+
+def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that a second copy lost, changed or added, found through the leaves that differ."""
+    rows = _tree_rows(spark, sf_dir)
+    k = F.col("id")
+    after = rows.where(k % 97 != 5).withColumn("active_rpc", F.when(k % 101 == 7, None).otherwise(F.col("active_rpc")))
+    after = after.unionByName(rows.where(k % 89 == 3).withColumn("id", k + 1_000_000))
+    return hash_tree.changes(rows, after, ["id"], 2)
+
+
+TREE_CHANGES = sql("fx_samples", body=" SELECT id, CASE WHEN id % 97 = 5 THEN 'lost' ELSE 'changed' END AS change FROM fx_samples WHERE id % 97 = 5 OR id % 101 = 7 UNION ALL SELECT id + 1000000, 'new' FROM fx_samples WHERE id % 89 = 3")
 
 
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +322,7 @@ QUERIES = {
     "counter_growth": (counter_growth, COUNTER_GROWTH),
     "error_rate": (error_rate, ERROR_RATE),
     "invariant_diff": (invariant_diff, INVARIANT_DIFF),
-    "fingerprint": (fingerprint, None),
+    "fingerprint": (fingerprint, FINGERPRINT),
+    "tree_changes": (tree_changes, TREE_CHANGES),
     "retry_delays": (retry_delays, RETRY_DELAYS),
 }

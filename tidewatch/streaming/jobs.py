@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import discovery, sinks
@@ -31,11 +32,38 @@ def trailing_errors(stream: DataFrame, ts: str, keys: list[str], delay: str = "2
     return out.select(F.col("window.end").alias("at"), *keys, "n", "errors", (F.col("errors") / F.col("n")).alias("rate"))
 
 
-def live_discovery(tx: DataFrame, known: DataFrame, code: DataFrame) -> DataFrame:
-    """Calls of a transaction stream to addresses that are known contracts or have code: stream-static joins."""
-    calls = tx.where("to_addr is not null").select("chain", F.col("to_addr").alias("address"), "block_number", "tx_hash")
-    good = known.select("chain", "address").unionByName(code.where("has_code = 1").select("chain", "address")).distinct()
-    return calls.join(good, ["chain", "address"], "left_semi")
+def latency_bucket(value: Column, error: float = 0.01) -> Column:
+    """Number of the logarithmic bucket of a value: all values of a bucket are within `error` of its middle.  0 and less have one of their own, the least."""
+    base = (1 + error) / (1 - error)
+    return F.when(value > 0, F.ceil(F.log(value) / math.log(base)).cast("int")).when(value.isNotNull(), -(1 << 30))
+
+
+def bucket_value(bucket: Column, error: float = 0.01) -> Column:
+    """Middle of a bucket."""
+    base = (1 + error) / (1 - error)
+    return F.when(bucket == -(1 << 30), 0.0).otherwise(2 * F.pow(F.lit(base), bucket) / (base + 1))
+
+
+def bucket_percentile(counts: Column, share: float, error: float = 0.01) -> Column:
+    """Percentile by nearest rank of an array of (bucket, n), within `error` of the exact one, relatively; null for none."""
+    rank = F.ceil(F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, x: s + x["n"]) * F.lit(share).cast("decimal(9,6)"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("int").alias("at"))
+    step = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.coalesce(s["at"], F.when(s["n"] + x["n"] >= rank, x["bucket"])).alias("at"))
+    return bucket_value(F.aggregate(F.array_sort(counts), start, step, lambda s: s["at"]), error)
+
+
+def trailing_latency(stream: DataFrame, ts: str, keys: list[str], value: str, delay: str = "2 minutes", error: float = 0.01, share: float = 0.95) -> DataFrame:
+    """(at, keys, n, errors, rate, p95) over sliding five minutes, each window once, when the watermark has passed it.
+
+    The sketch of a window is the counts of its logarithmic buckets, which add up over tasks and
+    batches: state is a row a window, key and bucket, and a bucket is 2 % wide, so a key's values from
+    a millisecond to a day are 900 rows at most.  p95 is within `error` (1 %) of the exact one.
+    """
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    bucket = latency_bucket(F.col(value), error)
+    counts = rows.groupBy(F.window(ts, "5 minutes", "1 minute").alias("w"), *keys, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("error_class") != "ok").alias("errors"))
+    out = counts.groupBy("w", *keys).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n"))).alias("counts"))
+    return out.select(F.col("w.end").alias("at"), *keys, "n", "errors", (F.col("errors") / F.col("n")).alias("rate"), bucket_percentile(F.col("counts"), share, error).alias("p95"))
 
 
 def confirmed(blocks: DataFrame, heads: DataFrame, confirmations: DataFrame) -> DataFrame:
