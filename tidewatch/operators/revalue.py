@@ -34,11 +34,12 @@ def partial_totals(tokens: DataFrame, parts: DataFrame) -> DataFrame:
 def revalue_native(parts: DataFrame, policies: DataFrame) -> DataFrame:
     """Parts (address, chain, native_seen_usd, tokens_usd) with native_usd and total_usd under the native policies of today.
 
-    native_seen_usd, what was read, is never changed, so that a policy taken back restores the value.
+    native_seen_usd, what was read, is never changed, so that a policy taken back restores the value.  Only
+    exclude_from_total takes a value out; settle.excluded_native() carries it through past scans.
     """
     own = policies.where("asset = 'native'").select("chain", "address", "policy")
     rows = parts.join(own, ["chain", "address"], "left")
-    out = F.coalesce(F.col("policy").isin("exclude_from_total", "quarantine"), F.lit(False))
+    out = F.coalesce(F.col("policy") == "exclude_from_total", F.lit(False))
     native = F.when(out, F.lit(0.0)).otherwise(F.coalesce("native_seen_usd", F.lit(0.0)))
     return rows.withColumn("native_usd", native).withColumn("total_usd", native + F.coalesce("tokens_usd", F.lit(0.0))).drop("policy")
 

@@ -136,6 +136,42 @@ SELECT DISTINCT concat('c', CAST(n_regionkey AS STRING)) AS chain, CAST(n_region
     "fx_log_minutes": """
 SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, chain, workload AS lane, count(*) AS completed, CAST(sum(floor(ms)) AS BIGINT) AS links, count(CASE WHEN error_class <> 'ok' THEN 1 END) AS retry_success
 FROM fx_attempts GROUP BY 1, 2, 3""",
+    "fx_v_tokens": f"""
+SELECT concat('c', CAST(l_orderkey % 5 AS STRING)) AS chain, {_addr("S", "l_suppkey")} AS address, {_addr("P", "l_partkey")} AS token, CAST(CAST(sum(l_quantity) AS BIGINT) AS STRING) AS raw_amount,
+  CASE WHEN l_partkey % 23 = 1 THEN NULL ELSE CAST(sum(l_quantity) AS DOUBLE) END AS amount, CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey % 50 + 1 AS DOUBLE) END AS price,
+  CASE WHEN l_partkey % 3 <> 0 THEN CAST(sum(l_quantity) AS DOUBLE) * (l_partkey % 50 + 1) END AS usd_value, CASE WHEN l_partkey % 3 <> 0 THEN 1 ELSE 0 END AS priced,
+  CASE WHEN l_partkey % 11 = 0 THEN 'stale' WHEN l_partkey % 13 = 0 THEN 'quarantine' WHEN l_partkey % 17 = 0 THEN 'exclude_from_total' ELSE 'included' END AS valuation
+FROM lineitem GROUP BY l_orderkey % 5, l_suppkey, l_partkey
+UNION ALL
+SELECT concat('c', CAST(n.n_regionkey AS STRING)) AS chain, {_addr("S", "s.s_suppkey")} AS address, 'native' AS token, CAST(s.s_suppkey % 9 AS STRING) AS raw_amount, CAST(s.s_suppkey % 9 AS DOUBLE) AS amount,
+  CASE WHEN s.s_suppkey % 4 <> 0 THEN CAST(2000 AS DOUBLE) END AS price, CASE WHEN s.s_suppkey % 4 <> 0 THEN CAST(s.s_suppkey % 9 * 2000 AS DOUBLE) END AS usd_value, CASE WHEN s.s_suppkey % 4 <> 0 THEN 1 ELSE 0 END AS priced, 'included' AS valuation
+FROM supplier s CROSS JOIN (SELECT DISTINCT n_regionkey FROM nation) n""",
+    "fx_v_states": f"""
+SELECT concat('c', CAST(n.n_regionkey AS STRING)) AS chain, {_addr("S", "s.s_suppkey")} AS address, CASE WHEN (s.s_suppkey + n.n_regionkey) % 6 = 5 THEN NULL ELSE 1 END AS has_code,
+  CASE (s.s_suppkey + n.n_regionkey) % 7 WHEN 0 THEN 'partial' WHEN 1 THEN 'price_missing' WHEN 2 THEN 'absent' ELSE 'complete' END AS status,
+  CASE WHEN s.s_suppkey % 4 <> 0 THEN CAST(s.s_suppkey % 9 * 2000 + 500 AS DOUBLE) END AS observed_native_usd, CASE WHEN s.s_suppkey % 4 <> 0 THEN CAST(s.s_suppkey % 9 * 2000 AS DOUBLE) END AS included_native_usd,
+  CAST(700 AS DOUBLE) AS tokens_usd, CAST(s.s_suppkey % 9 * 2000 + 700 AS DOUBLE) AS total_usd, CAST(0 AS DOUBLE) AS excluded_usd, 'included' AS valuation,
+  CASE WHEN s.s_suppkey % 8 = 3 THEN 'history_unknown' ELSE 'verified' END AS coverage, CASE WHEN s.s_suppkey % 3 <> 2 THEN TIMESTAMP '2024-01-25 00:00:00' END AS last_success_at,
+  TIMESTAMP '2024-02-20 00:00:00' AS next_retry_at, CASE WHEN s.s_suppkey % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-01-30 00:00:00' END AS price_retry_at
+FROM supplier s CROSS JOIN (SELECT DISTINCT n_regionkey FROM nation) n""",
+    "fx_v_contracts": f"""
+SELECT concat('c', CAST(s_suppkey % 5 AS STRING)) AS chain, {_addr("S", "s_suppkey")} AS address, CAST(1 AS DOUBLE) AS last_total_usd, 'old' AS last_status FROM supplier""",
+    "fx_v_scans": f"""
+SELECT s.s_suppkey * 2 + r.n_regionkey AS scan_id, {_addr("S", "s.s_suppkey")} AS address, CAST(5 AS DOUBLE) AS total_usd, 'old' AS status
+FROM supplier s CROSS JOIN (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey < 2) r""",
+    "fx_v_scan_parts": """
+SELECT a.scan_id, s.chain, s.status, s.has_code, s.included_native_usd AS native_usd, CASE WHEN a.scan_id % 3 = 0 THEN s.observed_native_usd END AS observed_native_usd, s.included_native_usd, s.tokens_usd, s.total_usd, s.excluded_usd, s.valuation
+FROM fx_v_scans a JOIN fx_v_states s ON s.address = a.address""",
+    "fx_v_scan_tokens": """
+SELECT a.scan_id, t.chain, t.token, t.raw_amount, t.amount, t.price, CASE WHEN a.scan_id % 2 = 0 THEN t.usd_value / 2 ELSE t.usd_value END AS usd_value, t.priced, t.valuation
+FROM fx_v_scans a JOIN fx_v_tokens t ON t.address = a.address""",
+    "fx_v_work": """
+SELECT chain, address, CASE WHEN token < '0x8' THEN 'token_balance' ELSE 'token_metadata' END AS kind, token AS asset, 'pending' AS status, TIMESTAMP '2024-02-03 00:00:00' AS due_at, CAST(length(raw_amount) AS INT) AS failure_streak
+FROM fx_v_tokens WHERE token LIKE '0x_2%'
+UNION ALL
+SELECT chain, address, 'code' AS kind, '' AS asset, 'pending' AS status, TIMESTAMP '2024-02-03 00:00:00' AS due_at, 0 AS failure_streak FROM fx_v_states WHERE address < '0x9'
+UNION ALL
+SELECT chain, address, 'native_balance' AS kind, '' AS asset, 'pending' AS status, TIMESTAMP '2024-02-04 00:00:00' AS due_at, 3 AS failure_streak FROM fx_v_states WHERE address < '0x3'""",
     "fx_samples": """
 SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, event_type AS chain, CASE WHEN user_id % 2 = 0 THEN 'live' ELSE 'backfill' END AS role,
   CASE WHEN user_id % 50 = 0 THEN 'none' ELSE concat('rpc', CAST(user_id % 4 AS STRING)) END AS active_rpc,

@@ -213,7 +213,7 @@ def revalue_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revalue.revalue_native(rows, view(spark, sf_dir, "fx_policies")).select("address", "chain", worth.cents("native_usd"), worth.cents("total_usd"))
 
 
-REVALUE_NATIVE = sql(*worth.VIEWS, body=worth.VALUED + """, r AS (SELECT p.address, p.chain, p.total_usd - p.native_usd AS tok, CASE WHEN q.policy IN ('exclude_from_total', 'quarantine') THEN 0.0 ELSE 1000.0 END AS nat FROM parts p LEFT JOIN fx_policies q ON q.chain = p.chain AND q.address = p.address AND q.asset = 'native')
+REVALUE_NATIVE = sql(*worth.VIEWS, body=worth.VALUED + """, r AS (SELECT p.address, p.chain, p.total_usd - p.native_usd AS tok, CASE WHEN q.policy = 'exclude_from_total' THEN 0.0 ELSE 1000.0 END AS nat FROM parts p LEFT JOIN fx_policies q ON q.chain = p.chain AND q.address = p.address AND q.asset = 'native')
 SELECT address, chain, CAST(nat AS DOUBLE) AS native_usd, round(nat + tok, 2) AS total_usd FROM r""")
 
 
