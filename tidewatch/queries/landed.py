@@ -162,35 +162,44 @@ SELECT 'qualifying' AS what, count(*) AS n FROM t WHERE total_usd >= 400000 HAVI
 UNION ALL SELECT 'days', count(DISTINCT CAST(scanned_at AS DATE)) FROM fx_scans UNION ALL SELECT 'snapshot', 2 * count(DISTINCT address) FROM fx_scans WHERE address % 2 = 0""")
 
 
+def _streamed(spark: SparkSession, path: str, parts: list[DataFrame], run) -> None:
+    """Land parts one after the other and stream each, a file a batch; the stream stops and starts again in between."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code states as batches of a stream, merged into a snapshot; the second batch comes twice."""
+    """Code answers from a stream, merged into a snapshot; the second batch has newer answers for some addresses."""
     code = view(spark, sf_dir, "fx_code")
     path = jobs.scratch(spark, "upsert")
-    run = sinks.upsert_batches(path, merge.merge_code)
-    run(code.where("chain < 'c3'"), 0)
     second = code.where("chain >= 'c2'").withColumn("has_code", 1 - F.col("has_code"))
-    for _ in range(2):
-        run(second, 1)
-    return sinks.read_snapshot(spark, path).select("chain", "address", F.col("has_code").cast("int").alias("has_code"))
+    _streamed(spark, path, [code.where("chain < 'c3'"), second], sinks.upsert_batches(f"{path}/table", merge.merge_code))
+    return sinks.read_snapshot(spark, f"{path}/table").select("chain", "address", F.col("has_code").cast("int").alias("has_code"))
 
 
 UPSERTED = sql("fx_code", body=" SELECT chain, address, CASE WHEN chain >= 'c2' THEN 1 - has_code ELSE has_code END AS has_code FROM fx_code")
 
 
 def committed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions in two batches: blocks without all receipts wait, and go through when the receipts are there."""
+    """Transactions from a stream of two batches: blocks without all receipts wait, and go through when the receipts are there."""
     tx = view(spark, sf_dir, "fx_tx").select("chain", "block_number", "tx_hash", "to_addr")
-    all_receipts = tx.select("tx_hash")
-    some = view(spark, sf_dir, "fx_receipts").select("tx_hash")
     path = jobs.scratch(spark, "commits")
-    have = iter((some, all_receipts))
+    late: list[DataFrame] = [view(spark, sf_dir, "fx_receipts").select("tx_hash"), tx.select("tx_hash")]
 
     def commit(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/done/b={batch_id}")
 
-    run = jobs.range_commits(f"{path}/wait", lambda: next(have), commit)
-    run(tx.where("block_number % 2 = 0"), 0)
-    run(tx.where("block_number % 2 = 1"), 1)
+    # the receipts are those that are there when a batch runs: some at first, then all
+    run = jobs.range_commits(f"{path}/wait", lambda: late[0], commit)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        run(rows, batch_id)
+        late[:] = late[-1:]
+
+    _streamed(spark, path, [tx.where("block_number % 2 = 0"), tx.where("block_number % 2 = 1")], batch)
     done = spark.read.parquet(f"{path}/done")
     return done.groupBy("chain", F.col("b").cast("int").alias("batch")).agg(F.count("*").alias("n"), F.countDistinct("block_number").alias("blocks"))
 
@@ -199,6 +208,27 @@ COMMITTED = sql("fx_tx", "fx_receipts", body=""", w AS (SELECT DISTINCT chain, b
 b AS (SELECT t.chain, t.block_number, CAST(CASE WHEN t.block_number % 2 = 0 AND w.chain IS NULL THEN 0 ELSE 1 END AS INT) AS batch FROM fx_tx t LEFT JOIN w ON w.chain = t.chain AND w.block_number = t.block_number)
 SELECT chain, batch, count(*) AS n, count(DISTINCT block_number) AS blocks FROM b GROUP BY 1, 2""")
 
+
+def confirmed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks from a stream of three batches, passed on when the head of their chain is far enough ahead, by the confirmations that each chain asks for."""
+    rows = view(spark, sf_dir, "fx_blocks").select("chain", F.col("number").alias("block_number"), "block_hash")
+    path = jobs.scratch(spark, "confirmed")
+    asks = rows.select("chain").distinct().withColumn("confirmations", F.substring("chain", 2, 1).cast("bigint") * 40)
+
+    def commit(done: DataFrame, batch_id: int) -> None:
+        done.write.mode("overwrite").parquet(f"{path}/done/b={batch_id}")
+
+    third = rows.agg(F.floor(F.max("block_number") / 3) + 1).first()[0]
+    parts = [rows.where(F.floor(F.col("block_number") / third) == k) for k in range(3)]
+    _streamed(spark, path, parts, jobs.confirmed_commits(f"{path}/wait", asks, commit))
+    return spark.read.parquet(f"{path}/done").select("chain", "block_number", "block_hash", F.col("b").cast("int").alias("batch"))
+
+
+CONFIRMED = sql("fx_blocks", body=""", t AS (SELECT floor(max(number) / 3) + 1 AS w FROM fx_blocks), b AS (SELECT chain, number, block_hash, CAST(floor(number / (SELECT w FROM t)) AS INT) AS k, CAST(substr(chain, 2, 1) AS BIGINT) * 40 AS c FROM fx_blocks),
+h AS (SELECT chain, k, max(max(number)) OVER (PARTITION BY chain ORDER BY k) - max(c) AS lim FROM b GROUP BY chain, k)
+SELECT b.chain, number AS block_number, block_hash, min(h.k) AS batch FROM b JOIN h ON h.chain = b.chain AND h.k >= b.k AND b.number <= h.lim GROUP BY 1, 2, 3""")
+
+
 def provider_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects in answers of every shape that a provider gives: a bare list, lists under content, value and data, nested ones, none, an empty one, and broken text."""
     k = F.col("s_suppkey")
@@ -232,4 +262,5 @@ QUERIES = {
     "written_reports": (written_reports, WRITTEN_REPORTS),
     "upserted": (upserted, UPSERTED),
     "committed_ranges": (committed_ranges, COMMITTED),
+    "confirmed_blocks": (confirmed_blocks, CONFIRMED),
 }

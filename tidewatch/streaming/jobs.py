@@ -95,6 +95,35 @@ def range_commits(path: str, receipts: Callable[[], DataFrame], commit: Callable
     return run
 
 
+def confirmed_commits(path: str, confirmations: DataFrame, commit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over blocks (chain, block_number, ...): each is committed when its chain's head is `confirmations` blocks ahead.
+
+    confirmations: (chain, confirmations), a row a configured chain.  The head is the highest block seen
+    so far, kept with the blocks that wait under path.  commit must do nothing for a batch id that it has
+    seen, as for range_commits().
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = sinks.current(spark, path)
+        if own is not None and int(own["version"]) >= batch_id:
+            return
+        waiting = sinks.read_snapshot(spark, path)
+        # a waiting row of no block carries each chain's head, so that it is known without any waiting block
+        rows = batch.withColumn("is_head", F.lit(False))
+        rows = rows if waiting is None else waiting.unionByName(rows)
+        heads = rows.groupBy("chain").agg(F.max("block_number").alias("head"))
+        blocks = rows.where("not is_head")
+        done = confirmed(blocks, heads, confirmations).drop("is_head")
+        commit(done, batch_id)
+        left = blocks.join(done.select("chain", "block_number").distinct(), ["chain", "block_number"], "left_anti")
+        rest = [c for c in rows.columns if c not in ("chain", "block_number", "is_head")]
+        marks = heads.select("chain", F.col("head").alias("block_number"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rest), F.lit(True).alias("is_head"))
+        sinks.write_snapshot(left.unionByName(marks.select(*left.columns)), path, str(batch_id))
+
+    return run
+
+
 def scratch(spark, name: str) -> str:
     """A new folder under spark.checkpoint.dir; a local temporary one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-")
