@@ -122,9 +122,10 @@ def test_raw_transaction(spark):
 
 
 def test_result_lists(spark):
-    rows = [('[1,2]',), ('{"data":[{"a":1}]}',), ('{"x":1}',)]
-    got = sui.result_items(spark.createDataFrame(rows, "payload string")).collect()
-    assert [r.error for r in got] == [False, False, False, True]
+    """Lists at the top, under a name and nested; entries that are no objects are left out, an empty list gives nothing, no list an error."""
+    rows = [('[{"a":1},2,null]',), ('{"data":[{"a":2}]}',), ('{"content":null,"value":{"items":[{"a":3},{"a":4}]}}',), ('{"x":1}',), ('{"content":5}',), ("broken",), (None,), ("[]",), ('{"data":{"content":[]}}',)]
+    got = sui.result_items(spark.createDataFrame(rows, "payload string")).select("error", sui.item_field(F.col("item"), "b", "a", kind="int").alias("a")).collect()
+    assert sorted((r.error, r.a or 0) for r in got) == [(False, 1), (False, 2), (False, 3), (False, 4), (True, 0), (True, 0), (True, 0), (True, 0)]
 
 
 def test_load_states(spark):
