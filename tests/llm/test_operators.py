@@ -527,6 +527,19 @@ def test_crowded_band(spark, words, families, edits):
     assert {frozenset(x) for x in mine.values()} == {frozenset(x) for x in want.values()}
 
 
+def test_shared_bands(spark):
+    """Crowded bands go another way and give the same."""
+    r = random.Random(3)
+    rows = {(r.randrange(2000), b) for b in [7] * 900 + [r.randrange(500) for _ in range(1500)]}
+    df = spark.createDataFrame(sorted(rows), "key long, band long")
+    by = collections.defaultdict(set)
+    for k, b in rows:
+        by[b].add(k)
+    want = {(b, k, min(x)) for b, x in by.items() if len(x) > 1 for k in x}
+    for limit in (100_000, 50):
+        assert {tuple(x) for x in line_dedup.shared_bands(df, 64, limit).collect()} == want
+
+
 def test_pipeline_lines(spark):
     """A mostly duplicated document keeps the first copy of a line; only documents without a word left go."""
     import corpus_pipeline
