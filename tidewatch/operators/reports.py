@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import schedule, telemetry
+from tidewatch.operators.reorg import dimension
 
 
 def hidden_addresses(contracts: DataFrame) -> DataFrame:
@@ -59,6 +60,69 @@ def report_rows(latest: DataFrame, parts: DataFrame, sources: DataFrame) -> Data
     return latest.join(p, "address", "left").join(s, "address", "left")
 
 
+#: Columns of the full report, in order.
+FULL_REPORT = (
+    "address total_usd coverage status networks_with_code network_balances tokens discovery_sources first_seen last_seen checked notes "
+    "estimate_usd estimate_lower_usd estimate_upper_usd estimate_status estimate_coverage estimate_checked estimate_parts estimate_notes"
+).split()
+
+
+def money(v: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(F.coalesce(v, F.lit(0.0)), 2))
+
+
+def _texts(rows: DataFrame, key: str, order: list[Column], text: Column, name: str) -> DataFrame:
+    """(key, name): the texts of each key in order, with "; " between them."""
+    marks = [o.alias(f"o{i}") for i, o in enumerate(order)]
+    own = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*marks, text.alias("text")))).alias("x"))
+    return own.select(key, F.array_join(F.transform("x", lambda x: x["text"]), "; ").alias(name))
+
+
+def full_report(latest: DataFrame, parts: DataFrame, tokens: DataFrame, sources: DataFrame, estimates: DataFrame, chains: DataFrame, tokens_info: DataFrame) -> DataFrame:
+    """FULL_REPORT of latest scans (id, address, total_usd, coverage, total_networks, status, scanned_at, note).
+
+    parts (scan_id, chain, status, has_code, total_usd, observed_native_usd, excluded_usd): those with
+    code are listed by chain; tokens (scan_id, chain, token, raw_amount, amount, usd_value, priced,
+    valuation) by chain, then value, unpriced ones last; sources (address, chain, source,
+    observed_block, observed_tx, first_seen_at) by when they were seen; estimates (address, ...,
+    scan_id, chain_parts, token_parts) never change status or total, and say if they are of an older
+    scan; chains (chain, display_name, lifecycle) and tokens_info (chain, token, symbol) give names.
+    Children become one row an address or scan before they are joined.
+    """
+    names = dimension(chains.select("chain", "display_name", "lifecycle"))
+    p = parts.where("has_code = 1").join(names, "chain", "left")
+    shut = F.coalesce("excluded_usd", F.lit(0.0))
+    detail = F.when(shut != 0, F.concat(F.lit(", observed native="), money(F.col("observed_native_usd")), F.lit(", excluded="), money(shut))).otherwise("")
+    balance = F.concat("chain", F.lit("="), money(F.col("total_usd")), F.lit(" ("), "status", detail, F.lit("; lifecycle="), F.coalesce("lifecycle", F.lit("unknown")), F.lit(")"))
+    with_code = _texts(p, "scan_id", [F.col("chain")], F.coalesce("display_name", "chain"), "networks_with_code")
+    balances = _texts(p, "scan_id", [F.col("chain")], balance, "network_balances")
+    t = tokens.join(tokens_info.select("chain", "token", "symbol"), ["chain", "token"], "left")
+    label = F.coalesce(F.nullif("symbol", F.lit("")), F.substring("token", 1, 10))
+    note = F.coalesce("valuation", F.lit("included"))
+    odd = note != "included"
+    value = F.when(F.col("priced") == 1, F.concat(money(F.col("usd_value")), F.when(odd, F.concat(F.lit(" ("), note, F.lit(")"))).otherwise("")))
+    bare = F.concat(F.coalesce(F.col("amount").cast("string"), "raw_amount"), F.lit(" (unpriced"), F.when(odd, F.concat(F.lit(", "), note)).otherwise(""), F.lit(")"))
+    held = _texts(t, "scan_id", [F.col("chain"), -F.coalesce("usd_value", F.lit(-1.0)), F.col("token")], F.concat("chain", F.lit(":"), label, F.lit("="), F.coalesce(value, bare)), "tokens")
+    seen = F.concat_ws(":", "chain", "source", F.coalesce(F.col("observed_block").cast("string"), F.lit("None")), F.coalesce("observed_tx", F.lit("")))
+    found = _texts(sources, "address", [F.col("first_seen_at"), F.col("chain"), F.col("source")], seen, "discovery_sources")
+    times = sources.groupBy("address").agg(F.min("first_seen_at").alias("first_seen"), F.max("first_seen_at").alias("last_seen"))
+    part = F.array_join(F.transform(F.filter("chain_parts", lambda x: x["has_code"] == 1), lambda x: F.concat(x["chain"], F.lit("=$"), x["estimated_usd"])), "; ")
+    token = lambda x: F.concat(x["chain"], F.lit(":"), x["symbol"], F.lit("="), x["amount"], F.when(x["priced"], F.concat(F.lit(" ($"), F.regexp_replace(F.format_number(x["usd_value"], 2), ",", ""), F.lit(")"))).otherwise(" (unpriced)"))
+    texts = F.substring(F.concat(part, F.lit(" | "), F.array_join(F.transform("token_parts", token), "; ")), 1, 32_000)  # as long as a cell of a sheet can be
+    e = estimates.select(
+        "address", F.col("estimated_usd").alias("estimate_usd"), F.col("lower_usd").alias("estimate_lower_usd"), F.col("upper_usd").alias("estimate_upper_usd"), F.col("status").alias("estimate_status"),
+        F.concat_ws("/", "coverage", "total_networks").alias("estimate_coverage"), F.col("checked_at").alias("estimate_checked"), texts.alias("estimate_parts"), F.col("note").alias("__note"), "uncertainty", F.col("scan_id").alias("__scan"),
+    )
+    rows = latest
+    for child in (with_code, balances, held):
+        rows = rows.join(child.withColumnRenamed("scan_id", "id"), "id", "left")
+    for child in (found, times, e):
+        rows = rows.join(child, "address", "left")
+    about = F.when(F.col("estimate_status").isNotNull(), F.concat(F.coalesce("__note", F.lit("")), F.lit("; assumed deviation="), F.format_string("%.0f%%", F.col("uncertainty") * 100), F.when(~F.col("__scan").eqNullSafe(F.col("id")), "; relates to an older RPC scan").otherwise("")))
+    rows = rows.withColumns({"coverage": F.concat_ws("/", "coverage", "total_networks"), "total_usd": F.coalesce("total_usd", F.lit(0.0)), "checked": F.col("scanned_at"), "notes": F.col("note"), "estimate_notes": about})
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("networks_with_code", "network_balances", "tokens", "discovery_sources")}).select(FULL_REPORT)
+
+
 def evidence_json(anomalies: DataFrame, threshold: float) -> DataFrame:
     return anomalies.withColumn("evidence_json", F.to_json(F.struct(F.lit(threshold).alias("threshold_usd"), "chain", "token")))
 
@@ -92,9 +156,10 @@ def fleet_totals(gaps: DataFrame, queues: DataFrame) -> DataFrame:
     return g.crossJoin(q)  # one row each
 
 
-def status_report(scans: DataFrame, contracts: DataFrame, gaps: DataFrame, queues: DataFrame) -> DataFrame:
-    """One row: what is found, by status, and what waits."""
-    return monitoring_snapshot(scans, contracts).crossJoin(fleet_totals(gaps, queues))  # one row each
+def status_report(scans: DataFrame, contracts: DataFrame, gaps: DataFrame, queues: DataFrame, network: DataFrame | None = None) -> DataFrame:
+    """One row: what is found, by status, and what waits; with the summary of the object network (sui.network_summary()), too."""
+    rows = monitoring_snapshot(scans, contracts).crossJoin(fleet_totals(gaps, queues))  # one row each
+    return rows if network is None else rows.crossJoin(network.select(*(F.col(c).alias(f"sui_{c}") for c in network.columns)))
 
 
 def period_report(samples: DataFrame, resources: DataFrame, as_of: str, seconds: int) -> DataFrame:

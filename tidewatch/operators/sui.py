@@ -233,3 +233,45 @@ def package_report(mapping: DataFrame, scans: DataFrame) -> DataFrame:
     """Packages with their project and their latest scan."""
     last = scans.groupBy("package_id").agg(F.max_by(F.struct("scanned_at", "total_usd", "status"), "scanned_at").alias("s"))
     return mapping.join(last, "package_id", "left").select("package_id", "project_key", "s.scanned_at", "s.total_usd", "s.status")
+
+
+def network_summary(packages: DataFrame, objects: DataFrame, transactions: DataFrame, discoveries: DataFrame, projects: DataFrame, gaps: DataFrame, as_of: str, since: str, min_usd: float) -> DataFrame:
+    """One row: packages, new ones since a time, active objects, transactions to enrich, packages by how they were found, projects by their status now, and open gaps of checkpoints.
+
+    A project counts as incomplete when it is stored so, the provider's answer lacked it, it has no
+    packages or its data is older than half an hour.
+    """
+    is_new = F.col("first_seen_at") >= F.lit(since).cast("timestamp")
+    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("seen_at")
+    now = S.current_project_status(F.col("status"), F.col("complete"), F.size("packages"), age, F.col("indexed_tvl"), min_usd)
+    open_ = gaps.where("status = 'active'")
+    parts = [
+        packages.agg(F.count("*").alias("packages"), F.count_if(is_new).alias("new_packages")),
+        objects.agg(F.count_if(F.col("active") == 1).alias("objects")),
+        transactions.agg(F.count_if(F.col("enriched") == 0).alias("pending")),
+        discoveries.agg(*(F.count_if(F.col("source") == x).alias(x) for x in ("publish", "active_call"))),
+        projects.select(now.alias("now")).agg(*(F.count_if(F.col("now") == x).alias(x) for x in ("qualifying", "below", "incomplete"))),
+        open_.agg(F.count("*").alias("open_gaps"), F.coalesce(F.sum(F.col("end_checkpoint") - F.col("next_checkpoint") + 1), F.lit(0)).alias("gap_remaining")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.crossJoin(x)  # one row each
+    return out
+
+
+def project_report(projects: DataFrame, as_of: str, min_usd: float, outage: bool = False) -> DataFrame:
+    """Projects (project_name, indexed_tvl, status, packages, verified_pool_tvl, verified_pool_count, pool_count, complete, seen_at, note) as report rows with their kind.
+
+    Verified pools are evidence beside the indexed value, never added to it.  Old data, or data of a
+    provider that is out, is marked in the notes; the status is as stored.
+    """
+    tvl = F.coalesce("indexed_tvl", F.lit(0.0))
+    status = F.when((F.col("status") == "incomplete") | (F.size("packages") == 0), "incomplete").when(tvl >= min_usd, "qualifying").otherwise("below")
+    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("seen_at")
+    stale = F.lit(outage) | (F.coalesce(age, F.lit(1 << 40)) > 1800) | ~F.col("complete")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    notes = F.concat(F.lit("indexed value; verified pools are evidence only and not added to it"), F.when(stale, F.concat(F.lit("; snapshot stale since "), F.coalesce(F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")))).otherwise(""), F.coalesce(F.concat(F.lit("; "), F.nullif("note", F.lit(""))), F.lit("")))
+    return projects.select(
+        F.col("project_name").alias("project"), tvl.alias("indexed_tvl"), status.alias("status"), F.substring(F.array_join("packages", "; "), 1, 32_000).alias("packages"), F.coalesce("verified_pool_tvl", F.lit(0.0)).alias("verified_pool_tvl"),
+        count("verified_pool_count").alias("verified_pools"), count("pool_count").alias("known_pools"), F.concat_ws("/", count("verified_pool_count"), count("pool_count")).alias("verification_coverage"), F.col("seen_at").alias("synced"), notes.alias("notes"),
+    )

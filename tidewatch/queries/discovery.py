@@ -228,9 +228,11 @@ def gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorg.gap_summary(r.withColumn("next_block", F.col("start_block")).withColumn("status", status))
 
 
-GAP_SUMMARY = sql("fx_tx", body=MISSING + """, g AS (SELECT *, CASE WHEN start_block % 5 = 0 THEN 'complete' WHEN start_block % 7 = 0 THEN 'reorg_alert' ELSE 'active' END AS status FROM r)
-SELECT chain, count(*) FILTER (WHERE status <> 'complete') AS open_gaps, CAST(coalesce(sum(CASE WHEN status <> 'complete' THEN end_block - start_block + 1 END), 0) AS BIGINT) AS remaining_blocks,
-  count(*) FILTER (WHERE status = 'reorg_alert') AS alerts, min(CASE WHEN status <> 'complete' THEN start_block END) AS oldest_next FROM g GROUP BY chain""")
+#: Gaps of each chain and their summary, behind fx_tx.
+GAPS = MISSING + """, g AS (SELECT *, CASE WHEN start_block % 5 = 0 THEN 'complete' WHEN start_block % 7 = 0 THEN 'reorg_alert' ELSE 'active' END AS status FROM r),
+gs AS (SELECT chain, count(*) FILTER (WHERE status <> 'complete') AS open_gaps, CAST(coalesce(sum(CASE WHEN status <> 'complete' THEN end_block - start_block + 1 END), 0) AS BIGINT) AS remaining_blocks,
+  count(*) FILTER (WHERE status = 'reorg_alert') AS alerts, min(CASE WHEN status <> 'complete' THEN start_block END) AS oldest_next FROM g GROUP BY chain)"""
+GAP_SUMMARY = sql("fx_tx", body=GAPS + " SELECT * FROM gs")
 
 
 def verified_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

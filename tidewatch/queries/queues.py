@@ -356,18 +356,15 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.gap_summary(spark, sf_dir)
 
 
-_GAPS = ", gs AS (" + found.GAP_SUMMARY[found.GAP_SUMMARY.rindex("\nSELECT chain, count(*)"):] + ")"
-_GAP_BASE = found.GAP_SUMMARY[: found.GAP_SUMMARY.rindex("\nSELECT chain, count(*)")]
-
-
 def fleet_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.fleet_totals(gaps(spark, sf_dir), log_queue(spark, sf_dir))
 
 
 FLEET = "CAST((SELECT coalesce(sum({0}), 0) FROM {1}) AS BIGINT) AS {0}"
 _SUMS = ", ".join([*(FLEET.format(c, "gs") for c in ("open_gaps", "remaining_blocks", "alerts")), *(FLEET.format(c, "lq") for c in ("total", "due", "recent_due", "high_value_due", "retry_due", "history_due", "failed", "partial"))])
-_REPORT_BASE = sql("fx_tx", *LOG_VIEWS, "fx_code", "fx_scans", body="") + found.MISSING + _GAP_BASE[_GAP_BASE.rindex(", g AS"):] + _GAPS + QUEUE
-FLEET_TOTALS = _REPORT_BASE + " SELECT " + _SUMS
+_WAITING = found.GAPS + QUEUE
+_REPORT_VIEWS = ("fx_tx", *LOG_VIEWS, "fx_code", "fx_scans")
+FLEET_TOTALS = sql(*_REPORT_VIEWS, body=_WAITING + " SELECT " + _SUMS)
 
 
 def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,8 +372,10 @@ def status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.status_report(view(spark, sf_dir, "fx_scans"), code, gaps(spark, sf_dir), log_queue(spark, sf_dir))
 
 
-STATUS_REPORT = _REPORT_BASE + """, ls AS (SELECT status FROM fx_scans QUALIFY row_number() OVER (PARTITION BY address ORDER BY id DESC) = 1)
-SELECT (SELECT count(DISTINCT address) FROM fx_code WHERE has_code = 1) AS addresses, (SELECT count(*) FROM fx_code WHERE has_code = 1) AS instances, """ + ", ".join(f"(SELECT count(*) FROM ls WHERE status = '{s}') AS {s}" for s in ("qualifying", "below", "incomplete")) + ", " + _SUMS
+#: The tables of the status report and its columns.
+STATUS_TABLES = _WAITING + ", ls AS (SELECT status FROM fx_scans QUALIFY row_number() OVER (PARTITION BY address ORDER BY id DESC) = 1)"
+STATUS_COLUMNS = "(SELECT count(DISTINCT address) FROM fx_code WHERE has_code = 1) AS addresses, (SELECT count(*) FROM fx_code WHERE has_code = 1) AS instances, " + ", ".join(f"(SELECT count(*) FROM ls WHERE status = '{s}') AS {s}" for s in ("qualifying", "below", "incomplete")) + ", " + _SUMS
+STATUS_REPORT = sql(*_REPORT_VIEWS, body=STATUS_TABLES + " SELECT " + STATUS_COLUMNS)
 
 
 def period_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,10 +394,10 @@ def network_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chain", "id", "open_gaps", "tasks", "due", "retry_due", "slowest_stage", F.round("slowest_ms", 4).alias("slowest_ms"))
 
 
-NETWORK_OVERVIEW = _REPORT_BASE.replace("WITH ", "WITH " + sql("fx_samples", "fx_attempts", body="").removeprefix("WITH ") + ",\n", 1) + """,
+NETWORK_OVERVIEW = sql(*_REPORT_VIEWS, "fx_samples", "fx_attempts", body=_WAITING + """,
 ss AS (SELECT concat('c', CAST(id % 5 AS STRING)) AS chain, id FROM fx_samples WHERE role = 'live' QUALIFY row_number() OVER (PARTITION BY id % 5 ORDER BY ts DESC, id DESC) = 1),
 sl AS (SELECT chain, workload, avg(ms) AS m FROM fx_attempts GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY chain ORDER BY avg(ms) DESC, workload DESC) = 1)
-SELECT ss.chain, ss.id, gs.open_gaps, lq.total AS tasks, lq.due, lq.retry_due, sl.workload AS slowest_stage, round(sl.m, 4) AS slowest_ms FROM ss LEFT JOIN gs ON gs.chain = ss.chain LEFT JOIN lq ON lq.chain = ss.chain LEFT JOIN sl ON sl.chain = ss.chain"""
+SELECT ss.chain, ss.id, gs.open_gaps, lq.total AS tasks, lq.due, lq.retry_due, sl.workload AS slowest_stage, round(sl.m, 4) AS slowest_ms FROM ss LEFT JOIN gs ON gs.chain = ss.chain LEFT JOIN lq ON lq.chain = ss.chain LEFT JOIN sl ON sl.chain = ss.chain""")
 
 
 def contracts_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.queries import discovery, durable, landed, more, queues, scans, settled, shredding, streams, telemetry, valuation
+from tidewatch.queries import discovery, durable, landed, more, queues, reporting, scans, settled, shredding, streams, telemetry, valuation
 
-ALL = valuation.QUERIES | discovery.QUERIES | scans.QUERIES | telemetry.QUERIES | shredding.QUERIES | more.QUERIES | streams.QUERIES | queues.QUERIES | landed.QUERIES | durable.QUERIES | settled.QUERIES
+ALL = valuation.QUERIES | discovery.QUERIES | scans.QUERIES | telemetry.QUERIES | shredding.QUERIES | more.QUERIES | streams.QUERIES | queues.QUERIES | landed.QUERIES | durable.QUERIES | settled.QUERIES | reporting.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
