@@ -10,7 +10,7 @@ from tidewatch.functions import scalars as S
 #: Packages of the network itself.  Fixed values.
 SYSTEM_PACKAGES = ["0x" + "0" * 63 + d for d in "0123"]
 
-OBJECT_CHANGES = "array<struct<type:string,packageId:string,package:string,objectId:string,objectType:string,owner:string>>"
+OBJECT_CHANGES = "array<struct<type:string,packageId:string,package:string,objectId:string,objectType:string,owner:map<string,string>>>"
 
 
 _COMMANDS = "transaction:struct<data:struct<transaction:struct<transactions:array<map<string,string>>>>>"
@@ -19,34 +19,36 @@ _BODY = f"{_COMMANDS},objectChanges:{OBJECT_CHANGES}"
 PAYLOAD = f"struct<result:struct<{_BODY}>,{_BODY}>"
 
 
-def _package(c: Column) -> Column:
-    own = S.sui_id(c)
-    return F.when(~own.isin(*SYSTEM_PACKAGES), own)
-
-
 def raw_facts(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """raw with calls, published and objects of each raw transaction in JSON; bad parts are left out."""
+    """raw with calls, published and objects of each raw transaction in JSON; bad parts are left out.
+
+    A payload is parsed once, with owners as maps; each step of what follows is an array of its own, so
+    that no id is normalized twice.
+    """
     path = "transaction.data.transaction.transactions"
-    # each payload is parsed once; what follows works on its columns
     rows = raw.withColumn("__p", F.from_json(payload, PAYLOAD)).select(
         *raw.columns, F.coalesce(f"__p.result.{path}", f"__p.{path}").alias("__commands"),
         F.coalesce("__p.result.objectChanges", "__p.objectChanges", F.expr(f"cast(array() as {OBJECT_CHANGES})")).alias("__changes"),
     )
-    packages = F.transform("__commands", lambda c: _package(F.get_json_object(F.coalesce(F.try_element_at(c, F.lit("MoveCall")), F.try_element_at(c, F.lit("moveCall"))), "$.package")))
-    calls = F.coalesce(F.array_sort(F.array_distinct(F.filter(packages, lambda x: x.isNotNull()))), F.array().cast("array<string>"))
-    changes = F.col("__changes")
-    made = F.filter(changes, lambda c: F.lower(c["type"]) == "published")
-    published = F.array_sort(F.array_distinct(F.filter(F.transform(made, lambda c: _package(F.coalesce(c["packageId"], c["package"], c["objectId"]))), lambda x: x.isNotNull())))
-
-    def state(c: Column) -> Column:
-        owner = S.owner_kind(c["owner"])
-        return F.struct(
-            _package(F.substring_index(c["objectType"], "::", 1)).alias("package_id"), S.sui_id(c["objectId"]).alias("object_id"),
-            c["objectType"].alias("object_type"), owner["kind"].alias("owner_kind"), owner["parent"].alias("parent_object"),
-        )
-
-    others = F.filter(changes, lambda c: (F.lower(F.coalesce(c["type"], F.lit(""))) != "published") & c["objectType"].contains("::"))
-    objects = F.filter(F.transform(others, state), lambda o: o["package_id"].isNotNull() & o["object_id"].isNotNull() & o["owner_kind"].isNotNull())
+    own = lambda x: x.isNotNull() & ~x.isin(*SYSTEM_PACKAGES)
+    ids = lambda texts: F.array_sort(F.array_distinct(F.filter(F.transform(texts, S.sui_id), own)))
+    moves = F.transform("__commands", lambda c: F.coalesce(F.try_element_at(c, F.lit("MoveCall")), F.try_element_at(c, F.lit("moveCall"))))
+    calls = F.coalesce(ids(F.transform(moves, lambda m: F.get_json_object(m, "$.package"))), F.array().cast("array<string>"))
+    made = F.filter("__changes", lambda c: F.lower(c["type"]) == "published")
+    published = ids(F.transform(made, lambda c: F.coalesce(c["packageId"], c["package"], c["objectId"])))
+
+    def seen(c: Column) -> Column:
+        parent = F.coalesce(*(F.nullif(F.try_element_at(c["owner"], F.lit(k)), F.lit("")) for k in ("ObjectOwner", "objectOwner", "object_owner")))
+        shared = F.try_element_at(c["owner"], F.lit("Shared")).isNotNull()
+        return F.struct(c["objectType"].alias("object_type"), c["objectId"].alias("object"), shared.alias("shared"), F.when(~F.coalesce(shared, F.lit(False)), parent).alias("parent"))
+
+    def state(x: Column) -> Column:
+        kind = F.when(x["shared"], "shared").when(x["parent"].isNotNull(), "object")
+        return F.struct(S.sui_id(F.substring_index(x["object_type"], "::", 1)).alias("package_id"), S.sui_id(x["object"]).alias("object_id"), x["object_type"].alias("object_type"), kind.alias("owner_kind"), S.sui_id(x["parent"]).alias("parent_object"))
+
+    others = F.filter("__changes", lambda c: (F.lower(F.coalesce(c["type"], F.lit(""))) != "published") & c["objectType"].contains("::"))
+    owned = F.filter(F.transform(others, seen), lambda x: x["shared"] | x["parent"].isNotNull())
+    objects = F.filter(F.transform(owned, state), lambda o: own(o["package_id"]) & o["object_id"].isNotNull())
     return rows.withColumns({"calls": calls, "published": published, "objects": objects}).drop("__commands", "__changes")
 
 
