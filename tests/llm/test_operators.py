@@ -576,30 +576,32 @@ KINDS = {
 }
 
 
-@pytest.mark.parametrize("kind", sorted(KINDS))
-def test_line_recall(spark, kind):
-    """Of pairs of lines at 80 % or more, edited at random places, nearly all end in one component."""
-    r = random.Random(kind)
-    rows, due = [], 0
-    while due < 300:
-        line = KINDS[kind](r)
-        x, grams = line, lambda t: {t[j : j + 5] for j in range(max(1, len(t) - 4))}
-        for _ in range(20):
-            at = r.randrange(len(x))
-            y = x[:at] + r.choice([KINDS[kind](r)[:2], ""]) + x[at + r.randint(0, 2) :]
-            n = len(grams(line) & grams(y))
-            if 100 * n < 80 * len(grams(line) | grams(y)):
-                break
-            x = y
-        if x != line:
-            rows += [(2 * due, line.lower()), (2 * due + 1, x.lower())]
-            due += 1
+def test_line_recall(spark):
+    """Of pairs of lines of each kind at 80 % or more, edited at random places, nearly all end in one component."""
+    rows, each = [], 300
+    for place, kind in enumerate(sorted(KINDS)):
+        r, due = random.Random(kind), place * each
+        while due < (place + 1) * each:
+            line = KINDS[kind](r)
+            x, grams = line, lambda t: {t[j : j + 5] for j in range(max(1, len(t) - 4))}
+            for _ in range(20):
+                at = r.randrange(len(x))
+                y = x[:at] + r.choice([KINDS[kind](r)[:2], ""]) + x[at + r.randint(0, 2) :]
+                n = len(grams(line) & grams(y))
+                if 100 * n < 80 * len(grams(line) | grams(y)):
+                    break
+                x = y
+            if x != line:
+                rows += [(2 * due, line.lower()), (2 * due + 1, x.lower())]
+                due += 1
     found = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     by = collections.defaultdict(set)
     for x in found:
         by[x.component].add(x.doc_id // 2)
+    # lines of a few one-character words can be alike by chance, others are of one pair
+    linked = collections.Counter(p // each for x in by.values() for p in x)
+    assert {kind: linked[k] >= 0.97 * each for k, kind in enumerate(sorted(KINDS))} == dict.fromkeys(sorted(KINDS), True), linked
     assert all(len(x) == 1 for x in by.values())
-    assert len(by) >= 0.97 * due, len(by) / due
 
 
 def test_lines_with_clashing_names(spark):
