@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from tidewatch.functions import scalars as S
 
@@ -326,35 +328,41 @@ def load_states(series: DataFrame, key: list[str], base_live: int = 6, base_back
 
     series: (key, ts, pending, oldest_sec, wait_sec), and for request pressure rpc_attempts, rpc_errors
     and rpc_p95_ms.  Heavier states hold at once; lighter ones after 600 healthy seconds.  live and
-    backfill are how many slots each may use.  A key is one fleet and a bounded time, such as a day.
+    backfill are how many slots each may use.  A key is one fleet and a bounded time, such as a day: its
+    samples are read once, in order, by one task.
     """
     pressed = request_pressure(series, key) if "rpc_attempts" in series.columns else series.withColumn("pressure", F.lit(False))
-    items = F.array_sort(F.collect_list(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "pending", "oldest_sec", "wait_sec", "pressure")))
-    zero = F.struct(F.lit("normal").alias("state"), F.lit(None).cast("long").alias("since"), F.expr("cast(array() as array<struct<t:bigint,state:string,pressure:boolean>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        critical = ((x["pending"] >= 20_000) | (x["oldest_sec"] >= 21_600)) & F.lit(allow_balance_only)
-        drain = (x["pending"] >= 5_000) | (x["oldest_sec"] >= 3_600) | (x["wait_sec"] >= 30) | x["pressure"]
-        better = F.when(a["state"] == "balance_only", (x["pending"] < 5_000) & (x["oldest_sec"] < 3_600)).when(
-            a["state"] == "drain", (x["pending"] < 2_000) & (x["oldest_sec"] < 1_800) & (x["wait_sec"] < 15)
-        ).otherwise(F.lit(False))
-        since = F.when(critical | (drain & (a["state"] != "balance_only")) | ~better, F.lit(None).cast("long")).otherwise(F.coalesce(a["since"], x["t"]))
-        ripe = since.isNotNull() & (x["t"] - since >= 600)
-        state = (
-            F.when(critical, "balance_only")
-            .when(a["state"] == "balance_only", F.when(ripe, "drain").otherwise("balance_only"))
-            .when(drain, "drain")
-            .when(a["state"] == "drain", F.when(ripe, "normal").otherwise("drain"))
-            .otherwise("normal")
-        )
-        return F.struct(state.alias("state"), F.when(~ripe, since).alias("since"), F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), state.alias("state"), x["pressure"].alias("pressure")))).alias("out"))
-
-    folded = pressed.groupBy(*key).agg(items.alias("xs")).select(*key, F.aggregate("xs", zero, step, lambda a: a["out"]).alias("out"))
-    drained = F.when(F.lit(allow_balance_only) | F.col("x.pressure"), 0).otherwise(min(base_backfill, 1))
-    slots = lambda normal, drain: F.when(F.col("x.state") == "balance_only", 0).when(F.col("x.state") == "drain", drain).otherwise(normal)
-    return folded.select(*key, F.explode("out").alias("x")).select(
-        *key, F.timestamp_seconds("x.t").alias("ts"), "x.state", slots(base_live, F.lit(min(base_live, 3))).alias("live"), slots(base_backfill, drained).alias("backfill"),
-    )
+    rows = pressed.select(*key, F.col("ts").cast("timestamp").alias("ts"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("pending", "oldest_sec", "wait_sec")), "pressure")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["ts", "pending", "oldest_sec", "wait_sec"], kind="stable")
+        state, since, out = "normal", None, []
+        for t, pending, oldest, wait, pressure in zip(group["t"], group["pending"], group["oldest_sec"], group["wait_sec"], group["pressure"]):
+            critical = allow_balance_only and (pending >= 20_000 or oldest >= 21_600)
+            drain = pending >= 5_000 or oldest >= 3_600 or wait >= 30 or pressure
+            if state == "balance_only":
+                better = not critical and pending < 5_000 and oldest < 3_600
+            else:
+                better = state == "drain" and not critical and not drain and pending < 2_000 and oldest < 1_800 and wait < 15
+            since = (t if since is None else since) if better else None
+            ripe = since is not None and t - since >= 600
+            if critical:
+                state = "balance_only"
+            elif state == "balance_only":
+                state = "drain" if ripe else state
+            elif drain:
+                state = "drain"
+            elif state == "drain":
+                state = "normal" if ripe else state
+            since = None if ripe else since
+            out.append(state)
+        return group[[*key, "ts", "pressure"]].assign(state=out)
+
+    schema = StructType([*(rows.schema[k] for k in key), rows.schema["ts"], StructField("pressure", BooleanType()), StructField("state", StringType())])
+    folded = rows.groupBy(*key).applyInPandas(fold, schema)
+    drained = F.when(F.lit(allow_balance_only) | F.col("pressure"), 0).otherwise(min(base_backfill, 1))
+    slots = lambda normal, drain: F.when(F.col("state") == "balance_only", 0).when(F.col("state") == "drain", drain).otherwise(normal)
+    return folded.select(*key, "ts", "state", slots(base_live, F.lit(min(base_live, 3))).alias("live"), slots(base_backfill, drained).alias("backfill"))
 
 
 def scrape_metrics(lines: DataFrame, column: str = "value", keys: list[str] | None = None) -> DataFrame:

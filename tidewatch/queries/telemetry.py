@@ -214,6 +214,26 @@ def load_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.load_states(series, ["day"]).groupBy("day", "state", "live", "backfill").agg(F.count("*").alias("n"))
 
 
+#: The governor sample by sample; a day's samples are numbered and followed one after the other.
+LOAD_STATES = sql("fx_samples", body=""", s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, id, epoch_us(ts) / 1e6 AS t, CAST(floor(epoch(ts)) AS BIGINT) AS sec, rpc_requests * 60 AS pending, rpc_errors * 100 AS oldest, rpc_errors AS wait,
+  rpc_requests >= 50 AS enough, rpc_errors / rpc_requests AS share, rpc_requests * 100 AS p95 FROM fx_samples),
+m AS (SELECT *, enough AND (share >= 0.20 OR p95 >= 15000) AS bad, enough AND share >= 0.35 AS severe, enough AND share < 0.10 AND p95 < 8000 AS healthy FROM s),
+r AS (SELECT *, coalesce(max(CASE WHEN NOT bad THEN t END) OVER w, -1) AS rb, coalesce(max(CASE WHEN NOT severe THEN t END) OVER w, -1) AS rs, coalesce(max(CASE WHEN NOT healthy THEN t END) OVER w, -1) AS rh FROM m WINDOW w AS (PARTITION BY day ORDER BY t ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, CASE WHEN (bad AND t - min(CASE WHEN bad THEN t END) OVER (PARTITION BY day, rb ORDER BY t ROWS UNBOUNDED PRECEDING) >= 120) OR (severe AND t - min(CASE WHEN severe THEN t END) OVER (PARTITION BY day, rs ORDER BY t ROWS UNBOUNDED PRECEDING) >= 60) THEN 1
+  WHEN healthy AND t - min(CASE WHEN healthy THEN t END) OVER (PARTITION BY day, rh ORDER BY t ROWS UNBOUNDED PRECEDING) >= 600 THEN 0 END AS ev FROM r),
+p AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY day ORDER BY t ROWS UNBOUNDED PRECEDING), 0) = 1 AS pressure, row_number() OVER (PARTITION BY day ORDER BY t, pending, oldest, wait) AS n FROM e),
+f AS (SELECT day, n, sec, pressure, pending >= 20000 OR oldest >= 21600 AS critical, pending >= 5000 OR oldest >= 3600 OR wait >= 30 OR pressure AS drain, pending < 5000 AND oldest < 3600 AS b1, pending < 2000 AND oldest < 1800 AND wait < 15 AS b2 FROM p),
+g AS (
+  WITH RECURSIVE z AS (
+    SELECT day, CAST(0 AS BIGINT) AS n, 'normal' AS state, CAST(NULL AS BIGINT) AS since, CAST(NULL AS BOOLEAN) AS pressure FROM (SELECT DISTINCT day FROM f)
+    UNION ALL
+    SELECT day, n, CASE WHEN critical THEN 'balance_only' WHEN old = 'balance_only' THEN CASE WHEN ripe THEN 'drain' ELSE old END WHEN drain THEN 'drain' WHEN old = 'drain' AND NOT ripe THEN 'drain' ELSE 'normal' END, CASE WHEN ripe THEN NULL ELSE s1 END, pressure
+    FROM (SELECT *, s1 IS NOT NULL AND sec - s1 >= 600 AS ripe FROM (
+      SELECT f.*, z.state AS old, CASE WHEN NOT critical AND ((z.state = 'balance_only' AND b1) OR (z.state = 'drain' AND NOT drain AND b2)) THEN coalesce(z.since, f.sec) END AS s1 FROM z JOIN f ON f.day = z.day AND f.n = z.n + 1))
+  ) SELECT * FROM z WHERE n > 0)
+SELECT day, state, CAST(CASE state WHEN 'balance_only' THEN 0 WHEN 'drain' THEN 3 ELSE 6 END AS INT) AS live, CAST(CASE state WHEN 'normal' THEN 3 ELSE 0 END AS INT) AS backfill, count(*) AS n FROM g GROUP BY ALL""")
+
+
 def resource_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = T.metric_stats(_resources(spark, sf_dir), ["cpu_percent", "load1", "ram_percent"])
     return out.select("metric", r("current"), r("average"), r("peak"), r("p95"))
@@ -316,7 +336,7 @@ QUERIES = {
     "load_average": (load_average, LOAD_AVERAGE),
     "incidents": (incidents, INCIDENTS),
     "stall_incidents": (stall_incidents, STALL_INCIDENTS),
-    "load_states": (load_states, None),
+    "load_states": (load_states, LOAD_STATES),
     "resource_stats": (resource_stats, RESOURCE_STATS),
     "period_change": (period_change, PERIOD_CHANGE),
     "counter_growth": (counter_growth, COUNTER_GROWTH),
