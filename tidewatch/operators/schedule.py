@@ -161,3 +161,22 @@ def pull_forward(state: DataFrame, totals: DataFrame, as_of: str, min_usd: float
     out = state.join(rich, "address", "left")
     healthy = F.col("__rich") & F.col("status").isin("complete", "absent")
     return out.withColumn("due_at", F.when(healthy, F.least("due_at", limit)).otherwise(F.col("due_at"))).drop("__rich")
+
+
+def raised(tasks: DataFrame, states: DataFrame, totals: DataFrame, capped: DataFrame, as_of: str, min_usd: float) -> tuple[DataFrame, DataFrame]:
+    """(tasks, states) after addresses were found to be worth totals (address, total_usd); capped addresses are left alone.
+
+    Healthy chains with code and value are due after the delay of that worth at the latest.  Histories of
+    addresses worth 150,000 and more, whose recent blocks are read, get at least priority 50 and are due now.
+    """
+    worth = totals.join(capped.select("address"), "address", "left_anti").select("address", F.col("total_usd").alias("__usd"))
+    now = F.lit(as_of).cast("timestamp")
+    t = tasks.join(worth, "address", "left")
+    up = F.coalesce((F.col("__usd") >= 150_000) & F.col("recent_complete") & (F.col("priority") < 50), F.lit(False))
+    t = t.withColumns({"priority": F.when(up, 50).otherwise(F.col("priority")), "history_due_at": F.when(up & (F.col("history_due_at") > now), now).otherwise(F.col("history_due_at"))}).select(*tasks.columns)
+    s = states.join(worth, "address", "left")
+    delay = S.retry_delay(F.lit("complete"), F.lit(1), F.col("__usd"), min_usd, F.lit(0)).cast("long")
+    limit = F.timestamp_seconds(F.unix_seconds(now) + delay)
+    healthy = F.coalesce(F.col("__usd").isNotNull() & (F.col("has_code") == 1) & (F.col("status") == "complete") & (F.col("total_usd") > 0), F.lit(False))
+    s = s.withColumn("next_retry_at", F.when(healthy & (F.col("next_retry_at") > limit), limit).otherwise(F.col("next_retry_at"))).select(*states.columns)
+    return t, s

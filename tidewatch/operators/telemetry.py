@@ -104,9 +104,17 @@ def period_change(df: DataFrame, value: str, ts: str, cut: str) -> DataFrame:
     return out.withColumn("change", F.col("after") - F.col("before"))
 
 
-def counter_growth(df: DataFrame, keys: list[str], counters: list[str], order: str = "id") -> DataFrame:
-    """Last minus first of each counter, never under 0."""
-    return df.groupBy(*keys).agg(*(F.greatest(F.max_by(c, order) - F.min_by(c, order), F.lit(0)).alias(c) for c in counters))
+def counter_growth(df: DataFrame, keys: list[str], counters: list[str], order: str = "id", per_run: list[str] | None = None, run: str = "run_id") -> DataFrame:
+    """Last minus first of each counter, never under 0; those per run begin anew with each, and count only where the first and the last sample are of one run."""
+    grown = lambda c: F.greatest(F.max_by(c, order) - F.min_by(c, order), F.lit(0))
+    same = (F.max_by(run, order) == F.min_by(run, order)) if per_run else None
+    return df.groupBy(*keys).agg(*(grown(c).alias(c) for c in counters), *(F.when(same, grown(c)).alias(c) for c in per_run or []))
+
+
+def pending_notifications(incidents: DataFrame) -> DataFrame:
+    """Incidents (opened_at, closed_at, open_notified_at, recovery_notified_at) to tell of, and what: an open one that nobody was told of, or the end of one that somebody was."""
+    tell = F.when(F.col("closed_at").isNull() & F.col("open_notified_at").isNull(), "open").when(F.col("closed_at").isNotNull() & F.col("open_notified_at").isNotNull() & F.col("recovery_notified_at").isNull(), "recovery")
+    return incidents.withColumn("tell", tell).where("tell is not null")
 
 
 def error_totals(samples: DataFrame, json_column: str = "errors_json") -> DataFrame:

@@ -68,7 +68,7 @@ def _streamed_incidents(spark: SparkSession, sf_dir: str, rows, rule) -> DataFra
 
 def stream_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CPU incidents of each host, from a stream."""
-    rows = lambda s, d: view(s, d, "fx_resources").select(telemetry.HOSTS.alias("key"), "id", "ts", F.col("cpu_percent").cast("double").alias("value"))
+    rows = lambda s, d: view(s, d, "fx_resources").select(telemetry.host().alias("key"), "id", "ts", F.col("cpu_percent").cast("double").alias("value"))
     return _streamed_incidents(spark, sf_dir, rows, telemetry.RULE).withColumnRenamed("key", "host")
 
 

@@ -165,14 +165,18 @@ LOAD_AVERAGE = sql("fx_resources", body=""", w AS (SELECT strftime(ts, '%Y-%m-%d
   WINDOW x AS (ORDER BY epoch_us(ts) RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW))
 SELECT day, count(*) FILTER (WHERE low = 1 AND span >= 900) AS n FROM w GROUP BY day""")
 
-#: A fleet of three hosts, and what opens and closes their incidents.
-HOSTS = F.concat(F.lit("h"), (F.col("id") % 3).cast("string")).alias("host")
+#: What opens and closes the incidents of a host.
 RULE = Threshold(above=25.0, window=3600, least_span=900, below=45.0, calm_window=1800, calm_span=600)
 
 
+def host() -> Column:
+    """One of a fleet of three hosts."""
+    return F.concat(F.lit("h"), (F.col("id") % 3).cast("string")).alias("host")
+
+
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CPU incidents of each host: open when the load was high for an hour, closed when it was low for half an hour; they run over midnight."""
-    rows = _resources(spark, sf_dir).select("id", "ts", "cpu_percent", HOSTS)
+    rows = _resources(spark, sf_dir).select("id", "ts", "cpu_percent", host())
     rows = T.sustained(rows, F.col("cpu_percent"), F.lit(RULE.above), RULE.window, RULE.least_span, ["host"])
     rows = T.held(rows, F.col("cpu_percent") < RULE.below, RULE.calm_window, RULE.calm_span, ["host"], "calm")
     out = T.incidents(rows, ["host"], F.col("sustained"), F.col("calm"), ["ts", "id"])
@@ -197,11 +201,11 @@ def stall_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.stall_incidents(still_samples(spark, sf_dir), ["chain", "role"])
 
 
-STALL_INCIDENTS = sql("fx_samples", body=""", s AS (SELECT chain, role, active_rpc, safe_head, CAST(floor(id / 200) AS BIGINT) * 2000 AS cursor, epoch_us(ts) AS t FROM fx_samples),
+STALLS = """, s AS (SELECT chain, role, active_rpc, safe_head, CAST(floor(id / 200) AS BIGINT) * 2000 AS cursor, epoch_us(ts) AS t FROM fx_samples),
 b AS (SELECT *, last_value(safe_head) OVER (PARTITION BY chain, role, cursor ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 900000000 PRECEDING) AS base FROM s),
 i AS (SELECT chain, role, cursor, min(t) AS first, min(CASE WHEN active_rpc <> 'none' AND safe_head > base THEN t END) AS opened_at, count(*) FILTER (WHERE active_rpc <> 'none' AND safe_head > base) AS repeats FROM b GROUP BY ALL),
-n AS (SELECT *, lead(first) OVER (PARTITION BY chain, role ORDER BY cursor) AS closed_at FROM i)
-SELECT chain, role, opened_at, closed_at, repeats FROM n WHERE opened_at IS NOT NULL""")
+n AS (SELECT *, lead(first) OVER (PARTITION BY chain, role ORDER BY cursor) AS closed_at FROM i)"""
+STALL_INCIDENTS = sql("fx_samples", body=STALLS + " SELECT chain, role, opened_at, closed_at, repeats FROM n WHERE opened_at IS NOT NULL")
 
 
 def load_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,10 +255,22 @@ PERIOD_CHANGE = sql("fx_resources", body=", x AS (SELECT avg(CASE WHEN ts < TIME
 
 
 def counter_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.counter_growth(_samples(spark, sf_dir), ["chain", "role"], ["cursor_block", "rpc_requests"])
+    return T.counter_growth(_samples(spark, sf_dir).where("id % 1000 < 650 or chain <> 'click'"), ["chain", "role"], ["cursor_block", "rpc_requests"], per_run=["scans"])
+
+
+COUNTER_GROWTH = sql("fx_samples", body=""" SELECT chain, role, greatest(arg_max(cursor_block, id) - arg_min(cursor_block, id), 0) AS cursor_block, greatest(arg_max(rpc_requests, id) - arg_min(rpc_requests, id), 0) AS rpc_requests,
+  CASE WHEN arg_max(run_id, id) = arg_min(run_id, id) THEN greatest(arg_max(scans, id) - arg_min(scans, id), 0) END AS scans FROM fx_samples WHERE id % 1000 < 650 OR chain <> 'click' GROUP BY 1, 2""")
+
+
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stalls are still to be told of, and which recoveries."""
+    rows = stall_incidents(spark, sf_dir)
+    told = rows.withColumn("open_notified_at", F.when(F.col("repeats") % 3 != 0, F.col("opened_at"))).withColumn("recovery_notified_at", F.when(F.col("repeats") % 5 == 0, F.col("closed_at")))
+    return T.pending_notifications(told).select("chain", "role", "opened_at", "tell")
 
 
-COUNTER_GROWTH = sql("fx_samples", body=" SELECT chain, role, greatest(arg_max(cursor_block, id) - arg_min(cursor_block, id), 0) AS cursor_block, greatest(arg_max(rpc_requests, id) - arg_min(rpc_requests, id), 0) AS rpc_requests FROM fx_samples GROUP BY 1, 2")
+NOTIFICATIONS = sql("fx_samples", body=STALLS + """, t AS (SELECT *, repeats % 3 <> 0 AS told, repeats % 5 = 0 AND closed_at IS NOT NULL AS ended FROM n WHERE opened_at IS NOT NULL)
+SELECT chain, role, opened_at, CASE WHEN closed_at IS NULL THEN 'open' ELSE 'recovery' END AS tell FROM t WHERE (closed_at IS NULL AND NOT told) OR (closed_at IS NOT NULL AND told AND NOT ended)""")
 
 
 def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,6 +356,7 @@ QUERIES = {
     "resource_stats": (resource_stats, RESOURCE_STATS),
     "period_change": (period_change, PERIOD_CHANGE),
     "counter_growth": (counter_growth, COUNTER_GROWTH),
+    "notifications": (notifications, NOTIFICATIONS),
     "error_rate": (error_rate, ERROR_RATE),
     "invariant_diff": (invariant_diff, INVARIANT_DIFF),
     "fingerprint": (fingerprint, FINGERPRINT),
