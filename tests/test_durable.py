@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import hash_tree, intervals, merge, reorg, settle, sinks, tables
+from tidewatch.operators import hash_tree, intervals, merge, reorg, settle, sinks, tables, telemetry
 from tidewatch.streaming import blocks, incidents, jobs
 
 
@@ -177,3 +177,20 @@ def test_classes(spark):
     parts = spark.createDataFrame([("a", 10.0, "complete", "verified"), ("a", 5.0, "absent", None), ("b", 1.0, "complete", "history_unknown"), ("c", 99.0, "partial", "verified")], "address string, total_usd double, status string, coverage string")
     assert rows_of(settle.classes(parts, "address", 50.0)) == {("a", 15.0, "below"), ("b", 1.0, "incomplete"), ("c", 99.0, "qualifying")}
     assert rows_of(settle.classes(parts, "address", 50.0, coverage=False)) == {("a", 15.0, "below"), ("b", 1.0, "below"), ("c", 99.0, "qualifying")}
+
+
+def test_rates_over_chunks(spark):
+    """A sample follows the one before it, also over the border of a chunk and over chunks without samples."""
+    r = random.Random(2)
+    ids = sorted(r.sample(range(400), 60))
+    rows = [("k" if i % 3 else "j", i, 1_700_000_000 + 60 * i, i * i) for i in ids]
+    df = spark.createDataFrame(rows, "k string, id long, t long, v long").withColumn("ts", F.timestamp_seconds("t"))
+    want, last = {}, {}
+    for k, i, t, v in rows:
+        want[i] = None if k not in last else (v - last[k][1]) * 3600 / (t - last[k][0])
+        last[k] = (t, v)
+    for chunk in (7, 50, 1000):
+        got = telemetry._before(df, ["k"], "id", ["ts", "v"], chunk).collect()
+        assert len(got) == 60 and all((x["__b"] is None) == (want[x.id] is None) for x in got)
+        assert all(x["__b"] is None or abs((x.v - x["__b"]["v"]) * 3600 / (x.ts - x["__b"]["ts"]).total_seconds() - want[x.id]) < 1e-6 for x in got)
+    assert {x.id: x.rate for x in telemetry.rates(df, ["k"], "v").collect()} == {i: None if v is None else pytest.approx(v) for i, v in want.items()}

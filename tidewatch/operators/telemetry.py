@@ -144,18 +144,33 @@ def latest_samples(samples: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, *(F.col(f"r.{c}").alias(c) for c in ["id", *rest]))
 
 
+def _before(df: DataFrame, keys: list[str], order: str, columns: list[str], chunk: int = 1 << 16) -> DataFrame:
+    """df with __b, the columns of the row before by a numeric order, which is unique within keys; keys are not null.
+
+    Rows are looked at in chunks of the order; the first of a chunk follows the last of the chunk
+    before, which comes from one row a chunk.
+    """
+    own = [*keys, "__c"]
+    rows = df.withColumn("__c", F.floor(F.col(order) / chunk))
+    last = rows.groupBy(*own).agg(F.max_by(F.struct(*columns), order).alias("__l"))
+    last = last.withColumn("__l", F.lag("__l").over(Window.partitionBy(*keys).orderBy("__c")))
+    inside = F.lag(F.struct(*columns)).over(Window.partitionBy(*own).orderBy(order))
+    return rows.withColumn("__b", inside).join(last, own).withColumn("__b", F.coalesce("__b", "__l")).drop("__l", "__c")
+
+
 def rates(samples: DataFrame, keys: list[str], value: str, order: str = "id", per: float = 3600.0) -> DataFrame:
     """Change of a counter since the sample before, per hour, never under 0."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    gone = seconds("ts") - F.lag(seconds("ts")).over(w)
-    diff = F.col(value) - F.lag(value).over(w)
-    return samples.withColumn("rate", F.when(gone > 0, F.greatest(F.lit(0.0), diff * per / gone)))
+    rows = _before(samples, keys, order, ["ts", value])
+    gone = seconds("ts") - seconds("__b.ts")
+    diff = F.col(value) - F.col(f"__b.{value}")
+    return rows.withColumn("rate", F.when(gone > 0, F.greatest(F.lit(0.0), diff * per / gone))).drop("__b")
 
 
 def busy_percent(samples: DataFrame, keys: list[str], total: str, idle: str, order: str = "id") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    all_, rest = F.col(total) - F.lag(total).over(w), F.col(idle) - F.lag(idle).over(w)
-    return samples.withColumn("busy", F.when(all_ > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - rest / all_)))))
+    """Share of time since the sample before that was not idle, between 0 and 100."""
+    rows = _before(samples, keys, order, [total, idle])
+    all_, rest = F.col(total) - F.col(f"__b.{total}"), F.col(idle) - F.col(f"__b.{idle}")
+    return rows.withColumn("busy", F.when(all_ > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - rest / all_))))).drop("__b")
 
 
 def stalls(samples: DataFrame, keys: list[str], cursor: str = "cursor_block", head: str = "safe_head", age: int = 900) -> DataFrame:
