@@ -312,11 +312,11 @@ SELECT CAST(sum(rows) AS BIGINT) AS rows, sha256(concat_ws('|', '', string_agg(d
 
 def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that a second copy lost, changed or added, found through the leaves that differ."""
-    rows = _tree_rows(spark, sf_dir)
+    rows = _tree_rows(spark, sf_dir).withColumn("copy", F.lit("first"))  # part of the key: an added id may be one that a sample has
     k = F.col("id")
     after = rows.where(k % 97 != 5).withColumn("active_rpc", F.when(k % 101 == 7, None).otherwise(F.col("active_rpc")))
-    after = after.unionByName(rows.where(k % 89 == 3).withColumn("id", k + 1_000_000))
-    return hash_tree.changes(rows, after, ["id"], 2)
+    after = after.unionByName(rows.where(k % 89 == 3).withColumns({"id": k + 1_000_000, "copy": F.lit("second")}))
+    return hash_tree.changes(rows, after, ["copy", "id"], 2).drop("copy")
 
 
 TREE_CHANGES = sql("fx_samples", body=" SELECT id, CASE WHEN id % 97 = 5 THEN 'lost' ELSE 'changed' END AS change FROM fx_samples WHERE id % 97 = 5 OR id % 101 = 7 UNION ALL SELECT id + 1000000, 'new' FROM fx_samples WHERE id % 89 = 3")
