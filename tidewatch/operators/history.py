@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators import intervals
+
 
 def history_start(discoveries: DataFrame) -> DataFrame:
     """(chain, address, start_block, history_limited): the earliest block that any source names.
@@ -30,16 +32,19 @@ def merge_history(tasks: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def covered_to(tasks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """tasks with next_block: the first block from start_block on that no scanned range (chain, address, from_block, to_block) covers."""
-    keys = ["chain", "address"]
-    rows = ranges.join(tasks.select(*keys, "start_block"), keys).where("to_block >= start_block")
-    w = Window.partitionBy(*keys).orderBy("from_block", "to_block").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.greatest(F.max("to_block").over(w) + 1, F.col("start_block"))
-    # a range that begins beyond what is reached leaves a hole, and what is reached before the first hole counts
-    rows = rows.withColumn("__r", F.coalesce(reached, F.col("start_block"))).withColumn("__hole", F.col("from_block") > F.col("__r"))
-    holes = rows.groupBy(*keys).agg(F.min(F.when(F.col("__hole"), F.col("__r"))).alias("hole"), F.max("to_block").alias("top"))
-    return tasks.join(holes, keys, "left").withColumn("next_block", F.coalesce("hole", F.col("top") + 1, "start_block")).drop("hole", "top")
+def covered_to(tasks: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("chain", "address"), bucket: int = 1 << 10) -> DataFrame:
+    """tasks with next_block: the first block from start_block on that no scanned range (keys, from_block, to_block) covers.
+
+    Ranges of a key hold for all of its tasks.  They are made maximal first, and a task meets only those
+    of its start's bucket, so tasks that share many ranges are not multiplied by them.
+    """
+    own = list(keys)
+    whole = intervals.union(ranges.select(*own, F.col("from_block").alias("start_block"), F.col("to_block").alias("end_block")), None, own)
+    pieces = whole.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_block") / bucket), F.floor(F.col("end_block") / bucket))))
+    pieces = pieces.select(*own, "__b", F.col("start_block").alias("__from"), F.col("end_block").alias("__to"))
+    rows = tasks.withColumn("__b", F.floor(F.col("start_block") / bucket)).alias("t")
+    on = [F.col(f"t.{k}") == F.col(f"p.{k}") for k in (*own, "__b")] + [F.col("t.start_block").between(F.col("p.__from"), F.col("p.__to"))]
+    return rows.join(pieces.alias("p"), on, "left").select(*(F.col(f"t.{c}").alias(c) for c in tasks.columns), F.coalesce(F.col("p.__to") + 1, F.col("t.start_block")).alias("next_block"))
 
 
 def promoted(tasks: DataFrame, heads: DataFrame, window: int) -> DataFrame:

@@ -141,9 +141,9 @@ def log_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     starts = history.history_start(discoveries(spark, sf_dir)).withColumn("kind", F.substring("address", 3, 1))
     tx = view(spark, sf_dir, "fx_tx").select("chain", F.floor(F.col("block_number") / 8).alias("k"), F.substring("tx_hash", 1, 1).alias("kind")).distinct()
-    ranges = starts.join(tx, ["chain", "kind"]).select("chain", "address", (F.col("k") * 8).alias("from_block"), (F.col("k") * 8 + 7).alias("to_block"))
+    ranges = tx.select("chain", "kind", (F.col("k") * 8).alias("from_block"), (F.col("k") * 8 + 7).alias("to_block"))
     heads = view(spark, sf_dir, "fx_tx").groupBy("chain").agg((F.max("block_number") / 4).cast("bigint").alias("head"))
-    read = history.covered_to(starts.drop("kind"), ranges).withColumn("recent_from", F.when(F.col("address") < "0xb", 0))
+    read = history.covered_to(starts, ranges, ("chain", "kind")).drop("kind").withColumn("recent_from", F.when(F.col("address") < "0xb", 0))
     return history.promoted(read, heads, 40).select("chain", "address", "next_block", "coverage")
 
 
