@@ -1,25 +1,32 @@
 """Incidents of a stream of samples, with state a key and timers of event time.
 
-Samples wait in state until the watermark has passed them; they are then taken in the order of their
+Samples wait in state, by the hour, until the watermark has passed them; they are then taken in the order of their
 time and id, so that late and repeated ones give what the batch form gives over the same rows.  A
-timer stands at the earliest sample that waits.  The state of a key holds the samples within its
+timer stands at the earliest sample (or hour) that waits.  The state of a key holds the samples within its
 frames and the incident that is open, and survives a restart in the stream's checkpoint.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "key string, opened_at long, closed_at long, repeats long"
-_SAMPLE = "id long, at long, value double, other double, up boolean"
+#: Waiting samples of an hour are one value; up is -1 where it is unknown.
+_SAMPLE = np.dtype([("id", "<i8"), ("at", "<i8"), ("value", "<f8"), ("other", "<f8"), ("up", "i1")])
 _STATE = "opened_at long, repeats long, mark double, times array<bigint>, values array<double>, others array<double>"
+_NAMES = ["opened_at", "repeats", "mark", "times", "values", "others"]
 SECOND = 1_000_000
+HOUR = 3600 * SECOND
 
 
 @dataclass(frozen=True)
@@ -38,17 +45,19 @@ class Threshold:
         group = [g for g in group if g[2] is not None]
         if not group:
             return
-        at = group[0][1]
-        state["times"] += [at] * len(group)
-        state["values"] += [g[2] for g in group]
-        first = next(k for k, t in enumerate(state["times"]) if t >= at - max(self.window, self.calm_window) * SECOND)
-        state["times"], state["values"] = state["times"][first:], state["values"][first:]
-
-        def all_of(window: int, span: int, holds) -> bool:
-            own = [(t, v) for t, v in zip(state["times"], state["values"]) if t >= at - window * SECOND]
-            return at - own[0][0] >= span * SECOND and all(holds(v) for _, v in own)
-
-        high, calm = all_of(self.window, self.least_span, lambda v: v > self.above), all_of(self.calm_window, self.calm_span, lambda v: v < self.below)
+        at, times = group[0][1], state["times"]
+        times.append(at)
+        del times[: bisect_left(times, at - max(self.window, self.calm_window) * SECOND)]
+        # values: when a sample was last not above the one limit, and not below the other
+        last = state["values"] or [-math.inf, -math.inf]
+        breaks = (any(not g[2] > self.above for g in group), any(not g[2] < self.below for g in group))
+        state["values"] = last = [float(at) if b else t for b, t in zip(breaks, last)]
+
+        def all_of(window: int, span: int, broken: float) -> bool:
+            first = at - window * SECOND
+            return broken < first and at - times[bisect_left(times, first)] >= span * SECOND
+
+        high, calm = all_of(self.window, self.least_span, last[0]), all_of(self.calm_window, self.calm_span, last[1])
         for _ in group:
             if calm:
                 if state["opened_at"] is not None:
@@ -80,9 +89,10 @@ class Stall:
             state["values"].append(cursor)
             state["others"].append(head)
             # the last sample that is old enough stands for all before it
-            old = [k for k, t in enumerate(state["times"]) if t <= at - self.age * SECOND]
+            old = bisect_right(state["times"], at - self.age * SECOND)
             if old:
-                state["times"], state["values"], state["others"] = (state[c][old[-1] :] for c in ("times", "values", "others"))
+                for c in ("times", "values", "others"):
+                    del state[c][: old - 1]
                 base = state["others"][0]
                 if up and head is not None and base is not None and head > base:
                     if state["opened_at"] is None:
@@ -100,44 +110,69 @@ class Processor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _SAMPLE)
+        self.waiting = handle.getMapState("waiting", "hour long", "rows binary")
         self.own = handle.getValueState("own", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            fresh = [tuple(None if pd.isna(v) else v for v in r) for r in frame[["id", "at", "value", "other", "up"]].itertuples(index=False)]
-            self.waiting.appendList([(int(i), int(t), v, o, None if u is None else bool(u)) for i, t, v, o, u in fresh])
+            fresh = np.empty(len(frame), _SAMPLE)
+            for c in ("id", "at", "value", "other"):
+                fresh[c] = frame[c].astype(_SAMPLE[c])
+            fresh["up"] = [-1 if pd.isna(u) else int(u) for u in frame["up"]]
+            hours = fresh["at"] // HOUR
+            for hour in np.unique(hours).tolist():
+                held = self.waiting.getValue((hour,))[0] if self.waiting.containsKey((hour,)) else b""
+                self.waiting.updateValue((hour,), (bytes(held) + fresh[hours == hour].tobytes(),))
         yield from self._advance(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, timerValues)
 
     def _advance(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        """Take what the watermark has passed, an hour at a time; hours beyond it are not read."""
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = {r[0]: tuple(r) for r in self.waiting.get()} if self.waiting.exists() else {}
-        ready = sorted((r for r in held.values() if r[1] <= mark), key=lambda r: (r[1], r[0]))
-        rest = [r for r in held.values() if r[1] > mark]
-        if rest:
-            self.handle.registerTimer(min(r[1] for r in rest) // 1000 + 1)
-        if not ready:
-            if held:
-                self.waiting.put(rest)
-            return
-        names = ["opened_at", "repeats", "mark", "times", "values", "others"]
-        state = dict(zip(names, self.own.get() or ())) if self.own.exists() else {}
-        state = {n: state.get(n) for n in names} | {n: list(state[n]) if state.get(n) is not None else [] for n in names[3:]}
-        state["repeats"] = int(state["repeats"] or 0)
-        out, group = [], []
-        for r in [*ready, None]:
-            if group and (r is None or r[1] != group[0][1]):
-                out += self.rule.fold(state, group)
-                group = []
-            group.append(r)
-        self.own.update(tuple(state[n] for n in names))
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        if out:
-            frame = pd.DataFrame([(key[0], *x) for x in out], columns=["key", "opened_at", "closed_at", "repeats"])
-            yield frame.astype({"opened_at": "Int64", "closed_at": "Int64", "repeats": "Int64"})
+        hours = sorted(int(k[0]) for k in self.waiting.keys())
+        ready = [h for h in hours if h * HOUR <= mark]
+        wakes = [h * HOUR for h in hours if h * HOUR > mark][:1]
+        state = None
+        for hour in ready:
+            held = np.frombuffer(bytes(self.waiting.getValue((hour,))[0]), _SAMPLE)
+            held = held[np.unique(held["id"], return_index=True)[1]]
+            held = held[np.lexsort((held["id"], held["at"]))]
+            passed = int(np.searchsorted(held["at"], mark, "right"))
+            if passed < len(held):
+                self.waiting.updateValue((hour,), (held[passed:].tobytes(),))
+                wakes = [int(held["at"][passed])]
+            else:
+                self.waiting.removeKey((hour,))
+            if passed:
+                state = self._state() if state is None else state
+                frame = self._folded(key, state, held[:passed])
+                if frame is not None:
+                    yield frame
+        if state is not None:
+            self.own.update(tuple(state[n] for n in _NAMES))
+        for at in wakes:
+            self.handle.registerTimer(at // 1000 + 1)
+
+    def _state(self) -> dict:
+        state = dict(zip(_NAMES, self.own.get() or ())) if self.own.exists() else {}
+        state = {n: state.get(n) for n in _NAMES} | {n: list(state[n]) if state.get(n) is not None else [] for n in _NAMES[3:]}
+        return state | {"repeats": int(state["repeats"] or 0)}
+
+    def _folded(self, key, state: dict, held: np.ndarray) -> pd.DataFrame | None:
+        """What becomes of each incident by these samples: its last change, and its close if there is one."""
+        # a value that is not a number is unknown
+        known = lambda c: [None if math.isnan(v) else v for v in held[c].tolist()]
+        rows = zip(held["id"].tolist(), held["at"].tolist(), known("value"), known("other"), [None if u < 0 else bool(u) for u in held["up"].tolist()])
+        out: dict[int, tuple] = {}
+        for _, group in groupby(rows, key=lambda r: r[1]):
+            for opened, closed, repeats in self.rule.fold(state, list(group)):
+                out[opened] = (opened, closed, repeats)
+        if not out:
+            return None
+        frame = pd.DataFrame([(key[0], *x) for x in out.values()], columns=["key", "opened_at", "closed_at", "repeats"])
+        return frame.astype({"opened_at": "Int64", "closed_at": "Int64", "repeats": "Int64"})
 
     def close(self) -> None:
         pass
