@@ -201,17 +201,36 @@ def _chunked(rows: DataFrame, window: int) -> DataFrame:
     return own.unionByName(lead.withColumn("__own", F.lit(False)).withColumn("__chunk", F.col("__chunk") + 1))
 
 
+def _spans(rows: DataFrame, window: int, keys: list[str], known: Column, holds: Column) -> DataFrame:
+    """rows with __first, the time of the first sample with known in the frame of the last `window` seconds, and __broke, when holds was last not true of one, up to each sample.
+
+    A sliding frame would add up all of its rows for each row, which with more samples a second grows with
+    their square.  So the start of each frame is a row of its own, and one pass backward finds the sample
+    that follows it; keys are not null.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    payload = F.struct(*rows.columns)
+    marks = rows.select(*keys, at.alias("__at"), at.alias("__pos"), F.lit(1).alias("__kind"), F.when(known, at).alias("__known"), F.when(known & ~F.coalesce(holds, F.lit(False)), at).alias("__no"), payload.alias("__row"))
+    starts = marks.withColumns({"__pos": F.col("__at") - window * 1_000_000, "__kind": F.lit(0), "__known": F.lit(None).cast("bigint")}).where("__row is not null")
+    ends = marks.withColumn("__row", F.lit(None).cast(marks.schema["__row"].dataType))
+    # the last break up to a sample and its peers is known at its own place
+    upto = Window.partitionBy(*keys).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    starts = starts.withColumn("__broke", F.max("__no").over(upto))
+    both = starts.unionByName(ends.withColumn("__broke", F.lit(None).cast("bigint")))
+    back = Window.partitionBy(*keys).orderBy(F.desc("__pos"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__first", F.min("__known").over(back)).where("__kind = 0")
+    return out.select("__row.*", F.when(F.col("__first") <= F.col("__at"), F.col("__first")).alias("__first"), F.when(F.col("__broke") >= F.col("__pos"), F.col("__broke")).alias("__broke"))
+
+
 def sustained(df: DataFrame, value: Column, above: Column, window: int, least_span: int, keys: list[str] | None = None) -> DataFrame:
     """Whether at each sample all of the last `window` seconds lie above a limit and span long enough.
 
     Samples without a value don't count.  Frames run over midnight.
     """
-    w = _range([*(keys or []), "__chunk"], window)
-    rows = _chunked(df.where(value.isNotNull()), window).withColumn("__low", F.min((value > above).cast("int")).over(w))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = (at - F.min(at).over(w)) / 1e6
-    rows = rows.withColumn("span", span).withColumn("sustained", (F.col("__low") == 1) & (span >= least_span))
-    return rows.where("__own").drop("__low", "__own", "__chunk")
+    rows = _spans(_chunked(df.where(value.isNotNull()), window), window, [*(keys or []), "__chunk"], F.lit(True), value > above)
+    span = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("__first")) / 1e6
+    rows = rows.withColumn("span", span).withColumn("sustained", F.col("__broke").isNull() & (F.col("span") >= least_span))
+    return rows.where("__own").drop("__first", "__broke", "__own", "__chunk")
 
 
 def held(df: DataFrame, holds: Column, window: int, least_span: int, keys: list[str], name: str) -> DataFrame:
@@ -219,13 +238,10 @@ def held(df: DataFrame, holds: Column, window: int, least_span: int, keys: list[
 
     Samples for which the condition is unknown don't count and are not held.  Frames run over midnight.
     """
-    w = _range([*keys, "__chunk"], window)
-    rows = _chunked(df, window)
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = (at - F.min(F.when(holds.isNotNull(), at)).over(w)) / 1e6
-    all_ = F.min(holds.cast("int")).over(w) == 1
-    rows = rows.withColumn(name, F.coalesce(holds.isNotNull() & all_ & (span >= least_span), F.lit(False)))
-    return rows.where("__own").drop("__own", "__chunk")
+    rows = _spans(_chunked(df, window), window, [*keys, "__chunk"], holds.isNotNull(), holds)
+    span = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("__first")) / 1e6
+    rows = rows.withColumn(name, F.coalesce(holds.isNotNull() & F.col("__broke").isNull() & (span >= least_span), F.lit(False)))
+    return rows.where("__own").drop("__first", "__broke", "__own", "__chunk")
 
 
 def stall_incidents(samples: DataFrame, keys: list[str], cursor: str = "cursor_block", head: str = "safe_head", age: int = 900, chunk_blocks: int = 1 << 16) -> DataFrame:
