@@ -84,23 +84,25 @@ def gram_counts(texts: DataFrame, buckets: int) -> DataFrame:
     return pairs.select(F.explode(F.array(one, two)).alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, quality: int, id_column: str, text_column: str, max_rows: int) -> DataFrame:
-    """Texts of documents that have this quality label: of at most max_rows ids (those of the smallest hashes), so that they can be broadcast."""
-    ids = labels.where(F.col("quality") == quality).select(F.col(id_column).alias("__id")).where("__id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    return docs.select(docs[id_column].alias("__id"), docs[text_column].alias("text")).join(F.broadcast(ids), "__id", "left_semi").select("text")
+def labelled(docs: DataFrame, labels: DataFrame, qualities: tuple[int, ...], id_column: str, text_column: str) -> DataFrame:
+    """(quality, text) of all documents that have one of these quality labels; one with two of them comes twice.
+
+    Ids and labels are broadcast, some 16 bytes each: else all texts of the corpus would be shuffled.
+    """
+    ids = labels.where(F.col("quality").isin(*qualities)).select(F.col(id_column).alias("__id"), "quality").where("__id is not null").distinct()
+    return docs.select(docs[id_column].alias("__id"), docs[text_column].alias("text")).join(F.broadcast(ids), "__id").select("quality", "text")
 
 
 def fit_ratios(
-    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = BUCKETS, max_trusted: int = 100_000, smoothing: float = 1.0
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", buckets: int = BUCKETS, smoothing: float = 1.0
 ) -> np.ndarray:
     """log(target share / raw share) of each bucket; `buckets` numbers reach the driver, whatever the corpus.
 
-    raw counts the n-grams of all documents, target those of trusted ones: labelled with quality 1,
-    at most max_trusted of them.  Without trusted documents, or without any document, all ratios are 0.
+    raw counts the n-grams of all documents, target those of all trusted ones: labelled with quality 1.
+    Without trusted documents, or without any document, all ratios are 0.
     """
     raw = gram_counts(docs.select(docs[text_column].alias("text")), buckets).withColumnRenamed("n", "raw")
-    target = gram_counts(labelled(docs, labels, 1, id_column, text_column, max_trusted), buckets).withColumnRenamed("n", "target")
+    target = gram_counts(labelled(docs, labels, (1,), id_column, text_column), buckets).withColumnRenamed("n", "target")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     rows = every.join(raw, "bucket", "left").join(target, "bucket", "left").select("bucket", (F.coalesce("raw", F.lit(0)) + smoothing).alias("raw"), (F.coalesce("target", F.lit(0)) + smoothing).alias("target"))
     # a table of fixed size in one row
@@ -122,20 +124,21 @@ def with_score(rows: DataFrame, ratios: np.ndarray, text_column: str = "text") -
     return out.withColumn("ngram_score", (one + two) / F.greatest(2 * F.size("__low") - 1, F.lit(1))).drop("__low")
 
 
-def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_column: str = "text", max_labelled: int = 5_000, default: float = -0.15) -> float:
+def fit_threshold(docs: DataFrame, labels: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_column: str = "text", default: float = -0.15) -> float:
     """Where to cut: between the scores of labelled good and bad documents that pass the base rules.
 
     Halfway between the score that 1 % of the good ones lie under and the one that 5 % of the bad ones
-    lie over, but never above the first.  At most max_labelled documents of each kind are scored;
-    default stands where one kind has none.
+    lie over, but never above the first.  All labelled documents are scored; default stands where one
+    kind has none.
     """
-    marks = []
-    for quality, share in ((1, 0.01), (0, 0.95)):
-        # the row number keeps the optimizer from writing the counts again into the filter
-        rows = with_counts(labelled(docs, labels, quality, id_column, text_column, max_labelled)).withColumn("__row", F.monotonically_increasing_id()).where("not base_failed and __row >= 0")
-        marks.append(with_score(rows.select("text"), ratios).agg(F.percentile("ngram_score", share)).first()[0])
-    good, bad = marks
-    return default if good is None or bad is None else min(good, (good + bad) / 2)
+    # the row number keeps the optimizer from writing the counts again into the filter
+    rows = with_counts(labelled(docs, labels, (0, 1), id_column, text_column)).withColumn("__row", F.monotonically_increasing_id()).where("not base_failed and __row >= 0")
+    marks = with_score(rows.select("quality", "text"), ratios).groupBy("quality").agg(F.percentile("ngram_score", F.array(F.lit(0.01), F.lit(0.95))).alias("p")).collect()
+    found = {r["quality"]: r["p"] for r in marks}
+    if found.get(1) is None or found.get(0) is None:
+        return default
+    good, bad = found[1][0], found[0][1]
+    return min(good, (good + bad) / 2)
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, text_column: str = "text", threshold: float = -0.15) -> DataFrame:
