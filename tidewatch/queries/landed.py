@@ -163,10 +163,10 @@ UNION ALL SELECT 'days', count(DISTINCT CAST(scanned_at AS DATE)) FROM fx_scans
 
 
 def _streamed(spark: SparkSession, path: str, parts: list[DataFrame], run) -> None:
-    """Land parts one after the other and stream each, a file a batch; the stream stops and starts again in between."""
+    """Land parts one after the other and stream each, all of its files as one batch; the stream stops and starts again in between."""
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{path}/in")
         q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
 
