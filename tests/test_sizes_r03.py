@@ -23,3 +23,63 @@ def test_streamed_parts_keep_their_tasks(spark, tmp_path):
     landed._streamed(spark, str(tmp_path), [spark.range(0, 100, 1, 4), spark.range(100, 130, 1, 3), spark.range(0)], lambda rows, k: batches.append((k, rows.count(), rows.agg(F.min("id")).first()[0])))
     assert len(_files(tmp_path / "in")) >= 7  # before, one a part
     assert batches == [(0, 100, 0), (1, 30, 100), (2, 0, None)]
+
+
+def test_live_days_keep_their_tasks(spark, monkeypatch):
+    """Each day is one batch, of more than one file."""
+    from tidewatch.queries import streams
+    from tidewatch.streaming import live
+
+    seen, real = [], live.discovery_batches
+
+    def recorded(*args):
+        run = real(*args)
+
+        def batch(rows, k):
+            seen.append((rows.select(F.to_date("ts")).distinct().count(), rows.select(F.input_file_name()).distinct().count()))
+            run(rows, k)
+
+        return batch
+
+    monkeypatch.setattr(streams.live, "discovery_batches", recorded)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put rows of so small tables into one task
+    try:
+        streams.live_discovery(spark, SF)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [days for days, _ in seen] == [1] * 5
+    assert min(files for _, files in seen) > 1  # before, one
+
+
+def _brute(rows, window, keys):
+    out = {}
+    for r in rows:
+        frame = [x for x in rows if all(x[k] == r[k] for k in keys) and ((x["at"] is None and r["at"] is None) or (None not in (x["at"], r["at"]) and r["at"] - window <= x["at"] <= r["at"]))]
+        v = [x["v"] for x in frame if x["v"] is not None]
+        out[r["id"]] = (min(v, default=None), max(v, default=None), sum(v) if v else None, len(frame))
+    return out
+
+
+@pytest.mark.parametrize("window", [0, 1, 7, 1000])
+def test_frames_equal_brute_force(spark, window):
+    import random
+
+    from tidewatch.operators import telemetry
+
+    r = random.Random(window)
+    rows = [{"id": i, "k": r.choice(["a", "b", None]), "at": r.choice([None, r.randrange(-30, 30)]) if i % 9 == 0 else r.randrange(-30, 30), "v": r.choice([None, 1, 5, 9, 14])} for i in range(150)]
+    df = spark.createDataFrame([(x["id"], x["k"], x["at"], x["v"]) for x in rows], "id int, k string, at bigint, v bigint")
+    for keys in (["k"], []):
+        v = F.col("v")
+        out = telemetry._frames(df, keys, F.col("at"), window, lo=("min", v), hi=("max", v), total=("sum", v), n=("count", F.lit(1)))
+        assert {x["id"]: (x["lo"], x["hi"], x["total"], x["n"]) for x in out.collect()} == _brute(rows, window, keys)
+
+
+def test_frames_are_running(spark):
+    """No frame slides over the rows of a window."""
+    from tidewatch.operators import telemetry
+
+    df = spark.createDataFrame([(1, "a", "none", 3, 4)], "id int, chain string, active_rpc string, c int, p int").withColumn("ts", F.current_timestamp())
+    for out in (telemetry.counter_stall(df, ["chain"], "c", "p"), telemetry.growth_alert(df, ["chain"], "c", "p"), telemetry.outages(df, ["chain"]), telemetry.rate_budget(df, 5, 5)):
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame, -" not in text and "unboundedpreceding" in text, text  # before, frames began at a time before the row's own

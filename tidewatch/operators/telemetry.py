@@ -184,9 +184,29 @@ def stalls(samples: DataFrame, keys: list[str], cursor: str = "cursor_block", he
     return out.select(*keys, "last_cursor", F.col(f"b.{cursor}").alias("base_cursor"), (~up & F.coalesce(still, F.lit(False))).alias("stalled"))
 
 
-def _range(keys: list[str], window: int) -> Window:
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return w.orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-window * 1_000_000, 0)
+def _frames(rows: DataFrame, keys: list[str], at: Column, window: int, **aggs: tuple[str, Column]) -> DataFrame:
+    """rows with aggregates (min, max, sum or count of a column) over those of the last `window` of at, a whole number, up to each row and its peers.
+
+    A sliding frame would add up all of its rows for each row, which with more samples a second grows with
+    their square.  Here at is cut into blocks of a window: a frame is the end of one block and the beginning
+    of the next, which two running passes add up, and no series lies in one task.
+    """
+    both = {"min": F.least, "max": F.greatest, "sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: a + F.coalesce(b, F.lit(0))}
+    of = {n: getattr(F, kind) for n, (kind, _) in aggs.items()}
+    own = rows.withColumn("__row", F.struct(*rows.columns)).withColumn("__pos", at).withColumns({f"__{n}": c for n, (_, c) in aggs.items()}).withColumn("__block", F.floor(F.col("__pos") / max(window, 1)).cast("bigint"))
+    own = own.select(*keys, "__row", "__pos", "__block", *(f"__{n}" for n in aggs))
+    begin = Window.partitionBy(*keys, "__block").orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
+    asked = own.select(*keys, "__row", (F.col("__pos") - window).alias("__pos"), (F.col("__block") - 1).alias("__block"), *(F.lit(None).cast(own.schema[f"__{n}"].dataType).alias(f"__{n}") for n in aggs), *(of[n](f"__{n}").over(begin).alias(f"__begin_{n}") for n in aggs))
+    marks = own.withColumn("__row", F.lit(None).cast(own.schema["__row"].dataType))
+    # with the latest first, rows of a place come before what asks for all from there on
+    end = Window.partitionBy(*keys, "__block").orderBy(F.desc("__pos"), F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    out = asked.unionByName(marks, allowMissingColumns=True).withColumns({f"__end_{n}": of[n](f"__{n}").over(end) for n in aggs}).where("__row is not null")
+    ended = {n: F.when(F.col("__pos").isNotNull(), F.col(f"__end_{n}")) for n in aggs}
+    return out.select("__row.*", *(both[kind](F.col(f"__begin_{n}"), ended[n]).alias(n) for n, (kind, _) in aggs.items()))
+
+
+def _micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 def _chunked(rows: DataFrame, window: int) -> DataFrame:
@@ -295,47 +315,36 @@ def request_pressure(series: DataFrame, key: list[str]) -> DataFrame:
 
 
 def outages(samples: DataFrame, keys: list[str], window: int = 120, least_span: int = 100) -> DataFrame:
-    """At each sample: two or more without any endpoint within the window, and long enough apart.
-
-    The frame runs a day (or a window, if that is longer) at a time, with the window before it.
-    """
-    rows = _chunked(samples.where("active_rpc = 'none'"), window)
-    w = _range([*keys, "__chunk"], window)
-    span = seconds("ts") - F.min(seconds("ts")).over(w)
-    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("outage", (F.col("n") >= 2) & (span >= least_span))
-    return rows.where("__own").drop("__own", "__chunk")
+    """At each sample: two or more without any endpoint within the window, and long enough apart."""
+    rows = _frames(samples.where("active_rpc = 'none'"), keys, _micros(), window * 1_000_000, n=("count", F.lit(1)), __first=("min", _micros()))
+    span = seconds("ts") - F.col("__first") / 1e6
+    return rows.withColumn("outage", (F.col("n") >= 2) & (span >= least_span)).drop("__first")
 
 
 def counter_stall(samples: DataFrame, keys: list[str], counter: str, pending: str, window: int = 600, least_span: int = 540) -> DataFrame:
-    w = _range(keys, window)
-    span = seconds("ts") - F.min(seconds("ts")).over(w)
-    flat = F.min(counter).over(w) == F.max(counter).over(w)
-    return samples.withColumn("stalled", flat & (F.max(pending).over(w) > 0) & (span >= least_span))
+    """Whether at each sample a counter stood still for all of the last `window` seconds, spanning long enough, while work waited."""
+    rows = _frames(samples, keys, _micros(), window * 1_000_000, __first=("min", _micros()), __least=("min", F.col(counter)), __most=("max", F.col(counter)), __waits=("max", F.col(pending)))
+    span = seconds("ts") - F.col("__first") / 1e6
+    rows = rows.withColumn("stalled", (F.col("__least") == F.col("__most")) & (F.col("__waits") > 0) & (span >= least_span))
+    return rows.drop("__first", "__least", "__most", "__waits")
 
 
 def growth_alert(samples: DataFrame, keys: list[str], value: str, size: str, window: int = 600, floor: int = 1 << 30) -> DataFrame:
-    w = _range(keys, window)
-    first = F.first(value).over(w)
-    return samples.withColumn("runaway", (F.count("*").over(w) >= 2) & (F.col(value) > floor) & (F.col(value) > F.greatest(2 * first, F.col(size))))
+    """Whether at each sample a value is over a floor, its size and twice what it was first in the last `window` seconds; of first samples of one time the least counts."""
+    rows = _frames(samples, keys, _micros(), window * 1_000_000, __n=("count", F.lit(1)), __first=("min", F.struct(_micros().alias("at"), F.col(value).alias("value"))))
+    grown = (F.col("__n") >= 2) & (F.col(value) > floor) & (F.col(value) > F.greatest(2 * F.col("__first.value"), F.col(size)))
+    return rows.withColumn("runaway", grown).drop("__n", "__first")
 
 
 def rate_budget(attempts: DataFrame, total: int, per_chain: int, window: int = 60) -> DataFrame:
     """Requests of the last minute at each attempt, over all chains and on its own, against their budgets.
 
-    Times are summed to one row a second and chain first; the frames then run a day at a time with the
-    minute before it.
+    Times are summed to one row a second and chain first.
     """
     sec = F.unix_seconds(F.col("ts").cast("timestamp"))
     counts = attempts.groupBy(sec.alias("s"), "chain").agg(F.count("*").alias("n"))
-    day = F.floor(F.col("s") / S.DAY)
-
-    def last_minute(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        spread = rows.withColumn("own", F.lit(True)).withColumn("day", day).unionByName(rows.where(F.col("s") % S.DAY >= S.DAY - window).withColumn("own", F.lit(False)).withColumn("day", day + 1))
-        w = Window.partitionBy(*keys, "day").orderBy("s").rangeBetween(-(window - 1), 0)
-        return spread.withColumn(name, F.sum("n").over(w)).where("own").drop("own", "day")
-
-    own = last_minute(counts, ["chain"], "chain_used")
-    used = last_minute(counts.groupBy("s").agg(F.sum("n").alias("n")), [], "used").select("s", "used")
+    own = _frames(counts, ["chain"], F.col("s"), window - 1, chain_used=("sum", F.col("n")))
+    used = _frames(counts.groupBy("s").agg(F.sum("n").alias("n")), [], F.col("s"), window - 1, used=("sum", F.col("n"))).select("s", "used")
     return own.join(used, "s").withColumn("over", (F.col("used") > total) | (F.col("chain_used") > per_chain))
 
 
