@@ -83,3 +83,49 @@ def test_frames_are_running(spark):
     for out in (telemetry.counter_stall(df, ["chain"], "c", "p"), telemetry.growth_alert(df, ["chain"], "c", "p"), telemetry.outages(df, ["chain"]), telemetry.rate_budget(df, 5, 5)):
         text = out._jdf.queryExecution().optimizedPlan().toString()
         assert "RangeFrame, -" not in text and "unboundedpreceding" in text, text  # before, frames began at a time before the row's own
+
+
+def test_log_files_stay_few(spark, tmp_path, monkeypatch):
+    """With ten times as many blocks logs lie in as many files, and the range is the same as in SQL."""
+    from tidewatch.queries import landed
+
+    far = tmp_path / "far"
+    far.mkdir()
+    for t in TABLES:
+        os.symlink(f"{SF}/{t}.parquet", far / f"{t}.parquet") if t != "lineitem" else None
+    duckdb.sql(f"COPY (SELECT * REPLACE (l_orderkey * 100 AS l_orderkey) FROM '{SF}/lineitem.parquet') TO '{far}/lineitem.parquet' (FORMAT parquet)")
+    monkeypatch.setattr(landed.jobs, "scratch", lambda spark, name: str(tmp_path / name))
+    rows, ours, theirs = differences(landed.landed_logs(spark, str(far)), registry.oracle_sql()["landed_logs"], connect(str(far)))
+    top = connect(str(far)).execute("SELECT max(l_orderkey) // 5 FROM lineitem").fetchone()[0]
+    assert top > 20_000
+    assert not ours and not theirs, (rows, ours, theirs)
+    assert all(len(os.listdir(c)) <= 202 for c in (tmp_path / "logs" / "rows").glob("chain=*"))  # before, one for each 100 blocks
+
+
+def test_words_of_all_sizes_are_exact(spark):
+    """Decimal text of words around each border; short ones go without long arithmetic."""
+    from tidewatch.functions import scalars as S
+
+    values = sorted({max(0, min((1 << 256) - 1, (1 << k) + d)) for k in (0, 4, 31, 32, 59, 60, 61, 63, 64, 119, 120, 121, 124, 128, 200, 255, 256) for d in (-1, 0, 1)} | {10**27 + 7, 16**15 * 3})
+    df = spark.createDataFrame([(f"0x{v:064x}" if i % 2 else f"0x{v:064X}", str(v)) for i, v in enumerate(values)] + [("0x12", None), ("0x" + "g" * 64, None), (None, None)], "c string, want string")
+    bad = df.select("c", "want", S.abi_uint256_decimal(F.col("c")).alias("have")).where("not (have <=> want)").collect()
+    assert not bad, bad
+
+
+def test_short_words_need_no_long_arithmetic(spark):
+    """20,000 words of an amount; before, each took the arithmetic of 72 limbs."""
+    import time
+
+    from tidewatch.functions import scalars as S
+
+    rows = spark.range(0, 20_000, 1, 2).select(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("id")), 64, "0")).alias("c")).cache()
+    rows.count()
+    slow = rows.select(F.concat(F.lit("0x1"), F.substring("c", 4, 63)).alias("c"))
+
+    def took(df):
+        began = time.perf_counter()
+        df.select(S.abi_uint256_decimal(F.col("c")).alias("x")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    took(rows), took(slow)
+    assert took(rows) < took(slow) / 2
