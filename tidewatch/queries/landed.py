@@ -67,10 +67,13 @@ UNION ALL SELECT 'seeds', count(*), CAST(sum(decimals) AS BIGINT) FROM fx_tokens
 def landed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs in files by chain and bucket of blocks; a range of one chain opens its own buckets only."""
     path = f"{jobs.scratch(spark, 'logs')}/rows"
-    rows = view(spark, sf_dir, "fx_logs").withColumn("block_bucket", F.floor(F.col("block_number") / 100))
-    rows.repartition("chain", "block_bucket").write.partitionBy("chain", "block_bucket").parquet(path)
+    rows = view(spark, sf_dir, "fx_logs")
     top = rows.agg(F.max("block_number").alias("m")).first().m or 0
-    out = landed.read_logs(spark, path, "c2", top // 3, 2 * top // 3, 100)
+    # a bucket of so many blocks that files grow with the table, not only their number
+    bucket = max(100, top // 200 + 1)
+    rows = rows.withColumn("block_bucket", F.floor(F.col("block_number") / bucket))
+    rows.repartition("chain", "block_bucket").write.partitionBy("chain", "block_bucket").parquet(path)
+    out = landed.read_logs(spark, path, "c2", top // 3, 2 * top // 3, bucket)
     return out.groupBy("topic0").agg(F.count("*").alias("n"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
 
 
