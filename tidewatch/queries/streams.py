@@ -100,7 +100,7 @@ SELECT CAST(epoch(at_) AS BIGINT) AS at, user_id, n, errors, round(errors / n, 9
 
 
 def live_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Called contracts found by a stream of five days, one a batch, stopped and started again after the second, and how often each address was asked for."""
+    """Called contracts found by a stream of five days, all files of one a batch, stopped and started again after each, and how often each address was asked for."""
     path = jobs.scratch(spark, "live")
     tx = view(spark, sf_dir, "fx_tx").select("chain", "block_number", "tx_hash", "from_addr", "to_addr")
     width = tx.agg(F.floor(F.max("block_number") / 5) + 1).first()[0]
@@ -109,10 +109,9 @@ def live_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = view(spark, sf_dir, "fx_code").select("chain", "address", "has_code")
     known = lambda: view(spark, sf_dir, "fx_log_contracts").select("chain", "address").unionByName(code.where("address < '0x3'").select("chain", "address"))
     run = live.discovery_batches(f"{path}/tables", known, lambda asked: asked.join(code, ["chain", "address"], "left"))
-    for days in ((0, 1), (2, 3, 4)):
-        for k in days:
-            tx.where(day == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    for k in range(5):
+        tx.where(day == k).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(tx.schema).parquet(f"{path}/in")
         q = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     t = tables.opened(spark, f"{path}/tables")
