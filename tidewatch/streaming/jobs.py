@@ -130,6 +130,13 @@ def scratch(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def landed(rows: DataFrame, name: str) -> DataFrame:
+    """rows written once into the scratch folder and read back: what follows from them doesn't work them out again."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def append_to(stream: DataFrame, folder: str, mode: str = "append") -> None:
     """Run a stream over all that is there, into folder/rows; its state is in folder/state, so that a later run goes on from here.
 
