@@ -38,3 +38,44 @@ def test_distinct_rows_by_keys(spark, tmp_path, monkeypatch):
         assert ours.dtypes == text.dtypes
         a, b = (sorted(map(tuple, x.select(*(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in x.columns)).collect())) for x in (ours, text))
         assert a and a == b
+
+
+def test_packed_texts_come_back(spark):
+    from tidewatch.functions import scalars as S
+
+    texts = [None, "", "0x", "0xab", "0xAB", "0xabc", "0xab\n", "0xabcd\n", "0x0", "0xzz", "ab", "native", "é", "0x" + "0f" * 20, "0x" + "0F" * 20, "0xabABab", "\x01\xab", "0x é"]
+    df = spark.createDataFrame([(x,) for x in texts], "c string").select("c", S.packed(F.col("c")).alias("b")).select("*", S.unpacked(F.col("b")).alias("back"))
+    rows = df.collect()
+    assert all(r.c == r.back for r in rows), rows
+    assert len({bytes(r.b) for r in rows if r.c is not None}) == len(texts) - 1
+    assert {len(r.b) for r in rows if r.c and len(r.c) == 42} == {21, 43}
+
+
+def test_valued_tokens_are_dealt_by_bytes(spark):
+    """Joins of balances shuffle bytes of addresses; before, their texts."""
+    from tidewatch.queries import valuation
+
+    kinds = dict(valuation.valued_keys(spark, SF).dtypes)
+    assert kinds["address"] == kinds["token"] == "binary"
+    text = valuation.token_state_merge(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join LeftAnti") == 1 and text.count("Join LeftOuter") == 4, text  # before, two and four, with a shuffle of all rows between them
+
+
+def test_discoveries_and_tokens_are_worked_out_once(spark):
+    """What a query asks for many times is read back, not made from lines again."""
+    from tidewatch.queries import discovery, settled
+
+    for query in (discovery.reorg_quarantine, settled.tokens_refreshed):
+        text = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in text, text  # before, lines were read up to twenty times
+
+
+def test_rows_without_those_gone(spark):
+    from tidewatch.operators import settle
+
+    key = ["chain", "address", "token"]
+    rows = spark.createDataFrame([("c0", "0xab", "0xcd", 1), ("c0", "0xab", "0xcd", 2), ("c0", "0xab", "native", 3), ("c1", "0xab", "0xcd", 4), (None, "0xab", "0xcd", 5), ("c0", "0xab", None, 6)], "chain string, address string, token string, n int")
+    gone = spark.createDataFrame([("c0", "0xab", "0xcd"), ("c0", "0xab", "0xcd"), (None, "0xab", "0xcd"), ("c0", "0xab", None)], "chain string, address string, token string")
+    out = settle._without(rows, gone, key)
+    assert out.columns == rows.columns
+    assert sorted(r.n for r in out.collect()) == sorted(r.n for r in rows.join(gone, key, "left_anti").collect()) == [3, 4, 5, 6]

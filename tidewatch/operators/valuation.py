@@ -129,7 +129,8 @@ def reclassify(latest: DataFrame, parts: DataFrame, min_usd: float) -> DataFrame
 
 def reprice(state: DataFrame, prices: DataFrame, policies: DataFrame, anomaly_usd: float) -> DataFrame:
     """Stored amounts under new prices; rows without a new price keep their value."""
-    rows = state.join(prices.select("chain", "token", F.col("price").alias("new_price")), ["chain", "token"], "left").join(by_asset(policies), ["chain", "address", "token"], "left")
+    # policies first: rows that were valued are dealt by their keys already
+    rows = state.join(by_asset(policies), ["chain", "address", "token"], "left").join(prices.select("chain", "token", F.col("price").alias("new_price")), ["chain", "token"], "left")
     usd = F.col("amount") * F.col("new_price")
     hit = F.col("new_price").isNotNull() & F.col("amount").isNotNull()
     return (
@@ -146,11 +147,12 @@ def token_state_merge(old: DataFrame, new: DataFrame, final: DataFrame, keys: tu
     Chains listed in final (address, chain) had a complete scan: their old rows are all replaced.
     Elsewhere only the tokens in new are; a failed one (null raw_amount) keeps its old row as stale.
     """
-    failed = new.where("raw_amount is null").select(*keys).distinct()
     good = new.where("raw_amount is not null")
-    kept = old.join(final.select("address", "chain").distinct(), ["address", "chain"], "left_anti").join(good.select(*keys), list(keys), "left_anti")
-    kept = kept.join(failed.withColumn("__failed", F.lit(True)), list(keys), "left")
-    kept = kept.withColumn("valuation", F.when(F.col("__failed"), "stale").otherwise(F.col("valuation"))).drop("__failed")
+    # one join by token for both, next to those that made old, so that its rows stay where they are
+    seen = new.groupBy(*keys).agg(F.max(F.col("raw_amount").isNotNull()).alias("__good"), F.max(F.col("raw_amount").isNull()).alias("__failed"))
+    kept = old.join(seen, list(keys), "left").where(F.coalesce(~F.col("__good"), F.lit(True)))
+    kept = kept.withColumn("valuation", F.when(F.col("__failed"), "stale").otherwise(F.col("valuation"))).select(*old.columns)
+    kept = kept.join(final.select("address", "chain").distinct(), ["address", "chain"], "left_anti").select(*old.columns)
     return kept.unionByName(good.select(*kept.columns))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import scalars as S
 from tidewatch.operators import discovery, history, merge, queues, reorg, reports, revalue, schedule, sui, valuation
 from tidewatch.plans.fixtures import AS_OF, sql, view
 from tidewatch.queries import discovery as found
@@ -190,13 +191,13 @@ SELECT chain, address, CASE WHEN address < '0x9' THEN 'direct_deploy' ELSE 'acti
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valuation.chain_parts(worth.valued(spark, sf_dir))
+    return worth.parts(spark, sf_dir)
 
 
 def partial_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts summed again after every token of some addresses was lost."""
-    state = worth.valued_tokens(spark, sf_dir).where("token >= '0x4'")
-    out = revalue.partial_totals(state, parts(spark, sf_dir))
+    state = worth.valued_keys(spark, sf_dir, "token >= '0x4'")
+    out = worth.plain(revalue.partial_totals(state, worth.compact(parts(spark, sf_dir))))
     return out.select("address", "chain", *(worth.cents(c) for c in ("native_usd", "tokens_usd", "total_usd", "excluded_usd")), "status")
 
 
@@ -219,11 +220,14 @@ SELECT address, chain, CAST(nat AS DOUBLE) AS native_usd, round(nat + tok, 2) AS
 
 def revalue_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored values judged again by a lower bound; the register has them with their first time."""
-    state = worth.valued_tokens(spark, sf_dir).where("raw_amount is not null").drop("policy").withColumn("valuation", F.when(F.col("token") < "0x2", "stale").otherwise(F.lit("included")))
-    known = state.where("token > '0xe'").select("chain", "address", "token", F.lit(1.0).alias("usd_value"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("detected_at")).where("chain = 'c1'")
-    new, register = revalue.revalue_outliers(state, view(spark, sf_dir, "fx_policies"), 40_000.0, known, AS_OF)
+    def state(only: str) -> DataFrame:
+        rows = worth.valued_keys(spark, sf_dir, f"raw_amount is not null and {only}").drop("policy")
+        return rows.withColumn("valuation", F.when(S.unpacked(F.col("token")) < "0x2", "stale").otherwise(F.lit("included")))
+
+    known = state("chain = 'c1' and token > '0xe'").select("chain", "address", "token", F.lit(1.0).alias("usd_value"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("detected_at"))
+    new, register = revalue.revalue_outliers(state("true"), worth.keyed(spark, sf_dir, "fx_policies"), 40_000.0, known, AS_OF)
     r = register.select("chain", "address", "token", F.unix_seconds("detected_at").alias("detected_at"))
-    return new.select("chain", "address", "token", "valuation").join(r, ["chain", "address", "token"], "left")
+    return worth.plain(new.select("chain", "address", "token", "valuation").join(r, ["chain", "address", "token"], "left"))
 
 
 REVALUE_OUTLIERS = sql(*worth.VIEWS, body=worth.VALUED + f""", s AS (SELECT chain, address, token, CASE WHEN token < '0x2' THEN 'stale' WHEN policy IN ('exclude_from_total', 'quarantine') THEN policy

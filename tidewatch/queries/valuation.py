@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import scalars as S
 from tidewatch.operators import schedule, valuation
 from tidewatch.plans.fixtures import AS_OF, sql, view
 
@@ -14,9 +15,31 @@ MIN_USD, ANOMALY_USD = 2_000_000.0, 90_000.0
 KEYS = ("chain", "token")
 
 
+PACKED = ("address", "token", "asset")
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """rows with addresses as bytes, so that joins shuffle half as much."""
+    return rows.withColumns({c: S.packed(F.col(c)) for c in PACKED if c in rows.columns})
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """rows of compact() with texts again."""
+    return rows.withColumns({c: S.unpacked(F.col(c)) for c in PACKED if c in rows.columns})
+
+
+def keyed(spark: SparkSession, sf_dir: str, name: str, only: str = "true") -> DataFrame:
+    return compact(view(spark, sf_dir, name).where(only))
+
+
+def valued_keys(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+    """Valued tokens of the balances that only asks for, compact."""
+    prices = valuation.prices_as_of(keyed(spark, sf_dir, "fx_prices"), AS_OF, keys=KEYS)
+    return valuation.value_tokens(keyed(spark, sf_dir, "fx_balances", only), keyed(spark, sf_dir, "fx_tokens"), prices, keyed(spark, sf_dir, "fx_policies"), ANOMALY_USD)
+
+
 def valued_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = valuation.prices_as_of(view(spark, sf_dir, "fx_prices"), AS_OF, keys=KEYS)
-    return valuation.value_tokens(view(spark, sf_dir, "fx_balances"), view(spark, sf_dir, "fx_tokens"), prices, view(spark, sf_dir, "fx_policies"), ANOMALY_USD)
+    return plain(valued_keys(spark, sf_dir))
 
 
 def valued_native(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +52,12 @@ def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valued_tokens(spark, sf_dir).unionByName(valued_native(spark, sf_dir), allowMissingColumns=True)
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of chains; rows are dealt by compact addresses, and the tokens' names are only asked whether they are native."""
+    rows = valued_keys(spark, sf_dir).unionByName(compact(valued_native(spark, sf_dir)), allowMissingColumns=True)
+    return plain(valuation.chain_parts(rows.withColumn("token", S.unpacked(F.col("token")))))
+
+
 #: Valued balances and parts of chains, as SQL.
 VALUED = f""",
 price AS (SELECT chain, token, price FROM fx_prices WHERE price > 0 AND ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '2024-01-31 23:58:00'),
@@ -72,7 +101,7 @@ def cents(c: str) -> Column:
 
 def address_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = valuation.history_coverage(view(spark, sf_dir, "fx_history"))
-    out = valuation.classify_addresses(valuation.chain_parts(valued(spark, sf_dir)), view(spark, sf_dir, "fx_code"), history, MIN_USD)
+    out = valuation.classify_addresses(parts(spark, sf_dir), view(spark, sf_dir, "fx_code"), history, MIN_USD)
     return out.select("address", cents("total_usd"), cents("excluded_usd"), "coverage", "parts", "status")
 
 
@@ -84,7 +113,7 @@ FROM parts p LEFT JOIN fx_code c ON c.chain = p.chain AND c.address = p.address
 
 
 def chain_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = valuation.chain_parts(valued(spark, sf_dir))
+    out = parts(spark, sf_dir)
     return out.select("address", "chain", cents("native_usd"), cents("total_usd"), cents("excluded_usd"), "status")
 
 
@@ -93,8 +122,8 @@ CHAIN_PARTS = sql(*VIEWS, body=VALUED + " SELECT address, chain, round(native_us
 
 def chain_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = view(spark, sf_dir, "fx_code")
-    parts = valuation.chain_parts(valued(spark, sf_dir)).join(code.select("chain", "address", "has_code"), ["chain", "address"], "left")
-    out = valuation.address_chain_matrix(code, code, parts)
+    known = parts(spark, sf_dir).join(code.select("chain", "address", "has_code"), ["chain", "address"], "left")
+    out = valuation.address_chain_matrix(code, code, known)
     return out.select("address", "chain", "status", "note")
 
 
@@ -106,9 +135,9 @@ FROM grid g LEFT JOIN parts p ON p.address = g.address AND p.chain = g.chain LEF
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values shut out now, merged into a register of those known before, which keep their first time."""
-    rows = valued(spark, sf_dir).where("raw_amount is not null").withColumn("detected_at", F.lit(AS_OF).cast("timestamp"))
-    known = view(spark, sf_dir, "fx_balances").where("token < '0x4' and raw_amount is not null").select("chain", "address", "token", F.lit(1.0).alias("usd_value"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("detected_at"))
-    return valuation.anomalies(rows, known).select("chain", "address", "token", cents("usd_value"), F.unix_seconds("detected_at").alias("detected_at"))
+    rows = valued_keys(spark, sf_dir).unionByName(compact(valued_native(spark, sf_dir)), allowMissingColumns=True).where("raw_amount is not null").withColumn("detected_at", F.lit(AS_OF).cast("timestamp"))
+    known = keyed(spark, sf_dir, "fx_balances", "token < '0x4' and raw_amount is not null").select("chain", "address", "token", F.lit(1.0).alias("usd_value"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("detected_at"))
+    return plain(valuation.anomalies(rows, known)).select("chain", "address", "token", cents("usd_value"), F.unix_seconds("detected_at").alias("detected_at"))
 
 
 ANOMALIES = sql(*VIEWS, body=VALUED + f""",
@@ -136,10 +165,11 @@ FROM s GROUP BY address, chain""")
 
 def repriced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored amounts under doubled prices of half the tokens; what has no new price keeps its value."""
-    state = valued_tokens(spark, sf_dir).where("raw_amount is not null").drop("policy")
-    new = valuation.prices_as_of(view(spark, sf_dir, "fx_prices"), AS_OF, keys=KEYS).where("token < '0x8'").select("chain", "token", (F.col("price") * 2).alias("price"))
-    out = valuation.reprice(state, new, view(spark, sf_dir, "fx_policies"), ANOMALY_USD)
-    return out.groupBy("address", "chain").agg(F.round(F.coalesce(F.sum(F.when(F.col("valuation") == "included", F.col("usd_value"))), F.lit(0.0)), 2).alias("total_usd"), F.count_if(F.col("valuation") == "anomalous_balance").alias("anomalies"))
+    state = valued_keys(spark, sf_dir).where("raw_amount is not null").drop("policy")
+    new = valuation.prices_as_of(keyed(spark, sf_dir, "fx_prices", "token < '0x8'"), AS_OF, keys=KEYS).select("chain", "token", (F.col("price") * 2).alias("price"))
+    out = valuation.reprice(state, new, keyed(spark, sf_dir, "fx_policies"), ANOMALY_USD)
+    out = out.groupBy("address", "chain").agg(F.round(F.coalesce(F.sum(F.when(F.col("valuation") == "included", F.col("usd_value"))), F.lit(0.0)), 2).alias("total_usd"), F.count_if(F.col("valuation") == "anomalous_balance").alias("anomalies"))
+    return plain(out)
 
 
 REPRICED = sql(*VIEWS, body=VALUED + f""",
@@ -152,10 +182,10 @@ SELECT address, chain, round(coalesce(sum(CASE WHEN v2 = 'included' THEN new_usd
 
 def token_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old token state with a new read of some chains: c0 read whole, others by token, failures stale."""
-    state = valued_tokens(spark, sf_dir).where("raw_amount is not null").select("address", "chain", "token", "raw_amount", "valuation")
-    new = view(spark, sf_dir, "fx_balances").where("token < '0x4'").select("address", "chain", "token", "raw_amount", F.lit("included").alias("valuation"))
+    state = valued_keys(spark, sf_dir).where("raw_amount is not null").select("address", "chain", "token", "raw_amount", "valuation")
+    new = keyed(spark, sf_dir, "fx_balances", "token < '0x4'").select("address", "chain", "token", "raw_amount", F.lit("included").alias("valuation"))
     final = new.where("chain = 'c0'").select("address", "chain")
-    out = valuation.token_state_merge(state, new, final)
+    out = plain(valuation.token_state_merge(state, new, final))
     return out.select("address", "chain", "token", "valuation", "raw_amount")
 
 
