@@ -79,3 +79,17 @@ def test_rows_without_those_gone(spark):
     out = settle._without(rows, gone, key)
     assert out.columns == rows.columns
     assert sorted(r.n for r in out.collect()) == sorted(r.n for r in rows.join(gone, key, "left_anti").collect()) == [3, 4, 5, 6]
+
+
+def test_tasks_of_first_rows_grow_with_lines(spark, monkeypatch):
+    """Both shuffles of refresh_items have as many tasks as its lines ask for; before, as many as any."""
+    from compare import connect, differences
+
+    from tidewatch.queries import more, registry
+
+    assert fixtures.tasks_for(spark.range(1001), 100) == 11 and fixtures.tasks_for(spark.range(5), 100) == 4
+    monkeypatch.setattr(more, "tasks_for", lambda rows: 9)
+    out = more.refresh_items(spark, SF)
+    assert {x.split(", ")[-1] for x in _exchanges(out)} == {"9"}
+    rows, ours, theirs = differences(out, registry.oracle_sql()["refresh_items"], connect(SF))
+    assert rows and not ours and not theirs

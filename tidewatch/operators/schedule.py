@@ -105,7 +105,9 @@ def next_log_task(tasks: DataFrame, hidden: DataFrame, as_of: str, prefer_histor
     return rows.orderBy("lane_rank", "__weight", F.col("__first").asc_nulls_first(), F.col("__second").asc_nulls_first(), "chain", "address").limit(1).drop("__weight", "__first", "__second")
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column], most: int, tasks: int | None = None) -> DataFrame:
+    """The first rows of each key with their place; with tasks, keys are dealt to so many, so that one task's rows needn't grow with df."""
+    df = df.repartition(tasks, *keys) if tasks else df
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars as S
 from tidewatch.operators import discovery, merge, reorg, reports, schedule, sui, telemetry, valuation
-from tidewatch.plans.fixtures import AS_OF, sql, view
+from tidewatch.plans.fixtures import AS_OF, sql, tasks_for, view
 
 
 def next_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,10 @@ SELECT address, CASE WHEN status = 'incomplete' THEN 'partial' ELSE 'complete' E
 
 def refresh_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty balances to refresh of each address and chain, by amount."""
-    b = view(spark, sf_dir, "fx_balances").where("raw_amount is not null")
-    return schedule.first_per_key(b, ["address", "chain"], [F.length("raw_amount").desc(), F.col("raw_amount").desc(), F.col("token")], 20).select("address", "chain", "token", "place")
+    tasks = tasks_for(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    b = view(spark, sf_dir, "fx_balances", tasks).where("raw_amount is not null").withColumn("address", S.packed(F.col("address")))
+    out = schedule.first_per_key(b, ["address", "chain"], [F.length("raw_amount").desc(), F.col("raw_amount").desc(), F.col("token")], 20, tasks)
+    return out.select(S.unpacked(F.col("address")).alias("address"), "chain", "token", "place")
 
 
 REFRESH = sql("fx_balances", body=" SELECT address, chain, token, CAST(row_number() OVER w AS INT) AS place FROM fx_balances WHERE raw_amount IS NOT NULL WINDOW w AS (PARTITION BY address, chain ORDER BY length(raw_amount) DESC, raw_amount DESC, token) QUALIFY row_number() OVER w <= 20")
