@@ -93,3 +93,17 @@ def test_tasks_of_first_rows_grow_with_lines(spark, monkeypatch):
     assert {x.split(", ")[-1] for x in _exchanges(out)} == {"9"}
     rows, ours, theirs = differences(out, registry.oracle_sql()["refresh_items"], connect(SF))
     assert rows and not ours and not theirs
+
+
+def test_ids_are_as_before(spark):
+    from tidewatch.functions import scalars as S
+
+    def plainly(c):
+        low = F.lower(F.trim(c))
+        digits = F.when(F.startswith(low, F.lit("0x")), F.substring(low, 3, 1 << 30)).otherwise(low)
+        return F.when(F.length(digits).between(1, 64) & (F.translate(digits, "0123456789abcdef", "") == ""), F.concat(F.lit("0x"), F.lpad(digits, 64, "0")))
+
+    texts = [None, "", " ", "0", "x", "0x", "0X", "0x ", " 0X2 ", "2", "aB", "0xg", "0xé", "é", "0x0x1", "1x", "a b", "0x\n", "0x1\n", "-1", "+1", "0x１", "0x" + "f" * 64, "F" * 64, "0x" + "f" * 65, "0x0" + "f" * 64, "0" * 65, "f" * 66]
+    df = spark.createDataFrame([(x,) for x in texts], "c string")
+    rows = df.select("c", plainly(F.col("c")).alias("want"), S.sui_id(F.col("c")).alias("one"), F.transform(F.array("c"), S.sui_id)[0].alias("inside")).collect()
+    assert all(r.want == r.one == r.inside for r in rows), [r for r in rows if not r.want == r.one == r.inside]

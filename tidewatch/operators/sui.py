@@ -31,7 +31,7 @@ def raw_facts(raw: DataFrame, payload: str = "payload") -> DataFrame:
         F.coalesce("__p.result.objectChanges", "__p.objectChanges", F.expr(f"cast(array() as {OBJECT_CHANGES})")).alias("__changes"),
     )
     own = lambda x: x.isNotNull() & ~x.isin(*SYSTEM_PACKAGES)
-    ids = lambda texts: F.array_sort(F.array_distinct(F.filter(F.transform(texts, S.sui_id), own)))
+    ids = lambda texts: F.sort_array(F.array_distinct(F.filter(F.transform(texts, S.sui_id), own)))
     moves = F.transform("__commands", lambda c: F.coalesce(F.try_element_at(c, F.lit("MoveCall")), F.try_element_at(c, F.lit("moveCall"))))
     calls = F.coalesce(ids(F.transform(moves, lambda m: F.get_json_object(m, "$.package"))), F.array().cast("array<string>"))
     made = F.filter("__changes", lambda c: F.lower(c["type"]) == "published")
