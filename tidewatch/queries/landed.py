@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import scalars as S
 from tidewatch.operators import merge, reports, schedule, sinks, sui
 from tidewatch.plans.fixtures import sql, view
 from tidewatch.sources import landed
@@ -21,35 +25,52 @@ def _json(df: DataFrame, spark: SparkSession, name: str) -> str:
     return path
 
 
+def _counted(spark: SparkSession, name: str, extract: DataFrame, rows: Callable[[str], list[DataFrame]]) -> DataFrame:
+    """What rows makes of an extract (few rows), which is landed as compressed JSON for it and removed behind it."""
+    folder = jobs.scratch(spark, name)
+    extract.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").json(f"{folder}/rows")
+    out = jobs.landed(reduce(DataFrame.unionByName, rows(f"{folder}/rows")), f"{name}-counts")
+    fs, hadoop = sinks._files(spark, folder)
+    fs.delete(hadoop(folder), True)
+    return out
+
+
 def landed_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks, receipts, code, balances, prices, chains and seed tokens: rows of each reader and a sum over them."""
+    """Blocks, receipts, code, balances, prices, chains and seed tokens: rows of each reader and a sum over them.
+
+    Extracts are landed one after the other, so that one of them is on disk at a time.
+    """
     row = lambda name, df, c: df.agg(F.lit(name).alias("source"), F.count("*").alias("n"), F.sum(c).cast("bigint").alias("total"))
-    tx = view(spark, sf_dir, "fx_tx")
-    blocks = tx.groupBy("chain", "block_number").agg(F.collect_list(F.struct(F.col("tx_hash").alias("hash"), F.col("to_addr").alias("to"), F.col("from_addr").alias("from"))).alias("transactions"))
-    blocks = blocks.select("chain", F.concat(F.lit("0x"), F.lower(F.hex("block_number"))).alias("number"), "transactions")
-    r_blocks = landed.read_blocks(spark, _json(blocks, spark, "blocks"))
+    out = []
+    # transactions travel as bytes, half as many
+    tx = view(spark, sf_dir, "fx_tx").select("chain", "block_number", F.struct(F.unhex("tx_hash").alias("h"), S.packed(F.col("to_addr")).alias("t"), S.packed(F.col("from_addr")).alias("f")).alias("x"))
+    text = lambda x: F.struct(F.lower(F.hex(x["h"])).alias("hash"), S.unpacked(x["t"]).alias("to"), S.unpacked(x["f"]).alias("from"))
+    blocks = tx.groupBy("chain", "block_number").agg(F.collect_list("x").alias("xs"))
+    blocks = blocks.select("chain", F.concat(F.lit("0x"), F.lower(F.hex("block_number"))).alias("number"), F.transform("xs", text).alias("transactions"))
+    out.append(_counted(spark, "blocks", blocks, lambda path: [row("blocks", landed.read_blocks(spark, path), F.size("transactions"))]))
     receipts = view(spark, sf_dir, "fx_receipts").select("tx_hash", F.col("contract_address").alias("contractAddress"))
-    r_receipts = landed.read_receipts(spark, _json(receipts, spark, "receipts"))
+    out.append(_counted(spark, "receipts", receipts, lambda path: [row("receipts", landed.read_receipts(spark, path), F.col("contract_address").isNotNull().cast("int"))]))
     code = view(spark, sf_dir, "fx_code").select("chain", "address", F.when(F.col("has_code") == 1, "0x6000").when(F.col("has_code") == 0, "0x").alias("code"), "checked_at")
-    r_code = landed.read_code(spark, _json(code, spark, "code"))
+    out.append(_counted(spark, "code", code, lambda path: [row("code", landed.read_code(spark, path), "has_code")]))
     b = view(spark, sf_dir, "fx_balances")
     word = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(F.substring_index("raw_amount", "000000", 1).try_cast("bigint"))), 64, "0"))
     balances = b.select("chain", "address", F.upper("token").alias("token"), F.when(F.col("token") < "0x1", F.lit("0x12")).otherwise(word).alias("raw"), F.when(F.col("raw_amount").isNull(), "timeout").alias("error"))
-    r_balances = landed.read_balances(spark, _json(balances, spark, "balances"))
+
+    def of_balances(path: str) -> list[DataFrame]:
+        r = landed.read_balances(spark, path)
+        return [row("balances", r, F.col("raw_amount").cast("bigint")), row("failed", r.where("error is not null"), (F.col("error") == "malformed").cast("int"))]
+
+    out.append(_counted(spark, "balances", balances, of_balances))
     prices = view(spark, sf_dir, "fx_prices").select(F.concat("chain", F.lit(":"), "token").alias("price_key"), F.col("price").cast("double").alias("price"), "ts")
-    r_prices = landed.read_prices(spark, _json(prices, spark, "prices"))
+    out.append(_counted(spark, "prices", prices, lambda path: [row("prices", landed.read_prices(spark, path), "price")]))
     nations = _table(spark, sf_dir, "nation")
     chains = nations.select(F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("chain"), F.col("n_nationkey").cast("bigint").alias("chain_id"))
     accepted, rejected = landed.chain_dim(spark, _json(chains, spark, "chains"), spark.range(15).withColumnRenamed("id", "chain_id"))
+    out += [row("chains", accepted, "chain_id"), row("rejected", rejected, "chain_id")]
     tokens = view(spark, sf_dir, "fx_tokens").select("chain", F.upper("token").alias("token"), "symbol", "decimals")
-    seeds = landed.token_seed(spark, _json(tokens, spark, "tokens"), accepted.select("chain").distinct().where("chain <> 'c1'"))
-    out = row("blocks", r_blocks, F.size("transactions"))
-    for x in (
-        row("receipts", r_receipts, F.col("contract_address").isNotNull().cast("int")), row("code", r_code, "has_code"), row("balances", r_balances, F.col("raw_amount").cast("bigint")),
-        row("failed", r_balances.where("error is not null"), (F.col("error") == "malformed").cast("int")), row("prices", r_prices, "price"), row("chains", accepted, "chain_id"), row("rejected", rejected, "chain_id"), row("seeds", seeds, "decimals"),
-    ):
-        out = out.unionByName(x)
-    return out
+    known = accepted.select("chain").distinct().where("chain <> 'c1'")
+    out.append(_counted(spark, "tokens", tokens, lambda path: [row("seeds", landed.token_seed(spark, path, known), "decimals")]))
+    return reduce(DataFrame.unionByName, out)
 
 
 LANDED_CHAIN = sql("fx_tx", "fx_receipts", "fx_code", "fx_balances", "fx_prices", "fx_tokens", body="""
